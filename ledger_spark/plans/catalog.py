@@ -189,3 +189,146 @@ SELECT id, CAST(date AS VARCHAR) AS date, description, CAST(amount AS DOUBLE) AS
        category_id, category_raw, is_recurring FROM transactions""")
 
 _reg(categories_fixture, """SELECT id, name, description, color_hex, is_essential FROM categories""")
+
+
+# --------------------------------------------------------------------------
+# Dashboard panels (month = REPORT_MONTH)
+# --------------------------------------------------------------------------
+from ledger_spark.functions.dates import previous_month  # noqa: E402
+from ledger_spark.operators import dashboard as DB  # noqa: E402
+
+PREV_MONTH = previous_month(REPORT_MONTH)
+
+
+def kpi_total_avg(spark, d):
+    return DB.kpi_total_avg(_tx(spark, d, ["date", "amount", "category_id"]), _cats(spark, d), REPORT_MONTH)
+
+
+def kpi_avg_delta(spark, d):
+    return DB.kpi_avg_delta(_tx(spark, d, ["date", "amount", "category_id"]), _cats(spark, d), REPORT_MONTH)
+
+
+def kpi_top_category(spark, d):
+    return DB.kpi_top_category(_tx(spark, d, ["date", "amount", "category_id"]), _cats(spark, d), REPORT_MONTH)
+
+
+def top_categories(spark, d):
+    return DB.top_categories(_tx(spark, d, ["date", "amount", "category_id"]), _cats(spark, d), REPORT_MONTH, 5)
+
+
+def recent_transactions(spark, d):
+    t = _tx(spark, d, ["id", "date", "description", "amount", "category_id"])
+    return DB.recent_transactions(t, _cats(spark, d), REPORT_MONTH, 10)
+
+
+def recent_transactions_all(spark, d):
+    t = _tx(spark, d, ["id", "date", "description", "amount", "category_id"])
+    return DB.recent_transactions(t, _cats(spark, d), None, 10)
+
+
+def recent_months(spark, d):
+    return portable(DB.recent_months(_tx(spark, d, ["date", "amount"]), 6))
+
+
+def available_months(spark, d):
+    return DB.available_months(_tx(spark, d, ["date", "amount"]))
+
+
+def current_month_flag(spark, d):
+    m = R.monthly_totals(_tx(spark, d, ["date", "amount"]))
+    return DB.current_month_flag(m.select("month", R.round_money("total").alias("total")))
+
+
+def category_totals_all(spark, d):
+    return DB.category_totals_all(_tx(spark, d, ["amount", "category_id"]), _cats(spark, d))
+
+
+def category_projection(spark, d):
+    cm = DB.category_monthly(_tx(spark, d, ["date", "amount", "category_id"]), _cats(spark, d))
+    return DB.category_projection(cm, 3)
+
+
+def category_outlook(spark, d):
+    cm = DB.category_monthly(_tx(spark, d, ["date", "amount", "category_id"]), _cats(spark, d))
+    return DB.category_outlook(cm, 2)
+
+
+def export_projection(spark, d):
+    t = _tx(spark, d, ["id", "date", "description", "amount", "category_id"])
+    return DB.export_projection(t, _cats(spark, d))
+
+
+JOINED = "transactions t JOIN categories c ON t.category_id = c.id"
+IN_M = f"strftime(t.date, '%Y-%m') = {S.q(REPORT_MONTH)}"
+
+_reg(kpi_total_avg, f"""
+SELECT CAST(ROUND(COALESCE(sum(t.amount), 0), 2) AS DOUBLE) AS total_spent,
+       {S.mean2('sum(t.amount)', 'count(*)')} AS avg_amount, CAST(count(*) AS BIGINT) AS n_transactions
+FROM {JOINED} WHERE {IN_M}""")
+
+_reg(kpi_avg_delta, f"""
+, cur AS (SELECT count(*) AS cn, sum(t.amount) AS cs FROM {JOINED} WHERE {IN_M}),
+prev AS (SELECT count(*) AS pn, sum(amount) AS ps FROM transactions WHERE {M} = {S.q(PREV_MONTH)}),
+x AS (SELECT *, ({S.cents('cs')} * pn - {S.cents('ps')} * cn) AS num, ({S.cents('ps')} * cn) AS den
+      FROM cur, prev)
+SELECT {S.q(REPORT_MONTH)} AS month, {S.q(PREV_MONTH)} AS previous_month,
+       {S.mean2('cs', 'cn')} AS avg_amount, {S.mean2('ps', 'pn')} AS previous_avg,
+       {S.ratio('num * 100', 'den', 1)} AS pct_change,
+       CASE WHEN den IS NULL OR den = 0 OR num IS NULL THEN NULL WHEN num > 0 THEN 'up' ELSE 'down' END
+         AS direction
+FROM x""")
+
+_reg(kpi_top_category, f"""
+SELECT COALESCE(upper((SELECT c.name FROM {JOINED} WHERE {IN_M} GROUP BY c.name
+                       ORDER BY sum(t.amount) DESC, c.name LIMIT 1)), 'None') AS top_category""")
+
+_reg(top_categories, f"""
+SELECT c.name AS category, {S.r2('sum(t.amount)')} AS total FROM {JOINED} WHERE {IN_M}
+GROUP BY c.name ORDER BY sum(t.amount) DESC, c.name LIMIT 5""")
+
+_RECENT = f"""
+SELECT t.id, CAST(t.date AS VARCHAR) AS date, t.description, {S.r2('t.amount')} AS amount, c.name AS category
+FROM {JOINED} {{where}} ORDER BY t.date DESC, t.id DESC LIMIT 10"""
+_reg(recent_transactions, _RECENT.format(where=f"WHERE {IN_M}"))
+_reg(recent_transactions_all, _RECENT.format(where=""))
+
+_reg(recent_months, f"""
+SELECT CAST(month AS VARCHAR) AS month, {S.r2('total')} AS total FROM (
+  SELECT CAST(date_trunc('month', date) AS DATE) AS month, sum(amount) AS total FROM transactions
+  GROUP BY 1 ORDER BY 1 DESC LIMIT 6)""")
+
+_reg(available_months, f"""
+SELECT DISTINCT {M} AS month, upper(strftime(date, '%b-%Y')) AS label FROM transactions""")
+
+_reg(current_month_flag, f"""
+SELECT month, {S.r2('total')} AS total,
+       CASE WHEN month = max(month) OVER () THEN 'current' ELSE 'past' END AS period
+FROM (SELECT {M} AS month, sum(amount) AS total FROM transactions GROUP BY 1)""")
+
+_reg(category_totals_all, """
+SELECT c.name AS category, CAST(ROUND(COALESCE(sum(t.amount), 0), 2) AS DOUBLE) AS total
+FROM categories c LEFT JOIN transactions t ON t.category_id = c.id GROUP BY c.name""")
+
+_CM = f"""
+cm AS (SELECT c.name AS category, strftime(t.date, '%Y-%m') AS month, sum(t.amount) AS total
+       FROM {JOINED} GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY month DESC) AS rn FROM cm),
+st AS (SELECT category, count(*) AS n, sum(total) AS s, arg_min(total, month) AS first,
+              arg_max(total, month) AS last, sum(total) FILTER (WHERE rn <= {{k}}) AS rs,
+              count(*) FILTER (WHERE rn <= {{k}}) AS rk
+       FROM r GROUP BY category)"""
+
+_reg(category_projection, "," + _CM.format(k=3) + f"""
+SELECT category, {S.mean2('s', 'n')} AS avg_monthly, {S.r2('last')} AS last_month,
+       {S.mean2('last - first', 'n')} AS trend, {S.mean2('rs', 'rk')} AS forecast FROM st""")
+
+_reg(category_outlook, "," + _CM.format(k=2) + f"""
+, x AS (SELECT *, ({S.cents('rs')} * n - {S.cents('s')} * rk) AS num, ({S.cents('s')} * rk) AS den FROM st)
+SELECT category, {S.mean2('s', 'n')} AS avg_val, {S.mean2('rs', 'rk')} AS pred_val,
+       {S.ratio('num * 100', 'den', 1)} AS pct,
+       CASE WHEN num * 100 > den THEN 'up' WHEN num * 100 < -den THEN 'down' ELSE 'flat' END AS direction
+FROM x""")
+
+_reg(export_projection, f"""
+SELECT t.id, CAST(t.date AS VARCHAR) AS date, t.description, {S.r2('t.amount')} AS amount, c.name AS category
+FROM {JOINED}""")

@@ -30,18 +30,27 @@ def r2(x: str, scale: int = 2) -> str:
     return f"CAST(ROUND({x}, {scale}) AS DOUBLE)"
 
 
+def ratio(num: str, den: str, scale: int) -> str:
+    """num/den for integer-valued expressions, rounded half away from zero to
+    ``scale`` decimals, as double (NULL when den is 0 or NULL)."""
+    k = 10 ** scale
+    return (f"CASE WHEN ({den}) IS NULL OR ({den}) = 0 OR ({num}) IS NULL THEN NULL ELSE "
+            f"sign({num}) * sign({den}) * CAST(((2 * {k} * abs({num}) + abs({den})) // (2 * abs({den}))) AS DOUBLE)"
+            f" / {k} END")
+
+
+def cents(x: str) -> str:
+    return f"CAST(({x}) * 100 AS HUGEINT)"
+
+
 def mean2(total: str, n: str) -> str:
-    """half-up mean of a positive decimal total over n rows, 2 dp, as double"""
-    cents = f"CAST(({total}) * 100 AS HUGEINT)"
-    return (f"CASE WHEN ({n}) = 0 THEN NULL ELSE CAST(((2 * {cents} + ({n})) // (2 * ({n}))) AS DOUBLE) / 100 END")
+    """half-up mean of a decimal total over n rows, 2 dp, as double"""
+    return ratio(cents(total), f"(CAST({n} AS HUGEINT) * 100)", 2)
 
 
 def pct1(part: str, whole: str) -> str:
     """part*100/whole rounded half away from zero to 1 dp, as double"""
-    p = f"CAST(({part}) * 100 AS HUGEINT)"
-    w = f"CAST(({whole}) * 100 AS HUGEINT)"
-    return (f"CASE WHEN ({whole}) IS NULL OR ({whole}) = 0 OR ({part}) IS NULL THEN NULL ELSE "
-            f"sign({p}) * sign({w}) * CAST(((2000 * abs({p}) + abs({w})) // (2 * abs({w}))) AS DOUBLE) / 10 END")
+    return ratio(f"({cents(part)} * 100)", cents(whole), 1)
 
 
 def clean_desc(x: str) -> str:
