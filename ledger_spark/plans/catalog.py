@@ -332,3 +332,115 @@ FROM x""")
 _reg(export_projection, f"""
 SELECT t.id, CAST(t.date AS VARCHAR) AS date, t.description, {S.r2('t.amount')} AS amount, c.name AS category
 FROM {JOINED}""")
+
+
+# --------------------------------------------------------------------------
+# Forecasts (I1-I9, G1): overall series and one series per category
+# --------------------------------------------------------------------------
+from ledger_spark.operators import forecast as FC  # noqa: E402
+
+
+def _series(spark, d, keys=()):
+    cols = ["date", "amount", *(["category_id"] if "category_id" in keys else [])]
+    return FC.monthly_series(_tx(spark, d, cols), list(keys))
+
+
+def _fc_cols(keys=()):
+    r = lambda c: F.round(c, 2)
+    return [*keys, "alpha", "beta", r(F.col("forecast")[0]).alias("f1"), r(F.col("forecast")[1]).alias("f2"),
+            r(F.col("forecast")[2]).alias("f3"), r("lower95").alias("lower95"), r("upper95").alias("upper95")]
+
+
+def holt_forecast(spark, d):
+    return FC.holt_forecast(_series(spark, d), 3).select(*_fc_cols())
+
+
+def holt_forecast_by_category(spark, d):
+    return FC.holt_forecast(_series(spark, d, ["category_id"]), 3).select(*_fc_cols(["category_id"]))
+
+
+def ensemble_forecast(spark, d):
+    e = FC.ensemble_forecast(_series(spark, d))
+    return e.select(F.round("next_hw", 2).alias("next_hw"), F.round("next_lm", 2).alias("next_lm"),
+                    F.round("slope", 4).alias("slope"), F.round("r2", 6).alias("r2"),
+                    F.round("ma", 2).alias("ma"), F.round("ensemble", 2).alias("ensemble"))
+
+
+def actual_plus_forecast(spark, d):
+    s = _series(spark, d)
+    g = FC.actual_plus_forecast(s, FC.holt_forecast(s, 3))
+    return g.select("month", F.round("actual", 2).alias("actual"), "type")
+
+
+def future_months(spark, d):
+    s = _series(spark, d)
+    return s.select(F.explode(FC.future_months(F.col("last_month"), 3)).alias("m")).select(
+        F.date_format("m", "yyyy-MM").alias("month"))
+
+
+def seasonal_holt_winters(spark, d):
+    hw = FC.holt_winters_seasonal(_series(spark, d, ["category_id"]), 3)
+    return hw.select("category_id", "alpha", "beta", "gamma", *[F.round(F.col("forecast")[i], 2).alias(f"f{i + 1}")
+                                                                for i in range(3)])
+
+
+def forecast_panel(spark, d):
+    return FC.forecast_panel(_series(spark, d))
+
+
+def linear_trend_by_category(spark, d):
+    lt = FC.linear_trend(_series(spark, d, ["category_id"]))
+    return lt.select("category_id", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"),
+                     F.round("r2", 6).alias("r2"), F.round("next_lm", 2).alias("next_lm"))
+
+
+def _ser_sql(key_expr: str, group: str) -> str:
+    return f""",
+ms AS (SELECT {key_expr} AS k, CAST(date_trunc('month', date) AS DATE) AS m, CAST(sum(amount) AS DOUBLE) AS x
+       FROM transactions GROUP BY {group}),
+ser AS (SELECT k, list(x ORDER BY m) AS xs, CAST(count(*) AS INTEGER) AS n, max(m) AS last_m, min(m) AS first_m
+        FROM ms GROUP BY k)"""
+
+
+_FC_SELECT = """SELECT {k}alpha, beta, ROUND(l + t, 2) AS f1, ROUND(l + 2 * t, 2) AS f2, ROUND(l + 3 * t, 2) AS f3,
+       ROUND(l + t - {z} * sd, 2) AS lower95, ROUND(l + t + {z} * sd, 2) AS upper95 FROM hfit"""
+
+from ledger_spark.schema import Z95  # noqa: E402
+
+
+def _reg_rec(fn, sql):
+    SPARK[fn.__name__] = fn
+    SQL[fn.__name__] = S.with_adapter_recursive(sql)
+
+
+_reg_rec(holt_forecast, _ser_sql("0", "2") + S.holt_ctes("ser") + "\n" + _FC_SELECT.format(k="", z=repr(Z95)))
+_reg_rec(holt_forecast_by_category, _ser_sql("category_id", "1, 2") + S.holt_ctes("ser") + "\n"
+         + _FC_SELECT.format(k="k AS category_id, ", z=repr(Z95)))
+
+_LM = """,
+lx AS (SELECT k, unnest(xs) AS x, generate_subscripts(xs, 1) AS t, n FROM ser),
+lm AS (SELECT k, regr_slope(x, t) AS slope, regr_intercept(x, t) AS intercept, regr_r2(x, t) AS r2,
+              regr_intercept(x, t) + regr_slope(x, t) * (max(n) + 1) AS next_lm FROM lx GROUP BY k)"""
+
+_reg_rec(ensemble_forecast, _ser_sql("0", "2") + S.holt_ctes("ser") + _LM + """,
+ma AS (SELECT k, (xs[n - 2] + xs[n - 1] + xs[n]) / 3 AS ma FROM ser)
+SELECT ROUND(ROUND(l + t, 2), 2) AS next_hw, ROUND(next_lm, 2) AS next_lm, ROUND(slope, 4) AS slope,
+       ROUND(r2, 6) AS r2, ROUND(ma, 2) AS ma, ROUND((ROUND(l + t, 2) + next_lm + ma) / 3, 2) AS ensemble
+FROM hfit JOIN lm USING (k) JOIN ma USING (k)""")
+
+_reg_rec(actual_plus_forecast, _ser_sql("0", "2") + S.holt_ctes("ser") + """
+SELECT strftime(m, '%Y-%m') AS month, ROUND(x, 2) AS actual, 'Actual' AS type FROM ms
+UNION ALL
+SELECT strftime(CAST(s.last_m + INTERVAL (h.i) MONTH AS DATE), '%Y-%m'), ROUND(f.l + h.i * f.t, 2), 'Forecast'
+FROM hfit f JOIN ser s USING (k), range(1, 4) h(i)""")
+
+_reg(future_months, _ser_sql("0", "2") + """
+SELECT strftime(CAST(last_m + INTERVAL (h.i) MONTH AS DATE), '%Y-%m') AS month FROM ser, range(1, 4) h(i)""")
+
+_reg(linear_trend_by_category, _ser_sql("category_id", "1, 2") + _LM + """
+SELECT k AS category_id, ROUND(slope, 4) AS slope, ROUND(intercept, 2) AS intercept, ROUND(r2, 6) AS r2,
+       ROUND(next_lm, 2) AS next_lm FROM lm""")
+
+# rows-only: seasonal model and the panel built on it
+_reg(seasonal_holt_winters, None)
+_reg(forecast_panel, None)

@@ -112,3 +112,57 @@ def with_adapter(body: str) -> str:
 MONTH = "strftime(date, '%Y-%m')"
 
 STATUS = (STATUS_UNDER, STATUS_OVER)
+
+
+def with_adapter_recursive(body: str) -> str:
+    return f"WITH RECURSIVE {ADAPTER.strip()}\n{body}"
+
+
+def holt_ctes(series: str, key: str = "k") -> str:
+    """CTEs fitting Holt's linear smoothing on the same two-pass grid as the
+    Spark side. ``series`` is a relation (key, xs list<double>, n).
+    Produces ``hfit(k, alpha, beta, sse, l, t, e)``."""
+    def fold(name, grid, collect=False):
+        e0 = ", CAST([] AS DOUBLE[]) AS e" if collect else ""
+        e1 = ", list_append(e, xs[i] - (l + t))" if collect else ""
+        return f"""
+{name} AS (
+  SELECT {key}, ja, jb, CAST(ja AS DOUBLE) / CAST(200 AS DOUBLE) AS a, CAST(jb AS DOUBLE) / CAST(200 AS DOUBLE) AS b,
+         3 AS i, xs[2] AS l, xs[2] - xs[1] AS t, CAST(0 AS DOUBLE) AS sse{e0}, xs, n
+  FROM {grid}
+  UNION ALL
+  SELECT {key}, ja, jb, a, b, i + 1, a * xs[i] + (1 - a) * (l + t),
+         b * ((a * xs[i] + (1 - a) * (l + t)) - l) + (1 - b) * t,
+         sse + (xs[i] - (l + t)) * (xs[i] - (l + t)){e1}, xs, n
+  FROM {name} WHERE i <= n
+)"""
+    return f""",
+hs AS (SELECT * FROM {series} WHERE n >= 3),
+hg1 AS (SELECT s.{key}, a.i * 10 AS ja, b.i * 10 AS jb, s.xs, s.n
+        FROM hs s, range(0, 21) a(i), range(0, 21) b(i)),
+{fold('hr1', 'hg1').strip()},
+hb1 AS (SELECT {key}, arg_min(struct_pack(ja := ja, jb := jb), struct_pack(sse := sse, ja := ja, jb := jb)) AS p
+        FROM hr1 WHERE i = n + 1 GROUP BY {key}),
+hg2 AS (SELECT s.{key}, p.ja + a.i - 10 AS ja, p.jb + b.i - 10 AS jb, s.xs, s.n
+        FROM hs s JOIN hb1 USING ({key}), range(0, 21) a(i), range(0, 21) b(i)
+        WHERE p.ja + a.i - 10 BETWEEN 0 AND 200 AND p.jb + b.i - 10 BETWEEN 0 AND 200),
+{fold('hr2', 'hg2').strip()},
+hb2 AS (SELECT {key}, arg_min(struct_pack(ja := ja, jb := jb, sse := sse), struct_pack(sse := sse, ja := ja, jb := jb)) AS p
+        FROM hr2 WHERE i = n + 1 GROUP BY {key}),
+hg3 AS (SELECT s.{key}, p.ja AS ja, p.jb AS jb, p.sse AS best_sse, s.xs, s.n FROM hs s JOIN hb2 USING ({key})),
+hr3 AS (
+  SELECT {key}, ja, jb, CAST(ja AS DOUBLE) / CAST(200 AS DOUBLE) AS a, CAST(jb AS DOUBLE) / CAST(200 AS DOUBLE) AS b,
+         3 AS i, xs[2] AS l, xs[2] - xs[1] AS t, CAST([] AS DOUBLE[]) AS e, xs, n, best_sse
+  FROM hg3
+  UNION ALL
+  SELECT {key}, ja, jb, a, b, i + 1, a * xs[i] + (1 - a) * (l + t),
+         b * ((a * xs[i] + (1 - a) * (l + t)) - l) + (1 - b) * t,
+         list_append(e, xs[i] - (l + t)), xs, n, best_sse
+  FROM hr3 WHERE i <= n
+),
+hfit AS (
+  SELECT {key}, a AS alpha, b AS beta, best_sse AS sse, l, t, e,
+         sqrt(list_sum(list_transform(e, lambda v: (v - list_sum(e) / len(e)) * (v - list_sum(e) / len(e))))
+              / (len(e) - 1)) AS sd
+  FROM hr3 WHERE i = n + 1
+)"""
