@@ -444,3 +444,200 @@ SELECT k AS category_id, ROUND(slope, 4) AS slope, ROUND(intercept, 2) AS interc
 # rows-only: seasonal model and the panel built on it
 _reg(seasonal_holt_winters, None)
 _reg(forecast_panel, None)
+
+
+# --------------------------------------------------------------------------
+# Text features, classifiers and evaluation (documents fixture)
+# --------------------------------------------------------------------------
+from ledger_spark.functions.text import tokens as _token_array  # noqa: E402
+from ledger_spark.operators import classify as CL  # noqa: E402
+from ledger_spark.operators import evaluate as EV  # noqa: E402
+from ledger_spark.operators import features as FE  # noqa: E402
+from ledger_spark.operators import text as TX  # noqa: E402
+
+
+def _docs(spark, d):
+    return TB.labelled_documents(spark, d)
+
+
+def _vocab(spark, d, docs=None):
+    return TX.vocabulary_list(TX.tokenize(docs if docs is not None else _docs(spark, d)))
+
+
+def token_counts(spark, d):
+    return TX.token_counts(TX.tokenize(_docs(spark, d)))
+
+
+def vocabulary(spark, d):
+    return TX.vocabulary(TX.tokenize(_docs(spark, d)))
+
+
+def document_terms(spark, d):
+    """D15 in sparse long form: (id, word) for every vocabulary word present."""
+    docs = _docs(spark, d)
+    p = TX.present_words(docs, _vocab(spark, d, docs))
+    return p.select("id", F.explode("words").alias("word"))
+
+
+def keyword_classify_documents(spark, d):
+    return CL.keyword_predictions(_docs(spark, d)).select("id", "category", "pred_keyword")
+
+
+def keyword_accuracy(spark, d):
+    return EV.accuracy(CL.keyword_predictions(_docs(spark, d)), "pred_keyword").select(
+        F.round("accuracy", 6).alias("accuracy"))
+
+
+def amount_features_documents(spark, d):
+    f = FE.one_hot_bucket(FE.amount_features(_docs(spark, d)))
+    return f.select("id", F.round("log_amount", 6).alias("log_amount"), "is_round", "is_large", "amount_bucket",
+                    *FE.bucket_columns())
+
+
+def stratified_split(spark, d):
+    return FE.stratified_split(_docs(spark, d)).select("id", "category", "split")
+
+
+def class_distribution(spark, d):
+    return R.class_distribution(_docs(spark, d))
+
+
+def _nb_frames(spark, d):
+    docs = FE.stratified_split(_docs(spark, d))
+    vocab = _vocab(spark, d, docs)
+    f, cols = CL.nb_feature_frame(docs, vocab)
+    return f, cols
+
+
+def gaussian_nb_predictions(spark, d):
+    f, cols = _nb_frames(spark, d)
+    model = CL.gaussian_nb_fit(f.where(F.col("split") == "train"), cols)
+    return CL.gaussian_nb_predict(model, f.where(F.col("split") == "test")).select("id", "category", "pred_nb")
+
+
+def gaussian_nb_evaluation(spark, d):
+    f, cols = _nb_frames(spark, d)
+    model = CL.gaussian_nb_fit(f.where(F.col("split") == "train"), cols)
+    scored = CL.gaussian_nb_predict(model, f.where(F.col("split") == "test"))
+    m = EV.overall_metrics(scored, "pred_nb")
+    return m.select(*[F.round(c, 6).alias(c) for c in ("accuracy", "no_information_rate", "kappa")], "n")
+
+
+def bernoulli_nb_predictions(spark, d):
+    f, cols = _nb_frames(spark, d)
+    words = [c for c in cols if c not in CL.NUMERIC_FEATURES]
+    model = CL.bernoulli_nb_fit(f.where(F.col("split") == "train"), words)
+    return CL.bernoulli_nb_predict(model, f.where(F.col("split") == "test")).select("id", "category", "pred_bnb")
+
+
+def _lr(spark, d):
+    docs = FE.stratified_split(_docs(spark, d))
+    vocab = _vocab(spark, d, docs)
+    feats = FE.build_features(docs, vocab, with_bucket=True)
+    model = CL.logistic_regression_fit(feats.where(F.col("split") == "train"))
+    return model, feats, vocab
+
+
+def logistic_regression_predictions(spark, d):
+    model, feats, _ = _lr(spark, d)
+    return model.transform(feats.where(F.col("split") == "test")).select("id", "category", "pred_lr")
+
+
+def score_transactions(spark, d):
+    model, feats, _ = _lr(spark, d)
+    return CL.score_transactions(model, feats).select("id", "category", "predicted_category", "confidence",
+                                                      "correct", "split")
+
+
+def model_comparison(spark, d):
+    docs = FE.stratified_split(_docs(spark, d))
+    vocab = _vocab(spark, d, docs)
+    kw = EV.accuracy(CL.keyword_predictions(docs), "pred_keyword")
+    f, cols = CL.nb_feature_frame(docs, vocab)
+    nb = CL.gaussian_nb_fit(f.where(F.col("split") == "train"), cols)
+    nb_acc = EV.accuracy(CL.gaussian_nb_predict(nb, f.where(F.col("split") == "test")), "pred_nb")
+    feats = FE.build_features(docs, vocab)
+    lr = CL.logistic_regression_fit(feats.where(F.col("split") == "train"))
+    lr_acc = EV.accuracy(lr.transform(feats.where(F.col("split") == "test")), "pred_lr")
+    return EV.model_comparison([("Attempt 1: Keywords", kw), ("Attempt 2: Naive Bayes", nb_acc),
+                                ("Attempt 3: Logistic Regression", lr_acc)])
+
+
+def lr_per_class_metrics(spark, d):
+    model, feats, _ = _lr(spark, d)
+    scored = model.transform(feats.where(F.col("split") == "test"))
+    labels = [r[0] for r in feats.select("category").distinct().orderBy("category").collect()]
+    return EV.per_class_metrics(scored, "pred_lr", labels)
+
+
+def suggest_category(spark, d):
+    model, _, vocab = _lr(spark, d)
+    new = _docs(spark, d).select("id", "description", "amount")
+    return CL.suggest_category(model, new, vocab, _cats(spark, d)).select("id", "suggested",
+                                                                         "suggested_category_id")
+
+
+_TOKENS = r"""list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'),
+                      lambda w: w <> '' AND NOT regexp_matches(w, '^[0-9]+$'))"""
+_VOCAB = f""",
+dt AS (SELECT doc_id AS id, lang AS category, CAST(n_chars AS DECIMAL(12,2)) AS amount, text,
+              {_TOKENS} AS toks FROM documents),
+tc AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest(toks) AS w FROM dt) GROUP BY w),
+vocab AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS idx FROM tc
+          ORDER BY n DESC, word LIMIT 80)"""
+_SPLIT = """,
+sp AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY category ORDER BY md5('42:' || CAST(id AS VARCHAR)), id)
+                      <= (4 * count(*) OVER (PARTITION BY category) + 4) // 5 THEN 'train' ELSE 'test' END AS split
+       FROM dt)"""
+
+_reg(token_counts, _VOCAB + "\nSELECT word, n FROM tc")
+_reg(vocabulary, _VOCAB + "\nSELECT word, n FROM vocab")
+_reg(document_terms, _VOCAB + """
+SELECT DISTINCT dt.id, v.word FROM dt, vocab v WHERE list_contains(dt.toks, v.word)""")
+_reg(keyword_classify_documents, f"""
+SELECT doc_id AS id, lang AS category, {S.keyword_case('text')} AS pred_keyword FROM documents""")
+_reg(keyword_accuracy, f"""
+SELECT ROUND(avg(CASE WHEN {S.keyword_case('text')} = lang THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM documents""")
+_BUCKET = ("CASE WHEN amount <= 10 THEN 'tiny' WHEN amount <= 25 THEN 'small' WHEN amount <= 50 THEN 'medium' "
+           "WHEN amount <= 100 THEN 'large' WHEN amount <= 250 THEN 'xlarge' WHEN amount IS NOT NULL THEN 'huge' END")
+_reg(amount_features_documents, f"""
+SELECT id, ROUND(ln(1 + CAST(amount AS DOUBLE)), 6) AS log_amount, CAST(amount % 10 = 0 AS INTEGER) AS is_round,
+       CAST(amount > 200 AS INTEGER) AS is_large, b AS amount_bucket,
+       {", ".join(f"CAST(b = '{x}' AS INTEGER) AS amount_bucket{x}" for x in ("tiny", "small", "medium", "large", "xlarge", "huge"))}
+FROM (SELECT doc_id AS id, CAST(n_chars AS DECIMAL(12,2)) AS amount, {_BUCKET} AS b FROM documents)""")
+_reg(stratified_split, ", dt AS (SELECT doc_id AS id, lang AS category FROM documents)" + _SPLIT
+     + "\nSELECT id, category, split FROM sp")
+_reg(class_distribution, "SELECT lang AS category, count(*) AS n FROM documents GROUP BY lang")
+
+_NB = _VOCAB + _SPLIT + f""",
+feat AS (
+  SELECT sp.id, sp.category, sp.split, v.idx AS f, CASE WHEN list_contains(sp.toks, v.word) THEN 1.0 ELSE 0.0 END AS x
+  FROM sp, vocab v
+  UNION ALL SELECT id, category, split, 80, ln(1 + CAST(amount AS DOUBLE)) FROM sp
+  UNION ALL SELECT id, category, split, 81, CAST(amount % 10 = 0 AS DOUBLE) FROM sp
+  UNION ALL SELECT id, category, split, 82, CAST(amount > 200 AS DOUBLE) FROM sp),
+prior AS (SELECT category, count(*) AS n FROM sp WHERE split = 'train' GROUP BY category),
+par AS (SELECT category, f, avg(x) AS m,
+               CASE WHEN stddev_samp(x) IS NULL OR stddev_samp(x) <= 0 THEN 0.001 ELSE stddev_samp(x) END AS sd
+        FROM feat WHERE split = 'train' GROUP BY category, f),
+dens AS (SELECT t.id, t.category AS actual, p.category,
+                exp(-0.5 * ((t.x - p.m) / p.sd) * ((t.x - p.m) / p.sd)) / (p.sd * sqrt(2 * pi())) AS dn
+         FROM feat t JOIN par p ON t.f = p.f WHERE t.split = 'test'),
+score AS (SELECT d.id, d.actual, d.category, ln(pr.n) + sum(ln(CASE WHEN dn <= 0 THEN 0.001 ELSE dn END)) AS s
+          FROM dens d JOIN prior pr USING (category) GROUP BY d.id, d.actual, d.category, pr.n),
+pred AS (SELECT id, actual AS category, arg_max(category, s) AS pred_nb FROM score GROUP BY id, actual)"""
+_reg(gaussian_nb_predictions, _NB + "\nSELECT id, category, pred_nb FROM pred")
+_reg(gaussian_nb_evaluation, _NB + """,
+pc AS (SELECT pred_nb AS predicted, category AS actual, count(*) AS n FROM pred GROUP BY ALL),
+ra AS (SELECT actual AS c, sum(n) AS a, sum(CASE WHEN predicted = actual THEN n ELSE 0 END) AS tp FROM pc GROUP BY 1),
+ca AS (SELECT predicted AS c, sum(n) AS p FROM pc GROUP BY 1),
+m AS (SELECT sum(coalesce(a, 0)) AS t, sum(coalesce(tp, 0)) AS d, sum(coalesce(a, 0) * coalesce(p, 0)) AS ap,
+             max(coalesce(a, 0)) AS amax FROM ra FULL JOIN ca USING (c))
+SELECT ROUND(d / t, 6) AS accuracy, ROUND(amax / t, 6) AS no_information_rate,
+       ROUND((d / t - ap / (t * t)) / (1 - ap / (t * t)), 6) AS kappa, CAST(t AS BIGINT) AS n FROM m""")
+_reg(bernoulli_nb_predictions, None)
+_reg(logistic_regression_predictions, None)
+_reg(score_transactions, None)
+_reg(model_comparison, None)
+_reg(lr_per_class_metrics, None)
+_reg(suggest_category, None)
