@@ -317,3 +317,86 @@ def forecast_panel(series: DataFrame, keys=(), seasonal_from: int = 24) -> DataF
     return f.select(*keys, "method", "point", "lower", "upper", tmin.alias("track_min"),
                     tmax.alias("track_max"), F.least(F.greatest(pos, F.lit(0.0)), F.lit(100.0)).alias("position"),
                     F.date_format(F.add_months("last_month", 1), "MMMM yyyy").alias("next_month"))
+
+
+# --------------------------------------------------------------------------
+# LOESS trend line
+# --------------------------------------------------------------------------
+
+def _loess_solve(m):
+    """Cramer's rule for the weighted quadratic; weighted line, then weighted
+    mean, when the system is singular."""
+    s0, s1, s2, s3, s4 = (m[c] for c in ("s0", "s1", "s2", "s3", "s4"))
+    t0, t1, t2 = m["t0"], m["t1"], m["t2"]
+    det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)
+    num = t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)
+    det_l = s0 * s2 - s1 * s1
+    lin = (s2 * t0 - s1 * t1) / det_l
+    return (F.when(F.abs(det) > F.lit(1e-9) * F.abs(s0 * s2 * s4), num / det)
+            .when(F.abs(det_l) > F.lit(1e-9) * F.abs(s0 * s2), lin)
+            .otherwise(t0 / s0))
+
+
+def loess_fit(xs, span: float = 0.75):
+    """Locally weighted quadratic fit of ``xs`` against x = 1..n, evaluated
+    at every observed x (direct computation, no interpolation surface).
+
+    For each x0 the neighbourhood is the q = floor(n * span) nearest points,
+    h = the q-th smallest distance, weights (1 - (d/h)^3)^3 for d < h; the
+    weighted normal equations of a quadratic centred at x0 are solved by
+    Cramer's rule (falls back to a weighted line, then the weighted mean,
+    when the system is singular). Everything stays inside the series row: the
+    n x n work is array arithmetic, no pairs are emitted as rows.
+    """
+    n = F.size(xs)
+    q = F.greatest(F.floor(n * F.lit(span)).cast("int"), F.lit(1))
+    idx = F.sequence(F.lit(0), n - 1)
+
+    def at(i):
+        dists = F.transform(idx, lambda j: F.abs(j - i).cast("double"))
+        h_raw = F.element_at(F.array_sort(dists), F.least(q, n))
+        # span >= 1: the whole series, bandwidth widened by the span
+        h_expr = F.when(q >= n, (F.array_max(dists) + 1) * F.lit(max(span, 1.0))).otherwise(h_raw)
+
+        def with_h(h):
+            def w(j):
+                r = F.abs(j - i).cast("double") / h
+                return F.when(r < 1, F.pow(1 - F.pow(r, 3), 3)).otherwise(F.lit(0.0))
+
+            zero = F.lit(0.0)
+            init = F.struct(*[zero.alias(c) for c in ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2")])
+
+            def step(acc, j):
+                u = (j - i).cast("double")
+                wj = w(j)
+                y = xs[j]
+                return F.struct((acc["s0"] + wj).alias("s0"), (acc["s1"] + wj * u).alias("s1"),
+                                (acc["s2"] + wj * u * u).alias("s2"), (acc["s3"] + wj * u * u * u).alias("s3"),
+                                (acc["s4"] + wj * u * u * u * u).alias("s4"), (acc["t0"] + wj * y).alias("t0"),
+                                (acc["t1"] + wj * u * y).alias("t1"), (acc["t2"] + wj * u * u * y).alias("t2"))
+
+            return F.transform(F.array(F.aggregate(idx, init, step)), _loess_solve)[0]
+
+        # bind the bandwidth once per evaluation point (not once per term)
+        return F.transform(F.array(h_expr), with_h)[0]
+
+    return F.transform(idx, at)
+
+
+def loess_trend(series: DataFrame, span: float = 0.75) -> DataFrame:
+    """E7 on I1 series: one row per (key..., month) with the observed total and
+    the smoothed value."""
+    s = series.withColumn("_fit", loess_fit(F.col("xs"), span))
+    keys = [c for c in series.columns if c not in ("xs", "first_month", "last_month", "n")]
+    z = s.select(*keys, "first_month", F.posexplode(F.arrays_zip("xs", "_fit")).alias("i", "p"))
+    return z.select(*keys, F.date_format(F.add_months("first_month", F.col("i")), "yyyy-MM").alias("month"),
+                    F.col("p.xs").alias("total"), F.col("p._fit").alias("smooth"))
+
+
+def last_n_series(t: DataFrame, n: int = 6, keys=()) -> DataFrame:
+    """Series of the last ``n`` month totals (the dashboard's trend panel)."""
+    s = monthly_series(t, keys)
+    tail = F.slice("xs", F.greatest(F.col("n") - n + 1, F.lit(1)), n)
+    first = F.add_months("last_month", -(F.size(tail) - 1))
+    return s.select(*keys, tail.alias("xs"), first.alias("first_month"), "last_month",
+                    F.size(tail).alias("n"))

@@ -641,3 +641,48 @@ _reg(score_transactions, None)
 _reg(model_comparison, None)
 _reg(lr_per_class_metrics, None)
 _reg(suggest_category, None)
+
+
+# --------------------------------------------------------------------------
+# LOESS trend line
+# --------------------------------------------------------------------------
+
+def loess_recent_months(spark, d):
+    s = FC.last_n_series(_tx(spark, d, ["date", "amount"]), 6)
+    return FC.loess_trend(s).select("month", F.round("total", 2).alias("total"),
+                                    F.round("smooth", 2).alias("smooth"))
+
+
+def loess_by_category(spark, d):
+    s = _series(spark, d, ["category_id"])
+    return FC.loess_trend(s).select("category_id", "month", F.round("total", 2).alias("total"),
+                                    F.round("smooth", 2).alias("smooth"))
+
+
+def _loess_sql(series_filter: str, key_out: str) -> str:
+    return f""",
+pts AS (SELECT k, m, x, row_number() OVER (PARTITION BY k ORDER BY m) - 1 AS i,
+               count(*) OVER (PARTITION BY k) AS n FROM ms {series_filter}),
+pairs AS (SELECT a.k, a.i, a.m, a.x AS total, a.n, CAST(b.i - a.i AS DOUBLE) AS u, b.x AS y,
+                 CAST(abs(b.i - a.i) AS DOUBLE) AS dd
+          FROM pts a JOIN pts b USING (k)),
+hh AS (SELECT k, i, list_sort(list(dd))[greatest(CAST(floor(max(n) * 0.75) AS INTEGER), 1)] AS h
+       FROM pairs GROUP BY k, i),
+wts AS (SELECT p.*, CASE WHEN dd / h < 1 THEN pow(1 - pow(dd / h, 3), 3) ELSE 0 END AS w
+        FROM pairs p JOIN hh USING (k, i)),
+sm AS (SELECT k, i, m, total, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u * u * u) AS s3,
+              sum(w * u * u * u * u) AS s4, sum(w * y) AS t0, sum(w * u * y) AS t1, sum(w * u * u * y) AS t2
+       FROM wts GROUP BY k, i, m, total),
+sol AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS det,
+               t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2) AS num,
+               s0 * s2 - s1 * s1 AS det_l FROM sm)
+SELECT {key_out}strftime(m, '%Y-%m') AS month, ROUND(total, 2) AS total,
+       ROUND(CASE WHEN abs(det) > 1e-9 * abs(s0 * s2 * s4) THEN num / det
+                  WHEN abs(det_l) > 1e-9 * abs(s0 * s2) THEN (s2 * t0 - s1 * t1) / det_l
+                  ELSE t0 / s0 END, 2) AS smooth
+FROM sol"""
+
+
+_reg(loess_recent_months, _ser_sql("0", "2") + _loess_sql(
+    "WHERE m IN (SELECT m FROM ms ORDER BY m DESC LIMIT 6)", ""))
+_reg(loess_by_category, _ser_sql("category_id", "1, 2") + _loess_sql("", "k AS category_id, "))
