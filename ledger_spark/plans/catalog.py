@@ -686,3 +686,93 @@ FROM sol"""
 _reg(loess_recent_months, _ser_sql("0", "2") + _loess_sql(
     "WHERE m IN (SELECT m FROM ms ORDER BY m DESC LIMIT 6)", ""))
 _reg(loess_by_category, _ser_sql("category_id", "1, 2") + _loess_sql("", "k AS category_id, "))
+
+
+# --------------------------------------------------------------------------
+# Structured Streaming (J1-J4): drained with availableNow, read back as batch
+# --------------------------------------------------------------------------
+from ledger_spark.streaming import live as LV  # noqa: E402
+
+
+def _raw_stream(spark, d):
+    schema = spark.read.parquet(f"{d}/orders.parquet").schema
+    o = LV.read_stream(spark, f"{d}/orders.parquet", schema, max_files_per_trigger=1)
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
+    return o.join(c, o.o_custkey == c.c_custkey, "left").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("date"), F.col("o_totalprice").alias("amount"),
+        F.col("c_name").alias("description"), F.col("c_mktsegment").alias("category"))
+
+
+def stream_clean(spark, d):
+    out = LV.work_dir(spark, "clean")
+    s = LV.stream_clean(_raw_stream(spark, d), _cats(spark, d)).select(*TB.ALL_COLUMNS)
+    LV.drain(LV.run(s, out, "append"))
+    return portable(spark.read.parquet(out).select(*TB.ALL_COLUMNS))
+
+
+def stream_monthly_kpis(spark, d):
+    out = LV.work_dir(spark, "kpis")
+    cats = _cats(spark, d)
+    s = LV.stream_monthly_kpis(LV.stream_clean(_raw_stream(spark, d), cats), cats)
+    LV.drain(LV.run(s, out, "complete"))
+    k = spark.read.parquet(out)
+    return k.select("month", "category", "n", R.round_money("total").alias("total"),
+                    R.mean_money("total", "n").alias("avg_amount"))
+
+
+def stream_suggest(spark, d):
+    model, _, vocab = _lr(spark, d)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    ds = LV.read_stream(spark, f"{d}/documents.parquet", docs.schema).select(
+        F.col("doc_id").alias("id"), F.col("text").alias("description"),
+        F.col("n_chars").cast("decimal(12,2)").alias("amount"))
+    out = LV.work_dir(spark, "suggest")
+    LV.drain(LV.run(LV.stream_suggest(ds, model, vocab, _cats(spark, d))
+                    .select("id", "suggested", "suggested_category_id"), out, "append"))
+    return spark.read.parquet(out).select("id", "suggested", "suggested_category_id")
+
+
+CHANGE_DELETE_PRIORITY = "5-LOW"
+
+
+def change_events(spark, d) -> DataFrame:
+    """Change log derived from orders: every order is inserted (seq 2*id), and
+    orders of the lowest priority are deleted right after (seq 2*id + 1)."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate", "o_totalprice",
+                                                         "o_orderpriority")
+    base = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("date"),
+                    F.col("o_totalprice").cast("decimal(12,2)").alias("amount"), "o_orderpriority")
+    ins = base.select("id", "date", "amount", (F.col("id") * 2).alias("seq"), F.lit("insert").alias("op"))
+    dele = base.where(F.col("o_orderpriority") == CHANGE_DELETE_PRIORITY).select(
+        "id", "date", "amount", (F.col("id") * 2 + 1).alias("seq"), F.lit("delete").alias("op"))
+    return ins.unionByName(dele)
+
+
+def stream_change_log(spark, d):
+    root = LV.work_dir(spark, "changes")
+    ev = change_events(spark, d)
+    bounds = ev.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()  # two numbers
+    lo, hi, k = bounds["lo"], bounds["hi"], 3
+    step = (hi - lo) // k + 1
+    for i in range(k):  # arrive in seq order: one folder of files per slice, written in turn
+        ev.where((F.col("seq") >= lo + i * step) & (F.col("seq") < lo + (i + 1) * step)) \
+            .write.mode("overwrite").parquet(f"{root}/in/slice={i:03d}")
+    schema = ev.schema
+    cs = LV.read_stream(spark, f"{root}/in/*", schema, max_files_per_trigger=8)
+    table = f"{root}/table"
+    LV.drain(LV.stream_change_log(cs, table))
+    return portable(spark.read.parquet(table).select("id", "date", F.col("amount").cast("double").alias("amount")))
+
+
+_reg(stream_clean, """
+SELECT id, CAST(date AS VARCHAR) AS date, description, CAST(amount AS DOUBLE) AS amount,
+       category_id, category_raw, is_recurring FROM transactions""")
+_reg(stream_monthly_kpis, f"""
+SELECT {M.replace('date', 't.date')} AS month, c.name AS category, count(*) AS n, {S.r2('sum(t.amount)')} AS total,
+       {S.mean2('sum(t.amount)', 'count(*)')} AS avg_amount
+FROM transactions t JOIN categories c ON t.category_id = c.id GROUP BY 1, 2""")
+_reg(stream_suggest, None)
+_reg(stream_change_log, f"""
+SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date,
+       CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS amount
+FROM orders WHERE o_orderpriority <> {S.q(CHANGE_DELETE_PRIORITY)}""")
