@@ -21,7 +21,7 @@ def parse_date(df: DataFrame, col: str = "date") -> DataFrame:
     """B1: to DATE (strings must be ``yyyy-MM-dd``); rows that do not parse are dropped."""
     dtype = df.schema[col].dataType
     if isinstance(dtype, T.StringType):
-        parsed = F.try_to_date(F.col(col), F.lit("yyyy-MM-dd"))
+        parsed = F.try_to_date(F.col(col), "yyyy-MM-dd")
     elif isinstance(dtype, T.DateType):
         parsed = F.col(col)
     else:

@@ -776,3 +776,117 @@ _reg(stream_change_log, f"""
 SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date,
        CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS amount
 FROM orders WHERE o_orderpriority <> {S.q(CHANGE_DELETE_PRIORITY)}""")
+
+
+# --------------------------------------------------------------------------
+# CSV ingest, validation, ids and load counts
+# --------------------------------------------------------------------------
+from ledger_spark.sources import maintenance as MT  # noqa: E402
+from ledger_spark.sources import sinks as SK  # noqa: E402
+
+# Dirt rules of the CSV fixture (derived from the order/customer columns):
+# descriptions arrive lower-cased with a leading tab and a trailing " *",
+# categories padded with spaces; orders with status 'P' carry an unparseable
+# date, orders of priority '5-LOW' a negative amount, and customers of the
+# BUILDING segment the category text ' Food  Drink '.
+DIRTY_DATE_STATUS = "P"
+NEGATIVE_PRIORITY = "5-LOW"
+RELABEL_SEGMENT = "BUILDING"
+
+
+def dirty_feed(spark, d) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus",
+                                                         "o_totalprice", "o_orderdate", "o_orderpriority")
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
+    j = o.join(c, o.o_custkey == c.c_custkey, "left")
+    amount = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    return j.select(
+        F.col("o_orderkey").alias("Id"),
+        F.when(F.col("o_orderstatus") == DIRTY_DATE_STATUS, F.lit("not-a-date"))
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("Date"),
+        F.concat(F.lit("\t"), F.lower("c_name"), F.lit(" *")).alias("Description"),
+        F.when(F.col("o_orderpriority") == NEGATIVE_PRIORITY, F.concat(F.lit("-"), amount))
+        .otherwise(amount).alias("Amount"),
+        F.when(F.col("c_mktsegment") == RELABEL_SEGMENT, F.lit(" Food  Drink "))
+        .otherwise(F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit(" "))).alias("Category"))
+
+
+def _csv_feed(spark, d):
+    path = LV.work_dir(spark, "csv")
+    SK.write_csv(dirty_feed(spark, d), path)
+    from pyspark.sql import types as TT
+    schema = TT.StructType([TT.StructField("Id", TT.StringType())] + list(TB.RAW_FEED.fields))
+    raw = TB.read_transactions_csv(spark, path, schema=schema)
+    return raw
+
+
+def csv_ingest(spark, d):
+    raw = _csv_feed(spark, d)
+    raw = TB.normalize_column_names(raw)
+    clean = CLN.clean_transactions(raw.withColumn("id", F.col("id").cast("long")), keep=["id"])
+    return portable(CLN.map_categories(clean, _cats(spark, d)).select(*TB.ALL_COLUMNS))
+
+
+def validation_summary(spark, d):
+    raw = TB.normalize_column_names(_csv_feed(spark, d))
+    typed = raw.select(F.col("id").cast("long").alias("id"), F.try_to_date("date", "yyyy-MM-dd").alias("date"),
+                       F.col("description"), F.col("amount").try_cast("decimal(12,2)").alias("amount"))
+    _, rejects = MT.validate_transactions(typed)
+    return rejects.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def load_counts(spark, d):
+    raw = TB.normalize_column_names(_csv_feed(spark, d))
+    return MT.load_counts(raw, lambda r: CLN.clean_transactions(r.drop("id")))
+
+
+def assign_ids(spark, d):
+    t = _tx(spark, d, ["id", "date"])
+    return MT.assign_ids(t.withColumnRenamed("id", "old_id"), start=1000, order_cols=("date", "old_id"),
+                         id_col="new_id").select("old_id", "new_id")
+
+
+def category_colors(spark, d):
+    totals = DB.category_totals_all(_tx(spark, d, ["amount", "category_id"]), _cats(spark, d))
+    return CLN.color_lookup(totals, _cats(spark, d), "category")
+
+
+from ledger_spark.operators import clean as CLN  # noqa: E402
+
+_DIRTY = f""",
+dirty AS (
+  SELECT o.o_orderkey AS id,
+         CASE WHEN o.o_orderstatus = {S.q(DIRTY_DATE_STATUS)} THEN NULL ELSE CAST(o.o_orderdate AS DATE) END AS date,
+         {S.clean_desc("chr(9) || lower(c.c_name) || ' *'")} AS description,
+         CASE WHEN o.o_orderpriority = {S.q(NEGATIVE_PRIORITY)} THEN -CAST(o.o_totalprice AS DECIMAL(12,2))
+              ELSE CAST(o.o_totalprice AS DECIMAL(12,2)) END AS amount,
+         {S.norm_cat(f"CASE WHEN c.c_mktsegment = {S.q(RELABEL_SEGMENT)} THEN ' Food  Drink ' ELSE '  ' || c.c_mktsegment || ' ' END")}
+           AS category_raw
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey)"""
+
+_reg(csv_ingest, _DIRTY + f"""
+SELECT d.id, CAST(d.date AS VARCHAR) AS date, d.description, CAST(d.amount AS DOUBLE) AS amount,
+       COALESCE(cf.id, (SELECT min(id) FROM categories WHERE name = 'uncategorized')) AS category_id,
+       d.category_raw,
+       COALESCE(CAST(regexp_matches(d.description, {S.q(__import__('ledger_spark.schema', fromlist=['x']).RECURRING_PATTERN)}) AS INTEGER), 0)
+         AS is_recurring
+FROM dirty d LEFT JOIN categories cf ON cf.name = d.category_raw
+WHERE d.date IS NOT NULL AND d.amount > 0""")
+
+_reg(validation_summary, _DIRTY + """
+SELECT reason, count(*) AS n FROM (
+  SELECT 'date is null' AS reason FROM dirty WHERE date IS NULL
+  UNION ALL SELECT 'amount not positive' FROM dirty WHERE amount <= 0) GROUP BY reason""")
+
+_reg(load_counts, _DIRTY + """
+SELECT CAST(count(*) AS BIGINT) AS rows_read,
+       CAST(count(*) FILTER (WHERE date IS NOT NULL AND amount > 0) AS BIGINT) AS rows_valid,
+       CAST(count(*) FILTER (WHERE date IS NOT NULL AND amount > 0) AS BIGINT) AS rows_loaded FROM dirty""")
+
+_reg(assign_ids, """
+SELECT id AS old_id, CAST(1000 + row_number() OVER (ORDER BY date, id) AS BIGINT) AS new_id FROM transactions""")
+
+_reg(category_colors, """
+SELECT c.name AS category, CAST(ROUND(COALESCE(sum(t.amount), 0), 2) AS DOUBLE) AS total, c.color_hex
+FROM categories c LEFT JOIN transactions t ON t.category_id = c.id GROUP BY c.name, c.color_hex""")

@@ -39,11 +39,11 @@ def read_table(spark: SparkSession, path_or_table: str, cols=None) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_transactions_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """A1: header CSV ``date, description, amount, category``; all columns read as
     text (casts happen in cleaning, so one bad cell cannot change a column's
     type); empty cells and ``NA`` are NULL."""
-    return (spark.read.schema(RAW_FEED).option("header", True).option("nullValue", "NA")
+    return (spark.read.schema(schema or RAW_FEED).option("header", True).option("nullValue", "NA")
             .option("emptyValue", None).option("mode", "PERMISSIVE").csv(path))
 
 
