@@ -41,7 +41,9 @@ def normalize_category(c) -> Column:
 
 def recurring_flag(c, pattern: str = RECURRING_PATTERN) -> Column:
     """1 when the (cleaned) description contains one of the words."""
-    return F.coalesce(_c(c).rlike(pattern).cast("int"), F.lit(0))
+    from ledger_spark.functions.rules import matches_any
+
+    return F.coalesce(matches_any(_c(c), pattern).cast("int"), F.lit(0))
 
 
 # Token rule shared by training and serving: lower-case, split on anything

@@ -71,8 +71,23 @@ def raw_feed(spark: SparkSession, sf_dir: str, with_customer: bool = True) -> Da
     return feed.drop("o_custkey")
 
 
+_DIMENSIONS: dict = {}
+
+
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category dimension of the fixture (see module doc)."""
+    """Category dimension of the fixture (see module doc).
+
+    The dimension is tiny and used by most queries, so it is built once per
+    session and kept in executor memory (``cache``; lineage is kept, so a lost
+    executor simply recomputes it from ``customer``).
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DIMENSIONS:
+        _DIMENSIONS[key] = _build_categories(spark, sf_dir).cache()
+    return _DIMENSIONS[key]
+
+
+def _build_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledger_spark.functions.text import normalize_category
     from ledger_spark.sources.maintenance import insert_categories, seed_categories
 
@@ -114,9 +129,20 @@ def budgets(spark: SparkSession, sf_dir: str, t: DataFrame | None = None) -> Dat
                        "category_id", "month", "budget_amt")
 
 
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread rows over the cluster's cores when the scan yields fewer splits
+    than cores (e.g. one huge Parquet row group of long texts). On large
+    inputs the scan already has many more splits than cores and this is a
+    no-op, so no shuffle is added there."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classifier input: id, description, amount, category (= doc language)."""
-    d = _t(spark, sf_dir, "documents", ["doc_id", "text", "n_chars", "lang"])
+    d = ensure_parallelism(_t(spark, sf_dir, "documents", ["doc_id", "text", "n_chars", "lang"]))
     return d.select(F.col("doc_id").alias("id"), F.col("text").alias("description"),
                     F.col("n_chars").cast("decimal(12,2)").alias("amount"),
                     F.col("lang").alias("category"))
