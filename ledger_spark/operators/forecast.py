@@ -40,6 +40,7 @@ def monthly_series(t: DataFrame, keys=()) -> DataFrame:
     s = m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("m", "total"))).alias("pts"))
     return s.select(*keys,
                     F.transform("pts", lambda p: p["total"].cast("double")).alias("xs"),
+                    F.transform("pts", lambda p: p["m"]).alias("months"),
                     F.col("pts")[0]["m"].alias("first_month"),
                     F.element_at("pts", -1)["m"].alias("last_month"),
                     F.size("pts").alias("n"))
@@ -122,7 +123,7 @@ def holt_forecast(series: DataFrame, h: int = 3) -> DataFrame:
     s = series.withColumn("_f", F.when(ok, F.expr(holt_fit_expr("xs"))))
     f = F.col("_f")
     fc = F.transform(F.sequence(F.lit(1), F.lit(h)), lambda i: f["l"] + i * f["t"])
-    out = s.select(*[c for c in series.columns if c != "xs"],
+    out = s.select(*[c for c in series.columns if c not in ("xs", "months")],
                    f["alpha"].alias("alpha"), f["beta"].alias("beta"), f["sse"].alias("sse"),
                    F.when(ok, fc).alias("forecast"), _sample_sd(f["e"]).alias("resid_sd"))
     return (out.withColumn("lower95", F.col("forecast")[0] - F.lit(Z95) * F.col("resid_sd"))
@@ -208,7 +209,7 @@ def holt_winters_seasonal(series: DataFrame, h: int = 3, period: int = 12) -> Da
     f = F.col("_f")
     fc = F.transform(F.sequence(F.lit(1), F.lit(h)),
                      lambda i: f["l"] + i * f["t"] + f["q"][(i - 1) % 12])
-    out = s.select(*[c for c in series.columns if c != "xs"],
+    out = s.select(*[c for c in series.columns if c not in ("xs", "months")],
                    f["alpha"].alias("alpha"), f["beta"].alias("beta"), f["gamma"].alias("gamma"),
                    f["sse"].alias("sse"), F.when(ok, fc).alias("forecast"), _sample_sd(f["e"]).alias("resid_sd"))
     return (out.withColumn("lower95", F.col("forecast")[0] - F.lit(Z95) * F.col("resid_sd"))
@@ -287,9 +288,9 @@ def future_months(last_month, h: int = 3):
 
 def actual_plus_forecast(series: DataFrame, holt: DataFrame, keys=(), h: int = 3) -> DataFrame:
     """G1: history rows (``Actual``) stacked on ``h`` future months (``Forecast``)."""
-    hist = series.select(*keys, F.posexplode("xs").alias("i", "actual"), "first_month").select(
-        *keys, F.date_format(F.add_months("first_month", F.col("i")), "yyyy-MM").alias("month"),
-        "actual", F.lit("Actual").alias("type"))
+    hist = series.select(*keys, F.explode(F.arrays_zip("months", "xs")).alias("p")).select(
+        *keys, F.date_format(F.col("p.months"), "yyyy-MM").alias("month"),
+        F.col("p.xs").alias("actual"), F.lit("Actual").alias("type"))
     fut = holt.where(F.col("forecast").isNotNull()).select(
         *keys, F.posexplode("forecast").alias("i", "actual"), "last_month").select(
         *keys, F.date_format(F.add_months("last_month", F.col("i") + 1), "yyyy-MM").alias("month"),
@@ -387,16 +388,17 @@ def loess_trend(series: DataFrame, span: float = 0.75) -> DataFrame:
     """E7 on I1 series: one row per (key..., month) with the observed total and
     the smoothed value."""
     s = series.withColumn("_fit", loess_fit(F.col("xs"), span))
-    keys = [c for c in series.columns if c not in ("xs", "first_month", "last_month", "n")]
-    z = s.select(*keys, "first_month", F.posexplode(F.arrays_zip("xs", "_fit")).alias("i", "p"))
-    return z.select(*keys, F.date_format(F.add_months("first_month", F.col("i")), "yyyy-MM").alias("month"),
+    keys = [c for c in series.columns if c not in ("xs", "months", "first_month", "last_month", "n")]
+    z = s.select(*keys, F.explode(F.arrays_zip("months", "xs", "_fit")).alias("p"))
+    return z.select(*keys, F.date_format(F.col("p.months"), "yyyy-MM").alias("month"),
                     F.col("p.xs").alias("total"), F.col("p._fit").alias("smooth"))
 
 
 def last_n_series(t: DataFrame, n: int = 6, keys=()) -> DataFrame:
     """Series of the last ``n`` month totals (the dashboard's trend panel)."""
     s = monthly_series(t, keys)
-    tail = F.slice("xs", F.greatest(F.col("n") - n + 1, F.lit(1)), n)
-    first = F.add_months("last_month", -(F.size(tail) - 1))
-    return s.select(*keys, tail.alias("xs"), first.alias("first_month"), "last_month",
-                    F.size(tail).alias("n"))
+    start = F.greatest(F.col("n") - n + 1, F.lit(1))
+    tail = F.slice("xs", start, n)
+    months = F.slice("months", start, n)
+    return s.select(*keys, tail.alias("xs"), months.alias("months"), months[0].alias("first_month"),
+                    "last_month", F.size(tail).alias("n"))
