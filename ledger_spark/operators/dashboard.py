@@ -131,7 +131,9 @@ def category_totals_all(t: DataFrame, categories: DataFrame) -> DataFrame:
     """
     per = t.groupBy("category_id").agg(F.sum("amount").alias("total"))
     c = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"))
-    return (c.join(broadcast_checked(per), "category_id", "left")
+    # both sides are small (dimension rows; one row per category id): AQE
+    # picks the broadcast side from the materialised sizes at run time
+    return (c.join(per, "category_id", "left")
             .select("category", round_money(F.coalesce("total", F.lit(0))).alias("total")))
 
 

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ledger_spark.functions.rules import amount_bucket, is_large, is_round, log_amount
-from ledger_spark.operators.joins import broadcast_checked
 from ledger_spark.schema import BUCKET_LABELS
 
+# Classes beyond this count are joined instead of looked up in a literal map.
+MAX_CLASSES = 10_000
+
 
 def amount_features(df: DataFrame, amount_col: str = "amount") -> DataFrame:
     """B14 + B15: log_amount, is_round, is_large, amount_bucket."""
@@ -56,8 +58,16 @@ def stratified_split(df: DataFrame, label: str = "category", p_num: int = 4, p_d
              .groupBy(label).agg(F.min_by(F.struct("_b", (F.col("_k") - F.col("_cum") + F.col("_cnt"))
                                                    .alias("_need")), "_b").alias("_x"))
              .select(label, F.col("_x._b").alias("_bb"), F.col("_x._need").alias("_need")))
-    # one row per class (bounded by the number of classes, checked)
-    j = keyed.join(broadcast_checked(bound), label, "left")
+    # one row per class; fetched once (checked bound) and applied as a literal
+    # map, so the rows are never joined or shuffled for it
+    rows = bound.limit(MAX_CLASSES + 1).collect()
+    if len(rows) <= MAX_CLASSES:
+        bb = F.create_map(*[x for r in rows for x in (F.lit(r[label]), F.lit(r["_bb"]))]) if rows else None
+        nd = F.create_map(*[x for r in rows for x in (F.lit(r[label]), F.lit(r["_need"]))]) if rows else None
+        j = keyed.withColumns({"_bb": F.element_at(bb, F.col(label)) if rows else F.lit(None).cast("int"),
+                               "_need": F.element_at(nd, F.col(label)) if rows else F.lit(None).cast("long")})
+    else:  # too many classes for a map: a (sort-merge) join on the class
+        j = keyed.join(bound, label, "left")
     inside = j.where(F.col("_b") == F.col("_bb"))
     outside = j.where(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb")))
     inside = inside.withColumn("_r", F.row_number().over(
