@@ -64,3 +64,29 @@ def test_keyword_word_boundary_option(spark):
 def test_tokens_drop_numbers(spark):
     df = spark.createDataFrame([("LIDL 123 Café-bar h3",)], "d string")
     assert df.select(tokens("d")).first()[0] == ["lidl", "café", "bar", "h3"]
+
+
+def test_suggestable_input_and_id_by_name(spark, cats):
+    from ledger_spark.operators.clean import category_id_by_name, suggestable_input
+
+    df = spark.createDataFrame([("ab", "RENT"), ("abc", "Health"), ("abcd", "nope")], "description string, category string")
+    assert [r.description for r in suggestable_input(df).collect()] == ["abc", "abcd"]
+    ids = {r.name: r.id for r in cats.collect()}
+    got = {r.category: r.category_id for r in category_id_by_name(df, cats).collect()}
+    assert got == {"RENT": ids["rent"], "Health": ids["health"], "nope": None}
+
+
+def test_document_term_matrix_wide(spark):
+    from ledger_spark.operators.text import document_term_matrix
+
+    df = spark.createDataFrame([(1, "Uber uber eats"), (2, "rent 12")], "id long, description string")
+    rows = {r.id: r for r in document_term_matrix(df, ["uber", "rent", "eats"]).collect()}
+    assert (rows[1].uber, rows[1].rent, rows[1].eats) == (1, 0, 1)
+    assert (rows[2].uber, rows[2].rent, rows[2].eats) == (0, 1, 0)
+
+
+def test_time_index(spark):
+    from ledger_spark.operators.forecast import time_index
+
+    s = spark.createDataFrame([("a", [5.0, 6.0])], "k string, xs array<double>")
+    assert [(r.t, r.x) for r in time_index(s, ["k"]).collect()] == [(1, 5.0), (2, 6.0)]
