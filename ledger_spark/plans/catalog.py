@@ -504,7 +504,7 @@ def class_distribution(spark, d):
 
 def _nb_frames(spark, d):
     docs = FE.stratified_split(_docs(spark, d))
-    vocab = _vocab(spark, d, docs)
+    vocab = _vocab(spark, d)
     f, cols = CL.nb_feature_frame(docs, vocab)
     return f, cols
 
@@ -530,16 +530,29 @@ def bernoulli_nb_predictions(spark, d):
     return CL.bernoulli_nb_predict(model, f.where(F.col("split") == "test")).select("id", "category", "pred_bnb")
 
 
-def _lr(spark, d):
+_MODELS: dict = {}
+
+
+def _lr(spark, d, refit: bool = False):
+    """Vocabulary (over all rows, as in the original), split, features and the
+    fitted model. The model is trained once per session and data folder and
+    reused by the scoring/suggestion/evaluation queries, like the original
+    app, which trains at start-up and serves every suggestion from it.
+    ``refit`` forces a new fit (the training query itself)."""
+    key = (spark.sparkContext.applicationId, d)
     docs = FE.stratified_split(_docs(spark, d))
-    vocab = _vocab(spark, d, docs)
-    feats = FE.build_features(docs, vocab, with_bucket=True)
-    model = CL.logistic_regression_fit(feats.where(F.col("split") == "train"))
-    return model, feats, vocab
+    feats_vocab = _MODELS.get(key)
+    if feats_vocab is None or refit:
+        vocab = _vocab(spark, d)
+        feats = FE.build_features(docs, vocab, with_bucket=True)
+        model = CL.logistic_regression_fit(feats.where(F.col("split") == "train"))
+        _MODELS[key] = (model, vocab)
+    model, vocab = _MODELS[key]
+    return model, FE.build_features(docs, vocab, with_bucket=True), vocab
 
 
 def logistic_regression_predictions(spark, d):
-    model, feats, _ = _lr(spark, d)
+    model, feats, _ = _lr(spark, d, refit=True)
     return model.transform(feats.where(F.col("split") == "test")).select("id", "category", "pred_lr")
 
 
@@ -551,13 +564,12 @@ def score_transactions(spark, d):
 
 def model_comparison(spark, d):
     docs = FE.stratified_split(_docs(spark, d))
-    vocab = _vocab(spark, d, docs)
+    vocab = _vocab(spark, d)
     kw = EV.accuracy(CL.keyword_predictions(docs), "pred_keyword")
     f, cols = CL.nb_feature_frame(docs, vocab)
     nb = CL.gaussian_nb_fit(f.where(F.col("split") == "train"), cols)
     nb_acc = EV.accuracy(CL.gaussian_nb_predict(nb, f.where(F.col("split") == "test")), "pred_nb")
-    feats = FE.build_features(docs, vocab)
-    lr = CL.logistic_regression_fit(feats.where(F.col("split") == "train"))
+    lr, feats, _ = _lr(spark, d)
     lr_acc = EV.accuracy(lr.transform(feats.where(F.col("split") == "test")), "pred_lr")
     return EV.model_comparison([("Attempt 1: Keywords", kw), ("Attempt 2: Naive Bayes", nb_acc),
                                 ("Attempt 3: Logistic Regression", lr_acc)])
