@@ -181,3 +181,28 @@ def category_outlook(cm: DataFrame, n_last: int = 2) -> DataFrame:
 def distinct_labels(df: DataFrame, col: str) -> DataFrame:
     """Distinct values of one column."""
     return df.select(col).distinct()
+
+
+def panels(t: DataFrame, categories: DataFrame, month: str | None, n_top: int = 5) -> dict:
+    """All dashboard panels for one selection (section 3.3 of the survey).
+
+    The period's rows are filtered once (range predicate, pushed to the scan)
+    and cached for the panels that share them; panels over all months read
+    the table directly.
+    """
+    from ledger_spark.operators.forecast import forecast_panel, last_n_series, loess_trend, monthly_series
+
+    sel = t.where(in_month(month)).cache()
+    out = {
+        "kpi_total_avg": kpi_total_avg(sel, categories, None),
+        "kpi_top_category": kpi_top_category(sel, categories, None),
+        "top_categories": top_categories(sel, categories, None, n_top),
+        "recent_transactions": recent_transactions(sel, categories, None, 10),
+        "category_totals_all": category_totals_all(t, categories),
+        "category_outlook": category_outlook(category_monthly(t, categories), 2),
+        "forecast_panel": forecast_panel(monthly_series(t)),
+        "trend": current_month_flag(loess_trend(last_n_series(t, 6))),
+    }
+    if month not in (None, "all"):
+        out["kpi_avg_delta"] = kpi_avg_delta(t, categories, month)
+    return out

@@ -84,3 +84,11 @@ def model_comparison(results: list[tuple[str, DataFrame]]) -> DataFrame:
         row = acc.select(F.lit(name).alias("attempt"), F.round(F.col("accuracy") * 100, 1).alias("accuracy"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def evaluate(scored: DataFrame, pred: str, labels: list[str], actual: str = "category") -> dict:
+    """H9: the full evaluation of one scored frame (D18-D21) as named frames."""
+    return {"confusion": confusion_matrix(scored, pred, labels, actual),
+            "accuracy": accuracy(scored, pred, actual),
+            "per_class": per_class_metrics(scored, pred, labels, actual),
+            "overall": overall_metrics(scored, pred, actual)}

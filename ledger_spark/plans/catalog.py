@@ -902,3 +902,46 @@ SELECT id AS old_id, CAST(1000 + row_number() OVER (ORDER BY date, id) AS BIGINT
 _reg(category_colors, """
 SELECT c.name AS category, CAST(ROUND(COALESCE(sum(t.amount), 0), 2) AS DOUBLE) AS total, c.color_hex
 FROM categories c LEFT JOIN transactions t ON t.category_id = c.id GROUP BY c.name, c.color_hex""")
+
+
+# --------------------------------------------------------------------------
+# Naive Bayes confusion matrix and per-class metrics (D18, D20) with oracles
+# --------------------------------------------------------------------------
+
+def _nb_scored(spark, d):
+    f, cols = _nb_frames(spark, d)
+    model = CL.gaussian_nb_fit(f.where(F.col("split") == "train"), cols)
+    return CL.gaussian_nb_predict(model, f.where(F.col("split") == "test")), \
+        [r[0] for r in _docs(spark, d).select("category").distinct().collect()]
+
+
+def gaussian_nb_confusion(spark, d):
+    scored, labels = _nb_scored(spark, d)
+    return EV.confusion_matrix(scored, "pred_nb", sorted(labels))
+
+
+def gaussian_nb_per_class(spark, d):
+    scored, labels = _nb_scored(spark, d)
+    m = EV.per_class_metrics(scored, "pred_nb", sorted(labels))
+    return m.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "specificity",
+                                                                 "balanced_accuracy")], "support")
+
+
+_NB_LABELS = ",\nlabs AS (SELECT DISTINCT lang AS l FROM documents)"
+_reg(gaussian_nb_confusion, _NB + _NB_LABELS + """
+SELECT p.l AS predicted, a.l AS actual, CAST(count(pr.id) AS BIGINT) AS n
+FROM labs p CROSS JOIN labs a LEFT JOIN pred pr ON pr.pred_nb = p.l AND pr.category = a.l
+GROUP BY p.l, a.l""")
+_reg(gaussian_nb_per_class, _NB + _NB_LABELS + """,
+cm AS (SELECT p.l AS predicted, a.l AS actual, count(pr.id) AS n
+       FROM labs p CROSS JOIN labs a LEFT JOIN pred pr ON pr.pred_nb = p.l AND pr.category = a.l GROUP BY 1, 2),
+st AS (SELECT l AS class,
+              (SELECT sum(n) FROM cm WHERE predicted = l AND actual = l) AS tp,
+              (SELECT sum(n) FROM cm WHERE actual = l) AS sup,
+              (SELECT sum(n) FROM cm WHERE predicted = l) AS pp,
+              (SELECT sum(n) FROM cm) AS tot FROM labs),
+m AS (SELECT class, tp / nullif(pp, 0) AS prec, tp / nullif(sup, 0) AS rec,
+             (tot - tp - (pp - tp) - (sup - tp)) / nullif(tot - tp - (sup - tp), 0) AS spec, sup FROM st)
+SELECT class, ROUND(prec, 6) AS precision, ROUND(rec, 6) AS recall,
+       ROUND(2 * prec * rec / nullif(prec + rec, 0), 6) AS f1, ROUND(spec, 6) AS specificity,
+       ROUND((rec + spec) / 2, 6) AS balanced_accuracy, CAST(sup AS BIGINT) AS support FROM m""")

@@ -80,3 +80,22 @@ def test_category_projection_short_series(spark):
     assert (r.avg_monthly, r.last_month, r.trend, r.forecast) == (15.0, 20.0, 5.0, 15.0)
     o = DB.category_outlook(cm, 2).first()
     assert o.pct == 0.0 and o.direction == "flat"
+
+
+def test_dashboard_panels_run(spark):
+    from ledger_spark.sources import tables as TB
+    from tests.conftest import SF_SMALL
+
+    t = TB.transactions(spark, SF_SMALL)
+    p = DB.panels(t, TB.categories(spark, SF_SMALL), "1998-06")
+    assert set(p) >= {"kpi_total_avg", "kpi_avg_delta", "top_categories", "trend", "forecast_panel"}
+    assert p["kpi_total_avg"].first().n_transactions > 0
+    assert p["trend"].count() == 6 and p["forecast_panel"].count() == 1
+
+
+def test_evaluate_wrapper(spark):
+    from ledger_spark.operators.evaluate import evaluate
+
+    scored = spark.createDataFrame([("a", "a"), ("b", "a")], "pred string, category string")
+    ev = evaluate(scored, "pred", ["a", "b"])
+    assert ev["accuracy"].first().accuracy == 0.5 and ev["confusion"].count() == 4
