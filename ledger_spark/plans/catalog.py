@@ -451,6 +451,7 @@ _reg(forecast_panel, None)
 # --------------------------------------------------------------------------
 from ledger_spark.functions.text import tokens as _token_array  # noqa: E402
 from ledger_spark.operators import classify as CL  # noqa: E402
+from ledger_spark.session import materialize  # noqa: E402
 from ledger_spark.operators import evaluate as EV  # noqa: E402
 from ledger_spark.operators import features as FE  # noqa: E402
 from ledger_spark.operators import text as TX  # noqa: E402
@@ -506,6 +507,9 @@ def _nb_frames(spark, d):
     docs = FE.stratified_split(_docs(spark, d))
     vocab = _vocab(spark, d)
     f, cols = CL.nb_feature_frame(docs, vocab)
+    # compact per-document features, read by the fit (two aggregates) and the
+    # scoring: materialised once instead of tokenising every text three times
+    f = materialize(f.select("id", "category", "split", "words", *CL.NUMERIC_FEATURES))
     return f, cols
 
 

@@ -65,3 +65,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and continue from there.
+
+    Used where an expensive, compact intermediate (e.g. per-document features
+    extracted from long texts) is read by several later jobs: recomputing it
+    would re-tokenise every text each time. Lineage is cut, so a lost
+    executor re-reads the checkpoint instead of recomputing upstream.
+    """
+    from pyspark import StorageLevel
+
+    checkpoint_dir(df.sparkSession)
+    # persisted first: a reliable checkpoint writes in a second job, which
+    # would otherwise compute the data again
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()

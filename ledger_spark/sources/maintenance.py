@@ -62,12 +62,10 @@ def assign_ids(df: DataFrame, start: int | DataFrame = 0, order_cols=("date",),
     change ids), count rows per partition (one row per partition), and add the
     running offset to each row's position inside its partition.
     """
-    from ledger_spark.session import checkpoint_dir
+    from ledger_spark.session import materialize
 
-    spark = df.sparkSession
-    checkpoint_dir(spark)
     sorted_df = df.sort(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
-    sorted_df = sorted_df.checkpoint(eager=True)
+    sorted_df = materialize(sorted_df)
     pid = F.shiftright("_mid", 33)
     counts = sorted_df.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ledger_spark.functions.dates import month_key
 from ledger_spark.operators.clean import clean_transactions, map_categories
-from ledger_spark.session import checkpoint_dir
+from ledger_spark.session import checkpoint_dir, materialize
 
 
 def stream_path(path: str) -> str:
@@ -142,7 +142,7 @@ def apply_changes(spark: SparkSession, batch: DataFrame, table_path: str, key: s
         new = kept.unionByName(upserts)
     except Exception:  # noqa: BLE001 - empty table: first batch
         new = upserts
-    new = new.checkpoint(eager=True)
+    new = materialize(new)
     (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("month").parquet(table_path))
     # a touched month whose rows were all deleted writes no files, so dynamic
