@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledger_spark.functions.rules import keyword_classify
+from ledger_spark.operators.joins import bounded_collect
 from ledger_spark.operators.features import amount_features
 from ledger_spark.operators.text import present_words
 
@@ -26,6 +27,9 @@ LOG_SQRT_2PI = 0.5 * math.log(2 * math.pi)
 # densities at or below EPS are replaced by THRESHOLD.
 NB_EPS = 0.0
 NB_THRESHOLD = 0.001
+# Model size bounds: classes, and (class, word) parameters (classes x vocabulary).
+MAX_CLASSES = 10_000
+MAX_PARAMS = 1_000_000
 
 
 def keyword_predictions(df: DataFrame, text_col: str = "description", out_col: str = "pred_keyword"):
@@ -50,8 +54,8 @@ def nb_feature_frame(df: DataFrame, vocab: list[str], text_col: str = "descripti
 def _word_counts(train: DataFrame, label: str) -> dict:
     """(class, word) -> number of training rows containing the word: explode of
     the small per-row word arrays + a partially aggregated count."""
-    wc = (train.select(label, F.explode("words").alias("w")).groupBy(label, "w")
-          .agg(F.count(F.lit(1)).alias("c")).collect())
+    wc = bounded_collect(train.select(label, F.explode("words").alias("w")).groupBy(label, "w")
+                         .agg(F.count(F.lit(1)).alias("c")), MAX_PARAMS, "word counts per class")
     return {(r[label], r["w"]): r["c"] for r in wc}
 
 
@@ -65,7 +69,7 @@ def gaussian_nb_fit(train: DataFrame, feature_cols: list[str], label: str = "cat
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in NUMERIC_FEATURES:
         aggs += [F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}")]
-    rows = train.groupBy(label).agg(*aggs).orderBy(label).collect()
+    rows = bounded_collect(train.groupBy(label).agg(*aggs).orderBy(label), MAX_CLASSES, "classes")
     wc = _word_counts(train, label)
     classes = []
     for r in rows:
@@ -136,7 +140,8 @@ def gaussian_nb_predict(model: dict, df: DataFrame, out_col: str = "pred_nb") ->
 def bernoulli_nb_fit(train: DataFrame, words: list[str], label: str = "category",
                      laplace: float = 1.0) -> dict:
     """H7 fit: P(word | class) = (rows with word + laplace) / (rows + 2*laplace)."""
-    counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[label]: r["n"] for r in bounded_collect(
+        train.groupBy(label).agg(F.count(F.lit(1)).alias("n")), MAX_CLASSES, "classes")}
     wc = _word_counts(train, label)
     classes = [(cls, n, [(wc.get((cls, w), 0) + laplace) / (n + 2 * laplace) for w in words])
                for cls, n in sorted(counts.items())]

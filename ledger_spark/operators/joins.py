@@ -38,3 +38,17 @@ def with_category(t: DataFrame, categories: DataFrame, how: str = "inner",
 def restrict_to_vocab(tokens: DataFrame, vocab: DataFrame, word_col: str = "word") -> DataFrame:
     """Keep tokens whose word is in the (bounded) vocabulary: semi join."""
     return tokens.join(broadcast_checked(vocab.select(word_col)), word_col, "left_semi")
+
+
+class TooManyRows(ValueError):
+    """A frame that must be small (model parameters, labels) is not."""
+
+
+def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
+    """Collect a frame that is small by nature (labels, model parameters,
+    months of a batch), reading at most ``max_rows + 1`` rows and failing
+    loudly instead of pulling an unbounded result into the driver."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise TooManyRows(f"{what}: more than {max_rows} rows")
+    return rows

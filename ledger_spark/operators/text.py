@@ -37,7 +37,7 @@ def vocabulary(tokens: DataFrame, n: int = VOCAB_SIZE) -> DataFrame:
 def vocabulary_list(tokens: DataFrame, n: int = VOCAB_SIZE) -> list[str]:
     """The vocabulary as a driver-side list (bounded by ``n``): it parameterises
     the feature columns, like any fitted model's parameters."""
-    return [r["word"] for r in vocabulary(tokens, n).collect()]
+    return [r["word"] for r in vocabulary(tokens, n).collect()]  # at most n rows (top-n)
 
 
 def present_words(df: DataFrame, vocab: list[str], text_col: str = "description",

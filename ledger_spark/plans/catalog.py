@@ -452,6 +452,7 @@ _reg(forecast_panel, None)
 from ledger_spark.functions.text import tokens as _token_array  # noqa: E402
 from ledger_spark.operators import classify as CL  # noqa: E402
 from ledger_spark.session import materialize  # noqa: E402
+from ledger_spark.operators.joins import bounded_collect  # noqa: E402
 from ledger_spark.operators import evaluate as EV  # noqa: E402
 from ledger_spark.operators import features as FE  # noqa: E402
 from ledger_spark.operators import text as TX  # noqa: E402
@@ -582,7 +583,8 @@ def model_comparison(spark, d):
 def lr_per_class_metrics(spark, d):
     model, feats, _ = _lr(spark, d)
     scored = model.transform(feats.where(F.col("split") == "test"))
-    labels = [r[0] for r in feats.select("category").distinct().orderBy("category").collect()]
+    labels = [r[0] for r in bounded_collect(feats.select("category").distinct().orderBy("category"),
+                                            CL.MAX_CLASSES, "labels")]
     return EV.per_class_metrics(scored, "pred_lr", labels)
 
 
@@ -916,7 +918,7 @@ def _nb_scored(spark, d):
     f, cols = _nb_frames(spark, d)
     model = CL.gaussian_nb_fit(f.where(F.col("split") == "train"), cols)
     return CL.gaussian_nb_predict(model, f.where(F.col("split") == "test")), \
-        [r[0] for r in _docs(spark, d).select("category").distinct().collect()]
+        [r[0] for r in bounded_collect(_docs(spark, d).select("category").distinct(), CL.MAX_CLASSES, "labels")]
 
 
 def gaussian_nb_confusion(spark, d):

@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 
 from ledger_spark.functions.dates import month_key
 from ledger_spark.operators.clean import clean_transactions, map_categories
+from ledger_spark.operators.joins import bounded_collect
+
+# Month partitions one micro-batch may touch (a century of months).
+MAX_MONTHS = 1200
 from ledger_spark.session import checkpoint_dir, materialize
 
 
@@ -132,7 +136,7 @@ def apply_changes(spark: SparkSession, batch: DataFrame, table_path: str, key: s
     partitions cannot race and a lost executor recomputes from the checkpoint.
     """
     last = latest_changes(batch, key, seq).withColumn("month", month_key("date"))
-    touched = [r["month"] for r in last.select("month").distinct().collect()]  # bounded: months
+    touched = [r["month"] for r in bounded_collect(last.select("month").distinct(), MAX_MONTHS, "months")]
     data_cols = [c for c in batch.columns if c not in (seq, op)]
     upserts = last.where(F.col(op) != "delete").select(*data_cols, "month")
     try:
@@ -147,7 +151,7 @@ def apply_changes(spark: SparkSession, batch: DataFrame, table_path: str, key: s
      .partitionBy("month").parquet(table_path))
     # a touched month whose rows were all deleted writes no files, so dynamic
     # overwrite would keep its old files: remove those partitions explicitly
-    present = {r["month"] for r in new.select("month").distinct().collect()}
+    present = {r["month"] for r in bounded_collect(new.select("month").distinct(), MAX_MONTHS, "months")}
     emptied = [m for m in touched if m not in present]
     if emptied:
         jvm = spark.sparkContext._jvm
