@@ -111,3 +111,46 @@ def test_future_months_and_panel(spark):
     p = FC.forecast_panel(s).first()
     assert p.method == "holt" and 0 <= p.position <= 100 and p.next_month == "April 2026"
     assert p.track_min % 100 == 0 and p.lower <= p.point <= p.upper
+
+
+def hw_py(y):
+    """Brute-force additive Holt-Winters: decomposition start, two grid passes."""
+    trend = [(0.5 * y[i - 6] + sum(y[i - 5:i + 6]) + 0.5 * y[i + 6]) / 12 for i in range(6, 18)]
+    fig = [(y[p + 12] - trend[p + 6]) if p < 6 else (y[p] - trend[p - 6]) for p in range(12)]
+    fm = sum(fig) / 12
+    s0 = [v - fm for v in fig]
+    ty = sum(trend) / 12
+    t0 = sum((i + 1 - 6.5) * (trend[i] - ty) for i in range(12)) / 143.0
+    l0 = ty - t0 * 6.5
+
+    def run(a, b, g, collect=False):
+        lvl, tr, q, sse, res = l0, t0, list(s0), 0.0, []
+        for x in y[12:]:
+            xhat = lvl + tr + q[0]
+            new = a * (x - q[0]) + (1 - a) * (lvl + tr)
+            tr = b * (new - lvl) + (1 - b) * tr
+            q = q[1:] + [g * (x - new) + (1 - g) * q[0]]
+            lvl = new
+            sse += (x - xhat) * (x - xhat)
+            res.append(x - xhat)
+        return sse, lvl, tr, q, res
+
+    coarse = min((run(ja / 100, jb / 100, jg / 100)[0], ja, jb, jg)
+                 for ja in range(0, 101, 10) for jb in range(0, 101, 10) for jg in range(0, 101, 10))
+    _, ca, cb, cg = coarse
+    best = min((run(ja / 100, jb / 100, jg / 100)[0], ja, jb, jg)
+               for ja in range(ca - 5, ca + 6) for jb in range(cb - 5, cb + 6) for jg in range(cg - 5, cg + 6)
+               if 0 <= ja <= 100 and 0 <= jb <= 100 and 0 <= jg <= 100)
+    sse, ja, jb, jg = best
+    _, lvl, tr, q, res = run(ja / 100, jb / 100, jg / 100)
+    return ja / 100, jb / 100, jg / 100, sse, [lvl + h * tr + q[(h - 1) % 12] for h in (1, 2, 3)], res
+
+
+def test_seasonal_matches_brute_force(spark):
+    ys = [50 + 8 * math.sin(2 * math.pi * i / 12) + 0.7 * i + ((i * 37) % 11) for i in range(40)]
+    r = FC.holt_winters_seasonal(series(spark, ys), 3).first()
+    a, b, g, sse, fc, res = hw_py(ys)
+    assert (r.alpha, r.beta, r.gamma) == (a, b, g)
+    assert math.isclose(r.sse, sse, rel_tol=1e-9)
+    assert np.allclose(r.forecast, fc, rtol=1e-9)
+    assert math.isclose(r.resid_sd, float(np.std(res, ddof=1)), rel_tol=1e-9)
