@@ -653,7 +653,18 @@ m AS (SELECT sum(coalesce(a, 0)) AS t, sum(coalesce(tp, 0)) AS d, sum(coalesce(a
              max(coalesce(a, 0)) AS amax FROM ra FULL JOIN ca USING (c))
 SELECT ROUND(d / t, 6) AS accuracy, ROUND(amax / t, 6) AS no_information_rate,
        ROUND((d / t - ap / (t * t)) / (1 - ap / (t * t)), 6) AS kappa, CAST(t AS BIGINT) AS n FROM m""")
-_reg(bernoulli_nb_predictions, None)
+_reg(bernoulli_nb_predictions, _VOCAB + _SPLIT + """,
+bw AS (SELECT sp.id, sp.category, sp.split, v.word, CASE WHEN list_contains(sp.toks, v.word) THEN 1 ELSE 0 END AS x
+       FROM sp, vocab v),
+cls AS (SELECT category, count(*) AS n FROM sp WHERE split = 'train' GROUP BY category),
+tot AS (SELECT sum(n) AS t FROM cls),
+pw AS (SELECT b.category, b.word, (sum(b.x) + 1.0) / (c.n + 2.0) AS p
+       FROM bw b JOIN cls c USING (category) WHERE b.split = 'train' GROUP BY b.category, b.word, c.n),
+sc AS (SELECT t.id, t.category AS actual, p.category,
+              ln(c.n / tot.t) + sum(CASE WHEN t.x = 1 THEN ln(p.p) ELSE ln(1 - p.p) END) AS s
+       FROM bw t JOIN pw p ON t.word = p.word JOIN cls c ON c.category = p.category, tot
+       WHERE t.split = 'test' GROUP BY t.id, t.category, p.category, c.n, tot.t)
+SELECT id, actual AS category, arg_max(category, s) AS pred_bnb FROM sc GROUP BY id, actual""")
 _reg(logistic_regression_predictions, None)
 _reg(score_transactions, None)
 _reg(model_comparison, None)
