@@ -403,7 +403,8 @@ ser AS (SELECT k, list(x ORDER BY m) AS xs, CAST(count(*) AS INTEGER) AS n, max(
 
 
 _FC_SELECT = """SELECT {k}alpha, beta, ROUND(l + t, 2) AS f1, ROUND(l + 2 * t, 2) AS f2, ROUND(l + 3 * t, 2) AS f3,
-       ROUND(l + t - {z} * sd, 2) AS lower95, ROUND(l + t + {z} * sd, 2) AS upper95 FROM hfit"""
+       ROUND(l + t - {z} * sd, 2) AS lower95, ROUND(l + t + {z} * sd, 2) AS upper95
+FROM ser LEFT JOIN hfit USING (k)"""
 
 from ledger_spark.schema import Z95  # noqa: E402
 
@@ -441,9 +442,18 @@ _reg(linear_trend_by_category, _ser_sql("category_id", "1, 2") + _LM + """
 SELECT k AS category_id, ROUND(slope, 4) AS slope, ROUND(intercept, 2) AS intercept, ROUND(r2, 6) AS r2,
        ROUND(next_lm, 2) AS next_lm FROM lm""")
 
-# rows-only: seasonal model and the panel built on it
-_reg(seasonal_holt_winters, None)
-_reg(forecast_panel, None)
+_reg_rec(seasonal_holt_winters, _ser_sql("category_id", "1, 2") + S.hw_ctes("ser") + """
+SELECT k AS category_id, alpha, beta, gamma, ROUND(l + t + q[1], 2) AS f1, ROUND(l + 2 * t + q[2], 2) AS f2,
+       ROUND(l + 3 * t + q[3], 2) AS f3 FROM ser LEFT JOIN wfit USING (k)""")
+_reg_rec(forecast_panel, _ser_sql("0", "2") + S.hw_ctes("ser") + f""",
+pv AS (SELECT 'holt_winters_seasonal' AS method, ROUND(l + t + q[1], 0) AS point,
+              ROUND(l + t + q[1] - {Z95!r} * sd, 0) AS lower, ROUND(l + t + q[1] + {Z95!r} * sd, 0) AS upper,
+              strftime(CAST(s.last_m + INTERVAL 1 MONTH AS DATE), '%B %Y') AS next_month
+       FROM wfit JOIN ser s USING (k)),
+tk AS (SELECT *, ROUND(lower * 0.8, -2) AS track_min, ROUND(upper * 1.2, -2) AS track_max FROM pv)
+SELECT method, point, lower, upper, track_min, track_max,
+       least(greatest((point - track_min) / nullif(track_max - track_min, 0) * 100, 0), 100) AS position,
+       next_month FROM tk""")
 
 
 # --------------------------------------------------------------------------

@@ -166,3 +166,64 @@ hfit AS (
               / (len(e) - 1)) AS sd
   FROM hr3 WHERE i = n + 1
 )"""
+
+
+def hw_ctes(series: str, key: str = "k") -> str:
+    """CTEs fitting additive seasonal Holt-Winters (period 12) on the same
+    start values and two-pass grid as the Spark side. ``series`` is a
+    relation (key, xs list<double>, n). Produces ``wfit(k, alpha, beta, gamma,
+    sse, l, t, q, sd)``. Lists are 1-based here, 0-based in Spark SQL."""
+    def add(lst):
+        return f"list_reduce({lst}, lambda u, w: u + w)"
+
+    def d100(j):
+        return f"CAST({j} AS DOUBLE) / CAST(100 AS DOUBLE)"
+
+    def fold(name, grid, extra_cols="", extra_init="", extra_step=""):
+        return f"""
+{name} AS (
+  SELECT {key}, ja, jb, jg, {d100('ja')} AS a, {d100('jb')} AS b, {d100('jg')} AS g,
+         13 AS i, l0 AS l, t0 AS t, s0 AS q, CAST(0 AS DOUBLE) AS sse{extra_init}, xs, n{extra_cols}
+  FROM {grid}
+  UNION ALL
+  SELECT {key}, ja, jb, jg, a, b, g, i + 1,
+         a * (xs[i] - q[1]) + (1 - a) * (l + t),
+         b * ((a * (xs[i] - q[1]) + (1 - a) * (l + t)) - l) + (1 - b) * t,
+         list_append(q[2:12], g * (xs[i] - (a * (xs[i] - q[1]) + (1 - a) * (l + t))) + (1 - g) * q[1]),
+         sse + (xs[i] - ((l + t) + q[1])) * (xs[i] - ((l + t) + q[1])){extra_step}, xs, n{extra_cols}
+  FROM {name} WHERE i <= n
+)"""
+    tr = ("list_transform(range(6, 18), lambda i: ((0.5 * xs[i - 5] + "
+          + add("xs[i - 4:i + 6]") + ") + 0.5 * xs[i + 7]) / 12)")
+    return f""",
+w0 AS (SELECT {key}, xs, n, {tr} AS tr FROM {series} WHERE n >= 24),
+w1 AS (SELECT *, list_transform(range(0, 12), lambda p: CASE WHEN p < 6 THEN xs[p + 13] - tr[p + 7]
+                                                              ELSE xs[p + 1] - tr[p - 5] END) AS fg,
+              {add('tr')} / 12 AS ty FROM w0),
+w2 AS (SELECT *, {add('fg')} / 12 AS fm,
+              {add("list_transform(range(0, 12), lambda i: (i + 1 - 6.5) * (tr[i + 1] - ty))")} / 143.0 AS t0
+       FROM w1),
+ws AS (SELECT {key}, xs, n, ty - t0 * 6.5 AS l0, t0, list_transform(fg, lambda v: v - fm) AS s0 FROM w2),
+wg1 AS (SELECT s.*, a.i * 10 AS ja, b.i * 10 AS jb, c.i * 10 AS jg
+        FROM ws s, range(0, 11) a(i), range(0, 11) b(i), range(0, 11) c(i)),
+{fold('wr1', 'wg1').strip()},
+wb1 AS (SELECT {key}, arg_min(struct_pack(ja := ja, jb := jb, jg := jg),
+                              struct_pack(sse := sse, ja := ja, jb := jb, jg := jg)) AS p
+        FROM wr1 WHERE i = n + 1 GROUP BY {key}),
+wg2 AS (SELECT s.*, p.ja + a.i - 5 AS ja, p.jb + b.i - 5 AS jb, p.jg + c.i - 5 AS jg
+        FROM ws s JOIN wb1 USING ({key}), range(0, 11) a(i), range(0, 11) b(i), range(0, 11) c(i)
+        WHERE p.ja + a.i - 5 BETWEEN 0 AND 100 AND p.jb + b.i - 5 BETWEEN 0 AND 100
+          AND p.jg + c.i - 5 BETWEEN 0 AND 100),
+{fold('wr2', 'wg2').strip()},
+wb2 AS (SELECT {key}, arg_min(struct_pack(ja := ja, jb := jb, jg := jg, sse := sse),
+                              struct_pack(sse := sse, ja := ja, jb := jb, jg := jg)) AS p
+        FROM wr2 WHERE i = n + 1 GROUP BY {key}),
+wg3 AS (SELECT s.*, p.ja AS ja, p.jb AS jb, p.jg AS jg, p.sse AS best_sse FROM ws s JOIN wb2 USING ({key})),
+{fold('wr3', 'wg3', ", best_sse", ", CAST([] AS DOUBLE[]) AS e",
+      ", list_append(e, xs[i] - ((l + t) + q[1]))").strip()},
+wfit AS (
+  SELECT {key}, a AS alpha, b AS beta, g AS gamma, best_sse AS sse, l, t, q,
+         sqrt({add("list_transform(e, lambda v: (v - " + add('e') + " / len(e)) * (v - " + add('e') + " / len(e)))")}
+              / (len(e) - 1)) AS sd
+  FROM wr3 WHERE i = n + 1
+)"""
