@@ -14,24 +14,27 @@ from pyspark.sql import Window
 
 from ledger_spark.functions.dates import in_month, month_key, month_label, month_start, previous_month
 from ledger_spark.functions.money import mean_money, pct, round_money
-from ledger_spark.operators.joins import broadcast_checked
 
 
-def _names(categories: DataFrame, *extra) -> DataFrame:
-    return broadcast_checked(categories.select(F.col("id").alias("category_id"),
-                                               F.col("name").alias("category"), *extra))
+def _with_names(df: DataFrame, categories: DataFrame, *extra: str, how: str = "inner") -> DataFrame:
+    """Category name (and ``extra`` columns) by ``category_id``: a literal map
+    lookup for a small dimension, a checked broadcast join otherwise."""
+    from ledger_spark.operators.joins import attach
+
+    dim = categories.select("id", F.col("name").alias("category"), *extra)
+    return attach(df, dim, "category_id", "id", ["category", *extra], how)
 
 
 def period(t: DataFrame, categories: DataFrame, month: str | None) -> DataFrame:
     """The dashboard's base rows: fact (inner) categories, one month or all."""
-    return t.where(in_month(month)).join(_names(categories), "category_id", "inner")
+    return _with_names(t.where(in_month(month)), categories)
 
 
 def kpi_total_avg(t: DataFrame, categories: DataFrame, month: str | None) -> DataFrame:
     """Total (0 when empty) and mean amount (NULL when empty) of the period."""
     per = (t.where(in_month(month)).groupBy("category_id")
            .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("s")))
-    j = per.join(_names(categories), "category_id", "inner")
+    j = _with_names(per, categories)
     g = j.agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     return g.select(round_money(F.coalesce("s", F.lit(0))).alias("total_spent"),
                     mean_money("s", "n").alias("avg_amount"),
@@ -48,7 +51,7 @@ def kpi_avg_delta(t: DataFrame, categories: DataFrame, month: str) -> DataFrame:
     prev = previous_month(month)
     # one scan of the two months, conditional sums (no join between them)
     both = (t.where(in_month(month) | in_month(prev))
-            .join(_names(categories), "category_id", "left"))
+            .transform(lambda x: _with_names(x, categories, how="left")))
     is_cur = in_month(month) & F.col("category").isNotNull()
     g = both.agg(F.sum(F.when(is_cur, 1).otherwise(0)).alias("cn"),
                  F.sum(F.when(is_cur, F.col("amount"))).alias("cs"),
@@ -68,7 +71,7 @@ def kpi_avg_delta(t: DataFrame, categories: DataFrame, month: str) -> DataFrame:
 def category_totals(t: DataFrame, categories: DataFrame, month: str | None) -> DataFrame:
     """Total per category of the period (categorised rows)."""
     per = t.where(in_month(month)).groupBy("category_id").agg(F.sum("amount").alias("total"))
-    return per.join(_names(categories), "category_id", "inner").select("category", "total")
+    return _with_names(per, categories).select("category", "total")
 
 
 def kpi_top_category(t: DataFrame, categories: DataFrame, month: str | None) -> DataFrame:
@@ -89,7 +92,7 @@ def top_categories(t: DataFrame, categories: DataFrame, month: str | None, n: in
 
 def export_projection(t: DataFrame, categories: DataFrame) -> DataFrame:
     """Id, date text, description, amount, category for display."""
-    return (t.join(_names(categories), "category_id", "inner")
+    return (_with_names(t, categories)
             .select("id", F.date_format("date", "yyyy-MM-dd").alias("date"), "description",
                     round_money("amount").alias("amount"), "category"))
 
@@ -97,7 +100,7 @@ def export_projection(t: DataFrame, categories: DataFrame) -> DataFrame:
 def recent_transactions(t: DataFrame, categories: DataFrame, month: str | None,
                         n: int = 10) -> DataFrame:
     """newest ``n`` rows (date desc, id desc), optional month filter; top-n plan."""
-    j = t.where(in_month(month)).join(_names(categories), "category_id", "inner")
+    j = _with_names(t.where(in_month(month)), categories)
     return (j.orderBy(F.col("date").desc(), F.col("id").desc()).limit(n)
             .select("id", F.date_format("date", "yyyy-MM-dd").alias("date"), "description",
                     round_money("amount").alias("amount"), "category"))
@@ -140,7 +143,7 @@ def category_totals_all(t: DataFrame, categories: DataFrame) -> DataFrame:
 def category_monthly(t: DataFrame, categories: DataFrame) -> DataFrame:
     """(category, month, total): the series behind D16/D17 (exact totals)."""
     per = t.groupBy("category_id", month_key("date").alias("month")).agg(F.sum("amount").alias("total"))
-    return per.join(_names(categories), "category_id", "inner").select("category", "month", "total")
+    return _with_names(per, categories).select("category", "month", "total")
 
 
 def _series_stats(cm: DataFrame, n_last: int) -> DataFrame:

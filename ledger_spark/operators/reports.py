@@ -6,8 +6,9 @@ Scale notes
 * Every report over the fact table is a hash aggregate with map-side partial
   aggregation, so a hot key (one month, one category, one description holding
   a third of the rows) is combined inside each task before the shuffle.
-* Category names come from a size-checked broadcast of the dimension *after*
-  the fact has been reduced to one row per ``category_id``: the join runs on
+* Category names come from the (small) dimension applied *after*
+  the fact has been reduced to one row per ``category_id`` -- a literal map lookup
+  (or a size-checked broadcast join for a large dimension) on
   a handful of rows instead of the fact table.
 * Grand totals for percentages are summed from the same per-category partial
   result, so each report scans the fact table once.
@@ -24,13 +25,16 @@ from pyspark.sql import Window
 from ledger_spark.functions.dates import in_month, month_key
 from ledger_spark.functions.money import mean_money, pct, round_money
 from ledger_spark.functions.rules import budget_status, expense_type
-from ledger_spark.operators.joins import broadcast_checked
 from ledger_spark.schema import DEFAULT_MERCHANT_TERMS
 
 
-def _names(categories: DataFrame, *extra) -> DataFrame:
-    return broadcast_checked(categories.select(F.col("id").alias("category_id"),
-                                               F.col("name").alias("category"), *extra))
+def _with_names(df: DataFrame, categories: DataFrame, *extra: str, how: str = "inner") -> DataFrame:
+    """Category name (and ``extra`` columns) by ``category_id``: a literal map
+    lookup for a small dimension, a checked broadcast join otherwise."""
+    from ledger_spark.operators.joins import attach
+
+    dim = categories.select("id", F.col("name").alias("category"), *extra)
+    return attach(df, dim, "category_id", "id", ["category", *extra], how)
 
 
 def monthly_summary(t: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def by_category(t: DataFrame, categories: DataFrame) -> DataFrame:
     per = _by_category_id(t)
     grand = F.sum("s").over(Window.partitionBy())  # over <= #categories+1 rows
     per = per.withColumn("grand", grand)
-    joined = per.join(_names(categories), "category_id", "inner")
+    joined = _with_names(per, categories)
     return joined.select("category", F.col("n").cast("int").alias("transactions"),
                          round_money("s").alias("total_spent"),
                          mean_money("s", "n").alias("avg_per_transaction"),
@@ -74,7 +78,7 @@ def by_category(t: DataFrame, categories: DataFrame) -> DataFrame:
 def month_category(t: DataFrame, categories: DataFrame, rounded: bool = True) -> DataFrame:
     """Total per (month, category)."""
     agg = t.groupBy(month_key("date").alias("month"), "category_id").agg(F.sum("amount").alias("s"))
-    out = agg.join(_names(categories), "category_id", "inner")
+    out = _with_names(agg, categories)
     total = round_money("s") if rounded else F.col("s")
     return out.select("month", "category", total.alias("total_spent"))
 
@@ -85,7 +89,7 @@ def top_expenses(t: DataFrame, categories: DataFrame, n: int = 10) -> DataFrame:
     Largest-first with ``id`` as the tie-break; planned as a per-partition
     top-n followed by a merge (TakeOrderedAndProject), never a full sort.
     """
-    j = t.join(_names(categories), "category_id", "inner")
+    j = _with_names(t, categories)
     return (j.orderBy(F.col("amount").desc(), F.col("id").asc()).limit(n)
             .select("id", "date", "description", round_money("amount").alias("amount"), "category"))
 
@@ -127,7 +131,7 @@ def month_over_month(t: DataFrame, keys=()) -> DataFrame:
 def essential_split(t: DataFrame, categories: DataFrame) -> DataFrame:
     """Total and share per expense type (Essential/Discretionary)."""
     per = _by_category_id(t).withColumn("grand", F.sum("s").over(Window.partitionBy()))
-    j = per.join(_names(categories, "is_essential"), "category_id", "inner")
+    j = _with_names(per, categories, "is_essential")
     g = j.groupBy(expense_type("is_essential").alias("expense_type")).agg(
         F.sum("s").alias("s"), F.first("grand").alias("grand"))
     return g.select("expense_type", round_money("s").alias("total_spent"),
@@ -144,7 +148,7 @@ def budget_vs_actual(budgets: DataFrame, categories: DataFrame, t: DataFrame, mo
     """
     actual = (t.where(in_month(month)).groupBy("category_id")
               .agg(F.sum("amount").alias("actual")))
-    b = budgets.where(F.col("month") == month).join(_names(categories), "category_id", "inner")
+    b = _with_names(budgets.where(F.col("month") == month), categories)
     j = b.join(actual, "category_id", "left")
     act = F.coalesce("actual", F.lit(0)) if no_spend == "under" else F.col("actual")
     j = j.withColumn("act", act)
