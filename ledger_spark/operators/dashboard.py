@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ledger_spark.functions.dates import in_month, month_key, month_label, month_start, previous_month
-from ledger_spark.functions.money import mean_money, pct, round_money
+from ledger_spark.functions.money import mean_money, round_money
 
 
 def _with_names(df: DataFrame, categories: DataFrame, *extra: str, how: str = "inner") -> DataFrame:

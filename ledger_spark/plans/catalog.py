@@ -15,9 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledger_spark.functions.dates import previous_month
+from ledger_spark.operators import classify as CL
+from ledger_spark.operators import clean as CLN
+from ledger_spark.operators import dashboard as DB
+from ledger_spark.operators import evaluate as EV
+from ledger_spark.operators import features as FE
+from ledger_spark.operators import forecast as FC
 from ledger_spark.operators import reports as R
+from ledger_spark.operators import text as TX
+from ledger_spark.operators.joins import bounded_collect
 from ledger_spark.plans import sql as S
+from ledger_spark.schema import RECURRING_PATTERN, Z95
+from ledger_spark.session import materialize
+from ledger_spark.sources import maintenance as MT
+from ledger_spark.sources import sinks as SK
 from ledger_spark.sources import tables as TB
+from ledger_spark.streaming import live as LV
 
 # Parameters of the registered queries (fixture data spans 1995-01 .. 2001-08).
 REPORT_MONTH = "1998-06"
@@ -194,8 +208,6 @@ _reg(categories_fixture, """SELECT id, name, description, color_hex, is_essentia
 # --------------------------------------------------------------------------
 # Dashboard panels (month = REPORT_MONTH)
 # --------------------------------------------------------------------------
-from ledger_spark.functions.dates import previous_month  # noqa: E402
-from ledger_spark.operators import dashboard as DB  # noqa: E402
 
 PREV_MONTH = previous_month(REPORT_MONTH)
 
@@ -337,7 +349,6 @@ FROM {JOINED}""")
 # --------------------------------------------------------------------------
 # Forecasts (I1-I9, G1): overall series and one series per category
 # --------------------------------------------------------------------------
-from ledger_spark.operators import forecast as FC  # noqa: E402
 
 
 def _series(spark, d, keys=()):
@@ -406,7 +417,6 @@ _FC_SELECT = """SELECT {k}alpha, beta, ROUND(l + t, 2) AS f1, ROUND(l + 2 * t, 2
        ROUND(l + t - {z} * sd, 2) AS lower95, ROUND(l + t + {z} * sd, 2) AS upper95
 FROM ser LEFT JOIN hfit USING (k)"""
 
-from ledger_spark.schema import Z95  # noqa: E402
 
 
 def _reg_rec(fn, sql):
@@ -459,13 +469,6 @@ SELECT method, point, lower, upper, track_min, track_max,
 # --------------------------------------------------------------------------
 # Text features, classifiers and evaluation (documents fixture)
 # --------------------------------------------------------------------------
-from ledger_spark.functions.text import tokens as _token_array  # noqa: E402
-from ledger_spark.operators import classify as CL  # noqa: E402
-from ledger_spark.session import materialize  # noqa: E402
-from ledger_spark.operators.joins import bounded_collect  # noqa: E402
-from ledger_spark.operators import evaluate as EV  # noqa: E402
-from ledger_spark.operators import features as FE  # noqa: E402
-from ledger_spark.operators import text as TX  # noqa: E402
 
 
 def _docs(spark, d):
@@ -730,7 +733,6 @@ _reg(loess_by_category, _ser_sql("category_id", "1, 2") + _loess_sql("", "k AS c
 # --------------------------------------------------------------------------
 # Structured Streaming (J1-J4): drained with availableNow, read back as batch
 # --------------------------------------------------------------------------
-from ledger_spark.streaming import live as LV  # noqa: E402
 
 
 def _raw_stream(spark, d):
@@ -820,8 +822,6 @@ FROM orders WHERE o_orderpriority <> {S.q(CHANGE_DELETE_PRIORITY)}""")
 # --------------------------------------------------------------------------
 # CSV ingest, validation, ids and load counts
 # --------------------------------------------------------------------------
-from ledger_spark.sources import maintenance as MT  # noqa: E402
-from ledger_spark.sources import sinks as SK  # noqa: E402
 
 # Dirt rules of the CSV fixture (derived from the order/customer columns):
 # descriptions arrive lower-cased with a leading tab and a trailing " *",
@@ -853,8 +853,7 @@ def dirty_feed(spark, d) -> DataFrame:
 def _csv_feed(spark, d):
     path = LV.work_dir(spark, "csv")
     SK.write_csv(dirty_feed(spark, d), path)
-    from pyspark.sql import types as TT
-    schema = TT.StructType([TT.StructField("Id", TT.StringType())] + list(TB.RAW_FEED.fields))
+    schema = T.StructType([T.StructField("Id", T.StringType())] + list(TB.RAW_FEED.fields))
     raw = TB.read_transactions_csv(spark, path, schema=schema)
     return raw
 
@@ -891,7 +890,6 @@ def category_colors(spark, d):
     return CLN.color_lookup(totals, _cats(spark, d), "category")
 
 
-from ledger_spark.operators import clean as CLN  # noqa: E402
 
 _DIRTY = f""",
 dirty AS (
@@ -908,7 +906,7 @@ _reg(csv_ingest, _DIRTY + f"""
 SELECT d.id, CAST(d.date AS VARCHAR) AS date, d.description, CAST(d.amount AS DOUBLE) AS amount,
        COALESCE(cf.id, (SELECT min(id) FROM categories WHERE name = 'uncategorized')) AS category_id,
        d.category_raw,
-       COALESCE(CAST(regexp_matches(d.description, {S.q(__import__('ledger_spark.schema', fromlist=['x']).RECURRING_PATTERN)}) AS INTEGER), 0)
+       COALESCE(CAST(regexp_matches(d.description, {S.q(RECURRING_PATTERN)}) AS INTEGER), 0)
          AS is_recurring
 FROM dirty d LEFT JOIN categories cf ON cf.name = d.category_raw
 WHERE d.date IS NOT NULL AND d.amount > 0""")
