@@ -72,16 +72,8 @@ def uncategorized_id(categories: DataFrame) -> DataFrame:
 
 def map_categories(clean: DataFrame, categories: DataFrame) -> DataFrame:
     """Left lookup of ``category_raw`` by category name; misses get the id of
-    ``uncategorized``. A small dimension is applied as a literal map (no join);
-    a large one through a size-checked broadcast join plus a scalar subquery
-    for the default id. The fact side never shuffles."""
-    from ledger_spark.operators.joins import lookup_map
-
-    m = lookup_map(categories, "name", ["id"])
-    if m is not None:
-        ids = [r["id"] for r in categories.where(F.col("name") == UNCATEGORIZED).select("id").limit(1).collect()]
-        default = F.lit(ids[0] if ids else None).cast("long")
-        return clean.withColumn("category_id", F.coalesce(F.element_at(m, F.col("category_raw"))["id"], default))
+    ``uncategorized``. The dimension is broadcast after a size check and the
+    default id is a scalar subquery, so the fact side never shuffles."""
     lookup = broadcast_checked(categories.select(F.col("name").alias("category_raw"),
                                                  F.col("id").alias("category_id")))
     # scalar subquery: evaluated once, then a constant inside the projection

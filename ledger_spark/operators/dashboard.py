@@ -17,8 +17,8 @@ from ledger_spark.functions.money import mean_money, round_money
 
 
 def _with_names(df: DataFrame, categories: DataFrame, *extra: str, how: str = "inner") -> DataFrame:
-    """Category name (and ``extra`` columns) by ``category_id``: a literal map
-    lookup for a small dimension, a checked broadcast join otherwise."""
+    """Category name (and ``extra`` columns) by ``category_id`` (checked
+    broadcast join)."""
     from ledger_spark.operators.joins import attach
 
     dim = categories.select("id", F.col("name").alias("category"), *extra)

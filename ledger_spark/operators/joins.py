@@ -54,37 +54,10 @@ def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
     return rows
 
 
-# Dimensions up to this many rows are applied as literal maps (no join at all).
-LOOKUP_MAX_ROWS = 10_000
-
-
-def lookup_map(dim: DataFrame, key: str, value_cols: list[str], max_rows: int = LOOKUP_MAX_ROWS):
-    """A small dimension as a literal ``map<key, struct<values>>`` column
-    expression, or ``None`` when it has more than ``max_rows`` rows (callers then
-    join instead). The same rows a broadcast would ship, without a join,
-    exchange or extra job at execution time."""
-    rows = dim.select(key, *value_cols).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    rows = [r for r in rows if r[key] is not None]
-    if not rows:
-        return None
-    kv = []
-    for r in rows:
-        kv += [F.lit(r[key]), F.struct(*[F.lit(r[c]).alias(c) for c in value_cols])]
-    return F.create_map(*kv)
-
-
 def attach(df: DataFrame, dim: DataFrame, key: str, dim_key: str, value_cols: list[str],
            how: str = "inner") -> DataFrame:
-    """Join a small dimension's columns onto ``df`` by key: literal map lookup
-    when the dimension is small, checked broadcast join otherwise."""
-    m = lookup_map(dim, dim_key, value_cols)
-    if m is None:
-        d = broadcast_checked(dim.select(F.col(dim_key).alias(key), *value_cols))
-        return df.join(d, key, how)
-    hit = F.element_at(m, F.col(key))
-    out = df.withColumns({c: hit[c] for c in value_cols})
-    if how == "inner":
-        out = out.where(hit.isNotNull())
-    return out
+    """Join a small dimension's columns onto ``df`` by key through a
+    size-checked broadcast hash join (codegen'd hash probe per row; measured
+    faster than a literal-map lookup, which probes linearly)."""
+    d = broadcast_checked(dim.select(F.col(dim_key).alias(key), *value_cols))
+    return df.join(d, key, how)

@@ -6,9 +6,8 @@ Scale notes
 * Every report over the fact table is a hash aggregate with map-side partial
   aggregation, so a hot key (one month, one category, one description holding
   a third of the rows) is combined inside each task before the shuffle.
-* Category names come from the (small) dimension applied *after*
-  the fact has been reduced to one row per ``category_id`` -- a literal map lookup
-  (or a size-checked broadcast join for a large dimension) on
+* Category names come from a size-checked broadcast of the dimension *after*
+  the fact has been reduced to one row per ``category_id``: the join runs on
   a handful of rows instead of the fact table.
 * Grand totals for percentages are summed from the same per-category partial
   result, so each report scans the fact table once.
@@ -29,8 +28,8 @@ from ledger_spark.schema import DEFAULT_MERCHANT_TERMS
 
 
 def _with_names(df: DataFrame, categories: DataFrame, *extra: str, how: str = "inner") -> DataFrame:
-    """Category name (and ``extra`` columns) by ``category_id``: a literal map
-    lookup for a small dimension, a checked broadcast join otherwise."""
+    """Category name (and ``extra`` columns) by ``category_id`` (checked
+    broadcast join)."""
     from ledger_spark.operators.joins import attach
 
     dim = categories.select("id", F.col("name").alias("category"), *extra)
