@@ -47,6 +47,10 @@ def stratified_split(df: DataFrame, label: str = "category", p_num: int = 4, p_d
     """H5: add ``split`` = train/test; per class the first ceil(p*n) rows in
     md5 order (ties by id) are training rows. p = p_num / p_den.
     """
+    out_cols = [*df.columns, "split"]
+    # internal class key: text, with NULL labels kept as a class of their own
+    df = df.withColumn("_lab", F.coalesce(F.col(label).cast("string"), F.lit("\u0000")))
+    label = "_lab"
     keyed = df.withColumn("_h", split_key(id_col, seed)).withColumn(
         "_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
     hist = keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -75,8 +79,7 @@ def stratified_split(df: DataFrame, label: str = "category", p_num: int = 4, p_d
     dec_out = outside.withColumn("split", F.when(F.col("_bb").isNull() | (F.col("_b") < F.col("_bb")), "train")
                                  .otherwise("test"))
     dec_in = inside.withColumn("split", F.when(F.col("_r") <= F.col("_need"), "train").otherwise("test"))
-    cols = [*df.columns, "split"]
-    return dec_out.select(*cols).unionByName(dec_in.select(*cols))
+    return dec_out.select(*out_cols).unionByName(dec_in.select(*out_cols))
 
 
 def build_features(df: DataFrame, vocab: list[str], with_bucket: bool = True,

@@ -41,6 +41,7 @@ def insert_categories(existing: DataFrame, new: DataFrame, order_cols=("name",))
             new = new.withColumn(col, default)
     if "_seq" not in new.columns:
         new = new.withColumn("_seq", F.lit(0))
+    new = new.where(F.col("name").isNotNull()).dropDuplicates(["name"])
     absent = new.join(existing.select("name"), "name", "left_anti")
     start = existing.select(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
     # categories are a dimension: a single ordered window over the handful of

@@ -88,3 +88,11 @@ def test_logistic_regression_and_suggest(spark):
     assert out[1] == "uncategorized" and out[2] in {"en", "fr", "de", "es"}
     fallback = CL.suggest_category(None, new, vocab).collect()
     assert all(r.suggested == "uncategorized" for r in fallback)
+
+
+def test_split_keeps_null_labels(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else "a") for i in range(40)], "id long, category string")
+    s = FE.stratified_split(df)
+    got = {(r.category, r.split): r.n for r in s.groupBy("category", "split").agg(F.count("*").alias("n")).collect()}
+    assert got[(None, "train")] == (4 * 10 + 4) // 5 and got[("a", "train")] == (4 * 30 + 4) // 5
+    assert s.count() == 40

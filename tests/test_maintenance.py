@@ -93,3 +93,9 @@ def test_csv_reader_all_text(spark):
         fh.write("date,description,amount,category\n2024-01-01,A,NA,rent\n2024-01-02,B,3.5,\n")
     rows = TB.read_transactions_csv(spark, out).collect()
     assert rows[0].amount is None and rows[1].category is None and rows[1].amount == "3.5"
+
+
+def test_insert_categories_dedups(spark):
+    base = MT.seed_categories(spark)
+    new = spark.createDataFrame([("zz",), ("zz",), (None,)], "name string")
+    assert MT.insert_categories(base, new).count() == 14
