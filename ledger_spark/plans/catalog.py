@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledger_spark.functions.dates import previous_month
+from ledger_spark.functions.dates import in_month, previous_month
 from ledger_spark.operators import classify as CL
 from ledger_spark.operators import clean as CLN
 from ledger_spark.operators import dashboard as DB
@@ -992,3 +992,26 @@ m AS (SELECT class, tp / nullif(pp, 0) AS prec, tp / nullif(sup, 0) AS rec,
 SELECT class, ROUND(prec, 6) AS precision, ROUND(rec, 6) AS recall,
        ROUND(2 * prec * rec / nullif(prec + rec, 0), 6) AS f1, ROUND(spec, 6) AS specificity,
        ROUND((rec + spec) / 2, 6) AS balanced_accuracy, CAST(sup AS BIGINT) AS support FROM m""")
+
+
+# --------------------------------------------------------------------------
+# Table maintenance round trip
+# --------------------------------------------------------------------------
+
+def table_round_trip(spark, d):
+    """Reload the fixture table (A5 + A10), append the rows of one month again
+    as new transactions (A6: ids continue after the stored maximum, A9), delete
+    exactly those new ids (A7), and read the table back: it must equal the
+    original."""
+    root = LV.work_dir(spark, "table")
+    t = _tx(spark, d)
+    MT.reload_transactions(MT.fill_defaults(t), root)
+    again = t.where(in_month(REPORT_MONTH)).select("date", "description", "amount", "category_id")
+    written = MT.append_transactions(spark, root, again)
+    back = MT.delete_transactions(MT.read_transactions(spark, root), written.select("id"))
+    return portable(back.select(*TB.ALL_COLUMNS))
+
+
+_reg(table_round_trip, """
+SELECT id, CAST(date AS VARCHAR) AS date, description, CAST(amount AS DOUBLE) AS amount,
+       category_id, category_raw, is_recurring FROM transactions""")
