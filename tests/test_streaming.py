@@ -49,3 +49,18 @@ def test_stream_path_for_single_file(tmp_path):
     f = tmp_path / "orders.parquet"
     f.write_text("x")
     assert LV.stream_path(str(f)).endswith("orders.parque[t]")
+
+
+def test_change_log_removes_emptied_month(spark):
+    import datetime as dt
+    import os
+
+    root = tempfile.mkdtemp(prefix="ledger-em-")
+    schema = "id long, date date, amount double, seq long, op string"
+    jan, feb = dt.date(2024, 1, 5), dt.date(2024, 2, 5)
+    _write_slices(spark, root, [[(1, jan, 1.0, 1, "insert"), (2, feb, 2.0, 2, "insert")],
+                                [(1, jan, 0.0, 3, "delete")]], schema)
+    cs = LV.read_stream(spark, f"{root}/in/*", spark.createDataFrame([], schema).schema, max_files_per_trigger=1)
+    LV.drain(LV.stream_change_log(cs, f"{root}/table"))
+    assert [r.id for r in spark.read.parquet(f"{root}/table").collect()] == [2]
+    assert not os.path.exists(f"{root}/table/month=2024-01")
