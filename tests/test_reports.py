@@ -99,3 +99,26 @@ def test_evaluate_wrapper(spark):
     scored = spark.createDataFrame([("a", "a"), ("b", "a")], "pred string, category string")
     ev = evaluate(scored, "pred", ["a", "b"])
     assert ev["accuracy"].first().accuracy == 0.5 and ev["confusion"].count() == 4
+
+
+def test_kpi_delta_value_and_direction(spark, cats):
+    t = tx(spark, [(1, "2024-01-05", "A", "100.00", "rent"), (2, "2024-01-06", "B", "200.00", "rent"),
+                   (3, "2024-02-05", "C", "120.00", "rent"), (4, "2024-02-06", "D", "60.00", None)], cats)
+    d = DB.kpi_avg_delta(t, cats, "2024-02").first()
+    # current mean over categorised rows only (120), previous mean over all rows (150)
+    assert d.avg_amount == 120.0 and d.previous_avg == 150.0 and d.pct_change == -20.0 and d.direction == "down"
+
+
+def test_merchant_search_case_insensitive_and_ordered(spark):
+    t = tx(spark, [(2, "2024-01-02", "Starbucks Lisboa", "4.50", None), (1, "2024-01-01", "CAFE CENTRAL", "2.00", None),
+                   (3, "2024-01-03", "Rent", "900.00", None)])
+    rows = R.merchant_search(t).collect()
+    assert [r.id for r in rows] == [1, 2]
+
+
+def test_color_lookup_unknown_is_null(spark, cats):
+    from ledger_spark.operators.clean import color_lookup
+
+    df = spark.createDataFrame([(" Rent ",), ("nope",)], "category string")
+    got = {r.category: r.color_hex for r in color_lookup(df, cats).collect()}
+    assert got == {" Rent ": "#EF4444", "nope": None}
