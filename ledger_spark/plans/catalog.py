@@ -589,7 +589,11 @@ def _lr(spark, d, refit: bool = False):
     if feats_vocab is None or refit:
         vocab = _vocab(spark, d, refit=refit)
         feats = FE.build_features(docs, vocab, with_bucket=True)
-        model = CL.logistic_regression_fit(feats.where(F.col("split") == "train"))
+        # the training rows' compact vectors, materialised once: the row count,
+        # the label indexer and the optimiser's cache then read them instead of
+        # tokenising every training text three times
+        train = materialize(feats.where(F.col("split") == "train").select("category", "features"))
+        model = CL.logistic_regression_fit(train)
         _MODELS[key] = (model, vocab)
     model, vocab = _MODELS[key]
     return model, FE.build_features(docs, vocab, with_bucket=True), vocab
