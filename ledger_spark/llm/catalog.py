@@ -13,6 +13,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledger_spark.llm.common import table
 
 
+def op2_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted per document."""
+    from ledger_spark.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score per document."""
+    from ledger_spark.llm import language
+
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id per document."""
     from ledger_spark.llm import simhash
@@ -22,6 +36,8 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPARK = {
+    "op2_quality_neighbours": op2_quality_neighbours,
+    "op8_language_hierarchy": op8_language_hierarchy,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
 }
 
