@@ -13,6 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledger_spark.llm.common import table
 
 
+def op1_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, hits per document."""
+    from ledger_spark.llm import toxicity
+
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted per document."""
     from ledger_spark.llm import quality
@@ -36,6 +43,7 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPARK = {
+    "op1_toxicity_lexicon": op1_toxicity_lexicon,
     "op2_quality_neighbours": op2_quality_neighbours,
     "op8_language_hierarchy": op8_language_hierarchy,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
