@@ -34,6 +34,13 @@ def op8_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity per document."""
+    from ledger_spark.llm import brown
+
+    return brown.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id per document."""
     from ledger_spark.llm import simhash
@@ -45,6 +52,7 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPARK = {
     "op1_toxicity_lexicon": op1_toxicity_lexicon,
     "op2_quality_neighbours": op2_quality_neighbours,
+    "op3_brown_scores": op3_brown_scores,
     "op8_language_hierarchy": op8_language_hierarchy,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
 }
