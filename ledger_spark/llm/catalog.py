@@ -49,13 +49,40 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: ten best for each query."""
+    from ledger_spark.llm import topk
+
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 SPARK = {
     "op1_toxicity_lexicon": op1_toxicity_lexicon,
     "op2_quality_neighbours": op2_quality_neighbours,
     "op3_brown_scores": op3_brown_scores,
     "op8_language_hierarchy": op8_language_hierarchy,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
+    "op9_exact_top_k": op9_exact_top_k,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_exact_top_k": """
+        WITH t AS (
+            SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 1024) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM t AS q JOIN t AS c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 100 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id, score
+            FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+}
