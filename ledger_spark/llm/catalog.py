@@ -56,6 +56,13 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, start, end, edits: each benchmark item found in each document."""
+    from ledger_spark.llm import decontaminate
+
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 SPARK = {
     "op1_toxicity_lexicon": op1_toxicity_lexicon,
     "op2_quality_neighbours": op2_quality_neighbours,
@@ -63,6 +70,7 @@ SPARK = {
     "op8_language_hierarchy": op8_language_hierarchy,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_benchmark_matches": op10_benchmark_matches,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
