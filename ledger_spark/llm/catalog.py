@@ -27,6 +27,13 @@ def op2_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, mix_position, mix_slot, mix_release, mix_deadline per document."""
+    from ledger_spark.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op8_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score per document."""
     from ledger_spark.llm import language
@@ -41,6 +48,14 @@ def op3_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_held_out(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text (without its repeated blocks), units, units_cut per document."""
+    from ledger_spark.llm import linededup
+
+    done = linededup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.col("__units").alias("units"), F.col("__cut").alias("units_cut"))
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id per document."""
     from ledger_spark.llm import simhash
@@ -68,7 +83,9 @@ SPARK = {
     "op2_quality_neighbours": op2_quality_neighbours,
     "op3_brown_scores": op3_brown_scores,
     "op8_language_hierarchy": op8_language_hierarchy,
+    "op5_line_dedup": op5_line_dedup,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
+    "op7_pfair_mix": op7_pfair_mix,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_benchmark_matches": op10_benchmark_matches,
 }
