@@ -48,6 +48,14 @@ def op3_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_held_out(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars per page."""
+    from ledger_spark.llm import htmltext
+
+    found = htmltext.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text (without its repeated blocks), units, units_cut per document."""
     from ledger_spark.llm import linededup
@@ -83,6 +91,7 @@ SPARK = {
     "op2_quality_neighbours": op2_quality_neighbours,
     "op3_brown_scores": op3_brown_scores,
     "op8_language_hierarchy": op8_language_hierarchy,
+    "op4_html_text": op4_html_text,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
     "op7_pfair_mix": op7_pfair_mix,
