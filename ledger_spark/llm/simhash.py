@@ -36,8 +36,11 @@ MAX_BITS = 3
 SEED = 42
 #: Fingerprints that the tree is grown on (the tree only decides the sharding).
 TREE_SAMPLE = 16384
-#: Classes that a leaf should hold; denser leaves are dealt out by salt.
-LEAF_CLASSES = 4096
+#: Classes that a leaf should hold: this many times the root of their number,
+#: within bounds. Small leaves prune more but are visited more often, and visits
+#: are shuffled; inside a leaf a second tree prunes in memory.
+LEAF_FACTOR, LEAF_CLASSES, LEAF_MOST = 20, 4096, 1 << 18
+INNER_LEAF = 2048
 MAX_LEAVES = 1 << 14
 #: Vantage candidates tried at a node.
 CANDIDATES = 8
@@ -134,11 +137,12 @@ class Tree:
             return None
         return best[2:]
 
-    def route(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(leaf, index into fps, is home) of every visit."""
+    def route(self, fps: np.ndarray, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf, index into fps, is home) of every visit. ``home`` tells which
+        fingerprints live here (default: all); the others are guests from the start."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         every = np.arange(len(fps))
-        stack = [(self.root, every, every[:0])]
+        stack = [(self.root, every, every[:0]) if home is None else (self.root, every[home], every[~home])]
         while stack:
             node, home, guest = stack.pop()
             if not len(home) and not len(guest):
@@ -194,11 +198,28 @@ def _forest(fps: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarra
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def close_edges(classes: DataFrame, max_bits: int = MAX_BITS, leaf_classes: int = LEAF_CLASSES) -> DataFrame:
+def _edges_within(fps: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_forest` of a leaf, pruned by a tree over its homes."""
+    homes = fps[home]
+    if len(homes) <= 2 * INNER_LEAF:
+        return _forest(fps, home, max_bits)
+    sample = np.random.default_rng(SEED).choice(homes, min(len(homes), TREE_SAMPLE), replace=False)
+    leaf, at, lives = Tree(sample, len(homes), max_bits, INNER_LEAF).route(fps, home)
+    order = np.argsort(leaf, kind="stable")
+    found = []
+    for group in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+        if lives[group].any():
+            found.append(_forest(fps[at[group]], lives[group], max_bits))
+    return np.concatenate([u for u, _ in found]), np.concatenate([v for _, v in found])
+
+
+def close_edges(classes: DataFrame, max_bits: int = MAX_BITS, leaf_classes: int | None = None) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``classes.fp``: their
     components are those of all pairs within ``max_bits``."""
     spark = classes.sparkSession
     total = classes.count()
+    if leaf_classes is None:
+        leaf_classes = min(max(LEAF_CLASSES, int(LEAF_FACTOR * total ** 0.5)), LEAF_MOST)
     sample = np.array([r.fp for r in smallest_by_hash(classes.select("fp"), "fp", TREE_SAMPLE).collect()], np.int64)
     tree = spark.sparkContext.broadcast(Tree(sample.view(np.uint64), total, max_bits, leaf_classes))
 
@@ -227,7 +248,7 @@ def close_edges(classes: DataFrame, max_bits: int = MAX_BITS, leaf_classes: int
 
     def search(group: pa.Table) -> pa.Table:
         fps = group.column("fp").to_numpy().view(np.uint64)
-        u, v = _forest(fps, group.column("home").to_numpy().astype(bool), max_bits)
+        u, v = _edges_within(fps, group.column("home").to_numpy().astype(bool), max_bits)
         return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
     return written(dealt.groupBy("leaf", "salt").applyInArrow(search, "u long, v long"), "simhash-edges")
