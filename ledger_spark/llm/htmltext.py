@@ -36,6 +36,9 @@ from ledger_spark.llm.common import slices, written
 #: distinct texts up to which it is.
 LEAST_PAGES = 5
 CONSTANT_SHARE = 0.05
+#: Children of a node that are kept apart although tag and class repeat;
+#: paragraphs, items and the like always are one repeated node.
+SEPARATE = 24
 #: Where no article is marked, blocks with more of their text in links are menus.
 LINK_SHARE = 0.8
 
@@ -60,6 +63,8 @@ ASIDE_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices alert alerts popup modal overlay dialog newsletter subscribe subscription "
     "paywall signup login search share sharing social comment comments commentlist reply replies respond disqus discussion "
     "contentinfo complementary".split())
+#: Words that begin or end with one of these mark the same.
+ASIDE_ROOTS = ("nav", "menu", "cookie", "comment", "advert", "sidebar", "footer", "breadcrumb", "newsletter", "popup")
 #: Of these, a heading block inside an article is not one.
 HEADING_WORDS = frozenset("header masthead".split())
 #: Class, id, role and itemprop words that mark the article.
@@ -98,7 +103,8 @@ class _Kinds:
         tokens = {t.lower() for t in f"{marks} {a.get('itemprop', '')}".split()}
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""))
         article = tag in ("article", "main") or bool(tokens & ARTICLE_MARKS)
-        aside = words & ASIDE_WORDS if not article else set()
+        aside = set() if article else {w for w in words if w in ASIDE_WORDS
+                                       or w.startswith(ASIDE_ROOTS) or w.endswith(ASIDE_ROOTS)}
         out = tag in LEFT_OUT or bool(hidden) or bool(aside)
         heading = out and not hidden and (tag == "header" or tag not in LEFT_OUT) and not (aside - HEADING_WORDS)
         names = ".".join(re.sub(r"\d+", "", t) for t in a.get("class", "").lower().split())
@@ -120,7 +126,8 @@ class Page:
 
     def _child(self, parent: int, label: str, tag: str, inside: bool) -> int:
         last = self.children[parent][-1] if self.children[parent] else -1
-        if last >= 0 and self.labels[last] == label and self.inside[last] == inside:
+        if last >= 0 and self.labels[last] == label and self.inside[last] == inside and (
+                tag in PLAIN or len(self.children[parent]) >= SEPARATE):
             return last
         node = len(self.labels)
         self.labels.append(label)
@@ -154,9 +161,9 @@ class Page:
             nonlocal linked, size
             if piece and not stack[-1][2]:
                 text.append(piece)
-                size += len(piece)
+                size += len(piece.strip())
                 if links:
-                    linked += len(piece)
+                    linked += len(piece.strip())
 
         while True:
             m = _TAG.search(source, at)

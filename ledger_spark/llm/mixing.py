@@ -140,15 +140,16 @@ def mix(docs: DataFrame, targets: Mapping[object, float] | None = None, block_ro
     numbered = (dealt.withColumn("__number", F.row_number().over(inside) - 1).join(offsets, ["__stream", "__bucket"])
                 .withColumn("__number", F.col("__number") + F.col("__before"))
                 .withColumn("__block", F.floor(F.col("__number") / block_rows).cast("long")))
-    kind = ("stream string, first long, blocks long, begin long, units long, total long, slots array<long>")
+    kind = ("__source string, __first long, __blocks long, __begin long, __units long, __total long, "
+            "__slots array<long>")
     table = spark.createDataFrame([tuple(x) for x in plan], kind)  # at most MOST_SOURCES**2 rows, one period each
-    k = F.col("__block") - F.col("first")
-    placed = (numbered.join(F.broadcast(table), (F.col("__stream") == F.col("stream")) & (k >= 0) & (k < F.col("blocks")))
-              .withColumn("__cycle", F.floor(k / F.col("units")).cast("long"))
-              .withColumn("mix_slot", F.col("begin") + F.col("__cycle") * F.col("total")
-                          + F.get("slots", (k % F.col("units")).cast("int")))
-              .withColumn("mix_release", F.col("begin") + F.expr("((__block - first) * total) div units"))
-              .withColumn("mix_deadline", F.col("begin") + F.expr("((__block - first + 1) * total + units - 1) div units")))
+    k = F.col("__block") - F.col("__first")
+    placed = (numbered.join(F.broadcast(table), (F.col("__stream") == F.col("__source")) & (k >= 0) & (k < F.col("__blocks")))
+              .withColumn("__cycle", F.floor(k / F.col("__units")).cast("long"))
+              .withColumn("mix_slot", F.col("__begin") + F.col("__cycle") * F.col("__total")
+                          + F.get("__slots", (k % F.col("__units")).cast("int")))
+              .withColumn("mix_release", F.expr("__begin + ((__block - __first) * __total) div __units"))
+              .withColumn("mix_deadline", F.expr("__begin + ((__block - __first + 1) * __total + __units - 1) div __units")))
     gaps = F.array(*[F.struct(F.lit(s).cast("long").alias("slot"), F.lit(g).cast("long").alias("rows")) for s, g in short])
     missing = (F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["slot"] < F.col("mix_slot"), x["rows"]).otherwise(0))
                if short else F.lit(0))
