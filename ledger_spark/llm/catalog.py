@@ -57,11 +57,11 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text (without its repeated blocks), units, units_cut per document."""
+    """doc_id, text (without its repeated blocks), units_cut per document."""
     from ledger_spark.llm import linededup
 
     done = linededup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "text", F.col("__units").alias("units"), F.col("__cut").alias("units_cut"))
+    return done.select("doc_id", "text", F.col("__cut").alias("units_cut"))
 
 
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

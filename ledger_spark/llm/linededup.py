@@ -149,20 +149,22 @@ def _cuts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with the repeated blocks deleted from ``text``, and ``__units`` and
-    ``__cut``: how many units the row has, and how many were deleted."""
+    """``docs`` with the repeated blocks deleted from ``text``, and ``__cut``: how
+    many units of the row were deleted."""
     cuts = _cuts(docs.select("doc_id", "text"), block_words).select(
         F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("cut").alias("__positions"))
     here = ((F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("__id"))
             & (F.xxhash64("text") == F.col("__version")))
-    pieces = units(F.col("text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("__positions"))
-    cut = F.array_join(F.transform(kept, lambda i: F.get(pieces, i)), "")
+
+    def rest(pieces: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("__positions"))
+        return F.array_join(F.transform(kept, lambda i: F.get(pieces, i)), "")
+
+    # the pieces are a lambda's variable: split once a row, not once a unit
+    cut = F.element_at(F.transform(F.array(units(F.col("text"))), rest), 1)
     names = [F.when(F.col("__positions").isNotNull(), cut).otherwise(F.col("text")).alias("text")
              if name == "text" else F.col(name) for name in docs.columns]
-    return docs.join(cuts, here, "left").select(
-        *names, F.when(F.col("text") == "", 0).otherwise(F.size(pieces)).alias("__units"),
-        F.coalesce(F.size("__positions"), F.lit(0)).alias("__cut"))
+    return docs.join(cuts, here, "left").select(*names, F.coalesce(F.size("__positions"), F.lit(0)).alias("__cut"))
 
 
 def drop_repeats(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
