@@ -1,87 +1,113 @@
-"""Spark session defaults used by tests, the bench and the examples.
+"""Session defaults, the shared checkpoint folder, and scratch tables in it.
 
-On a cluster the session is created by the platform; nothing here overrides a
-setting that is already present, except that AQE is switched on explicitly
-(runtime re-planning is what keeps the small-dimension joins broadcast and
-splits skewed shuffle partitions).
+On a cluster the platform configures the session: :func:`get_spark` never sets
+a master unless asked to, and sets a default only where nothing is configured.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+#: Runtime defaults, set after start where the submitted configuration is silent.
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.ui.enabled": "false",
-    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # parquet timestamps without zone stay wall-clock values
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
 }
+#: Start-up defaults of a session that this process starts by itself.
+_START_DEFAULTS = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+
+
+def _submitted() -> bool:
+    """True when spark-submit started this process (its settings are complete)."""
+    return "PYSPARK_GATEWAY_PORT" in os.environ
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "ledger_spark", extra: dict | None = None) -> SparkSession:
+              app_name: str | None = None, extra: dict | None = None) -> SparkSession:
     """Build (or fetch) a session with the library's defaults.
 
-    ``master`` defaults to ``local[$LEDGER_CPUS or *]`` only when no master is
-    configured by the environment (spark-submit sets it on a cluster).
+    ``master``, ``shuffle_partitions`` and ``extra`` are set because the caller
+    asks for them; every other setting is a default and yields to what
+    spark-submit, ``PYSPARK_SUBMIT_ARGS`` or a running session already has.
     """
-    builder = SparkSession.builder.appName(app_name)
-    if master is None and "SPARK_MASTER" not in os.environ:
-        master = f"local[{os.environ.get('LEDGER_CPUS', '*')}]"
+    builder = SparkSession.builder
+    if app_name or not _submitted():
+        builder = builder.appName(app_name or "ledger_spark")
     if master:
         builder = builder.master(master)
-    conf = dict(_DEFAULTS)
+    asked = dict(extra or {})
     if shuffle_partitions is not None:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("LEDGER_DRIVER_MEMORY", "8g"))
-    if extra:
-        conf.update(extra)
-    for k, v in conf.items():
-        builder = builder.config(k, v)
+        asked["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    arguments = os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    if not _submitted():
+        starts = dict(_START_DEFAULTS)
+        if "LEDGER_DRIVER_MEMORY" in os.environ:
+            starts["spark.driver.memory"] = os.environ["LEDGER_DRIVER_MEMORY"]
+        for key, value in starts.items():
+            if key not in arguments:
+                builder = builder.config(key, value)
+    for key, value in asked.items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    configured = dict(spark.sparkContext.getConf().getAll())
+    for key, value in _DEFAULTS.items():
+        if key not in configured and key not in asked:
+            spark.conf.set(key, value)
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names this folder (a shared file system every executor can
-    reach). Only when it is unset -- local tests -- do we create one of our own.
+    Only a local session without that setting (tests, a laptop) gets a
+    temporary folder, removed when the process ends; on a cluster a missing
+    setting is an error, since executors cannot reach the driver's disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        master = sc.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         current = tempfile.mkdtemp(prefix="ledger-ckpt-")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
 
 
-def materialize(df):
-    """Write ``df`` to the shared checkpoint folder and continue from there.
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder inside the checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/ledger-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's scratch tables. Only once no DataFrame over
+    them is still to be read."""
+    from ledger_spark.sources.storage import delete
+
+    delete(spark, scratch_dir(spark))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the scratch folder and continue from the files.
 
-    Used where an expensive, compact intermediate (e.g. per-document features
-    extracted from long texts) is read by several later jobs: recomputing it
-    would re-tokenise every text each time. Lineage is cut, so a lost
-    executor re-reads the checkpoint instead of recomputing upstream.
+    Used where a compact intermediate is read by several later jobs. Lineage is
+    cut, so a lost executor re-reads files instead of recomputing upstream, and
+    the planner knows the true size.
     """
-    from pyspark import StorageLevel
-
-    checkpoint_dir(df.sparkSession)
-    # persisted first: a reliable checkpoint writes in a second job, which
-    # would otherwise compute the data again
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,8 @@
 """Table maintenance (A4-A10, A13): seeding, validation, ids, reload, append, delete.
 
-Stored tables are Parquet directories; ``transactions`` is partitioned by
-``month`` so month filters prune whole directories.
+``transactions`` is a versioned table (:mod:`ledger_spark.sources.storage`),
+partitioned by ``month`` so month filters prune whole directories: a reload
+switches versions, a delete or update replaces the touched months only.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Window
 
 from ledger_spark.functions.dates import month_key
 from ledger_spark.schema import CATEGORIES, DEFAULT_COLOR, SEED_CATEGORIES, TRANSACTIONS
+from ledger_spark.session import materialize
+from ledger_spark.sources import storage
 
 
 def seed_categories(spark: SparkSession, existing: DataFrame | None = None) -> DataFrame:
@@ -24,7 +27,7 @@ def seed_categories(spark: SparkSession, existing: DataFrame | None = None) -> D
     seed = spark.createDataFrame(rows, CATEGORIES)
     if existing is None:
         return seed
-    return insert_categories(existing, seed.drop("id"), order_cols=None)
+    return insert_categories(existing, seed.withColumnRenamed("id", "_seq"), order_cols=None)
 
 
 def insert_categories(existing: DataFrame, new: DataFrame, order_cols=("name",)) -> DataFrame:
@@ -32,7 +35,7 @@ def insert_categories(existing: DataFrame, new: DataFrame, order_cols=("name",))
 
     ``new`` needs ``name`` and may carry description/color_hex/is_essential
     (defaults: NULL, the default grey, 0). Without ``order_cols`` the new ids
-    follow the seed order of ``new`` (used by A4).
+    follow ``new``'s ``_seq`` column (used by A4 for the seed order).
     """
     for col, default in (("description", F.lit(None).cast("string")),
                          ("color_hex", F.lit(DEFAULT_COLOR)),
@@ -41,13 +44,13 @@ def insert_categories(existing: DataFrame, new: DataFrame, order_cols=("name",))
             new = new.withColumn(col, default)
     if "_seq" not in new.columns:
         new = new.withColumn("_seq", F.lit(0))
+    order_cols = order_cols or ("_seq", "name")
     new = new.where(F.col("name").isNotNull()).dropDuplicates(["name"])
     absent = new.join(existing.select("name"), "name", "left_anti")
     start = existing.select(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
     # categories are a dimension: a single ordered window over the handful of
     # *new* names is fine (bounded by the distinct names, not by the facts)
-    order = [F.col(c) for c in (order_cols or ["_seq"])]
-    w = Window.orderBy(*order)
+    w = Window.orderBy(*order_cols)
     added = absent.select((start + F.row_number().over(w)).cast("long").alias("id"), "name",
                           "description", "color_hex", F.col("is_essential").cast("int"))
     return existing.select(*CATEGORIES.names).unionByName(added)
@@ -58,23 +61,24 @@ def assign_ids(df: DataFrame, start: int | DataFrame = 0, order_cols=("date",),
     """Dense surrogate keys ``start+1, start+2, ...`` in ``order_cols`` order.
 
     Two passes instead of one global window (which would pull every row into
-    one task): sort with range partitioning, checkpoint the sorted rows to the
-    shared checkpoint folder (so a lost executor cannot reshuffle them and
-    change ids), count rows per partition (one row per partition), and add the
-    running offset to each row's position inside its partition.
+    one task): sort with range partitioning, write the sorted rows to the shared
+    folder (so a lost executor cannot reshuffle them and change ids), count rows
+    per partition, and add the running offset to each row's position inside its
+    partition. The row's position in the input is the last sort key: rows that
+    are equal in ``order_cols`` can then be split over partitions too.
     """
-    from ledger_spark.session import materialize
-
-    sorted_df = df.sort(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
-    sorted_df = materialize(sorted_df)
+    # the position of a row in its input also breaks ties: a range sort cannot
+    # split equal keys, and a third of the rows may share one date
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    sorted_df = materialize(tied.sort(*order_cols, "_tie").drop("_tie")
+                            .withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftright("_mid", 33)
     counts = sorted_df.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    offsets = F.broadcast(offsets.fillna(0, ["_off"]))  # one row per partition
+    offsets = materialize(counts.select("_pid", F.coalesce(
+        F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off")))
     base = start if isinstance(start, int) else start.scalar()
     pos = F.col("_mid") - F.shiftleft(F.col("_pid"), 33)
+    # one row per partition in a file of known size: the planner may broadcast it
     out = (sorted_df.withColumn("_pid", pid).join(offsets, "_pid")
            .withColumn(id_col, (F.lit(base) + F.col("_off") + pos + 1).cast("long")))
     return out.drop("_mid", "_pid", "_off")
@@ -99,7 +103,7 @@ def fill_defaults(df: DataFrame) -> DataFrame:
 def validate_transactions(df: DataFrame, categories: DataFrame | None = None):
     """Split rows into ``(good, rejects)``; rejects carry ``reasons`` (array).
 
-    Checks: NOT NULL date/description/amount, amount > 0 and within
+    Checks: NOT NULL id/date/description/amount, amount > 0 and within
     decimal(12,2), unique id, and (with ``categories``) a known category id.
     Uniqueness comes from a partially aggregated count per id joined back,
     so a heavily duplicated id never gathers its rows in one task.
@@ -112,6 +116,7 @@ def validate_transactions(df: DataFrame, categories: DataFrame | None = None):
         F.when(F.col("amount") <= 0, F.lit("amount not positive")),
     ]
     if "id" in df.columns:
+        reasons.append(F.when(F.col("id").isNull(), F.lit("id is null")))
         # duplicated ids from a partially aggregated count (a hot id costs one
         # row per task), then flagged through a join on id (AQE splits skew)
         dups = (df.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("_c"))
@@ -119,9 +124,7 @@ def validate_transactions(df: DataFrame, categories: DataFrame | None = None):
         out = out.join(dups, "id", "left")
         reasons.append(F.when(F.col("_dup"), F.lit("duplicate id")))
     if categories is not None and "category_id" in df.columns:
-        from ledger_spark.operators.joins import broadcast_checked
-        known = broadcast_checked(categories.select(F.col("id").alias("category_id"),
-                                                    F.lit(True).alias("_known")))
+        known = categories.select(F.col("id").alias("category_id"), F.lit(True).alias("_known"))
         out = out.join(known, "category_id", "left")
         reasons.append(F.when(F.col("category_id").isNotNull() & F.col("_known").isNull(),
                               F.lit("unknown category")))
@@ -146,59 +149,131 @@ def validate_budgets(b: DataFrame):
             out.where(F.size("reasons") > 0).select(*b.columns, "reasons"))
 
 
+def _with_month(t: DataFrame) -> DataFrame:
+    return t.withColumn("month", F.coalesce(month_key("date"), F.lit("none")))
+
+
 def reload_transactions(t: DataFrame, path: str) -> None:
-    """A5: replace all stored rows atomically (overwrite), partitioned by month."""
-    (t.withColumn("month", month_key("date")).write.mode("overwrite")
-     .partitionBy("month").parquet(path))
+    """A5: replace all stored rows atomically: a new version is written, then
+    the table's pointer is switched to it."""
+    spark = t.sparkSession
+    folder = storage.new_version(spark, path)
+    storage.write_months(_with_month(t), folder)
+    storage.keep_schema(t, folder)
+    storage.switch(spark, path, folder)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """Stored rows with their ``month``; None when the table does not exist. A
+    table that exists but cannot be read raises."""
+    folder = storage.current(spark, path)
+    return None if folder is None else spark.read.option("mergeSchema", True).parquet(folder)
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("month")
+    stored = _stored(spark, path)
+    if stored is None:
+        raise FileNotFoundError(f"no transactions table at {path}")
+    return stored.drop("month")
 
 
-def append_transactions(spark: SparkSession, path: str, new_rows: DataFrame) -> DataFrame:
-    """Insert rows; date defaults to today; requires amount > 0 and a
-    non-empty description. Ids continue after the stored maximum. Returns the
-    rows written."""
-    from ledger_spark.operators.clean import clean_transactions
+def check_new_rows(new_rows: DataFrame, categories: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows for A6 as ``(good, rejects)``: date defaults to today, a category
+    name becomes its id (unknown names: ``uncategorized``, as in a load);
+    rejects carry ``reasons``."""
+    from ledger_spark.functions.money import to_money
+    from ledger_spark.functions.text import clean_description, normalize_category, recurring_flag
+    from ledger_spark.operators.clean import map_categories
 
     rows = new_rows
-    if "date" not in rows.columns:
-        rows = rows.withColumn("date", F.current_date())
-    rows = rows.withColumn("date", F.coalesce(F.col("date").cast("date"), F.current_date()))
-    extra = [c for c in ("category_id", "category") if c in rows.columns]
-    keep = [c for c in ("category_id",) if c in rows.columns]
-    if "category" not in rows.columns:
-        rows = rows.withColumn("category", F.lit(None).cast("string"))
-    clean = clean_transactions(rows.select("date", "description", "amount", *extra), keep=keep)
-    clean = clean.where(F.col("description").isNotNull() & (F.col("description") != ""))
-    try:
-        current_max = spark.read.parquet(path).select(F.max("id")).first()[0] or 0
-    except Exception:  # noqa: BLE001 - first write
-        current_max = 0
-    written = fill_defaults(assign_ids(clean, start=int(current_max), order_cols=("date", "description")))
-    (written.withColumn("month", month_key("date")).write.mode("append")
-     .partitionBy("month").parquet(path))
-    return written
+    for name, kind in (("date", "date"), ("category", "string")):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    date = F.col("date").try_cast("date")
+    rows = (rows.withColumn("_bad_date", F.col("date").isNotNull() & date.isNull())
+            .withColumn("date", F.coalesce(date, F.current_date()))
+            .withColumn("description", clean_description("description"))
+            .withColumn("_given", F.col("amount")).withColumn("amount", to_money("amount"))
+            .withColumn("category_raw", normalize_category("category")))
+    rows = rows.withColumn("is_recurring", recurring_flag("description"))
+    if categories is not None:
+        given = F.col("category_id") if "category_id" in rows.columns else F.lit(None).cast("long")
+        rows = rows.withColumn("_category_id", given)
+        rows = map_categories(rows.drop("category_id"), categories).withColumn(
+            "category_id", F.when(F.col("category_raw").isNull(), F.coalesce("_category_id", "category_id"))
+            .otherwise(F.col("category_id"))).drop("_category_id")
+    reasons = F.array_compact(F.array(
+        F.when(F.col("_bad_date"), F.lit("date is not a date")),
+        F.when(F.col("description").isNull() | (F.trim("description") == ""), F.lit("description is empty")),
+        F.when(F.col("amount").isNull(), F.lit("amount is null or out of range")),
+        F.when(F.col("amount") <= 0, F.lit("amount not positive"))))
+    rows = rows.withColumn("reasons", reasons)
+    good = rows.where(F.size("reasons") == 0).drop("reasons", "_bad_date", "_given", "category")
+    rejects = rows.where(F.size("reasons") > 0).select(
+        *[F.col("_given").alias("amount") if c == "amount" else F.col(c) for c in new_rows.columns], "reasons")
+    return good, rejects
+
+
+def append_transactions(spark: SparkSession, path: str, new_rows: DataFrame,
+                        categories: DataFrame | None = None) -> DataFrame:
+    """Insert the good rows of :func:`check_new_rows`; ids continue after
+    the stored maximum. Returns the rows written."""
+    good, _ = check_new_rows(new_rows, categories)
+    stored = _stored(spark, path)
+    start = 0 if stored is None else (stored.agg(F.max("id")).first()[0] or 0)
+    rows = materialize(fill_defaults(assign_ids(good, start=int(start), order_cols=("date", "description"))))
+    if stored is None:
+        reload_transactions(rows, path)
+    else:
+        storage.write_months(_with_month(rows), storage.current(spark, path))
+    return rows
 
 
 def delete_transactions(t: DataFrame, ids: DataFrame) -> DataFrame:
-    """Drop rows whose id is listed (anti join; ids may be a large frame)."""
+    """A7 on a frame: drop rows whose id is listed (anti join; ids may be large)."""
     return t.join(ids.select("id").distinct(), "id", "left_anti")
 
 
-def load_counts(raw: DataFrame, clean_fn, loaded: DataFrame | None = None):
-    """Rows read / valid after cleaning / inserted, from one pass each.
+def _rewrite(spark: SparkSession, path: str, ids: DataFrame, change) -> None:
+    """Replace the months that hold any of ``ids`` by ``change(their rows)``."""
+    stored = _stored(spark, path)
+    if stored is None:
+        raise FileNotFoundError(f"no transactions table at {path}")
+    touched = materialize(stored.join(ids.select("id").distinct(), "id", "left_semi").select("month").distinct())
+    storage.replace_months(spark, storage.current(spark, path), change(stored.join(touched, "month", "left_semi")), touched)
+
+
+def delete_stored(spark: SparkSession, path: str, ids: DataFrame) -> None:
+    """A7 on the stored table: the listed ids are gone for every later read;
+    only the months that held them are rewritten."""
+    _rewrite(spark, path, ids, lambda rows: delete_transactions(rows, ids))
+
+
+def store_predictions(spark: SparkSession, path: str, predictions: DataFrame) -> None:
+    """H11's write-back: ``predictions(id, predicted_cat, confidence)`` into the
+    stored rows of these ids; other rows keep what they have."""
+    new = predictions.select("id", F.col("predicted_cat").alias("_cat"), F.col("confidence").alias("_conf"),
+                             F.lit(True).alias("_new"))
+
+    def change(rows: DataFrame) -> DataFrame:
+        j = rows.join(new, "id", "left")
+        return j.select(*[F.when(F.col("_new"), F.col(n)).otherwise(F.col(c)).cast(rows.schema[c].dataType).alias(c)
+                          if (n := {"predicted_cat": "_cat", "confidence": "_conf"}.get(c)) else F.col(c)
+                          for c in rows.columns])
+
+    _rewrite(spark, path, predictions, change)
+
+
+def load_counts(raw: DataFrame, clean_fn, path: str, prepare=lambda t: t):
+    """Rows read / valid after cleaning / found in the store after the load.
 
-    ``Observation`` collects the read count while the cleaned rows are
-    computed, so counting does not need a second scan of the raw input.
+    ``Observation`` counts the raw rows while the cleaned ones are written, and
+    the last number counts the stored table itself.
     """
     obs = Observation("read")
-    observed = raw.observe(obs, F.count(F.lit(1)).alias("rows_read"))
-    clean = clean_fn(observed)
-    n_valid = clean.count()
+    clean = materialize(clean_fn(raw.observe(obs, F.count(F.lit(1)).alias("rows_read"))))
     n_read = obs.get["rows_read"]
-    n_loaded = loaded.count() if loaded is not None else n_valid
+    reload_transactions(prepare(clean), path)
     spark = raw.sparkSession
-    return spark.createDataFrame([(int(n_read), int(n_valid), int(n_loaded))],
+    return spark.createDataFrame([(int(n_read), int(clean.count()), int(read_transactions(spark, path).count()))],
                                  "rows_read long, rows_valid long, rows_loaded long")

@@ -43,7 +43,8 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None
               partition_column: str | None = None, lower: int | None = None, upper: int | None = None,
               num_partitions: int | None = None) -> DataFrame:
     """A2 for an external database through Spark's JDBC source; with a
-    partition column the read is split into ``num_partitions`` range queries."""
+    partition column the read is split into ``num_partitions`` range queries.
+    Not registered as a query: it needs a database server."""
     r = spark.read.format("jdbc").option("url", url).option("dbtable", table)
     for k, v in (properties or {}).items():
         r = r.option(k, v)
@@ -67,7 +68,7 @@ def normalize_column_names(df: DataFrame) -> DataFrame:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str, cols):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
+    return read_table(spark, f"{sf_dir}/{name}.parquet", cols)
 
 
 def raw_feed(spark: SparkSession, sf_dir: str, with_customer: bool = True) -> DataFrame:
@@ -85,20 +86,12 @@ def raw_feed(spark: SparkSession, sf_dir: str, with_customer: bool = True) -> Da
     return feed.drop("o_custkey")
 
 
-_DIMENSIONS: dict = {}
-
-
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category dimension of the fixture (see module doc).
+    """Category dimension of the fixture (see module doc), built from the
+    tables on every call and written once, so that joins know its size."""
+    from ledger_spark.session import materialize
 
-    The dimension is tiny and used by most queries, so it is built once per
-    session and kept in executor memory (``cache``; lineage is kept, so a lost
-    executor simply recomputes it from ``customer``).
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _DIMENSIONS:
-        _DIMENSIONS[key] = _build_categories(spark, sf_dir).cache()
-    return _DIMENSIONS[key]
+    return materialize(_build_categories(spark, sf_dir))
 
 
 def _build_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,9 +106,10 @@ def _build_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insert_categories(seed_categories(spark), new)
 
 
-def transactions(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, columns=None, cats: DataFrame | None = None) -> DataFrame:
     """The cleaned, category-mapped fact table of the fixture.
 
+    ``cats`` is the dimension to map with, if the caller has it already.
     ``columns`` limits the output; when only order-level columns are asked
     for, the customer table is not read at all.
     """
@@ -125,38 +119,36 @@ def transactions(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
     needs_customer = bool(set(columns) - ORDER_ONLY)
     clean = clean_transactions(raw_feed(spark, sf_dir, needs_customer), keep=["id"])
     if "category_id" in columns:
-        clean = map_categories(clean, categories(spark, sf_dir))
+        clean = map_categories(clean, cats if cats is not None else categories(spark, sf_dir))
     return clean.select(*columns)
 
 
-def budgets(spark: SparkSession, sf_dir: str, t: DataFrame | None = None) -> DataFrame:
+UNSPENT_BUDGET = ("rent", 100)
+
+
+def budgets(spark: SparkSession, sf_dir: str, t: DataFrame | None = None, cats: DataFrame | None = None) -> DataFrame:
     """Fixture budgets: each (category, month) gets the category's total of the
-    previous month (the month after the last one gets a budget with no spend)."""
+    previous month (the month after the last one gets a budget with no spend),
+    and ``UNSPENT_BUDGET``'s category, which no transaction has, its amount."""
     from ledger_spark.functions.dates import month_key
 
-    t = t if t is not None else transactions(spark, sf_dir, ["date", "amount", "category_id"])
+    cats = cats if cats is not None else categories(spark, sf_dir)
+    t = t if t is not None else transactions(spark, sf_dir, ["date", "amount", "category_id"], cats)
     prev = (t.groupBy("category_id", month_key(F.add_months(F.trunc("date", "month"), 1)).alias("month"))
             .agg(F.sum("amount").alias("budget_amt")))
+    name, amount = UNSPENT_BUDGET
+    unspent_id = cats.where(F.col("name") == name).select(F.min("id")).scalar()
+    unspent = prev.select(unspent_id.alias("category_id"), "month", F.lit(amount).cast("decimal(12,2)").alias("budget_amt"))
+    prev = prev.unionByName(unspent.distinct())
     # a deterministic surrogate key: category id followed by yyyymm
     yyyymm = F.regexp_replace("month", "-", "").cast("long")
     return prev.select((F.col("category_id") * 1_000_000 + yyyymm).alias("id"),
                        "category_id", "month", "budget_amt")
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread rows over the cluster's cores when the scan yields fewer splits
-    than cores (e.g. one huge Parquet row group of long texts). On large
-    inputs the scan already has many more splits than cores and this is a
-    no-op, so no shuffle is added there."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classifier input: id, description, amount, category (= doc language)."""
-    d = ensure_parallelism(_t(spark, sf_dir, "documents", ["doc_id", "text", "n_chars", "lang"]))
+    d = _t(spark, sf_dir, "documents", ["doc_id", "text", "n_chars", "lang"])
     return d.select(F.col("doc_id").alias("id"), F.col("text").alias("description"),
                     F.col("n_chars").cast("decimal(12,2)").alias("amount"),
                     F.col("lang").alias("category"))

@@ -1,14 +1,15 @@
 """Structured Streaming versions of the live paths.
 
 * J1 ``stream_clean``: raw rows arrive as files; cleaning + the category lookup
-  are stateless (stream-static broadcast join), output appended.
+  are stateless (stream-static join), output appended.
 * J2 ``stream_monthly_kpis``: running count/total per (month, category). The
   state is one row per (month, category), bounded by the calendar and the
   dimension, so no watermark is needed and late rows are always counted.
 * J3 ``stream_suggest``: the classifier applied to arriving rows (stateless).
-* J4 ``stream_change_log``: inserts/deletes keyed by id, last sequence number
-  wins, applied per micro-batch to a month-partitioned Parquet table; only
-  the touched month partitions are rewritten.
+* J4 ``stream_change_log``: inserts/updates/deletes keyed by id; the highest
+  sequence number of an id wins, in whatever batch it arrives. The
+  month-partitioned table keeps the sequence number of every row and of every
+  deleted id; only the touched month partitions are rewritten.
 
 Every query writes through ``foreachBatch`` (idempotent per epoch) with its
 checkpoint in the shared checkpoint folder, so a restarted query resumes
@@ -18,7 +19,6 @@ there and stops (tests, backfills); a long-running job uses processingTime.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,19 +26,15 @@ from pyspark.sql import functions as F
 
 from ledger_spark.functions.dates import month_key
 from ledger_spark.operators.clean import clean_transactions, map_categories
-from ledger_spark.operators.joins import bounded_collect
+from ledger_spark.session import checkpoint_dir, materialize, scratch_dir
+from ledger_spark.sources import storage
 
-# Month partitions one micro-batch may touch (a century of months).
-MAX_MONTHS = 1200
-from ledger_spark.session import checkpoint_dir, materialize
 
-
-def stream_path(path: str) -> str:
+def stream_path(spark: SparkSession, path: str) -> str:
     """File stream sources need a directory or a glob; a single file is turned
     into an equivalent one-file glob."""
-    if os.path.isfile(path):
-        head, tail = os.path.split(path)
-        return os.path.join(head, tail[:-1] + f"[{tail[-1]}]")
+    if not any(c in path for c in "*?[{") and storage.is_file(spark, path):
+        return f"{path[:-1]}[{path[-1]}]"
     return path
 
 
@@ -49,13 +45,13 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     for k, v in options.items():
         r = r.option(k, v)
-    return r.load(stream_path(path))
+    return r.load(stream_path(spark, path))
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one query's output and checkpoint, inside the shared
-    checkpoint folder named by the session."""
-    return os.path.join(checkpoint_dir(spark), "ledger-streams", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh folder for one query's output and checkpoint, inside this
+    application's scratch folder (see :func:`ledger_spark.session.clear_scratch`)."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stream_clean(raw_stream: DataFrame, categories: DataFrame, keep=("id",)) -> DataFrame:
@@ -67,11 +63,9 @@ def stream_monthly_kpis(stream: DataFrame, categories: DataFrame) -> DataFrame:
     """Running count / total / mean per (month, category name).
 
     The category name is attached before the aggregation (stream-static
-    broadcast join), so the aggregation is the last stateful step.
+    join), so the aggregation is the last stateful step.
     """
-    from ledger_spark.operators.joins import broadcast_checked
-
-    names = broadcast_checked(categories.select(F.col("id").alias("category_id"), F.col("name").alias("category")))
+    names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"))
     s = stream.join(names, "category_id", "inner")
     return s.groupBy(month_key("date").alias("month"), "category").agg(
         F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
@@ -86,28 +80,45 @@ def stream_suggest(stream: DataFrame, model, vocab: list[str], categories: DataF
 
 def run(stream_df: DataFrame, out_path: str, mode: str = "append", trigger_once: bool = True,
         checkpoint: str | None = None, partition_by=()):
-    """Start a query writing micro-batches to Parquet at ``out_path``.
+    """Start a query that writes micro-batches to ``out_path``; returns it.
 
-    ``mode='complete'`` rewrites the (bounded) aggregate each batch;
-    ``'append'``/``'update'`` append the batch's rows. Returns the query.
+    ``append`` and ``update`` write one folder per epoch, so a replayed epoch
+    replaces its own files only; ``complete`` writes the whole (bounded) result
+    as a new version and switches to it. Read with :func:`read_output`.
     """
+    spark = stream_df.sparkSession
     checkpoint = checkpoint or out_path.rstrip("/") + "._checkpoint"
 
     def write(batch: DataFrame, epoch: int) -> None:
-        w = batch.write
-        if partition_by:
-            w = w.partitionBy(*partition_by)
+        w = batch.write.partitionBy(*partition_by) if partition_by else batch.write
         if mode == "complete":
-            w.mode("overwrite").parquet(out_path)
+            folder = storage.new_version(spark, out_path)
+            w.parquet(folder)
+            storage.switch(spark, out_path, folder)
         else:
-            # one folder per epoch: a replayed epoch overwrites its own files only
-            w.mode("overwrite").parquet(os.path.join(out_path, f"epoch={epoch}"))
+            w.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     writer = stream_df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if trigger_once else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
+def read_output(spark: SparkSession, out_path: str, mode: str = "append", keys=()) -> DataFrame:
+    """What :func:`run` has written so far. In ``update`` mode a key may have
+    been written by several epochs: its latest row counts."""
+    if mode == "complete":
+        folder = storage.current(spark, out_path)
+        if folder is None:
+            raise FileNotFoundError(f"no output at {out_path} yet")
+        return spark.read.parquet(folder)
+    out = spark.read.parquet(out_path)
+    if mode != "update":
+        return out.drop("epoch")
+    rest = [c for c in out.columns if c not in (*keys, "epoch")]
+    last = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
 def drain(query) -> None:
     query.awaitTermination()
     if query.exception() is not None:  # pragma: no cover - surfaced to caller
@@ -128,37 +139,45 @@ def latest_changes(changes: DataFrame, key: str = "id", seq: str = "seq") -> Dat
 
 def apply_changes(spark: SparkSession, batch: DataFrame, table_path: str, key: str = "id",
                   seq: str = "seq", op: str = "op") -> None:
-    """Merge one batch of changes into the month-partitioned table.
-
-    Only month partitions touched by the batch are read and rewritten
-    (dynamic partition overwrite). The new partition contents are checkpointed
-    to the shared folder first, so reading and overwriting the same
-    partitions cannot race and a lost executor recomputes from the checkpoint.
+    """Merge one batch of changes into the table at ``table_path``.
+
+    A row keeps its ``seq``; a deleted id stays as a marked row in the month it
+    was last in, so an older operation that arrives later changes nothing. The
+    stored rows of the batch's ids are found by a semi-join on the id, wherever
+    they are, so a delete may carry the id alone and an update may move a row to
+    another month. Only months that lose or gain a row are rewritten. New columns
+    are added; stored rows have NULL there. Applying a batch again changes nothing.
     """
-    last = latest_changes(batch, key, seq).withColumn("month", month_key("date"))
-    touched = [r["month"] for r in bounded_collect(last.select("month").distinct(), MAX_MONTHS, "months")]
-    data_cols = [c for c in batch.columns if c not in (seq, op)]
-    upserts = last.where(F.col(op) != "delete").select(*data_cols, "month")
-    try:
-        current = spark.read.parquet(table_path).where(F.col("month").isin(touched))
-        current = current.select(*data_cols, "month")
-        kept = current.join(last.select(key), key, "left_anti")
-        new = kept.unionByName(upserts)
-    except Exception:  # noqa: BLE001 - empty table: first batch
-        new = upserts
-    new = materialize(new)
-    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("month").parquet(table_path))
-    # a touched month whose rows were all deleted writes no files, so dynamic
-    # overwrite would keep its old files: remove those partitions explicitly
-    present = {r["month"] for r in bounded_collect(new.select("month").distinct(), MAX_MONTHS, "months")}
-    emptied = [m for m in touched if m not in present]
-    if emptied:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for m in emptied:
-            part = jvm.org.apache.hadoop.fs.Path(f"{table_path.rstrip('/')}/month={m}")
-            part.getFileSystem(conf).delete(part, True)
+    incoming = materialize(latest_changes(batch.where(F.col(key).isNotNull()), key, seq)
+                           .withColumn("_deleted", F.coalesce(F.col(op) == "delete", F.lit(False))).drop(op)
+                           .withColumn("month", month_key("date")))
+    if not storage.exists(spark, table_path):
+        first = incoming.withColumn("month", F.coalesce("month", F.lit("none")))
+        storage.write_months(first, table_path)
+        storage.keep_schema(first, table_path)
+        return
+    stored = spark.read.option("mergeSchema", True).parquet(table_path).withColumn("month", F.col("month").cast("string"))
+    before = materialize(stored.join(incoming.select(key), key, "left_semi"))
+    both = (incoming.withColumn("_new", F.lit(1))
+            .unionByName(before.withColumn("_new", F.lit(0)), allowMissingColumns=True))
+    rest = [c for c in both.columns if c != key]
+    winners = both.groupBy(key).agg(
+        F.max_by(F.struct(*rest), F.struct(F.col(seq), F.col("_new"))).alias("_c"),
+        F.max(F.when(F.col("_new") == 0, F.col("month"))).alias("_was_in"))
+    winners = materialize(winners.select(
+        key, *[F.col(f"_c.{c}").alias(c) for c in rest if c not in ("_new", "month")],
+        F.when(F.col("_c._deleted"), F.coalesce("_was_in", "_c.month", F.lit("none")))
+        .otherwise(F.coalesce("_c.month", F.lit("none"))).alias("month")))
+    touched = materialize(before.select("month").union(winners.select("month")).distinct())
+    others = (stored.join(touched, "month", "left_semi")
+              .join(incoming.select(key), key, "left_anti"))
+    storage.replace_months(spark, table_path, others.unionByName(winners, allowMissingColumns=True), touched)
+
+
+def read_changes(spark: SparkSession, table_path: str, seq: str = "seq") -> DataFrame:
+    """The live rows of a change-log table."""
+    rows = spark.read.option("mergeSchema", True).parquet(table_path)
+    return rows.where(~F.col("_deleted")).drop("_deleted", "month", seq)
 
 
 def stream_change_log(change_stream: DataFrame, table_path: str, checkpoint: str | None = None,

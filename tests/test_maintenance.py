@@ -2,10 +2,12 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledger_spark.sources import maintenance as MT
 from ledger_spark.sources import sinks as SK
+from ledger_spark.sources import storage
 from ledger_spark.sources import tables as TB
 from tests.conftest import tx
 
@@ -53,6 +55,99 @@ def test_budget_uniqueness(spark):
     assert good.count() == 0 and rej.count() == 3
 
 
+def test_seeding_an_empty_table_keeps_the_seed_order(spark):
+    empty = MT.seed_categories(spark).limit(0)
+    rows = MT.seed_categories(spark, empty).orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(1, 14))
+    assert [r.name for r in rows][:3] == ["rent", "groceries", "food_drink"] and rows[-1].name == "uncategorized"
+
+
+def test_null_id_and_unknown_category_are_rejected(spark, cats):
+    df = spark.createDataFrame([(None, "2024-01-01", "A", 1.0, 1), (2, "2024-01-01", "B", 1.0, 999)],
+                               "id long, date string, description string, amount double, category_id long") \
+        .withColumn("date", F.to_date("date")).withColumn("amount", F.col("amount").cast("decimal(12,2)"))
+    good, rejects = MT.validate_transactions(df, cats)
+    assert good.count() == 0
+    assert {tuple(r.reasons) for r in rejects.collect()} == {("id is null",), ("unknown category",)}
+
+
+def test_equal_keys_are_spread_over_tasks(spark):
+    """90 % of the rows share one date and description."""
+    df = spark.range(20000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(0).alias("d"))
+    out = MT.assign_ids(df, order_cols=("d",), id_col="nid")
+    assert sorted(r.nid for r in out.select("nid").collect()) == list(range(1, 20001))
+    sizes = [r["count"] for r in out.groupBy(F.floor((F.col("nid") - 1) / 2500)).count().collect()]
+    assert len(sizes) == 8
+    tied = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(8, "d", "_tie")
+    per_task = [r["count"] for r in tied.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(per_task) < 2 * 20000 / 8
+
+
+def _table(spark, cats, path, n=300):
+    rows = [(i, f"2024-{1 + i % 3:02d}-05", f"D{i}", "10.00", "rent") for i in range(1, n + 1)]
+    MT.reload_transactions(MT.fill_defaults(tx(spark, rows, cats).repartition(16)), path)
+
+
+def test_few_files_per_month(spark, cats, tmp_path):
+    path = str(tmp_path / "t")
+    _table(spark, cats, path)
+    folder = storage.current(spark, path)
+    months = [m for m in os.listdir(folder) if m.startswith("month=")]
+    assert len(months) == 3
+    assert all(len([f for f in os.listdir(f"{folder}/{m}") if f.endswith(".parquet")]) <= 2 for m in months)
+
+
+def test_append_maps_category_names_and_reports_rejects(spark, cats, tmp_path):
+    path = str(tmp_path / "t")
+    _table(spark, cats, path, 3)
+    new = spark.createDataFrame([("cinema", 9.5, " Food  Drink "), ("gym", 30.0, "no such"), ("x", -1.0, "rent"),
+                                 ("***", 2.0, "rent")], "description string, amount double, category string")
+    good, rejects = MT.check_new_rows(new, cats)
+    assert good.count() == 2 and {r.reasons[0] for r in rejects.collect()} == {"amount not positive", "description is empty"}
+    written = {r.description: (r.id, r.category_id) for r in MT.append_transactions(spark, path, new, cats).collect()}
+    ids = {r.name: r.id for r in cats.collect()}
+    assert sorted(i for i, _ in written.values()) == [4, 5]
+    assert written["CINEMA"][1] == ids["food_drink"] and written["GYM"][1] == ids["uncategorized"]
+
+
+def test_an_unreadable_table_stops_the_append(spark, cats, tmp_path):
+    """A read error must not look like a first write, which restarts the ids."""
+    path = str(tmp_path / "t")
+    _table(spark, cats, path, 30)
+    month = next(m for m in os.listdir(storage.current(spark, path)) if m.startswith("month="))
+    with open(f"{storage.current(spark, path)}/{month}/part-broken.parquet", "w") as f:
+        f.write("not parquet")
+    new = spark.createDataFrame([("a", 1.0)], "description string, amount double")
+    with pytest.raises(Exception):
+        MT.append_transactions(spark, path, new)
+
+
+def test_delete_and_predictions_reach_the_store(spark, cats, tmp_path):
+    path = str(tmp_path / "t")
+    _table(spark, cats, path, 9)
+    gone = spark.createDataFrame([(i,) for i in (1, 4, 7, 2)], "id long")  # all of one month and a row of another
+    MT.delete_stored(spark, path, gone)
+    assert sorted(r.id for r in MT.read_transactions(spark, path).collect()) == [3, 5, 6, 8, 9]
+    MT.store_predictions(spark, path, spark.createDataFrame([(3, "rent", 0.9)], "id long, predicted_cat string, confidence double"))
+    back = {r.id: (r.predicted_cat, r.confidence and float(r.confidence)) for r in MT.read_transactions(spark, path).collect()}
+    assert back == {3: ("rent", 0.9), 5: (None, None), 6: (None, None), 8: (None, None), 9: (None, None)}
+    MT.delete_stored(spark, path, spark.range(10))
+    assert MT.read_transactions(spark, path).count() == 0
+    assert [r.id for r in MT.append_transactions(
+        spark, path, spark.createDataFrame([("a", 1.0)], "description string, amount double")).collect()] == [1]
+
+
+def test_reload_switches_versions(spark, cats, tmp_path):
+    path = str(tmp_path / "t")
+    _table(spark, cats, path, 6)
+    before, old = MT.read_transactions(spark, path), storage.current(spark, path)
+    _table(spark, cats, path, 3)
+    assert storage.current(spark, path) != old
+    assert before.count() == 6 and MT.read_transactions(spark, path).count() == 3  # a reader keeps its version
+    MT.reload_transactions(MT.fill_defaults(before.limit(0)), path)
+    assert MT.read_transactions(spark, path).count() == 0 and not os.path.exists(old)
+
+
 def test_reload_append_delete(spark, cats):
     path = tempfile.mkdtemp(prefix="ledger-t-")
     t = MT.fill_defaults(MT.assign_ids(tx(spark, [(0, "2024-01-05", "A", "10.00", "rent"),

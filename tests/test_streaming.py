@@ -1,5 +1,8 @@
+import datetime
+import decimal
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledger_spark.streaming import live as LV
@@ -23,10 +26,75 @@ def test_change_log_last_op_wins_across_batches(spark):
     del d
     cs = LV.read_stream(spark, f"{root}/in/*", spark.createDataFrame([], schema).schema, max_files_per_trigger=1)
     LV.drain(LV.stream_change_log(cs, f"{root}/table"))
-    got = {r.id: r.amount for r in spark.read.parquet(f"{root}/table").collect()}
+    got = {r.id: r.amount for r in LV.read_changes(spark, f"{root}/table").collect()}
     assert got == {2: 21.0, 4: 40.0}
 
 
+SCHEMA = "id long, date date, amount double, seq long, op string"
+JAN, FEB = datetime.date(2024, 1, 5), datetime.date(2024, 2, 5)
+
+
+def _apply(spark, table, rows, schema=SCHEMA):
+    LV.apply_changes(spark, spark.createDataFrame(rows, schema), table)
+
+
+def _live(spark, table):
+    return sorted((r.id, r.date, r.amount) for r in LV.read_changes(spark, table).collect())
+
+
+def test_a_new_column_loses_no_rows(spark, tmp_path):
+    table = str(tmp_path / "t")
+    _apply(spark, table, [(1, JAN, 1.0, 1, "insert"), (2, JAN, 2.0, 1, "insert")])
+    _apply(spark, table, [(3, JAN, 3.0, 1, "insert", "n")], SCHEMA + ", note string")
+    _apply(spark, table, [(4, JAN, 4.0, 1, "insert")])
+    assert [x[0] for x in _live(spark, table)] == [1, 2, 3, 4]
+    assert {r.id: r.note for r in LV.read_changes(spark, table).collect()} == {1: None, 2: None, 3: "n", 4: None}
+
+
+def test_delete_by_id_month_moves_and_late_operations(spark, tmp_path):
+    table = str(tmp_path / "t")
+    _apply(spark, table, [(1, JAN, 1.0, 1, "insert"), (2, JAN, 2.0, 1, "insert"), (3, FEB, 3.0, 1, "insert")])
+    _apply(spark, table, [(1, None, None, 5, "delete"), (2, FEB, 2.5, 4, "update")])
+    assert _live(spark, table) == [(2, FEB, 2.5), (3, FEB, 3.0)]
+    late = [(1, JAN, 9.0, 3, "update"), (2, JAN, 9.0, 3, "update"), (9, None, None, 7, "delete")]
+    _apply(spark, table, late)
+    _apply(spark, table, late)  # a replayed batch
+    _apply(spark, table, [(9, JAN, 9.0, 6, "insert"), (3, FEB, 3.5, 1, "update")])
+    assert _live(spark, table) == [(2, FEB, 2.5), (3, FEB, 3.5)]
+    _apply(spark, table, [(1, JAN, 1.5, 8, "insert")])
+    assert _live(spark, table) == [(1, JAN, 1.5), (2, FEB, 2.5), (3, FEB, 3.5)]
+
+
+def test_an_unreadable_table_stops_the_stream(spark, tmp_path):
+    table = str(tmp_path / "t")
+    _apply(spark, table, [(1, JAN, 1.0, 1, "insert")])
+    with open(f"{table}/month=2024-01/part-broken.parquet", "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        _apply(spark, table, [(2, JAN, 2.0, 1, "insert")])
+
+
+def test_batches_may_touch_any_number_of_months(spark, tmp_path):
+    table = str(tmp_path / "t")
+    rows = [(i, datetime.date(1900 + i // 12, 1 + i % 12, 1), 1.0, 1, "insert") for i in range(1300)]
+    _apply(spark, table, rows)
+    _apply(spark, table, [(0, None, None, 2, "delete")])
+    assert LV.read_changes(spark, table).count() == 1299
+
+
+def test_update_mode_reads_the_latest_row_of_a_key(spark, cats):
+    root = tempfile.mkdtemp(prefix="ledger-up-")
+    rent = cats.where("name = 'rent'").first().id
+    schema = "id long, date date, amount decimal(12,2), category_id long"
+    one = lambda i: [(i, JAN, decimal.Decimal(i), rent)]
+    _write_slices(spark, root, [one(1), one(2), one(3)], schema)
+    st = LV.read_stream(spark, f"{root}/in/*", spark.createDataFrame([], schema).schema, max_files_per_trigger=1)
+    LV.drain(LV.run(LV.stream_monthly_kpis(st, cats), f"{root}/out", "update"))
+    assert spark.read.parquet(f"{root}/out").count() == 3
+    rows = LV.read_output(spark, f"{root}/out", "update", ["month", "category"]).collect()
+    assert [(r.n, float(r.total)) for r in rows] == [(3, 6.0)]
+
+
 def test_stream_kpis_equal_batch(spark, cats):
     root = tempfile.mkdtemp(prefix="ledger-kp-")
     ids = {r.name: r.id for r in cats.collect()}
@@ -39,21 +107,21 @@ def test_stream_kpis_equal_batch(spark, cats):
     st = LV.read_stream(spark, f"{root}/in/*", spark.createDataFrame([], schema).schema, max_files_per_trigger=1)
     out = f"{root}/kpi"
     LV.drain(LV.run(LV.stream_monthly_kpis(st, cats), out, "complete"))
-    streamed = {(r.month, r.category): (r.n, r.total) for r in spark.read.parquet(out).collect()}
+    streamed = {(r.month, r.category): (r.n, r.total) for r in LV.read_output(spark, out, "complete").collect()}
     batch_df = spark.createDataFrame(rows, schema)
     batch = {(r.month, r.category): (r.n, r.total) for r in LV.stream_monthly_kpis(batch_df, cats).collect()}
     assert streamed == batch
 
 
-def test_stream_path_for_single_file(tmp_path):
+def test_stream_path_for_single_file(spark, tmp_path):
     f = tmp_path / "orders.parquet"
     f.write_text("x")
-    assert LV.stream_path(str(f)).endswith("orders.parque[t]")
+    assert LV.stream_path(spark, str(f)).endswith("orders.parque[t]")
+    assert LV.stream_path(spark, str(tmp_path)) == str(tmp_path)
 
 
-def test_change_log_removes_emptied_month(spark):
+def test_change_log_empties_a_month(spark):
     import datetime as dt
-    import os
 
     root = tempfile.mkdtemp(prefix="ledger-em-")
     schema = "id long, date date, amount double, seq long, op string"
@@ -62,5 +130,4 @@ def test_change_log_removes_emptied_month(spark):
                                 [(1, jan, 0.0, 3, "delete")]], schema)
     cs = LV.read_stream(spark, f"{root}/in/*", spark.createDataFrame([], schema).schema, max_files_per_trigger=1)
     LV.drain(LV.stream_change_log(cs, f"{root}/table"))
-    assert [r.id for r in spark.read.parquet(f"{root}/table").collect()] == [2]
-    assert not os.path.exists(f"{root}/table/month=2024-01")
+    assert [r.id for r in LV.read_changes(spark, f"{root}/table").collect()] == [2]
