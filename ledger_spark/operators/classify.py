@@ -1,35 +1,33 @@
 """Transaction classifiers (B13 wrapper, H6, H7, H8, H11, H12).
 
 Naive Bayes is fitted with small grouped aggregates (per class: count and
-numeric means/sds; per (class, word): a presence count -- output = classes x
-features). The fitted parameters are a model: small, bounded by classes x
-features, and brought to the driver like any MLlib model's coefficients.
-Scoring is then one column expression per class evaluated row by row inside
-whole-stage codegen -- no join of rows with parameters, no shuffle.
+numeric means/sds; per (class, word): a presence count). The fitted parameters
+(classes x features) come to the driver like any MLlib model's coefficients.
+For scoring they are one constant: an array with an entry per class, holding one
+array of word weights. A row's words are vocabulary numbers, so each weight is an
+array access. The plan has the same size for any number of classes, and rows are
+neither joined with parameters nor shuffled.
 
 Multinomial logistic regression uses MLlib (distributed L-BFGS).
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledger_spark.functions.rules import keyword_classify
-from ledger_spark.operators.joins import bounded_collect
 from ledger_spark.operators.features import amount_features
-from ledger_spark.operators.text import present_words
+from ledger_spark.operators.text import present_words, word_numbers
 
 LOG_SQRT_2PI = 0.5 * math.log(2 * math.pi)
 # Fixed values of the Gaussian naive Bayes scorer: standard deviations and
 # densities at or below EPS are replaced by THRESHOLD.
 NB_EPS = 0.0
 NB_THRESHOLD = 0.001
-# Model size bounds: classes, and (class, word) parameters (classes x vocabulary).
-MAX_CLASSES = 10_000
-MAX_PARAMS = 1_000_000
 
 
 def keyword_predictions(df: DataFrame, text_col: str = "description", out_col: str = "pred_keyword"):
@@ -54,8 +52,8 @@ def nb_feature_frame(df: DataFrame, vocab: list[str], text_col: str = "descripti
 def _word_counts(train: DataFrame, label: str) -> dict:
     """(class, word) -> number of training rows containing the word: explode of
     the small per-row word arrays + a partially aggregated count."""
-    wc = bounded_collect(train.select(label, F.explode("words").alias("w")).groupBy(label, "w")
-                         .agg(F.count(F.lit(1)).alias("c")), MAX_PARAMS, "word counts per class")
+    wc = (train.select(label, F.explode("words").alias("w")).groupBy(label, "w")
+          .agg(F.count(F.lit(1)).alias("c")).collect())  # classes x vocabulary: the model
     return {(r[label], r["w"]): r["c"] for r in wc}
 
 
@@ -69,7 +67,7 @@ def gaussian_nb_fit(train: DataFrame, feature_cols: list[str], label: str = "cat
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in NUMERIC_FEATURES:
         aggs += [F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}")]
-    rows = bounded_collect(train.groupBy(label).agg(*aggs).orderBy(label), MAX_CLASSES, "classes")
+    rows = train.groupBy(label).agg(*aggs).orderBy(label).collect()  # a row per class: the model
     wc = _word_counts(train, label)
     classes = []
     for r in rows:
@@ -94,54 +92,53 @@ def _py_log_density(x: float, mean: float, sd: float | None) -> float:
     return math.log(NB_THRESHOLD if dens <= NB_EPS else dens)
 
 
-def _log_density(x, mean: float, sd: float | None):
-    """log of the normal density with the scorer's floor (sd and density
-    at or below 0 become 0.001)."""
-    sd = _floor_sd(sd)
-    z = (x - F.lit(mean)) / F.lit(sd)
-    dens = F.exp(-0.5 * z * z) / F.lit(sd * math.sqrt(2 * math.pi))
-    return F.log(F.when(dens <= NB_EPS, F.lit(NB_THRESHOLD)).otherwise(dens))
+def _scored(df: DataFrame, words: list[str], classes: list[dict], out_col: str) -> DataFrame:
+    """Label with the greatest base + word weights + numeric log densities; ties
+    go to the first class.
 
+    ``classes`` holds, per class, ``label``, ``base``, ``deltas`` (a weight per
+    vocabulary word) and ``numeric`` (mean and floored sd per numeric feature).
+    """
+    if not classes:
+        return df.withColumn(out_col, F.lit(None).cast("string"))
+    kind = ("array<struct<label:string,base:double,deltas:array<double>,"
+            "numeric:array<struct<mean:double,sd:double>>>>")
+    model = F.from_json(F.lit(json.dumps(classes)), kind)  # folds to one constant
 
-def _map_sum(words_col: str, deltas: dict[str, float]):
-    """sum over the row's words of a per-word constant (a literal map)."""
-    if not deltas:
-        return F.lit(0.0)
-    m = F.create_map(*[x for w, v in deltas.items() for x in (F.lit(w), F.lit(v))])
-    return F.aggregate(words_col, F.lit(0.0), lambda acc, w: acc + F.coalesce(F.element_at(m, w), F.lit(0.0)))
+    def density(x, p):
+        z = (x - p["mean"]) / p["sd"]
+        dens = F.exp(-0.5 * z * z) / (p["sd"] * F.lit(math.sqrt(2 * math.pi)))
+        return F.log(F.when(dens <= NB_EPS, F.lit(NB_THRESHOLD)).otherwise(dens))
 
+    def total(c):
+        s = F.aggregate("_numbers", c["base"], lambda acc, i: acc + F.get(c["deltas"], i))
+        for k, name in enumerate(NUMERIC_FEATURES if classes[0]["numeric"] else []):
+            s = s + density(F.col(name), F.get(c["numeric"], F.lit(k)))
+        return s
 
-def _argmax(scores: list, classes: list[str]):
-    """first maximum in class order"""
-    structs = [F.struct((-sc).alias("neg"), F.lit(i).alias("ord"), F.lit(c).alias("cls"))
-               for i, (sc, c) in enumerate(zip(scores, classes))]
-    return F.array_sort(F.array(*structs))[0]["cls"]
+    ranked = F.transform(model, lambda c, i: F.struct((-total(c)).alias("neg"), i.alias("ord"), c["label"].alias("cls")))
+    return word_numbers(df, words).withColumn(out_col, F.array_min(ranked)["cls"]).drop("_numbers")
 
 
 def gaussian_nb_predict(model: dict, df: DataFrame, out_col: str = "pred_nb") -> DataFrame:
     """H6 predict: argmax over classes of log(count) + sum of log densities;
     ties go to the first class in label order. Word features take only the
     values 0/1, so their log densities are constants per class: a base sum
-    for 'absent' plus a per-word correction looked up for the present words."""
-    words = model["words"]
-    scores, names = [], []
+    for 'absent' plus a correction for each present word."""
+    words, classes = model["words"], []
     for cls, n, params in model["classes"]:
         wp, numeric = params[:len(words)], params[len(words):]
-        base = math.log(n) + sum(_py_log_density(0.0, m, sd) for m, sd in wp)
-        delta = {w: _py_log_density(1.0, m, sd) - _py_log_density(0.0, m, sd) for w, (m, sd) in zip(words, wp)}
-        s = F.lit(base) + _map_sum("words", delta)
-        for c, (m, sd) in zip(NUMERIC_FEATURES, numeric):
-            s = s + _log_density(F.col(c), m, sd)
-        scores.append(s)
-        names.append(cls)
-    return df.withColumn(out_col, _argmax(scores, names))
+        absent = [_py_log_density(0.0, m, sd) for m, sd in wp]
+        classes.append({"label": cls, "base": math.log(n) + sum(absent),
+                        "deltas": [_py_log_density(1.0, m, sd) - a for (m, sd), a in zip(wp, absent)],
+                        "numeric": [{"mean": m, "sd": _floor_sd(sd)} for m, sd in numeric]})
+    return _scored(df, words, classes, out_col)
 
 
 def bernoulli_nb_fit(train: DataFrame, words: list[str], label: str = "category",
                      laplace: float = 1.0) -> dict:
     """H7 fit: P(word | class) = (rows with word + laplace) / (rows + 2*laplace)."""
-    counts = {r[label]: r["n"] for r in bounded_collect(
-        train.groupBy(label).agg(F.count(F.lit(1)).alias("n")), MAX_CLASSES, "classes")}
+    counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     wc = _word_counts(train, label)
     classes = [(cls, n, [(wc.get((cls, w), 0) + laplace) / (n + 2 * laplace) for w in words])
                for cls, n in sorted(counts.items())]
@@ -150,73 +147,70 @@ def bernoulli_nb_fit(train: DataFrame, words: list[str], label: str = "category"
 
 def bernoulli_nb_predict(model: dict, df: DataFrame, out_col: str = "pred_bnb") -> DataFrame:
     total = sum(n for _, n, _ in model["classes"])
-    scores, names = [], []
-    for cls, n, probs in model["classes"]:
-        base = math.log(n / total) + sum(math.log(1 - p) for p in probs)
-        delta = {w: math.log(p) - math.log(1 - p) for w, p in zip(model["words"], probs)}
-        scores.append(F.lit(base) + _map_sum("words", delta))
-        names.append(cls)
-    return df.withColumn(out_col, _argmax(scores, names))
-
-
-# Rows per partition for iterative fitting: every optimiser iteration is a
-# job over the training partitions, so a small training set in many
-# partitions pays scheduling (and an extra tree-aggregation stage) per
-# iteration for nothing. Large sets keep their partitioning.
-FIT_ROWS_PER_PARTITION = 200_000
-
-
-def fit_partitions(train: DataFrame) -> DataFrame:
-    n = train.count()
-    want = max(1, -(-n // FIT_ROWS_PER_PARTITION))
-    return train.coalesce(want) if want < train.rdd.getNumPartitions() else train
+    classes = [{"label": cls, "base": math.log(n / total) + sum(math.log(1 - p) for p in probs),
+                "deltas": [math.log(p) - math.log(1 - p) for p in probs], "numeric": []}
+               for cls, n, probs in model["classes"]]
+    return _scored(df, model["words"], classes, out_col)
 
 
 def logistic_regression_fit(train: DataFrame, features_col: str = "features", label: str = "category",
                             max_iter: int = 100):
-    """H8: multinomial softmax regression without penalty (MLlib), with the
-    label indexed in alphabetical order."""
+    """H8: multinomial softmax regression without penalty (MLlib), one class
+    per label, indexed in alphabetical order. Rows without a label do not train."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IndexToString, StringIndexer
 
-    train = fit_partitions(train)
+    train = train.where(F.col(label).isNotNull())
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc",
-                            handleInvalid="keep").fit(train)
+                            handleInvalid="error").fit(train)
     lr = LogisticRegression(featuresCol=features_col, labelCol="_label", family="multinomial",
                             regParam=0.0, elasticNetParam=0.0, maxIter=max_iter, standardization=True)
     back = IndexToString(inputCol="prediction", outputCol="pred_lr", labels=indexer.labels)
     return Pipeline(stages=[indexer, lr, back]).fit(train)
 
 
+def lr_labels(model) -> list[str]:
+    return list(model.stages[0].labels)
+
+
+def lr_predict(model, df: DataFrame) -> DataFrame:
+    """``pred_lr``, ``probability`` for rows with ``features``: the regression and
+    the label names only, so rows with unknown or no labels are scored too."""
+    return model.stages[2].transform(model.stages[1].transform(df))
+
+
 def score_transactions(model, df: DataFrame, label: str = "category") -> DataFrame:
     """Predicted category, top probability (3 dp) and the correct flag."""
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(df)
-    return scored.withColumns({
+    return lr_predict(model, df).withColumns({
         "predicted_category": F.col("pred_lr"),
         "confidence": F.round(F.array_max(vector_to_array("probability")), 3),
         "correct": F.col("pred_lr") == F.col(label)})
 
 
+def predictions_to_store(scored: DataFrame, id_col: str = "id") -> DataFrame:
+    """The rows that :func:`ledger_spark.sources.maintenance.store_predictions` takes."""
+    return scored.select(F.col(id_col).alias("id"), F.col("predicted_category").alias("predicted_cat"), "confidence")
+
+
 def suggest_category(model, new_rows: DataFrame, vocab: list[str], categories: DataFrame | None = None,
                      text_col: str = "description", amount_col: str = "amount") -> DataFrame:
-    """LR suggestion for new (description, amount) rows; the keyword rules
-    answer when there is no model or the text is empty; optional name -> id."""
-    from ledger_spark.operators.clean import category_id_by_name
+    """Suggestion for new (description, amount) rows of at least three
+    characters (B18; shorter ones get no row). The keyword rules answer when
+    there is no model or the text is blank; optional name -> id (B17)."""
+    from ledger_spark.operators.clean import category_id_by_name, suggestable_input
     from ledger_spark.operators.features import build_features
 
+    new_rows = suggestable_input(new_rows, text_col)
     kw = keyword_classify(text_col)
     if model is None:
         out = new_rows.withColumn("suggested", kw)
     else:
-        feats = build_features(new_rows, vocab, True, text_col, amount_col)
-        scored = model.stages[1].transform(feats)  # LR stage only: no label needed
-        labels = model.stages[0].labels
-        lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
-        empty = F.col(text_col).isNull() | (F.length(F.trim(text_col)) == 0)
-        out = scored.withColumn("suggested", F.when(empty, kw).otherwise(F.coalesce(lab, kw)))
+        scored = lr_predict(model, build_features(new_rows, vocab, True, text_col, amount_col))
+        blank = F.length(F.trim(text_col)) == 0
+        out = scored.withColumn("suggested", F.when(blank, kw).otherwise(F.coalesce("pred_lr", kw)))
         out = out.select(*new_rows.columns, "suggested")
     if categories is not None:
         out = category_id_by_name(out, categories, "suggested", "suggested_category_id")

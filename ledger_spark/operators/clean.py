@@ -1,8 +1,8 @@
 """Cleaning and category mapping.
 
 All of it is narrow: projections and filters in one stage, except the
-category lookup, which is a broadcast hash join against a size-checked
-dimension. No shuffle of the fact table.
+category lookup, a join with the dimension that the planner broadcasts while
+its size in bytes allows. No shuffle of the fact table then.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from ledger_spark.functions.money import to_money
 from ledger_spark.functions.text import clean_description, normalize_category, recurring_flag
-from ledger_spark.operators.joins import broadcast_checked
 from ledger_spark.schema import UNCATEGORIZED
 
 
@@ -72,10 +71,8 @@ def uncategorized_id(categories: DataFrame) -> DataFrame:
 
 def map_categories(clean: DataFrame, categories: DataFrame) -> DataFrame:
     """Left lookup of ``category_raw`` by category name; misses get the id of
-    ``uncategorized``. The dimension is broadcast after a size check and the
-    default id is a scalar subquery, so the fact side never shuffles."""
-    lookup = broadcast_checked(categories.select(F.col("name").alias("category_raw"),
-                                                 F.col("id").alias("category_id")))
+    ``uncategorized``. The default id is a scalar subquery."""
+    lookup = categories.select(F.col("name").alias("category_raw"), F.col("id").alias("category_id"))
     # scalar subquery: evaluated once, then a constant inside the projection
     default = uncategorized_id(categories).select(F.min("_default_id")).scalar()
     return (clean.join(lookup, "category_raw", "left")
@@ -84,14 +81,14 @@ def map_categories(clean: DataFrame, categories: DataFrame) -> DataFrame:
 
 def color_lookup(df: DataFrame, categories: DataFrame, name_col: str = "category") -> DataFrame:
     """Colour by trimmed, lower-cased category name; unknown -> NULL."""
-    colors = broadcast_checked(categories.select(F.lower(F.trim("name")).alias("_k"), "color_hex"))
+    colors = categories.select(F.lower(F.trim("name")).alias("_k"), "color_hex")
     return df.join(colors, F.lower(F.trim(df[name_col])) == colors["_k"], "left").drop("_k")
 
 
 def category_id_by_name(df: DataFrame, categories: DataFrame, name_col: str = "category",
                         out_col: str = "category_id") -> DataFrame:
     """Case-insensitive name -> id (NULL when unknown)."""
-    ids = broadcast_checked(categories.select(F.lower("name").alias("_k"), F.col("id").alias(out_col)))
+    ids = categories.select(F.lower("name").alias("_k"), F.col("id").alias(out_col))
     return df.join(ids, F.lower(df[name_col]) == ids["_k"], "left").drop("_k")
 
 

@@ -17,8 +17,7 @@ from ledger_spark.functions.money import mean_money, round_money
 
 
 def _with_names(df: DataFrame, categories: DataFrame, *extra: str, how: str = "inner") -> DataFrame:
-    """Category name (and ``extra`` columns) by ``category_id`` (checked
-    broadcast join)."""
+    """Category name (and ``extra`` columns) by ``category_id``."""
     from ledger_spark.operators.joins import attach
 
     dim = categories.select("id", F.col("name").alias("category"), *extra)
@@ -30,29 +29,34 @@ def period(t: DataFrame, categories: DataFrame, month: str | None) -> DataFrame:
     return _with_names(t.where(in_month(month)), categories)
 
 
-def kpi_total_avg(t: DataFrame, categories: DataFrame, month: str | None) -> DataFrame:
-    """Total (0 when empty) and mean amount (NULL when empty) of the period."""
+def kpi_total_avg(t: DataFrame, categories: DataFrame, month: str | None,
+                  include_uncategorized: bool = False) -> DataFrame:
+    """Total (0 when empty) and mean amount (NULL when empty) of the period;
+    rows without a known category count with ``include_uncategorized`` only."""
     per = (t.where(in_month(month)).groupBy("category_id")
            .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("s")))
-    j = _with_names(per, categories)
+    j = _with_names(per, categories, how="left" if include_uncategorized else "inner")
     g = j.agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     return g.select(round_money(F.coalesce("s", F.lit(0))).alias("total_spent"),
                     mean_money("s", "n").alias("avg_amount"),
                     F.coalesce("n", F.lit(0)).cast("long").alias("n_transactions"))
 
 
-def kpi_avg_delta(t: DataFrame, categories: DataFrame, month: str) -> DataFrame:
+def kpi_avg_delta(t: DataFrame, categories: DataFrame, month: str,
+                  include_uncategorized: bool = False) -> DataFrame:
     """% change of the period mean vs the previous calendar month's mean.
 
-    The current mean uses categorised rows (as the KPI does), the previous mean
-    all rows. NULL change when there is no previous data or its mean is 0;
+    The current mean uses categorised rows (as the KPI does; all rows with
+    ``include_uncategorized``), the previous mean all rows. NULL change when there is no previous data or its mean is 0;
     direction ``up`` when the change is positive, otherwise ``down``.
     """
     prev = previous_month(month)
     # one scan of the two months, conditional sums (no join between them)
     both = (t.where(in_month(month) | in_month(prev))
             .transform(lambda x: _with_names(x, categories, how="left")))
-    is_cur = in_month(month) & F.col("category").isNotNull()
+    is_cur = in_month(month)
+    if not include_uncategorized:
+        is_cur = is_cur & F.col("category").isNotNull()
     g = both.agg(F.sum(F.when(is_cur, 1).otherwise(0)).alias("cn"),
                  F.sum(F.when(is_cur, F.col("amount"))).alias("cs"),
                  F.sum(F.when(in_month(prev), 1).otherwise(0)).alias("pn"),

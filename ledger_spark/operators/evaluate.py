@@ -77,11 +77,12 @@ def overall_metrics(scored: DataFrame, pred: str, actual: str = "category") -> D
                     ((po - pe) / F.nullif(1 - pe, F.lit(0.0))).alias("kappa"), F.col("t").alias("n"))
 
 
-def model_comparison(results: list[tuple[str, DataFrame]]) -> DataFrame:
-    """One row per attempt, accuracy in % to 1 dp."""
+def model_comparison(results: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """One row per attempt: the rows it was measured on, accuracy in % to 1 dp."""
     out = None
-    for name, acc in results:
-        row = acc.select(F.lit(name).alias("attempt"), F.round(F.col("accuracy") * 100, 1).alias("accuracy"))
+    for name, acc, scope in results:
+        row = acc.select(F.lit(name).alias("attempt"), F.lit(scope).alias("scope"),
+                         F.round(F.col("accuracy") * 100, 1).alias("accuracy"))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -3,9 +3,10 @@
 The split is exact (the first ceil(0.8 n_c) rows of each class in a seeded
 hash order go to training) yet never sorts a whole class in one task: a
 histogram of the hash's top 16 bits per class (one small aggregate) locates
-the boundary bucket of each class, rows below/above it are decided by a
-comparison, and only the rows inside the boundary bucket (about n_c / 65536
-of them) are ranked with a window.
+the boundary bucket of each class, and the ids inside it (about n_c / 65536 of
+them) are ranked to find the class's exact (hash, id) threshold. Both passes read
+ids and labels only. The rows themselves, texts and all, are read once and decided
+by comparison with their class's threshold.
 """
 
 from __future__ import annotations
@@ -16,9 +17,7 @@ from pyspark.sql import Window
 
 from ledger_spark.functions.rules import amount_bucket, is_large, is_round, log_amount
 from ledger_spark.schema import BUCKET_LABELS
-
-# Classes beyond this count are joined instead of looked up in a literal map.
-MAX_CLASSES = 10_000
+from ledger_spark.session import materialize
 
 
 def amount_features(df: DataFrame, amount_col: str = "amount") -> DataFrame:
@@ -47,39 +46,28 @@ def stratified_split(df: DataFrame, label: str = "category", p_num: int = 4, p_d
     """H5: add ``split`` = train/test; per class the first ceil(p*n) rows in
     md5 order (ties by id) are training rows. p = p_num / p_den.
     """
-    out_cols = [*df.columns, "split"]
+    out_cols = [F.col(c) for c in df.columns]
     # internal class key: text, with NULL labels kept as a class of their own
-    df = df.withColumn("_lab", F.coalesce(F.col(label).cast("string"), F.lit("\u0000")))
-    label = "_lab"
-    keyed = df.withColumn("_h", split_key(id_col, seed)).withColumn(
+    df = df.withColumns({"_lab": F.coalesce(F.col(label).cast("string"), F.lit("\u0000")),
+                         "_h": split_key(id_col, seed)})
+    keys = df.select("_lab", "_h", F.col(id_col).alias("_id")).withColumn(
         "_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
-    hist = keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(label).orderBy("_b")  # per class: <= 65536 histogram rows
+    hist = keys.groupBy("_lab", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy("_lab").orderBy("_b")  # per class: <= 65536 histogram rows
     hist = (hist.withColumn("_cum", F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("_tot", F.sum("_cnt").over(Window.partitionBy(label))))
+            .withColumn("_tot", F.sum("_cnt").over(Window.partitionBy("_lab"))))
     hist = hist.withColumn("_k", F.expr(f"(({p_num} * _tot + {p_den} - 1) div {p_den})"))
-    bound = (hist.where(F.col("_cum") >= F.col("_k"))
-             .groupBy(label).agg(F.min_by(F.struct("_b", (F.col("_k") - F.col("_cum") + F.col("_cnt"))
-                                                   .alias("_need")), "_b").alias("_x"))
-             .select(label, F.col("_x._b").alias("_bb"), F.col("_x._need").alias("_need")))
-    # one row per class; fetched once (checked bound) and applied as a literal
-    # map, so the rows are never joined or shuffled for it
-    rows = bound.limit(MAX_CLASSES + 1).collect()
-    if len(rows) <= MAX_CLASSES:
-        bb = F.create_map(*[x for r in rows for x in (F.lit(r[label]), F.lit(r["_bb"]))]) if rows else None
-        nd = F.create_map(*[x for r in rows for x in (F.lit(r[label]), F.lit(r["_need"]))]) if rows else None
-        j = keyed.withColumns({"_bb": F.element_at(bb, F.col(label)) if rows else F.lit(None).cast("int"),
-                               "_need": F.element_at(nd, F.col(label)) if rows else F.lit(None).cast("long")})
-    else:  # too many classes for a map: a (sort-merge) join on the class
-        j = keyed.join(bound, label, "left")
-    inside = j.where(F.col("_b") == F.col("_bb"))
-    outside = j.where(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb")))
-    inside = inside.withColumn("_r", F.row_number().over(
-        Window.partitionBy(label).orderBy("_h", id_col)))
-    dec_out = outside.withColumn("split", F.when(F.col("_bb").isNull() | (F.col("_b") < F.col("_bb")), "train")
-                                 .otherwise("test"))
-    dec_in = inside.withColumn("split", F.when(F.col("_r") <= F.col("_need"), "train").otherwise("test"))
-    return dec_out.select(*out_cols).unionByName(dec_in.select(*out_cols))
+    bound = materialize(hist.where(F.col("_cum") >= F.col("_k")).groupBy("_lab").agg(
+        F.min_by(F.struct("_b", (F.col("_k") - F.col("_cum") + F.col("_cnt")).alias("_need")), "_b").alias("_x"))
+        .select("_lab", F.col("_x._b").alias("_b"), F.col("_x._need").alias("_need")))
+    inside = keys.join(bound, ["_lab", "_b"])
+    rank = F.row_number().over(Window.partitionBy("_lab").orderBy("_h", "_id"))
+    # one row per class in a table of known size
+    last = materialize(inside.withColumn("_r", rank).where(F.col("_r") == F.col("_need"))
+                       .select("_lab", F.struct("_h", "_id").alias("_last")))
+    j = df.join(last, "_lab", "left")
+    in_train = F.struct(F.col("_h"), F.col(id_col).alias("_id")) <= F.col("_last")
+    return j.select(*out_cols, F.when(in_train, "train").otherwise("test").alias("split"))
 
 
 def build_features(df: DataFrame, vocab: list[str], with_bucket: bool = True,

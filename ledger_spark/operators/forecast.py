@@ -261,11 +261,6 @@ def moving_average(series: DataFrame, n: int = 3) -> DataFrame:
     return series.withColumn("ma", last_n_mean(F.col("xs"), n))
 
 
-def first_last(series: DataFrame) -> DataFrame:
-    """First and last value of each series."""
-    return series.select("*", F.col("xs")[0].alias("first"), F.element_at("xs", -1).alias("last"))
-
-
 def ensemble_forecast(series: DataFrame) -> DataFrame:
     """Mean of Holt (rounded to 2 dp first), linear trend and 3-month mean.
 

@@ -1,10 +1,9 @@
-"""Join helpers (C1-C7 building blocks).
+"""Join helpers (C2 and the dimension lookups).
 
-Broadcasting is only done behind a size check: a side is broadcast when it
-is proven to hold at most ``max_rows`` rows (checked with a bounded
-``limit(max_rows + 1).count()``, which stops reading once the bound is passed).
-Beyond the bound the join is left to the planner (sort-merge / shuffled hash,
-with AQE skew splitting).
+No join carries a broadcast hint. Dimensions come as local or stored tables
+whose size the planner knows in bytes, so it broadcasts them below
+``spark.sql.autoBroadcastJoinThreshold`` and sort-merges beyond it, where AQE
+splits skewed keys.
 """
 
 from __future__ import annotations
@@ -12,52 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Category/label dimensions are tiny by nature; 1M rows is a safe upper bound
-# for an executor-side hash table of a few short columns.
-DIMENSION_MAX_ROWS = 1_000_000
-
-
-def is_bounded(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` when its row count is proven small, else ``df``."""
-    return F.broadcast(df) if is_bounded(df, max_rows) else df
-
-
-def with_category(t: DataFrame, categories: DataFrame, how: str = "inner",
-                  cols=("name",), checked: bool = True) -> DataFrame:
-    """Fact (inner) join the category dimension on ``category_id``."""
-    c = categories.select(F.col("id").alias("category_id"), *cols)
-    c = broadcast_checked(c) if checked else c
-    return t.join(c, "category_id", how)
-
-
-def restrict_to_vocab(tokens: DataFrame, vocab: DataFrame, word_col: str = "word") -> DataFrame:
-    """Keep tokens whose word is in the (bounded) vocabulary: semi join."""
-    return tokens.join(broadcast_checked(vocab.select(word_col)), word_col, "left_semi")
-
-
-class TooManyRows(ValueError):
-    """A frame that must be small (model parameters, labels) is not."""
-
-
-def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
-    """Collect a frame that is small by nature (labels, model parameters,
-    months of a batch), reading at most ``max_rows + 1`` rows and failing
-    loudly instead of pulling an unbounded result into the driver."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise TooManyRows(f"{what}: more than {max_rows} rows")
-    return rows
-
 
 def attach(df: DataFrame, dim: DataFrame, key: str, dim_key: str, value_cols: list[str],
            how: str = "inner") -> DataFrame:
-    """Join a small dimension's columns onto ``df`` by key through a
-    size-checked broadcast hash join (codegen'd hash probe per row; measured
-    faster than a literal-map lookup, which probes linearly)."""
-    d = broadcast_checked(dim.select(F.col(dim_key).alias(key), *value_cols))
-    return df.join(d, key, how)
+    """Join a dimension's columns onto ``df`` by key."""
+    return df.join(dim.select(F.col(dim_key).alias(key), *value_cols), key, how)

@@ -48,6 +48,12 @@ def present_words(df: DataFrame, vocab: list[str], text_col: str = "description"
     return df.withColumn(out_col, F.array_intersect(token_array(text_col), v))
 
 
+def word_numbers(df: DataFrame, vocab: list[str], words_col: str = "words", out_col: str = "_numbers") -> DataFrame:
+    """The row's vocabulary words as their positions in the vocabulary."""
+    v = F.array(*[F.lit(w) for w in vocab]) if vocab else F.array().cast("array<string>")
+    return df.withColumn(out_col, F.transform(words_col, lambda w: F.array_position(v, w).cast("int") - 1))
+
+
 def document_term_matrix(df: DataFrame, vocab: list[str], id_col: str = "id",
                          text_col: str = "description") -> DataFrame:
     """One 0/1 column per vocabulary word (column name = the word)."""

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from ledger_spark.schema import (KEYWORD_RULES, RECURRING_PATTERN, SEED_CATEGORIES,
                                  STATUS_OVER, STATUS_UNDER, DEFAULT_COLOR)
-from ledger_spark.sources.tables import FIXTURE_ESSENTIAL
+from ledger_spark.sources.tables import FIXTURE_ESSENTIAL, UNSPENT_BUDGET
 
 
 def q(s: str) -> str:
@@ -101,6 +101,10 @@ budgets AS (
   SELECT category_id, strftime(CAST(date_trunc('month', date) + INTERVAL 1 MONTH AS DATE), '%Y-%m') AS month,
          sum(amount) AS budget_amt
   FROM transactions GROUP BY ALL
+  UNION ALL
+  SELECT DISTINCT (SELECT min(id) FROM categories WHERE name = {q(UNSPENT_BUDGET[0])}),
+         strftime(CAST(date_trunc('month', date) + INTERVAL 1 MONTH AS DATE), '%Y-%m'), {UNSPENT_BUDGET[1]}
+  FROM transactions
 )
 """
 

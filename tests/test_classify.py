@@ -80,11 +80,14 @@ def test_logistic_regression_and_suggest(spark):
     vocab = TX.vocabulary_list(TX.tokenize(docs))
     feats = FE.build_features(docs, vocab)
     model = CL.logistic_regression_fit(feats.where("split = 'train'"), max_iter=30)
-    acc = EV.accuracy(model.transform(feats.where("split = 'test'")), "pred_lr").first().accuracy
+    assert model.stages[1].numClasses == 4 == len(CL.lr_labels(model))
+    acc = EV.accuracy(CL.lr_predict(model, feats.where("split = 'test'")), "pred_lr").first().accuracy
     kw = EV.accuracy(CL.keyword_predictions(docs), "pred_keyword").first().accuracy
     assert acc > kw
-    new = spark.createDataFrame([(1, "", 5.0), (2, "the of and", 2000.0)], "id long, description string, amount double")
+    new = spark.createDataFrame([(1, "   ", 5.0), (2, "the of and", 2000.0), (3, "of", 5.0), (4, None, 5.0)],
+                                "id long, description string, amount double")
     out = {r.id: r.suggested for r in CL.suggest_category(model, new, vocab).collect()}
+    assert set(out) == {1, 2}  # under three characters there is no suggestion
     assert out[1] == "uncategorized" and out[2] in {"en", "fr", "de", "es"}
     fallback = CL.suggest_category(None, new, vocab).collect()
     assert all(r.suggested == "uncategorized" for r in fallback)
@@ -96,3 +99,23 @@ def test_split_keeps_null_labels(spark):
     got = {(r.category, r.split): r.n for r in s.groupBy("category", "split").agg(F.count("*").alias("n")).collect()}
     assert got[(None, "train")] == (4 * 10 + 4) // 5 and got[("a", "train")] == (4 * 30 + 4) // 5
     assert s.count() == 40
+
+
+def test_many_classes_have_no_cap(spark):
+    df = spark.range(1200).select(F.col("id"), F.concat(F.lit("c"), F.col("id")).alias("category"), F.lit("coffee").alias("description"),
+                                  (F.col("id") + 1).cast("decimal(12,2)").alias("amount"))
+    f, _ = CL.nb_feature_frame(df, ["coffee"])
+    model = CL.bernoulli_nb_fit(f, ["coffee"])
+    assert len(model["classes"]) == 1200
+    p = CL.bernoulli_nb_predict(model, f)
+    assert p.limit(5).count() == 5 and len(p._jdf.queryExecution().analyzed().toString()) < 1_000_000
+
+
+def test_unlabelled_rows_are_scored_but_do_not_train(spark):
+    df = _tiny(spark)
+    more = df.unionByName(df.limit(1).withColumn("category", F.lit(None).cast("string")))
+    feats = FE.build_features(more, ["coffee", "rent", "flat"])
+    model = CL.logistic_regression_fit(feats, max_iter=10)
+    assert CL.lr_labels(model) == ["food", "rent"] and model.stages[1].numClasses == 2
+    scored = CL.score_transactions(model, feats)
+    assert scored.count() == 7 and scored.where("predicted_category IS NULL").count() == 0

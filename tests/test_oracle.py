@@ -7,6 +7,13 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+#: Queries whose rows depend on an optimiser's path. What does not is held by
+#: lr_probability_mass, score_transactions_consistency, model_comparison_exact,
+#: lr_per_class_support and keyword_suggestions.
+NO_ORACLE = {"logistic_regression_predictions", "score_transactions", "model_comparison", "lr_per_class_metrics",
+             "suggest_category", "stream_suggest"}
+
+
 @pytest.fixture(scope="module")
 def duck():
     import duckdb
@@ -20,7 +27,7 @@ def duck():
 def _names():
     import __spark_entry__ as E
 
-    return list(E.queries())
+    return [n for n in E.queries() if n != "pipeline" and not n.startswith("op")]  # those have tests/llm
 
 
 @pytest.mark.parametrize("name", _names())
@@ -33,7 +40,7 @@ def test_query_matches_oracle(spark, duck, name):
     rows = [tuple(r) for r in df.collect()]
     sql = E.oracle_sql().get(name)
     if sql is None:
-        assert len(cols) > 0
+        assert name in NO_ORACLE and len(rows) > 0, name
         return
     res = duck.execute(sql)
     dcols = [d[0] for d in res.description]

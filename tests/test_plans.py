@@ -67,3 +67,81 @@ def test_hot_key_aggregate_is_exact(spark):
         .alias("description"), F.lit(1).cast("decimal(12,2)").alias("amount"))
     hot = recurring(t).where("description = 'HOT'").first()
     assert hot.total_paid == n // 3 and hot.months_seen == 3
+
+
+def test_split_reads_the_texts_once(spark):
+    from ledger_spark.operators.features import stratified_split
+    from ledger_spark.sources.tables import labelled_documents
+
+    p = plan(stratified_split(labelled_documents(spark, SF_SMALL)))
+    assert p.count("text:string") == 1
+
+
+def test_queries_follow_the_files(spark, tmp_path):
+    """Nothing fitted or read is kept between calls."""
+    import shutil
+
+    import __spark_entry__ as E
+
+    d = str(tmp_path / "sf")
+    shutil.copytree(SF_SMALL, d)
+    names = ["vocabulary", "categories_fixture", "bernoulli_nb_predictions"]
+    before = {n: E.queries()[n](spark, d).collect() for n in names}
+    docs, customers = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "customer"))
+    docs.selectExpr("doc_id", "concat('zzz zzz ', text) AS text", "if(doc_id % 2 = 0, 'xx', 'yy') AS lang", "source",
+                    "n_chars").write.mode("overwrite").parquet(f"{d}/new")
+    customers.selectExpr("*").withColumn("c_mktsegment", customers.c_mktsegment.substr(1, 3)).write.parquet(f"{d}/newc")
+    import os
+    os.remove(f"{d}/documents.parquet")
+    os.remove(f"{d}/customer.parquet")
+    os.rename(f"{d}/new", f"{d}/documents.parquet")
+    os.rename(f"{d}/newc", f"{d}/customer.parquet")
+    after = {n: E.queries()[n](spark, d).collect() for n in names}
+    assert all(before[n] != after[n] for n in names)
+    assert "zzz" in {r.word for r in after["vocabulary"]}
+
+
+@pytest.mark.parametrize("name", ["llm", "llm and pipeline"])
+def test_the_library_does_without_the_optional_parts(tmp_path, name):
+    """The entry module imports, and its queries are there, without ``llm``."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "repo"
+    ignore = shutil.ignore_patterns(".git", "tests", "__pycache__", "llm", *(["corpus_pipeline.py"] if "pipeline" in name else []))
+    shutil.copytree(root, copy, ignore=ignore)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), 'pipeline' in q, any(x.startswith('op') for x in q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(copy)})
+    assert out.returncode == 0, out.stderr
+    n, pipeline, ops = out.stdout.split()
+    assert int(n) > 60 and pipeline == "False" and ops == "False"
+
+
+def test_a_submitted_session_keeps_its_settings(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("from ledger_spark.session import get_spark\ns = get_spark()\n"
+            "print('GOT', s.sparkContext.master, s.conf.get('spark.sql.session.timeZone'), s.sparkContext.appName, "
+            "s.conf.get('spark.sql.adaptive.enabled'))")
+    env = {**os.environ, "PYTHONPATH": root, "PYSPARK_SUBMIT_ARGS":
+           "--master local[2] --name mine --conf spark.ui.enabled=false --conf spark.sql.session.timeZone=Asia/Tokyo pyspark-shell"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env)
+    got = [x for x in out.stdout.splitlines() if x.startswith("GOT")]
+    assert got and got[0].split()[1:3] == ["local[2]", "Asia/Tokyo"], out.stderr[-2000:]
+
+
+def test_a_cluster_without_checkpoint_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from ledger_spark.session import checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="yarn")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc))

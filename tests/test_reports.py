@@ -36,7 +36,7 @@ def test_budget_without_spend_is_over_and_sorted_first(spark, cats):
                               "id long, category_id long, month string, budget_amt int") \
         .withColumn("budget_amt", F.col("budget_amt").cast("decimal(12,2)"))
     t = tx(spark, [(1, "2024-06-03", "X", "900.00", "rent")], cats)
-    out = R.budget_vs_actual_ordered(R.budget_vs_actual(b, cats, t, "2024-06")).collect()
+    out = R.budget_vs_actual(b, cats, t, "2024-06").collect()
     assert out[0].category == "health" and out[0].variance is None and "Over" in out[0].status
     assert out[1].variance == -100.0 and "Under" in out[1].status
     under = R.budget_vs_actual(b, cats, t, "2024-06", no_spend="under").where("category = 'health'").first()
@@ -122,3 +122,35 @@ def test_color_lookup_unknown_is_null(spark, cats):
     df = spark.createDataFrame([(" Rent ",), ("nope",)], "category string")
     got = {r.category: r.color_hex for r in color_lookup(df, cats).collect()}
     assert got == {" Rent ": "#EF4444", "nope": None}
+
+
+def _spread(spark, cats):
+    rows = [(i, f"2024-{1 + (i * 7) % 5:02d}-{1 + (i * 11) % 28:02d}", f"SHOP{i % 4}", f"{(i * 37) % 90 + 1}.00",
+             ("rent", "health", "travel", "cash")[i % 4]) for i in range(80)]
+    return tx(spark, rows, cats)
+
+
+def test_reports_come_in_their_order(spark, cats):
+    t = _spread(spark, cats)
+    orders = {
+        "monthly_summary": (R.monthly_summary(t), lambda r: r.month),
+        "load_summary": (R.load_summary(t), lambda r: r.month),
+        "by_category": (R.by_category(t, cats), lambda r: (-r.total_spent, r.category)),
+        "month_category": (R.month_category(t, cats), lambda r: (r.month, -r.total_spent, r.category)),
+        "top_expenses": (R.top_expenses(t, cats, 10), lambda r: -r.amount),
+        "recurring": (R.recurring(t, 2), lambda r: (-r.total_paid, r.description)),
+        "month_over_month": (R.month_over_month(t), lambda r: r.month),
+        "merchant_search": (R.merchant_search(t, ["shop"]), lambda r: (r.date, r.id)),
+        "rolling_average": (R.rolling_average(t), lambda r: r.date),
+    }
+    for name, (df, key) in orders.items():
+        rows = [key(r) for r in df.collect()]
+        assert len(rows) > 1 and rows == sorted(rows), name
+
+
+def test_fill_gaps(spark):
+    t = tx(spark, [(1, "2024-01-30", "A", "10.00", None), (2, "2024-04-02", "A", "30.00", None)])
+    assert [(r.month, r.total_spent, r.mom_change) for r in R.month_over_month(t, fill_gaps=True).collect()] == [
+        ("2024-01", 10.0, None), ("2024-02", 0.0, -10.0), ("2024-03", 0.0, 0.0), ("2024-04", 30.0, 30.0)]
+    days = R.rolling_average(t, 2, fill_gaps=True).collect()
+    assert len(days) == 64 and days[1].rolling_7d_avg == 5.0 and days[2].rolling_7d_avg == 0.0
