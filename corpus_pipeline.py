@@ -13,12 +13,10 @@ empty table stays empty.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ledger_spark.llm import decontaminate, linededup, mixing, quality, simhash
-from ledger_spark.llm.common import scratch_root, table
+from ledger_spark.llm.common import table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed documents. Each stage's rows are written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{scratch_root(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        result = stage(spark, docs, sf_dir)
-        result.write.parquet(path)
-        docs = spark.read.schema(result.schema).parquet(path)
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledger_spark.session import checkpoint_dir
+from ledger_spark.session import scratch_dir
 
 #: Rows of a batch that a Python worker turns into Python strings at once.
 SLICE_ROWS = 256
@@ -38,25 +38,14 @@ def may_learn(key: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(fold(key, modulus) != remainder, F.lit(False))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}"
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the file."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove what :func:`written` wrote in this application. Only call it when
-    no returned DataFrame is still to be read."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def smallest_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
     """At most ``n`` rows, those with the smallest key hash: a repeatable sample
     of a size that does not grow with the data."""
