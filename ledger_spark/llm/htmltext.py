@@ -39,6 +39,9 @@ CONSTANT_SHARE = 0.05
 #: Children of a node that are kept apart although tag and class repeat;
 #: paragraphs, items and the like always are one repeated node.
 SEPARATE = 24
+#: Nodes below this depth belong to their ancestor at it; elements open beyond the
+#: second number are transparent (browsers end at 512 as well).
+TREE_DEPTH, OPEN_ELEMENTS = 48, 512
 #: Where no article is marked, blocks with more of their text in links are menus.
 LINK_SHARE = 0.8
 
@@ -71,7 +74,10 @@ HEADING_WORDS = frozenset("header masthead".split())
 ARTICLE_MARKS = frozenset("articlebody article-body article-content article-text entry-content post-content post-body "
                           "story-body main-content main".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+#: A quoted value may hold "<" only if it is short: what nothing closes ends at the
+#: next "<", so that reading a page takes time in proportion to its length.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"(?:[^\"<]*|[^\"]{0,300})\"|"
+                  r"'(?:[^'<]*|[^']{0,300})')*+)>|<[!?][^<>]*>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/<>]+)")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -119,12 +125,14 @@ class Page:
 
     def __init__(self, source: str | None, kinds: _Kinds):
         self.labels, self.parents, self.children = ["page"], [-1], [[]]
-        self.plain, self.inside, self.hashes = [False], [False], [0]
+        self.plain, self.inside, self.hashes, self.depths = [False], [False], [0], [0]
         self.blocks: list[tuple[int, str, float]] = []  # (node, text, share in links)
         if source:
             self._read(source, kinds)
 
     def _child(self, parent: int, label: str, tag: str, inside: bool) -> int:
+        if self.depths[parent] >= TREE_DEPTH:
+            return parent
         last = self.children[parent][-1] if self.children[parent] else -1
         if last >= 0 and self.labels[last] == label and self.inside[last] == inside and (
                 tag in PLAIN or len(self.children[parent]) >= SEPARATE):
@@ -137,6 +145,7 @@ class Page:
         self.plain.append(inside and label == tag and tag in PLAIN)
         self.inside.append(inside)
         self.hashes.append(0)
+        self.depths.append(self.depths[parent] + 1)
         return node
 
     def _read(self, source: str, kinds: _Kinds) -> None:
@@ -215,7 +224,8 @@ class Page:
                 links = 0
             if not (out or left_out) and tag not in ("html", "body"):
                 node = self._child(node, label, tag, self.inside[node] or article)
-            stack.append((tag, node, out or left_out))
+            if len(stack) < OPEN_ELEMENTS:
+                stack.append((tag, node, out or left_out))
         flush()
 
     @staticmethod

@@ -1,14 +1,18 @@
 """Line de-duplication by pairwise alignment (patience diff).
 
-The units are lines, and the sentences of a line, so that a repeated passage is
-found wherever a line breaks. Of every unit text the document with the smallest
-id that holds it is its owner; the owner is never cut for it.
+The units are lines, cut further after about every sixth word, namely after words
+whose hash says so. So a passage is cut into the same units wherever it stands
+and however the lines around it break; only its first and last unit may run into
+other text. Of every run of units the document with the smallest id that holds it
+is its owner; the owner is never cut for it.
 
 1. Units are hashed; per document the hashes and word counts are kept, in order.
-2. Units of at least ``ANCHOR_WORDS`` words that several documents hold link each
-   later document to the owner. This gives one pair per document and owner, never
-   all pairs of a unit's documents, however many share it. A pair stays when the
-   linking units have ``SHARED_WORDS`` words in all.
+   A line hash to search by is that of a run of units of ``ANCHOR_WORDS`` words or
+   more. Of each ``WINNOW`` consecutive ones the smallest are taken, so documents
+   that share as many consecutive ones share a taken one.
+2. A line hash that several documents hold links each later one to the owner.
+   This gives one pair per document and owner, never all pairs of the documents
+   that share a line, however many they are.
 3. Each pair is aligned by patience diff: units that occur once on both sides
    anchor it (longest increasing subsequence), and what lies between anchors is
    aligned the same way.
@@ -16,44 +20,103 @@ id that holds it is its owner; the owner is never cut for it.
    are deleted from the later document; all other text stays, character for
    character.
 
-Nulls and ties: a NULL or empty text has no units and stays. Rows that share a
-doc_id are versions of one document: not compared with each other, each cut by
-its own alignment; the same holds for rows without a doc_id, which come last.
-Repeated units inside one document stay.
+Nulls and ties: a NULL, empty or blank text has no units and stays. Rows that
+share a doc_id are versions of one document: not compared with each other, each
+cut by its own alignment; the same holds for rows without a doc_id, which come
+last. Repeated units inside one document stay.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, compress
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ledger_spark.llm.common import written
+from ledger_spark.llm.common import slices, written
 
-ANCHOR_WORDS = 4
-SHARED_WORDS = 12
+#: One word in so many ends a unit.
+UNIT_WORDS = 6
+ANCHOR_WORDS = 5
+WINNOW = 3
 BLOCK_WORDS = 20
-#: A unit ends after a line break, and after a sentence's end with its blank.
-_UNIT_END = r"(?<=\n)|(?<=[.!?…][ \t])"
+#: Words that a worker remembers as ending a unit or not.
+REMEMBER = 300_000
+_WORD = re.compile(r"\s*\S+\s*")
 _LAST = (1 << 63) - 1
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def units(text: Column) -> Column:
-    """The pieces of a text; joined they are the text."""
-    return F.split(text, _UNIT_END, -1)
+class Ends(dict):
+    """Does a word (with the white space around it) end its unit?"""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) >= REMEMBER:
+            self.clear()
+        found = self[word] = "\n" in word or xxhash.xxh64_intdigest(word.strip()) % UNIT_WORDS == 0
+        return found
+
+
+def units(text: str | None, ends: Ends) -> tuple[list[str], list[int]]:
+    """(pieces of a text, which joined are the text; their word counts)."""
+    words = _WORD.findall(text or "")
+    if not words:
+        return [], []
+    stops = list(compress(range(1, len(words) + 1), map(ends.__getitem__, words)))
+    if not stops or stops[-1] != len(words):
+        stops.append(len(words))
+    starts = [0, *stops[:-1]]
+    return ["".join(words[a:b]) for a, b in zip(starts, stops)], [b - a for a, b in zip(starts, stops)]
+
+
+def hashes(pieces: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(p.strip()) for p in pieces), np.uint64, len(pieces))
+
+
+def line_hashes(unit_hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The winnowed hashes of runs of at least ``ANCHOR_WORDS`` words."""
+    if not len(words):
+        return unit_hashes
+    total = words.copy()
+    run = unit_hashes.copy()
+    for step in range(1, ANCHOR_WORDS):  # a unit has a word at least
+        short = np.flatnonzero(total[:max(0, len(words) - step)] < ANCHOR_WORDS)
+        run[short] = run[short] * _FACTOR + unit_hashes[short + step]
+        total[short] += words[short + step]
+    run = run[total >= ANCHOR_WORDS]
+    if len(run) <= WINNOW:
+        return run[run == run.min()] if len(run) else run
+    least = np.lib.stride_tricks.sliding_window_view(run, WINNOW).min(axis=1)
+    return np.unique(least)
 
 
 def _sequences(docs: DataFrame) -> DataFrame:
-    """(id, version, hashes, words) of each distinct row."""
-    pieces = F.transform(units(F.col("text")), lambda u: F.trim(u, F.lit(" \t\r\n")))
-    return (docs.filter("length(text) > 0")
-            .select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
-                    F.xxhash64("text").alias("version"), pieces.alias("pieces"))
-            .select("id", "version", F.transform("pieces", lambda u: F.xxhash64(u)).alias("hashes"),
-                    F.transform("pieces", lambda u: F.when(u == "", 0).otherwise(
-                        F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) + 1)).alias("words")))
+    """(id, version, hashes, words, lines) of each row that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = Ends()
+        for part in slices(batches):
+            out: list[list] = [[], [], []]
+            for text in part.column(2).to_pylist():
+                pieces, words = units(text, ends)
+                h = hashes(pieces)
+                out[0].append(h.view(np.int64))
+                out[1].append(np.array(words, np.int32))
+                out[2].append(line_hashes(h, np.array(words, np.int64)).view(np.int64))
+            lists = [pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, x))], pa.int32()), pa.array(np.concatenate(x)))
+                     for x in out]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists],
+                                             ["id", "version", "hashes", "words", "lines"])
+
+    rows = docs.filter("length(text) > 0").select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("version"), "text")
+    return rows.mapInArrow(run, "id long, version long, hashes array<long>, words array<int>, lines array<long>")
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -117,15 +180,13 @@ def common_blocks(later: list, words: list[int], owner: list, block_words: int =
 
 def _cuts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, version, cut): the unit positions to delete."""
-    sequences = written(_sequences(docs).dropDuplicates(["id", "version"]), "lines-sequences")
-    anchors = (sequences.select("id", "version", F.explode(F.arrays_zip("hashes", "words")).alias("u"))
-               .select("id", "version", F.col("u.hashes").alias("hash"), F.col("u.words").alias("words"))
-               .filter(F.col("words") >= ANCHOR_WORDS))
-    shared = written(anchors.groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
-                     .filter("owner < last").select("hash", "owner"), "lines-shared")
-    pairs = written(anchors.join(shared, "hash").filter("owner < id").groupBy("id", "version", "owner")
-                    .agg(F.sum("words").alias("words")).filter(F.col("words") >= SHARED_WORDS)
-                    .select("id", "version", "owner"), "lines-pairs")
+    every = written(_sequences(docs), "lines-sequences")
+    sequences = every.dropDuplicates(["id", "version"])
+    lines = every.select("id", "version", F.explode("lines").alias("line"))
+    shared = written(lines.groupBy("line").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
+                     .filter("owner < last").select("line", "owner"), "lines-shared")
+    pairs = written(lines.join(shared, "line").filter("owner < id").select("id", "version", "owner").distinct(),
+                    "lines-pairs")
     owners = sequences.select(F.col("id").alias("owner"), F.col("hashes").alias("owner_hashes"))
     both = pairs.join(sequences, ["id", "version"]).join(owners, "owner")
 
@@ -155,16 +216,27 @@ def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("cut").alias("__positions"))
     here = ((F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("__id"))
             & (F.xxhash64("text") == F.col("__version")))
+    joined = docs.join(cuts, here, "left").select(*docs.columns, "__positions")
+    at = docs.columns.index("text")
 
-    def rest(pieces: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("__positions"))
-        return F.array_join(F.transform(kept, lambda i: F.get(pieces, i)), "")
-
-    # the pieces are a lambda's variable: split once a row, not once a unit
-    cut = F.element_at(F.transform(F.array(units(F.col("text"))), rest), 1)
-    names = [F.when(F.col("__positions").isNotNull(), cut).otherwise(F.col("text")).alias("text")
-             if name == "text" else F.col(name) for name in docs.columns]
-    return docs.join(cuts, here, "left").select(*names, F.coalesce(F.size("__positions"), F.lit(0)).alias("__cut"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = Ends()
+        for part in slices(batches):
+            positions, counts = part.column(len(names) - 1), np.zeros(part.num_rows, np.int32)
+            columns = list(part.columns[:-1])
+            cut_rows = [r for r in range(part.num_rows) if positions[r].is_valid]
+            if cut_rows:
+                texts = columns[at].to_pylist()
+                for r in cut_rows:
+                    gone = set(positions[r].as_py())
+                    pieces, _ = units(texts[r], ends)
+                    texts[r] = "".join(p for i, p in enumerate(pieces) if i not in gone)
+                    counts[r] = len(gone)
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names)
+
+    names = [*docs.columns, "__cut"]
+    return joined.mapInArrow(run, StructType([*docs.schema.fields, StructField("__cut", IntegerType())]))
 
 
 def drop_repeats(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
