@@ -10,6 +10,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -52,6 +54,35 @@ def smallest_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
 
 
+#: Bits of :func:`may_contain`'s filter: 4 MB, whatever the number of keys.
+FILTER_BITS = 1 << 25
+
+
+def may_contain(keys: DataFrame, key: str, probe: Column) -> Column:
+    """False where ``probe`` is surely none of ``keys``; true for every key and,
+    by chance, for some other values (a Bloom filter with one hash).
+
+    It separates the rows that a decision may concern from those that can pass
+    without being shuffled; what it lets through still needs the exact join. Its
+    size is fixed, so it may be broadcast; the more keys, the less it separates.
+    """
+    spark = keys.sparkSession
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    found = (keys.select(place(F.col(key)).alias("at"))
+             .groupBy(F.shiftright("at", 5).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 31 AS INT))")).alias("bits")).toArrow())
+    table = np.zeros(FILTER_BITS >> 5, np.int64)  # at most as many rows
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(table.astype(np.uint32))
+
+    @F.pandas_udf("boolean")
+    def test(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    return test(place(probe))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

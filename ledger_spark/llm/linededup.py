@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ledger_spark.llm.common import slices, written
+from ledger_spark.llm.common import may_contain, slices, written
 
 #: One word in so many ends a unit.
 UNIT_WORDS = 6
@@ -214,9 +214,11 @@ def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     many units of the row were deleted."""
     cuts = _cuts(docs.select("doc_id", "text"), block_words).select(
         F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("cut").alias("__positions"))
-    here = ((F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("__id"))
-            & (F.xxhash64("text") == F.col("__version")))
-    joined = docs.join(cuts, here, "left").select(*docs.columns, "__positions")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    here = (key == F.col("__id")) & (F.xxhash64("text") == F.col("__version"))
+    # rows of documents without a cut pass without a shuffle
+    may = may_contain(cuts, "__id", key)
+    joined = docs.filter(may).join(cuts, here, "left").select(*docs.columns, "__positions")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +238,8 @@ def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names)
 
     names = [*docs.columns, "__cut"]
-    return joined.mapInArrow(run, StructType([*docs.schema.fields, StructField("__cut", IntegerType())]))
+    done = joined.mapInArrow(run, StructType([*docs.schema.fields, StructField("__cut", IntegerType())]))
+    return docs.filter(~may).withColumn("__cut", F.lit(0)).union(done)
 
 
 def drop_repeats(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

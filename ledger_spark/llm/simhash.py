@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ledger_spark.llm.common import slices, smallest_by_hash, written
+from ledger_spark.llm.common import may_contain, slices, smallest_by_hash, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -298,16 +298,21 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
     The columns are those of ``docs``. Rows without a doc_id stay where nothing
     of their component has one: one row per fingerprint.
     """
-    found = near_duplicates(docs, shingle_words, max_bits)
-    kept = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                   .groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
+    found = written(near_duplicates(docs, shingle_words, max_bits), "simhash-found")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # ids of which some row goes; the rows of all others pass without a shuffle
+    concerned = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.every(stays).alias("stays"))
+    may = may_contain(concerned.filter("rows > 1 OR NOT stays OR doc_id IS NULL"), "doc_id", F.col("doc_id"))
+    rest = docs.filter(may)
+    kept = written(found.filter(stays).groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
                    .agg(F.count(F.lit(1)).alias("__rows")), "simhash-kept")
     ids = kept.groupBy("__id").agg(F.sum("__rows").alias("__rows"))
-    once = docs.join(ids.filter("__rows = 1"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    once = docs.filter(~may).union(
+        rest.join(ids.filter("__rows = 1"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"))
     again = ids.filter("__rows > 1")
     if again.isEmpty():
         return once
-    more = docs.join(again, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    more = rest.join(again, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     names, at, schema = docs.columns, docs.columns.index("text"), docs.schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
