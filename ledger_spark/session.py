@@ -11,6 +11,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -111,3 +112,27 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that
+    functions of it run there even where the package is not installed or on
+    their path (as ``spark-submit --py-files`` would)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="ledger-py-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "ledger_spark.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for at, _, names in sorted(os.walk(package)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    z.write(path, os.path.join("ledger_spark", os.path.relpath(path, package)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
