@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledger_spark.llm import decontaminate, linededup, mixing, quality, simhash
+from ledger_spark.llm.catalog import shipped
 from ledger_spark.llm.common import table, written
 
 
@@ -39,13 +40,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [
+STAGES = [(name, shipped(stage)) for name, stage in (
     ("quality classifier", good_quality),
     ("line dedup", without_repeated_lines),
     ("SimHash near-dedup", without_near_duplicates),
     ("benchmark decontamination", without_benchmark),
     ("mixing sources to target weights", mixed),
-]
+)]
 
 #: Learning, alignment and Hamming search cannot be said in SQL; tests/llm holds
 #: every stage against a brute-force version.

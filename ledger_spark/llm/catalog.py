@@ -8,9 +8,24 @@ said in DuckDB SQL, so ``tests/llm`` holds them against brute-force versions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledger_spark.llm.common import table
+from ledger_spark.session import ship_package
+
+
+def shipped(call: Callable) -> Callable:
+    """``call`` (whose first argument is the session), once the workers have this package."""
+
+    @wraps(call)
+    def run(spark: SparkSession, *rest):
+        ship_package(spark)
+        return call(spark, *rest)
+
+    return run
 
 
 def op1_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +101,7 @@ def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-SPARK = {
+SPARK = {name: shipped(query) for name, query in {
     "op1_toxicity_lexicon": op1_toxicity_lexicon,
     "op2_quality_neighbours": op2_quality_neighbours,
     "op3_brown_scores": op3_brown_scores,
@@ -97,7 +112,7 @@ SPARK = {
     "op7_pfair_mix": op7_pfair_mix,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_benchmark_matches": op10_benchmark_matches,
-}
+}.items()}
 
 #: DuckDB SQL for those queries that SQL can express.
 SQL: dict[str, str] = {

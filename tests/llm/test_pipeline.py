@@ -58,3 +58,19 @@ def test_empty_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_workers_need_no_path_to_the_package(tmp_path):
+    """A driver elsewhere that only extends its own ``sys.path``."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "from ledger_spark.session import get_spark\nimport __spark_entry__ as e\n"
+            "s = get_spark(master='local[2]', shuffle_partitions=4)\n"
+            f"print('GOT', e.queries()['op8_language_hierarchy'](s, {SF!r}).count(), e.queries()['pipeline'](s, {SF!r}).count() > 0)")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env)
+    assert "GOT 200 True" in out.stdout, out.stderr[-2000:]
