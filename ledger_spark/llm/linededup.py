@@ -1,10 +1,10 @@
 """Line de-duplication by pairwise alignment (patience diff).
 
-The units are lines, cut further after about every sixth word, namely after words
-whose hash says so. So a passage is cut into the same units wherever it stands
-and however the lines around it break; only its first and last unit may run into
-other text. Of every run of units the document with the smallest id that holds it
-is its owner; the owner is never cut for it.
+The units are lines, cut further after about every sixth word, namely where the
+last bytes before a blank say so. So a passage is cut into the same units wherever
+it stands and however the lines around it break; only its first and last unit may
+run into other text. Of every run of units the document with the smallest id that
+holds it is its owner; the owner is never cut for it.
 
 1. Units are hashed; per document the hashes and word counts are kept, in order.
    A line hash to search by is that of a run of units of ``ANCHOR_WORDS`` words or
@@ -28,10 +28,9 @@ last. Repeated units inside one document stay.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate, compress
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,51 +42,66 @@ from ledger_spark.llm.common import may_contain, slices, written
 
 #: One word in so many ends a unit.
 UNIT_WORDS = 6
-ANCHOR_WORDS = 5
+ANCHOR_WORDS = 8
 WINNOW = 3
 BLOCK_WORDS = 20
-#: Words that a worker remembers as ending a unit or not.
-REMEMBER = 300_000
-_WORD = re.compile(r"\s*\S+\s*")
 _LAST = (1 << 63) - 1
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOOK_BACK = np.arange(-7, 1)
+_LEAD = b"\n" * 8
+
+
+def unit_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, byte after the last, words) of the units of a UTF-8 text."""
+    text = np.frombuffer(_LEAD + raw + b"\n", np.uint8)
+    blank = _BLANK[text]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    begins, ends = edge[::2], edge[1::2]  # of words; the blanks around make them pairs
+    if not len(begins):
+        return begins, ends, begins
+    tail = np.ascontiguousarray(text[ends[:, None] - 1 + _LOOK_BACK]).view("<u8")[:, 0]
+    stop = (tail * _FACTOR >> np.uint64(40)) % np.uint64(UNIT_WORDS) == 0
+    breaks = np.flatnonzero(text == 10)
+    stop[:-1] |= breaks[np.searchsorted(breaks, ends[:-1])] < begins[1:]
+    stop[-1] = True
+    last = np.flatnonzero(stop)
+    first = np.concatenate([[0], last[:-1] + 1])
+    return begins[first] - len(_LEAD), ends[last] - len(_LEAD), last - first + 1
+
+
+def units(text: str | None) -> tuple[list[str], list[int]]:
+    """(pieces of a text, which joined are the text; their word counts)."""
+    raw = (text or "").encode("utf-8")
+    begin, _, words = unit_spans(raw)
+    at = [0, *begin[1:].tolist(), len(raw)]
+    return [raw[a:b].decode("utf-8") for a, b in zip(at, at[1:])] if len(words) else [], words.tolist()
 
 
-class Ends(dict):
-    """Does a word (with the white space around it) end its unit?"""
-
-    def __missing__(self, word: str) -> bool:
-        if len(self) >= REMEMBER:
-            self.clear()
-        found = self[word] = "\n" in word or xxhash.xxh64_intdigest(word.strip()) % UNIT_WORDS == 0
-        return found
-
-
-def units(text: str | None, ends: Ends) -> tuple[list[str], list[int]]:
-    """(pieces of a text, which joined are the text; their word counts)."""
-    words = _WORD.findall(text or "")
-    if not words:
-        return [], []
-    stops = list(compress(range(1, len(words) + 1), map(ends.__getitem__, words)))
-    if not stops or stops[-1] != len(words):
-        stops.append(len(words))
-    starts = [0, *stops[:-1]]
-    return ["".join(words[a:b]) for a, b in zip(starts, stops)], [b - a for a, b in zip(starts, stops)]
+def without(text: str, gone: set[int]) -> str:
+    """The text without some of its units."""
+    return "".join(p for i, p in enumerate(units(text)[0]) if i not in gone)
 
 
-def hashes(pieces: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(p.strip()) for p in pieces), np.uint64, len(pieces))
+def unit_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, words) of each unit; white space around a unit does not count."""
+    begin, end, words = unit_spans(raw)
+    found = (xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist()))
+    return np.fromiter(found, np.uint64, len(words)), words
 
 
-def line_hashes(unit_hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+def line_hashes(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The winnowed hashes of runs of at least ``ANCHOR_WORDS`` words."""
     if not len(words):
-        return unit_hashes
+        return hashes
     total = words.copy()
-    run = unit_hashes.copy()
+    run = hashes.copy()
     for step in range(1, ANCHOR_WORDS):  # a unit has a word at least
         short = np.flatnonzero(total[:max(0, len(words) - step)] < ANCHOR_WORDS)
-        run[short] = run[short] * _FACTOR + unit_hashes[short + step]
+        if not len(short):
+            break
+        run[short] = run[short] * _FACTOR + hashes[short + step]
         total[short] += words[short + step]
     run = run[total >= ANCHOR_WORDS]
     if len(run) <= WINNOW:
@@ -97,18 +111,16 @@ def line_hashes(unit_hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _sequences(docs: DataFrame) -> DataFrame:
-    """(id, version, hashes, words, lines) of each row that has words."""
+    """(id, version, hashes, words, lines) of each row that has a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = Ends()
         for part in slices(batches):
             out: list[list] = [[], [], []]
             for text in part.column(2).to_pylist():
-                pieces, words = units(text, ends)
-                h = hashes(pieces)
+                h, words = unit_hashes(text.encode("utf-8"))
                 out[0].append(h.view(np.int64))
-                out[1].append(np.array(words, np.int32))
-                out[2].append(line_hashes(h, np.array(words, np.int64)).view(np.int64))
+                out[1].append(words.astype(np.int32))
+                out[2].append(line_hashes(h, words).view(np.int64))
             lists = [pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, x))], pa.int32()), pa.array(np.concatenate(x)))
                      for x in out]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists],
@@ -163,39 +175,47 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 
-def common_blocks(later: list, words: list[int], owner: list, block_words: int = BLOCK_WORDS) -> list[int]:
-    """Positions of ``later`` inside aligned runs of at least ``block_words`` words."""
-    cut: list[int] = []
-    run: list[int] = []
-    last = (-2, -2)
-    for i, j in [*patience(later, owner), (-9, -9)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[k] for k in run) >= block_words:
-                cut.extend(run)
-            run = []
-        run.append(i)
-        last = (i, j)
-    return cut
+def common_blocks(later: np.ndarray, words: np.ndarray, owner: np.ndarray, block_words: int = BLOCK_WORDS) -> list[int]:
+    """Positions of ``later`` inside aligned runs of at least ``block_words``
+    words. Units that only one side has take no part in the alignment."""
+    mine = np.isin(later, owner)
+    held = np.concatenate([[0], np.cumsum(np.where(mine, words, 0))])
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
+    if not len(edge) or (held[edge[1::2]] - held[edge[::2]]).max() < block_words:
+        return []
+    i = np.flatnonzero(mine)
+    j = np.flatnonzero(np.isin(owner, later[i]))
+    pairs = np.array(patience(later[i].tolist(), owner[j].tolist()), np.int64).reshape(-1, 2)
+    if not len(pairs):
+        return []
+    x, y = i[pairs[:, 0]], j[pairs[:, 1]]
+    new = np.concatenate([[True], (np.diff(x) != 1) | (np.diff(y) != 1)])
+    block = np.cumsum(new) - 1
+    size = np.bincount(block, weights=words[x])
+    return x[size[block] >= block_words].tolist()
 
 
 def _cuts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, version, cut): the unit positions to delete."""
-    every = written(_sequences(docs), "lines-sequences")
-    sequences = every.dropDuplicates(["id", "version"])
-    lines = every.select("id", "version", F.explode("lines").alias("line"))
+    sequences = written(_sequences(docs), "lines-sequences")
+    if not sequences.groupBy("id", "version").count().filter("count > 1").isEmpty():
+        sequences = written(sequences.dropDuplicates(["id", "version"]), "lines-distinct")
+    lines = sequences.select("id", F.explode("lines").alias("line"))
     shared = written(lines.groupBy("line").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
                      .filter("owner < last").select("line", "owner"), "lines-shared")
-    pairs = written(lines.join(shared, "line").filter("owner < id").select("id", "version", "owner").distinct(),
-                    "lines-pairs")
-    owners = sequences.select(F.col("id").alias("owner"), F.col("hashes").alias("owner_hashes"))
-    both = pairs.join(sequences, ["id", "version"]).join(owners, "owner")
+    pairs = written(lines.join(shared, "line").filter("owner < id").select("id", "owner").distinct(), "lines-pairs")
+    later = sequences.filter(may_contain(pairs, "id", F.col("id"))).select("id", "version", "hashes", "words")
+    owners = sequences.filter(may_contain(pairs, "owner", F.col("id"))).select(
+        F.col("id").alias("owner"), F.col("hashes").alias("owner_hashes"))
+    both = pairs.join(later, "id").join(owners, "owner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
+            hashes, words, owner = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in part.columns[2:])
             keep, cuts = [], []
             for r in range(part.num_rows):
-                later, owner = part.column(2)[r].as_py(), part.column(4)[r].as_py()
-                cut = common_blocks(later, part.column(3)[r].as_py(), owner, block_words)
+                h, w, o = (x[at[r]:at[r + 1]] for x, at in (hashes, words, owner))
+                cut = common_blocks(h, w, o, block_words)
                 if cut:
                     keep.append(r)
                     cuts.append(cut)
@@ -222,7 +242,6 @@ def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = Ends()
         for part in slices(batches):
             positions, counts = part.column(len(names) - 1), np.zeros(part.num_rows, np.int32)
             columns = list(part.columns[:-1])
@@ -231,8 +250,7 @@ def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                 texts = columns[at].to_pylist()
                 for r in cut_rows:
                     gone = set(positions[r].as_py())
-                    pieces, _ = units(texts[r], ends)
-                    texts[r] = "".join(p for i, p in enumerate(pieces) if i not in gone)
+                    texts[r] = without(texts[r], gone)
                     counts[r] = len(gone)
                 columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names)

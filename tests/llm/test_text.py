@@ -129,13 +129,12 @@ def passage(seed, sentences=6):
 
 
 def test_units_join_to_the_text_and_follow_the_words():
-    ends = linededup.Ends()
-    for text in [None, "", " \n ", "one", "  lead and tail \n\n", passage(1), f"{passage(2)}\n{passage(3)}"]:
-        pieces, words = linededup.units(text, ends)
+    for text in [None, "", " \n ", "one", "ünï cödé\u00a0x \u2028y", "  lead and tail \n\n", passage(1), f"{passage(2)}\n{passage(3)}"]:
+        pieces, words = linededup.units(text)
         assert ("".join(pieces) if pieces else text or "") == (text or "") or not (text or "").strip()
-        assert words == [len(p.split()) for p in pieces] and all(words)
-    inner = {p.strip() for p in linededup.units(passage(4), ends)[0][1:-1]}
-    around = {p.strip() for p in linededup.units(f"other words {passage(4)} more words\nline", ends)[0]}
+        assert words == [len(p.encode().split()) for p in pieces] and all(words)
+    inner = {p.strip() for p in linededup.units(passage(4))[0][1:-1]}
+    around = {p.strip() for p in linededup.units(f"other words {passage(4)} more words\nline")[0]}
     assert len(inner) > 5 and inner <= around
 
 
@@ -157,16 +156,38 @@ def test_winnowing_keeps_a_hash_of_every_window():
             assert taken & set(runs[i:i + linededup.WINNOW])
 
 
+def plain_blocks(later, words, owner):
+    """Runs of the alignment, the plain way."""
+    i = [k for k, u in enumerate(later) if u in set(owner)]
+    j = [k for k, u in enumerate(owner) if u in set(later)]
+    cut, run = set(), []
+    for x, y in [*((i[p], j[q]) for p, q in linededup.patience([later[k] for k in i], [owner[k] for k in j])), (-9, -9)]:
+        if run and (x, y) != (run[-1][0] + 1, run[-1][1] + 1):
+            cut |= {k for k, _ in run} if sum(words[k] for k, _ in run) >= linededup.BLOCK_WORDS else set()
+            run = []
+        run.append((x, y))
+    return cut
+
+
+def test_common_blocks_are_the_long_runs():
+    rng = random.Random(8)
+    for _ in range(300):
+        a = [rng.randrange(15) for _ in range(rng.randint(0, 30))]
+        b = [rng.randrange(15) for _ in range(rng.randint(0, 10))] + a[3:20] + [rng.randrange(15) for _ in range(5)]
+        words = [rng.randint(1, 9) for _ in a]
+        got = linededup.common_blocks(np.array(a, np.int64), np.array(words, np.int64), np.array(b, np.int64))
+        assert set(got) == plain_blocks(a, words, b) and len(set(got)) == len(got)
+
+
 def plain_dedup(docs):
     """Every later document against every earlier one, without candidate search."""
-    ends, out = linededup.Ends(), []
+    out = []
     for key, text in docs:
-        pieces, words = linededup.units(text, ends)
+        pieces, words = linededup.units(text)
         cut = set()
         for other, earlier in docs:
             if other < key:
-                cut |= set(linededup.common_blocks([p.strip() for p in pieces], words,
-                                                   [p.strip() for p in linededup.units(earlier, ends)[0]]))
+                cut |= plain_blocks([p.strip() for p in pieces], words, [p.strip() for p in linededup.units(earlier)[0]])
         out.append((key, "".join(p for k, p in enumerate(pieces) if k not in cut) if pieces else text))
     return out
 
