@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ledger_spark.functions.dates import month_key
@@ -154,8 +155,9 @@ def _with_month(t: DataFrame) -> DataFrame:
 
 
 def reload_transactions(t: DataFrame, path: str) -> None:
-    """A5: replace all stored rows atomically: a new version is written, then
-    the table's pointer is switched to it."""
+    """A5: replace all stored rows atomically: a new version is written, with
+    every column of the table (A10), then the table's pointer is switched to it."""
+    t = fill_defaults(t)
     spark = t.sparkSession
     folder = storage.new_version(spark, path)
     storage.write_months(_with_month(t), folder)
@@ -167,7 +169,9 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     """Stored rows with their ``month``; None when the table does not exist. A
     table that exists but cannot be read raises."""
     folder = storage.current(spark, path)
-    return None if folder is None else spark.read.option("mergeSchema", True).parquet(folder)
+    if folder is None:
+        return None
+    return spark.read.schema(T.StructType([*TRANSACTIONS.fields, T.StructField("month", T.StringType())])).parquet(folder)
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
