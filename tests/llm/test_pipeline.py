@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledger_spark.llm import catalog
+from tests.llm.test_text import plain_schedule
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,6 +51,53 @@ def test_stages_keep_columns_and_planted_cases(spark, planted, tmp_path):
     assert sorted(r.mix_position for r in left.values()) == list(range(len(left)))
 
 
+def test_stages_against_plain_versions(spark, planted):
+    """Each stage on the given tables, row by row, against its brute-force version."""
+    from ledger_spark.llm import decontaminate, mixing, quality
+    from tests.llm.test_simhash import brute, plain_fingerprint
+    from tests.llm.test_text import plain_dedup
+
+    folder, _ = planted
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+
+    def run(name):
+        return {r.doc_id: r.text for r in stages[name](spark, docs, folder).collect()}
+
+    model = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"), learnable=quality.may_learn(F.col("doc_id"), 5, 0))
+    rows = sorted(text)
+    scores = model.scores(np.stack([quality.term_vector(text[k]) for k in rows]))
+    assert set(run("quality classifier")) == {k for k, s in zip(rows, scores) if s >= 0.3}
+
+    cut = dict(plain_dedup(sorted(text.items())))
+    got = run("line dedup")
+    assert set(got) == {k for k in text if cut[k] == text[k] or cut[k].strip()}
+    agree = sum(got[k] == cut[k] for k in got)
+    assert agree >= 0.99 * len(got)  # short blocks may share no line hash
+    assert all(len(got[k] or "") >= len(cut[k] or "") for k in got)
+
+    least = dict(brute([(k, plain_fingerprint(t)) for k, t in sorted(text.items())]))
+    assert set(run("SimHash near-dedup")) == {k for k in text if least[k] == k}
+
+    plain = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    items = [plain(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    held = {k for k, t in text.items() if any(i in plain(t or "") for i in items)}
+    assert 10_200 in held and set(run("benchmark decontamination")) == set(text) - held
+    assert decontaminate.matches(docs, spark.read.parquet(f"{folder}/benchmark.parquet")).count() >= len(held)
+
+    mixed = stages["mixing sources to target weights"](spark, docs, folder).collect()
+    order = sorted(mixed, key=lambda r: r.mix_position)
+    assert [r.mix_position for r in order] == list(range(len(text)))
+    sizes = {}
+    for r in mixed:
+        sizes.setdefault(r.source, []).append(r.mix_slot)
+    blocks = {s: -(-len(x) // mixing.BLOCK_ROWS) for s, x in sizes.items()}
+    units = mixing.units_of({f"source {s}" if s is not None else "null": len(x) ** 0.5 for s, x in sizes.items()})
+    plan = plain_schedule(units, {f"source {s}" if s is not None else "null": n for s, n in blocks.items()})
+    assert sorted({(r.mix_slot, f"source {r.source}" if r.source is not None else "null") for r in mixed}) == [x[:2] for x in plan]
+
+
 def test_run_and_registration(spark):
     got = corpus_pipeline.run(spark, SF)
     assert 0 < got.count() < 200 and "mix_position" in got.columns
