@@ -36,7 +36,7 @@ UNITS = 1024
 TEMPERATURE = 0.5
 MOST_SOURCES = 256
 #: Rows that a bucket of a source's order should hold.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def units_of(weights: Mapping[object, float]) -> dict[object, int]:
@@ -130,9 +130,10 @@ def mix(docs: DataFrame, targets: Mapping[object, float] | None = None, block_ro
     short = sorted((begin + (n - 1) // u * t + p[(n - 1) % u], -rows[s] % block_rows)
                    for s, first, n, begin, u, t, p in plan if (first + n) * block_rows >= rows[s])
     # number the rows of a stream: by bucket of the order, then inside the bucket
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    bucket = F.pmod(F.shiftrightunsigned(order, 8), F.lit(buckets))
-    dealt = docs.withColumns({"__stream": stream, "__bucket": bucket, "__order": order})
+    # a bucket holds about BUCKET_ROWS rows of its stream, however large the stream
+    buckets = F.create_map(*[F.lit(x) for s, n in rows.items() for x in (s, -(-n // BUCKET_ROWS))])
+    dealt = docs.withColumns({"__stream": stream, "__order": order}).withColumn(
+        "__bucket", F.pmod(F.shiftrightunsigned("__order", 8), F.element_at(buckets, F.col("__stream")) if rows else F.lit(1)))
     sizes = written(dealt.groupBy("__stream", "__bucket").agg(F.count(F.lit(1)).alias("__rows")), "mix-sizes")
     before = Window.partitionBy("__stream").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__stream", "__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
