@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     if learnable is not None:
         admitted = admitted.filter(learnable)
     chosen = smallest_by_hash(admitted.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")),
-                              "__key", sample_rows)
+                              "__key", sample_rows, admitted.count())
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):

@@ -220,7 +220,7 @@ def close_edges(classes: DataFrame, max_bits: int = MAX_BITS, leaf_classes: int
     total = classes.count()
     if leaf_classes is None:
         leaf_classes = min(max(LEAF_CLASSES, int(LEAF_FACTOR * total ** 0.5)), LEAF_MOST)
-    sample = np.array([r.fp for r in smallest_by_hash(classes.select("fp"), "fp", TREE_SAMPLE).collect()], np.int64)
+    sample = np.array([r.fp for r in smallest_by_hash(classes.select("fp"), "fp", TREE_SAMPLE, total).collect()], np.int64)
     tree = spark.sparkContext.broadcast(Tree(sample.view(np.uint64), total, max_bits, leaf_classes))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -325,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, lab
         return Model(Scorer({}, frozenset(), frozenset()), np.zeros(5), share)
     chosen = None
     for value in (0, 1):
-        part = smallest_by_hash(admitted.filter(F.col("__label") == value), "__key", SAMPLE_PER_LABEL)
+        part = smallest_by_hash(admitted.filter(F.col("__label") == value), "__key", SAMPLE_PER_LABEL, totals[value])
         chosen = part if chosen is None else chosen.union(part)
     # at most 2 * SAMPLE_PER_LABEL rows; every third calibrates
     chosen = chosen.withColumn("__calibrates", F.pmod(F.xxhash64("__key", F.lit(3)), F.lit(3)) == 0)
