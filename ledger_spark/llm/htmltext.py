@@ -11,8 +11,10 @@
    pages of the host, so a large host is no large task, and copies of one page
    count once.
 4. A page's text is its content blocks in page order. Where the page marks its
-   article (``article``, ``main``, ...), only blocks inside it count, and plain
-   headings, paragraphs, lists and tables in there are content by their markup.
+   article (``article``, ``main``, ...), only blocks inside it count. The slots
+   decide in there too; as repeated siblings share a slot, each text of theirs is
+   tested as well, and one that stands on ``REPEATED_SHARE`` of the host's pages is
+   template. On hosts of fewer than ``LEAST_PAGES`` pages the markup alone decides.
 
 Nulls and ties: a NULL or empty html has the text "". A NULL url, or one without a
 host, belongs to the host "". Repeated rows are extracted once each. Markup that
@@ -30,12 +32,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledger_spark.llm.common import slices, written
+from ledger_spark.llm.common import may_contain, slices, written
 
 #: Distinct pages from which a slot can be called constant, and the share of
 #: distinct texts up to which it is.
 LEAST_PAGES = 5
 CONSTANT_SHARE = 0.05
+#: Share of a host's distinct pages from which a text inside the article is template.
+REPEATED_SHARE = 0.5
 #: Children of a node that are kept apart although tag and class repeat;
 #: paragraphs, items and the like always are one repeated node.
 SEPARATE = 24
@@ -125,7 +129,7 @@ class Page:
 
     def __init__(self, source: str | None, kinds: _Kinds):
         self.labels, self.parents, self.children = ["page"], [-1], [[]]
-        self.plain, self.inside, self.hashes, self.depths = [False], [False], [0], [0]
+        self.inside, self.hashes, self.depths = [False], [0], [0]
         self.blocks: list[tuple[int, str, float]] = []  # (node, text, share in links)
         if source:
             self._read(source, kinds)
@@ -142,7 +146,6 @@ class Page:
         self.parents.append(parent)
         self.children.append([])
         self.children[parent].append(node)
-        self.plain.append(inside and label == tag and tag in PLAIN)
         self.inside.append(inside)
         self.hashes.append(0)
         self.depths.append(self.depths[parent] + 1)
@@ -256,10 +259,14 @@ class Page:
 
         return write(0)
 
+    def marked(self) -> bool:
+        """Does the page mark its article?"""
+        return any(self.inside[n] for n, _, _ in self.blocks)
+
     def content(self) -> list[dict]:
-        """Blocks that may be the article: (node, or -1 where the markup decides; text)."""
-        marked = any(self.inside[n] for n, _, _ in self.blocks)
-        return [{"node": -1 if self.plain[n] else n, "text": t} for n, t, share in self.blocks
+        """Blocks that may be the article: (node, text)."""
+        marked = self.marked()
+        return [{"node": n, "text": t} for n, t, share in self.blocks
                 if (self.inside[n] if marked else share <= LINK_SHARE)]
 
 
@@ -339,7 +346,7 @@ def read_skeleton(text: str) -> tuple[str, list]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, skeleton, hashes, blocks) per row of ``pages``."""
+    """(page_id, url, host, skeleton, hashes, marked, blocks) per row of ``pages``."""
     block = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,14 +356,14 @@ def parsed(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:3], pa.array([p.skeleton() for p in found], pa.string()),
                  pa.array([[h - (1 << 64) if h >> 63 else h for h in p.hashes] for p in found], pa.list_(pa.int64())),
-                 pa.array([p.content() for p in found], block)],
-                ["page_id", "url", "host", "skeleton", "hashes", "blocks"])
+                 pa.array([p.marked() for p in found], pa.bool_()), pa.array([p.content() for p in found], block)],
+                ["page_id", "url", "host", "skeleton", "hashes", "marked", "blocks"])
 
     rows = pages.select("page_id", "url", F.lower(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit(""))).alias("host"),
                         "html")
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return rows.mapInArrow(run, f"page_id {kind['page_id']}, url {kind['url']}, host string, skeleton string, "
-                                "hashes array<long>, blocks array<struct<node:int,text:string>>")
+                                "hashes array<long>, marked boolean, blocks array<struct<node:int,text:string>>")
 
 
 def constant_nodes(pages: DataFrame) -> DataFrame:
@@ -388,10 +395,31 @@ def constant_nodes(pages: DataFrame) -> DataFrame:
                    .groupBy("host", "skeleton").agg(F.collect_list("node").alias("constant")), "html-constant")
 
 
+def repeated_texts(pages: DataFrame) -> DataFrame:
+    """(host, repeated): hashes of the texts that stand inside the articles of
+    ``REPEATED_SHARE`` of the host's distinct pages, from the ``parsed`` pages. A
+    host has no more of them than its articles have blocks, over that share."""
+    marked = pages.filter("marked").select("host", F.get("hashes", F.lit(0)).alias("page"), "blocks")
+    texts = marked.select("host", "page", F.explode(F.array_distinct(
+        F.transform("blocks", lambda b: F.xxhash64(b["text"])))).alias("hash")).withColumn("key", F.xxhash64("host", "hash"))
+    # most texts stand on few pages, whether these are copies or not
+    often = written(texts.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= LEAST_PAGES).select("key"),
+                    "html-often")
+    on = (texts.filter(may_contain(often, "key", F.col("key"))).select("host", "hash", "page").distinct()
+          .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("on")))
+    sizes = marked.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    return (on.join(sizes, "host").filter((F.col("on") >= LEAST_PAGES) & (F.col("on") >= F.col("of") * REPEATED_SHARE))
+            .groupBy("host").agg(F.collect_list("hash").alias("repeated")))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row of ``pages`` (needs page_id, url, html)."""
     rows = written(parsed(pages), "html-parsed")
-    constant = constant_nodes(rows).withColumnRenamed("host", "__host").withColumnRenamed("skeleton", "__skeleton")
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("constant", b["node"]), F.lit(False)))
-    return (rows.join(constant, (F.col("host") == F.col("__host")) & (F.col("skeleton") == F.col("__skeleton")), "left")
+    shapes = rows.select("host", "skeleton").distinct()
+    template = written(shapes.join(constant_nodes(rows), ["host", "skeleton"], "left").join(repeated_texts(rows), "host", "left")
+                       .filter("constant IS NOT NULL OR repeated IS NOT NULL")
+                       .withColumnsRenamed({"host": "__host", "skeleton": "__skeleton"}), "html-template")
+    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("constant", b["node"]), F.lit(False))
+                    & ~F.coalesce(F.col("marked") & F.array_contains("repeated", F.xxhash64(b["text"])), F.lit(False)))
+    return (rows.join(template, (F.col("host") == F.col("__host")) & (F.col("skeleton") == F.col("__skeleton")), "left")
             .select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text")))

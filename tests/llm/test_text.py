@@ -96,6 +96,23 @@ def test_constant_slots_are_template(spark):
     assert len(got) == len(rows)
 
 
+def test_constant_blocks_inside_the_article_are_template(spark):
+    """A notice, advert or heading that every page of the host repeats, wherever it stands; not on a host of few pages."""
+    def page(i):
+        notice, advert = "<p>Subscribe to our letter.</p>", "<ul><li>Buy now</li></ul>"
+        body = [f"<p>Story {i} begins.</p>", f"<p>It goes on {i * 3}.</p>" + ("<p>Seen here and there.</p>" if i % 4 == 0 else "")]
+        body.insert(i % 3, notice)
+        return f"<article><h2>The Daily</h2><h1>Title {i}</h1>{''.join(body)}{advert}</article>"
+    rows = [(i, f"https://many.example/{i}", page(i)) for i in range(40)]
+    rows += [(100 + i, f"https://few.example/{i}", page(i)) for i in range(3)]
+    rows += [(200 + i, f"https://copies.example/{i}", page(1)) for i in range(40)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(40):
+        seen = "\nSeen here and there." if i % 4 == 0 else ""
+        assert got[i] == f"Title {i}\nStory {i} begins.\nIt goes on {i * 3}.{seen}"
+    assert all("Subscribe to our letter." in got[k] and "Buy now" in got[k] for k in [*range(100, 103), *range(200, 240)])
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r.text for r in htmltext.extract(pages).collect()}
