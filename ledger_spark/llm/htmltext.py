@@ -3,7 +3,9 @@
 1. Each page becomes a tree of its blocks (inline markup is transparent; runs of
    equal siblings, such as paragraphs, are one repeated node) and a skeleton, the
    tree's shape with tags and classes. What the markup itself declares to be
-   something else (``nav``, ``aside``, ``form``, class ``comments``, ...) is left out.
+   something else (``nav``, ``aside``, ``form``, class ``comments``, ...) is left out,
+   but never ``html``, ``body`` or what holds the page's only marked article. A class
+   that only has such a word in it (``has-sidebar``) is left to the slots.
 2. The skeletons of a host are aligned by simple tree matching into one template:
    equal positions of all pages become one slot.
 3. A slot that hardly varies over pages that do vary is template; slots that vary
@@ -70,8 +72,10 @@ ASIDE_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices alert alerts popup modal overlay dialog newsletter subscribe subscription "
     "paywall signup login search share sharing social comment comments commentlist reply replies respond disqus discussion "
     "contentinfo complementary".split())
-#: Words that begin or end with one of these mark the same.
-ASIDE_ROOTS = ("nav", "menu", "cookie", "comment", "advert", "sidebar", "footer", "breadcrumb", "newsletter", "popup")
+#: Words for the box that such a part stands in; a class, id or role
+#: is one of these parts if it has such words only, and at least one of the above.
+BOX_WORDS = frozenset("area bar block box button buttons container content form inner item items link links list outer "
+                      "panel primary secondary section site wrap wrapper".split())
 #: Of these, a heading block inside an article is not one.
 HEADING_WORDS = frozenset("header masthead".split())
 #: Class, id, role and itemprop words that mark the article.
@@ -109,12 +113,14 @@ class _Kinds:
             return self.known[key]
         a = _attributes(attributes) if attributes.strip(" /") else {}
         marks = " ".join(a.get(k, "") for k in ("class", "id", "role"))
-        words = set(_WORD.findall(_CAMEL.sub(" ", marks).lower()))
         tokens = {t.lower() for t in f"{marks} {a.get('itemprop', '')}".split()}
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""))
         article = tag in ("article", "main") or bool(tokens & ARTICLE_MARKS)
-        aside = set() if article else {w for w in words if w in ASIDE_WORDS
-                                       or w.startswith(ASIDE_ROOTS) or w.endswith(ASIDE_ROOTS)}
+        aside: set[str] = set()
+        for token in [] if article else marks.split():
+            words = set(_WORD.findall(_CAMEL.sub(" ", token).lower()))
+            if words <= ASIDE_WORDS | BOX_WORDS:
+                aside |= words & ASIDE_WORDS
         out = tag in LEFT_OUT or bool(hidden) or bool(aside)
         heading = out and not hidden and (tag == "header" or tag not in LEFT_OUT) and not (aside - HEADING_WORDS)
         names = ".".join(re.sub(r"\d+", "", t) for t in a.get("class", "").lower().split())
@@ -131,8 +137,9 @@ class Page:
         self.labels, self.parents, self.children = ["page"], [-1], [[]]
         self.inside, self.hashes, self.depths = [False], [0], [0]
         self.blocks: list[tuple[int, str, float]] = []  # (node, text, share in links)
-        if source:
-            self._read(source, kinds)
+        if source and self._read(source, kinds) and not self.marked():
+            self.__init__(None, kinds)
+            self._read(source, kinds, rescue=True)
 
     def _child(self, parent: int, label: str, tag: str, inside: bool) -> int:
         if self.depths[parent] >= TREE_DEPTH:
@@ -151,7 +158,10 @@ class Page:
         self.depths.append(self.depths[parent] + 1)
         return node
 
-    def _read(self, source: str, kinds: _Kinds) -> None:
+    def _read(self, source: str, kinds: _Kinds, rescue: bool = False) -> bool:
+        """Fill the tree. Returns whether an article stands inside something left
+        out; ``rescue`` takes it all the same."""
+        lost = False
         stack: list[tuple[str, int, bool]] = [("", 0, False)]  # (tag, node, left out)
         text: list[str] = []
         linked = size = links = at = 0
@@ -205,7 +215,7 @@ class Page:
             attributes = m[3] or ""
             out, heading, article, label = kinds.of(tag, attributes)
             node, left_out = stack[-1][1], stack[-1][2]
-            out = out and not (heading and self.inside[node])
+            out = out and not (heading and self.inside[node]) and tag not in ("html", "body")
             if tag in RAW and not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
@@ -225,11 +235,14 @@ class Page:
                 self._close_implied(stack, tag)
                 node, left_out = stack[-1][1], stack[-1][2]
                 links = 0
+            if article and left_out and not out:
+                lost, left_out = True, not rescue
             if not (out or left_out) and tag not in ("html", "body"):
                 node = self._child(node, label, tag, self.inside[node] or article)
             if len(stack) < OPEN_ELEMENTS:
                 stack.append((tag, node, out or left_out))
         flush()
+        return lost
 
     @staticmethod
     def _close_implied(stack: list, tag: str) -> None:

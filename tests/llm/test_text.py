@@ -37,6 +37,20 @@ def test_blocks_of_a_page(source, expected):
     assert blocks(source) == expected
 
 
+@pytest.mark.parametrize("source,expected", [
+    ("<html class=no-sidebar><body class='has-sidebar comments-open'><p>x</p></body>", ["x"]),
+    ("<body class=sidebar style='display:none'><p>x</p></body>", ["x"]),
+    ("<div id=page class='right-sidebar comments-open'><p>x</p></div>", ["x"]),
+    ("<div class=sidebar><p>s</p><article><p>x</p></article></div><p>y</p>", ["x"]),
+    ("<form><main><p>x</p></main></form>", ["x"]),
+    ("<article><p>x</p></article><div class=related><article><p>teaser</p></article></div>", ["x"]),
+    ("<article><section class=commentary><p>x</p></section><div class='naval-history side-by-side'><p>y</p></div></article>", ["x", "y"]),
+    ("<article><p>x</p><div class='share-bar'>s</div><div class=cookieNotice>c</div><div hidden><p>h</p></div></article>", ["x"]),
+])
+def test_only_whole_class_words_leave_out_and_never_the_article(source, expected):
+    assert blocks(source) == expected
+
+
 @pytest.mark.parametrize("piece", ["<a ", '<a href="x> ', "<!", "<p><div>", "</p>", "<script", "&amp", "<p title='a<b'>x"])
 def test_odd_markup_is_read_in_linear_time(piece):
     begin = time.perf_counter()
