@@ -16,8 +16,11 @@ holds it is its owner; the owner is never cut for it.
 3. Each pair is aligned by patience diff: units that occur once on both sides
    anchor it (longest increasing subsequence), and what lies between anchors is
    aligned the same way.
-4. Runs of aligned units of at least ``BLOCK_WORDS`` words are common blocks. They
-   are deleted from the later document; all other text stays, character for
+4. Runs of aligned units of at least ``BLOCK_WORDS`` words are common blocks. An
+   alignment is increasing and one to one, so what it leaves of the later document
+   is compared run by run with the whole owner: passages in another order, and
+   further copies of one, are common blocks too. The blocks are deleted from the
+   later document; all other text stays, character for
    character.
 
 Nulls and ties: a NULL, empty or blank text has no units and stays. Rows that
@@ -91,19 +94,27 @@ def unit_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(found, np.uint64, len(words)), words
 
 
-def line_hashes(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The winnowed hashes of runs of at least ``ANCHOR_WORDS`` words."""
-    if not len(words):
-        return hashes
+def runs(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first unit, units, hash) of the shortest run of ``least`` words from each unit that has one."""
     total = words.copy()
     run = hashes.copy()
-    for step in range(1, ANCHOR_WORDS):  # a unit has a word at least
-        short = np.flatnonzero(total[:max(0, len(words) - step)] < ANCHOR_WORDS)
+    size = np.ones(len(words), np.int64)
+    for step in range(1, least):  # a unit has a word at least
+        short = np.flatnonzero(total[:max(0, len(words) - step)] < least)
         if not len(short):
             break
         run[short] = run[short] * _FACTOR + hashes[short + step]
         total[short] += words[short + step]
-    run = run[total >= ANCHOR_WORDS]
+        size[short] += 1
+    first = np.flatnonzero(total >= least)
+    return first, size[first], run[first]
+
+
+def line_hashes(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The winnowed hashes of runs of at least ``ANCHOR_WORDS`` words."""
+    if not len(words):
+        return hashes
+    run = runs(hashes, words, ANCHOR_WORDS)[2]
     if len(run) <= WINNOW:
         return run[run == run.min()] if len(run) else run
     least = np.lib.stride_tricks.sliding_window_view(run, WINNOW).min(axis=1)
@@ -173,8 +184,6 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-
-
 def common_blocks(later: np.ndarray, words: np.ndarray, owner: np.ndarray, block_words: int = BLOCK_WORDS) -> list[int]:
     """Positions of ``later`` inside aligned runs of at least ``block_words``
     words. Units that only one side has take no part in the alignment."""
@@ -195,6 +204,38 @@ def common_blocks(later: np.ndarray, words: np.ndarray, owner: np.ndarray, block
     return x[size[block] >= block_words].tolist()
 
 
+def moved_blocks(later: np.ndarray, words: np.ndarray, owner: np.ndarray, block_words: int = BLOCK_WORDS) -> list[int]:
+    """Positions of ``later`` inside any run of at least ``block_words`` words that
+    ``owner`` has as well, wherever and however often."""
+    mine = np.isin(later, owner)
+    held = np.concatenate([[0], np.cumsum(np.where(mine, words, 0))])
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
+    if not len(edge) or (held[edge[1::2]] - held[edge[::2]]).max() < block_words:
+        return []
+    kinds, at = np.unique(later, return_index=True)
+    place = np.minimum(np.searchsorted(kinds, owner), len(kinds) - 1)
+    there = np.where(kinds[place] == owner, words[at[place]], 1)  # equal units have equal words; others end a run
+    covered = np.zeros(len(later), bool)
+    for step in (1, -1):  # shortest runs from a unit on, and up to a unit
+        first, size, run = runs(later[::step].view(np.uint64), words[::step], block_words)
+        same = np.isin(run, runs(owner[::step].view(np.uint64), there[::step], block_words)[2])
+        change = np.zeros(len(later) + 1, np.int64)
+        np.add.at(change, first[same], 1)
+        np.add.at(change, first[same] + size[same], -1)
+        covered |= (np.cumsum(change)[:-1] > 0)[::step]
+    return np.flatnonzero(covered).tolist()
+
+
+def shared_blocks(later: np.ndarray, words: np.ndarray, owner: np.ndarray, block_words: int = BLOCK_WORDS) -> list[int]:
+    """Positions to cut: the common blocks of the alignment, then the runs of the rest."""
+    cut = common_blocks(later, words, owner, block_words)
+    rest, gone = later.copy(), 0
+    while (owner == gone).any():
+        gone += 1
+    rest[cut] = gone
+    return cut + moved_blocks(rest, words, owner, block_words)
+
+
 def _cuts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, version, cut): the unit positions to delete."""
     sequences = written(_sequences(docs), "lines-sequences")
@@ -215,7 +256,7 @@ def _cuts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             keep, cuts = [], []
             for r in range(part.num_rows):
                 h, w, o = (x[at[r]:at[r + 1]] for x, at in (hashes, words, owner))
-                cut = common_blocks(h, w, o, block_words)
+                cut = shared_blocks(h, w, o, block_words)
                 if cut:
                     keep.append(r)
                     cuts.append(cut)

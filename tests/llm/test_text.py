@@ -210,6 +210,39 @@ def test_common_blocks_are_the_long_runs():
         assert set(got) == plain_blocks(a, words, b) and len(set(got)) == len(got)
 
 
+def plain_runs(units, words):
+    """Every run of at least BLOCK_WORDS words, as a tuple of units, with its positions."""
+    for i in range(len(units)):
+        for j in range(i + 1, len(units) + 1):
+            if sum(words[i:j]) >= linededup.BLOCK_WORDS:
+                yield tuple(units[i:j]), range(i, j)
+
+
+def test_no_common_run_stays_in_any_order_or_number():
+    rng = random.Random(12)
+    for _ in range(300):
+        size = [0, *(rng.randint(1, 9) for _ in range(14))]
+        b = [rng.randint(1, 14) for _ in range(rng.randint(0, 25))]
+        a = []
+        for i in (rng.randint(0, 20) for _ in range(rng.randint(1, 3))):
+            a += [*b[i:i + 6], rng.randint(1, 14)]
+        words = [size[x] for x in a]
+        cut = set(linededup.shared_blocks(np.array(a, np.int64), np.array(words, np.int64), np.array(b, np.int64)))
+        theirs = {t for t, _ in plain_runs(b, [size[x] for x in b])}
+        common = [set(at) for t, at in plain_runs(a, words) if t in theirs]
+        assert cut <= set().union(*common) and all(at & cut for at in common)
+
+
+def test_moved_and_repeated_passages_are_cut(spark):
+    p, q = passage(21), passage(22)
+    docs = [(1, f"{q}\n{p}\n{passage(23)}"), (2, f"{p}\nown words\n{q}"), (3, f"{p}\nbetween\n{p}\nend")]
+    got = {r.doc_id: r.text for r in linededup.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == docs[0][1]
+    for text, own in ((got[2], ["own", "words"]), (got[3], ["between", "end"])):
+        assert len(text.split()) < 2 + 3 * linededup.BLOCK_WORDS and set(own) <= set(text.split())
+        assert not any(" ".join(x.split()[20:-20]) in text for x in (p, q))
+
+
 def plain_dedup(docs):
     """Every later document against every earlier one, without candidate search."""
     out = []
