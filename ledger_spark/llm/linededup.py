@@ -1,18 +1,20 @@
 """Line de-duplication by pairwise alignment (patience diff).
 
-The units are lines, cut further after about every sixth word, namely where the
-last bytes before a blank say so. So a passage is cut into the same units wherever
+The units are lines, cut further after about every sixth word, namely after each
+word whose hash (of the last bytes before a blank) is the least of some
+``UNIT_WINDOW`` consecutive ones. So no unit is longer than that, and a passage is cut into the same units wherever
 it stands and however the lines around it break; only its first and last unit may
-run into other text. Of every run of units the document with the smallest id that
-holds it is its owner; the owner is never cut for it.
+run into other text; a passage of 50 words always holds a run of ``BLOCK_WORDS``
+words in whole units. Of every such run of units the document with the smallest id
+that holds it is its owner; the owner is never cut for it.
 
 1. Units are hashed; per document the hashes and word counts are kept, in order.
-   A line hash to search by is that of a run of units of ``ANCHOR_WORDS`` words or
-   more. Of each ``WINNOW`` consecutive ones the smallest are taken, so documents
-   that share as many consecutive ones share a taken one.
-2. A line hash that several documents hold links each later one to the owner.
-   This gives one pair per document and owner, never all pairs of the documents
-   that share a line, however many they are.
+   A line hash to search by is that of the shortest run of ``BLOCK_WORDS`` words
+   from a unit on; every unit has one.
+2. A line hash that several documents hold links each later one to the owner,
+   which is sure to have that run to be cut. This gives one pair per document and
+   owner, never all pairs of the documents that share a line, however many they are.
+   Ends of fewer than ``BLOCK_WORDS`` words that only a later holder has stay.
 3. Each pair is aligned by patience diff: units that occur once on both sides
    anchor it (longest increasing subsequence), and what lies between anchors is
    aligned the same way.
@@ -43,19 +45,30 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ledger_spark.llm.common import may_contain, slices, written
 
-#: One word in so many ends a unit.
-UNIT_WORDS = 6
-ANCHOR_WORDS = 8
-WINNOW = 3
+#: Of so many consecutive words the one with the least hash ends a unit.
+UNIT_WINDOW = 11
 BLOCK_WORDS = 20
+#: Words of a line hash, and of how many consecutive ones the least is kept: all are.
+ANCHOR_WORDS = BLOCK_WORDS
+WINNOW = 1
 _LAST = (1 << 63) - 1
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOOK_BACK = np.arange(-7, 1)
 _LEAD = b"\n" * 8
 
 
+def _sliding(pick: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
+    """``pick`` (minimum or maximum) over every ``size`` consecutive values."""
+    done = 1
+    while done < size:
+        step = min(done, size - done)
+        x, done = pick(x[:-step], x[step:]), done + step
+    return x
+
+
 def unit_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, byte after the last, words) of the units of a UTF-8 text."""
     text = np.frombuffer(_LEAD + raw + b"\n", np.uint8)
@@ -65,7 +78,11 @@ def unit_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(begins):
         return begins, ends, begins
     tail = np.ascontiguousarray(text[ends[:, None] - 1 + _LOOK_BACK]).view("<u8")[:, 0]
-    stop = (tail * _FACTOR >> np.uint64(40)) % np.uint64(UNIT_WORDS) == 0
+    order = (tail * _FACTOR >> np.uint64(40)).astype(np.int32)
+    stop = np.zeros(len(ends), bool)
+    if len(ends) >= UNIT_WINDOW:  # the least of a window: its hash is the greatest minimum around it
+        least = np.pad(_sliding(np.minimum, order, UNIT_WINDOW), UNIT_WINDOW - 1, constant_values=-1)
+        stop = _sliding(np.maximum, least, UNIT_WINDOW) == order
     breaks = np.flatnonzero(text == 10)
     stop[:-1] |= breaks[np.searchsorted(breaks, ends[:-1])] < begins[1:]
     stop[-1] = True
@@ -96,32 +113,29 @@ def unit_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def runs(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first unit, units, hash) of the shortest run of ``least`` words from each unit that has one."""
-    total = words.copy()
-    run = hashes.copy()
-    size = np.ones(len(words), np.int64)
-    for step in range(1, least):  # a unit has a word at least
-        short = np.flatnonzero(total[:max(0, len(words) - step)] < least)
-        if not len(short):
-            break
-        run[short] = run[short] * _FACTOR + hashes[short + step]
-        total[short] += words[short + step]
-        size[short] += 1
-    first = np.flatnonzero(total >= least)
-    return first, size[first], run[first]
-
-
-def line_hashes(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The winnowed hashes of runs of at least ``ANCHOR_WORDS`` words."""
+    before = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(words, out=before[1:])
+    end = np.searchsorted(before, before[:-1] + least)
+    first = np.flatnonzero(end <= len(words))
+    end = end[first]
+    # a run's hash is its polynomial in _FACTOR, by differences of prefix sums over its inverse
+    power = np.cumprod(np.full(len(words), _FACTOR))
+    prefix = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(hashes * np.cumprod(np.full(len(words), _INVERSE)), out=prefix[1:])
+    return first, end - first, power[end - 1] * (prefix[end] - prefix[first])
+
+
+def line_hashes(hashes: np.ndarray, words: np.ndarray, least: int = ANCHOR_WORDS) -> np.ndarray:
+    """The winnowed hashes of runs of at least ``least`` words."""
     if not len(words):
         return hashes
-    run = runs(hashes, words, ANCHOR_WORDS)[2]
+    run = runs(hashes, words, least)[2]
     if len(run) <= WINNOW:
         return run[run == run.min()] if len(run) else run
-    least = np.lib.stride_tricks.sliding_window_view(run, WINNOW).min(axis=1)
-    return np.unique(least)
+    return np.unique(_sliding(np.minimum, run, WINNOW))
 
 
-def _sequences(docs: DataFrame) -> DataFrame:
+def _sequences(docs: DataFrame, block_words: int) -> DataFrame:
     """(id, version, hashes, words, lines) of each row that has a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +145,7 @@ def _sequences(docs: DataFrame) -> DataFrame:
                 h, words = unit_hashes(text.encode("utf-8"))
                 out[0].append(h.view(np.int64))
                 out[1].append(words.astype(np.int32))
-                out[2].append(line_hashes(h, words).view(np.int64))
+                out[2].append(line_hashes(h, words, block_words).view(np.int64))
             lists = [pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, x))], pa.int32()), pa.array(np.concatenate(x)))
                      for x in out]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists],
@@ -238,7 +252,7 @@ def shared_blocks(later: np.ndarray, words: np.ndarray, owner: np.ndarray, block
 
 def _cuts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, version, cut): the unit positions to delete."""
-    sequences = written(_sequences(docs), "lines-sequences")
+    sequences = written(_sequences(docs, block_words), "lines-sequences")
     if not sequences.groupBy("id", "version").count().filter("count > 1").isEmpty():
         sequences = written(sequences.dropDuplicates(["id", "version"]), "lines-distinct")
     lines = sequences.select("id", F.explode("lines").alias("line"))

@@ -210,6 +210,28 @@ def test_common_blocks_are_the_long_runs():
         assert set(got) == plain_blocks(a, words, b) and len(set(got)) == len(got)
 
 
+def test_every_passage_of_50_words_shares_a_line_hash():
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    for _ in range(2000):
+        shared = text(50)
+        one, two = (set(linededup.line_hashes(*linededup.unit_hashes(f"{text(30)} {shared} {text(30)}".encode())).tolist())
+                    for _ in range(2))
+        assert one & two
+
+
+def test_a_passage_whose_parts_stand_in_earlier_documents(spark):
+    """Each line of the passage is common; the passage as a whole is only in documents 50 and 60."""
+    lines = [" ".join(passage(60 + i).split()[:12]) for i in range(8)]
+    shared = "\n".join(lines)
+    docs = [(i, f"{passage(80 + i)}\n{line}\n{passage(90 + i)}") for i, line in enumerate(lines)]
+    docs += [(50, f"{shared}\n{passage(100)}"), (60, f"{passage(101)}\n{shared}")]
+    got = {r.doc_id: r.text for r in linededup.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[k] == t for k, t in docs[:-1])
+    assert got[60].strip() == passage(101)
+
+
 def plain_runs(units, words):
     """Every run of at least BLOCK_WORDS words, as a tuple of units, with its positions."""
     for i in range(len(units)):
