@@ -101,6 +101,13 @@ def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit per document."""
+    from ledger_spark.llm import tokencount
+
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 SPARK = {name: shipped(query) for name, query in {
     "op1_toxicity_lexicon": op1_toxicity_lexicon,
     "op2_quality_neighbours": op2_quality_neighbours,
@@ -112,6 +119,7 @@ SPARK = {name: shipped(query) for name, query in {
     "op7_pfair_mix": op7_pfair_mix,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_benchmark_matches": op10_benchmark_matches,
+    "op13_token_counts": op13_token_counts,
 }.items()}
 
 #: DuckDB SQL for those queries that SQL can express.
