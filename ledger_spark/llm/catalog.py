@@ -101,6 +101,13 @@ def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank per document."""
+    from ledger_spark.llm import importance
+
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit per document."""
     from ledger_spark.llm import tokencount
@@ -119,6 +126,7 @@ SPARK = {name: shipped(query) for name, query in {
     "op7_pfair_mix": op7_pfair_mix,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_benchmark_matches": op10_benchmark_matches,
+    "op11_importance_resample": op11_importance_resample,
     "op13_token_counts": op13_token_counts,
 }.items()}
 
@@ -142,4 +150,50 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_importance_resample": r"""
+        WITH crc AS (
+            SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                                    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+            FROM range(256) AS r(i)
+        ), w AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words, TRUE AS is_document FROM documents
+            UNION ALL
+            SELECT row_number() OVER () AS r, NULL,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), FALSE FROM benchmark
+        ), f AS (
+            SELECT r, is_document, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature
+            FROM w
+        ), hashed AS (
+            SELECT feature, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2),
+                       lambda i: (strpos('0123456789ABCDEF', h[i]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 1]) - 1)),
+                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+            FROM (SELECT DISTINCT feature, hex(feature) AS h FROM f), crc
+        ), totals AS (
+            SELECT bucket, count(*) FILTER (WHERE is_document) AS s, count(*) FILTER (WHERE NOT is_document) AS t
+            FROM f JOIN hashed USING (feature) GROUP BY bucket
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM totals) + 10000)::DOUBLE)
+                                           / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM totals) + 10000)::DOUBLE)))::BIGINT AS gain
+            FROM totals
+        ), sums AS (
+            SELECT r, count(*) AS n, sum(gain)::BIGINT AS total
+            FROM f JOIN hashed USING (feature) JOIN gains USING (bucket) WHERE is_document GROUP BY r
+        ), scored AS (
+            SELECT w.r, doc_id, coalesce(n, 0)::BIGINT AS n_features, len(words) AS n_words,
+                   coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+                   floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+            FROM w LEFT JOIN sums USING (r) WHERE is_document
+        ), ranked AS (
+            SELECT *, weight + noise AS score,
+                   row_number() OVER (PARTITION BY n_words >= 20 AND noise IS NOT NULL ORDER BY weight + noise DESC, doc_id) AS place,
+                   count(*) OVER (PARTITION BY n_words >= 20 AND noise IS NOT NULL) AS able
+            FROM scored
+        )
+        SELECT doc_id, n_features, weight, score,
+               CASE WHEN n_words >= 20 AND noise IS NOT NULL AND place <= 25 * able // 100 THEN place END AS rank
+        FROM ranked
+    """,
 }
