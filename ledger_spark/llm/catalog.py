@@ -108,6 +108,14 @@ def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
+    from ledger_spark.llm import hardneg
+
+    return hardneg.mine(table(spark, sf_dir, "embeddings"),
+                        label=hardneg.relabelled(F.col("vec_id"), F.col("label")))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit per document."""
     from ledger_spark.llm import tokencount
@@ -127,6 +135,7 @@ SPARK = {name: shipped(query) for name, query in {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_benchmark_matches": op10_benchmark_matches,
     "op11_importance_resample": op11_importance_resample,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_counts": op13_token_counts,
 }.items()}
 
@@ -196,4 +205,27 @@ SQL: dict[str, str] = {
                CASE WHEN n_words >= 20 AND noise IS NOT NULL AND place <= 25 * able // 100 THEN place END AS rank
         FROM ranked
     """,
+    "op12_hard_negatives": """
+        WITH t AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same,
+                   CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM t AS a JOIN t AS c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v)
+            WHERE a.vec_id % 50 = 0
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+               s.vec_id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) <= 3
+    """,
 }
