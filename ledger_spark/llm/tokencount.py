@@ -18,9 +18,9 @@ read; all others are joined by a shuffle, in which no key holds more than one in
 
 Pre-tokens are what the tokenizer's own normaliser and pre-tokenizer give. Where
 the tokenizer drops white space (``Cutter`` asks it), texts are first cut at ASCII
-white space and each distinct word of a batch is cut once; words of printable
-ASCII need no call if the tokenizer is seen to treat them as lower-cased letters,
-digits and rest. Strings of special tokens are one token each, as the library's
+white space and each distinct word of a batch is cut once; words of Latin letters
+and printable ASCII need no call if the tokenizer is seen to lower-case them and to
+cut them into contractions, letters, digits and rest. Strings of special tokens are one token each, as the library's
 default has it.
 
 A NULL text is empty: 0 bytes, 0 tokens. Texts are read whole; a very long one
@@ -72,9 +72,17 @@ class Cutter:
         strings = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, strings))) if strings else None
         self.by_word = self._own("Ab1  cd\t'e\n") == self._own("Ab1") + self._own("cd") + self._own("'e")
-        ascii_words = ["Abc", "x1y22", "don't", "IT'S", "a_b-C", "''s", "'St", "we'll!", "((9))", "~'re'd"]
-        self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-        self.knows_ascii = self.by_word and all(self._own(w) == self.plain.findall(w.lower()) for w in ascii_words)
+        # words of letters up to U+017F and other printable ASCII, if the tokenizer is seen to
+        # lower-case them and to cut them into contractions, letters, digits and rest
+        letters = [c for c in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x180)])
+                   if c.isalpha() and len(c.lower()) == 1 and self._own(c) == self._own(c.lower()) and len(self._own(c)) == 1]
+        self.shown = {ord(c): self._own(c)[0] for c in letters}
+        kinds = "".join(sorted({c.lower() for c in letters}))
+        self.plain = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kinds}]+|[0-9]|[^{kinds}0-9]+")
+        self.simple = re.compile(f"[!-~{''.join(letters)}]+")
+        probes = ["Abc", "x1y22", "don't", "IT'S", "a_b-C", "''s", "'St", "we'll!", "((9))", "~'re'd", *map(chr, range(33, 127)),
+                  *(f"b{c}d" for c in letters), *(f"1{c}'{c}s" for c in letters)]
+        self.knows_simple = self.by_word and all(self._own(w) == list(self._simple(w)) for w in probes)
         self.words: dict[bytes, tuple[int, tuple[str, ...]]] = {}
 
     def _own(self, text: str) -> list[str]:
@@ -83,6 +91,11 @@ class Cutter:
             text = t.normalizer.normalize_str(text)
         return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(text)] if t.pre_tokenizer is not None else [text]
 
+    def _simple(self, word: str) -> tuple[str, ...]:
+        low = word.lower()
+        parts = (low,) if low.isalpha() else tuple(self.plain.findall(low))
+        return parts if low.isascii() else tuple(p.translate(self.shown) for p in parts)
+
     def cut(self, text: str) -> tuple[int, list[str]]:
         """(special tokens, pre-tokens) of a text."""
         if self.special is None or not (n := len(self.special.findall(text))):
@@ -94,8 +107,8 @@ class Cutter:
         found = self.words.get(word)
         if found is None:
             text = word.decode("utf-8")
-            if self.knows_ascii and word.isascii() and text.isprintable() and not (self.special and self.special.search(text)):
-                found = 0, (text.lower(),) if text.isalpha() else tuple(self.plain.findall(text.lower()))
+            if self.knows_simple and self.simple.fullmatch(text) and not (self.special and self.special.search(text)):
+                found = 0, self._simple(text)
             else:
                 n, parts = self.cut(text)
                 found = n, tuple(parts)
