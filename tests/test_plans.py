@@ -79,19 +79,21 @@ def test_split_reads_the_texts_once(spark):
 
 def test_queries_follow_the_files(spark, tmp_path):
     """Nothing fitted or read is kept between calls."""
+    import os
     import shutil
 
     import __spark_entry__ as E
 
     d = str(tmp_path / "sf")
-    shutil.copytree(SF_SMALL, d)
+    os.mkdir(d)  # a copied folder would keep the mode of one that may be read only
+    for name in os.listdir(SF_SMALL):
+        shutil.copyfile(f"{SF_SMALL}/{name}", f"{d}/{name}")
     names = ["vocabulary", "categories_fixture", "bernoulli_nb_predictions"]
     before = {n: E.queries()[n](spark, d).collect() for n in names}
     docs, customers = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "customer"))
     docs.selectExpr("doc_id", "concat('zzz zzz ', text) AS text", "if(doc_id % 2 = 0, 'xx', 'yy') AS lang", "source",
                     "n_chars").write.mode("overwrite").parquet(f"{d}/new")
     customers.selectExpr("*").withColumn("c_mktsegment", customers.c_mktsegment.substr(1, 3)).write.parquet(f"{d}/newc")
-    import os
     os.remove(f"{d}/documents.parquet")
     os.remove(f"{d}/customer.parquet")
     os.rename(f"{d}/new", f"{d}/documents.parquet")
