@@ -75,8 +75,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text (without its repeated blocks), units_cut per document."""
     from ledger_spark.llm import linededup
 
-    done = linededup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "text", F.col("__cut").alias("units_cut"))
+    return linededup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), count="units_cut")
 
 
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

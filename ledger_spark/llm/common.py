@@ -8,7 +8,7 @@ cut, and a lost executor costs a re-read, not a recomputation.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +40,14 @@ def may_learn(key: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(fold(key, modulus) != remainder, F.lit(False))
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores before it as no column of ``taken`` has (in any case)."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the file."""
     spark = df.sparkSession

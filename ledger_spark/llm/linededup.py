@@ -2,33 +2,39 @@
 
 The units are lines, cut further after about every sixth word, namely after each
 word whose hash (of the last bytes before a blank) is the least of some
-``UNIT_WINDOW`` consecutive ones. So no unit is longer than that, and a passage is cut into the same units wherever
-it stands and however the lines around it break; only its first and last unit may
-run into other text; a passage of 50 words always holds a run of ``BLOCK_WORDS``
-words in whole units. Of every such run of units the document with the smallest id
-that holds it is its owner; the owner is never cut for it.
-
-1. Units are hashed; per document the hashes and word counts are kept, in order.
-   A line hash to search by is that of the shortest run of ``BLOCK_WORDS`` words
-   from a unit on; every unit has one.
-2. A line hash that several documents hold links each later one to the owner,
-   which is sure to have that run to be cut. This gives one pair per document and
-   owner, never all pairs of the documents that share a line, however many they are.
-   Ends of fewer than ``BLOCK_WORDS`` words that only a later holder has stay.
-3. Each pair is aligned by patience diff: units that occur once on both sides
-   anchor it (longest increasing subsequence), and what lies between anchors is
-   aligned the same way.
-4. Runs of aligned units of at least ``BLOCK_WORDS`` words are common blocks. An
-   alignment is increasing and one to one, so what it leaves of the later document
-   is compared run by run with the whole owner: passages in another order, and
-   further copies of one, are common blocks too. The blocks are deleted from the
-   later document; all other text stays, character for
-   character.
-
-Nulls and ties: a NULL, empty or blank text has no units and stays. Rows that
-share a doc_id are versions of one document: not compared with each other, each
-cut by its own alignment; the same holds for rows without a doc_id, which come
-last. Repeated units inside one document stay.
+``UNIT_WINDOW`` consecutive ones. So no unit is longer than that, and a passage is
+cut into the same units wherever it stands and however the lines around it break;
+only its first and last unit may run into other text; a passage of 50 words always
+holds ``BLOCK_WORDS`` words in whole units.
+
+1. A *line* is a shortest run of units that holds ``BLOCK_WORDS`` words: from a unit
+   on, or up to a unit. Every stretch of units with that many words is covered by its
+   lines. Per document the lines' hashes are kept, in order, with their places.
+2. A line is dropped if one document alone has it: what is left are the rare lines by
+   which documents overlap. Of the documents that share a line the one with the
+   smallest id is its owner and is never cut for it. Each later holder is linked to
+   the owner: one link per line and place, never all pairs of the documents that
+   share a line, however many they are.
+3. A document is aligned with each of its owners by patience diff: every line's first
+   place in the document that is still there against its first place in the owner;
+   the longest chain of lines that increases on both sides is the alignment. Its
+   lines' units are common blocks and are cut. As an alignment is increasing and one
+   to one, it is repeated on what it leaves (lines no unit of which is cut), until
+   no line is left: so passages in another order, and further copies, go as well.
+4. The blocks of all owners are deleted from the document; all other text stays,
+   character for character.
+
+An alignment needs the places of shared lines only: neither texts nor hashes of whole
+documents travel, and a document's links are as many as its lines, whatever the
+number of its owners. They are grouped by document.
+
+Nulls and ties: ids may have any type that can be ordered. A NULL, empty or blank text
+has no units and stays. Rows that share a doc_id are versions of one document: not
+compared with each other, each cut by its own alignment; the same holds for rows
+without a doc_id, which come last. Repeated rows are cut alike. Lines that only one
+document repeats stay. Very long texts are read whole; their links are one group, as
+long as the text. An empty table gives an empty result. Columns of the input are
+kept, whatever their names; the count of cut units takes a name that is free.
 """
 
 from __future__ import annotations
@@ -43,15 +49,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ledger_spark.llm.common import may_contain, slices, written
+from ledger_spark.llm.common import free_name, may_contain, slices, written
 
 #: Of so many consecutive words the one with the least hash ends a unit.
 UNIT_WINDOW = 11
+#: Words of a line; a line has at most as many units.
 BLOCK_WORDS = 20
-#: Words of a line hash, and of how many consecutive ones the least is kept: all are.
-ANCHOR_WORDS = BLOCK_WORDS
-WINNOW = 1
-_LAST = (1 << 63) - 1
+#: A line's place is its first unit and, in these many bits, its number of units.
+SIZE_BITS = 5
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
 _BLANK = np.zeros(256, bool)
@@ -111,13 +116,21 @@ def unit_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(found, np.uint64, len(words)), words
 
 
-def runs(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first unit, units, hash) of the shortest run of ``least`` words from each unit that has one."""
+def lines(hashes: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first unit, units, hash) of every line: the shortest runs of ``least`` words from
+    a unit on, and those up to a unit that are not among them, in order."""
     before = np.zeros(len(words) + 1, np.int64)
     np.cumsum(words, out=before[1:])
     end = np.searchsorted(before, before[:-1] + least)
     first = np.flatnonzero(end <= len(words))
     end = end[first]
+    reached = np.zeros(len(words) + 1, bool)
+    reached[end] = True
+    more = np.flatnonzero((before >= least) & ~reached)  # ends that no shortest run from a unit on has
+    first = np.concatenate([first, np.searchsorted(before, before[more] - least, side="right") - 1])
+    end = np.concatenate([end, more])
+    order = np.lexsort((end, first))
+    first, end = first[order], end[order]
     # a run's hash is its polynomial in _FACTOR, by differences of prefix sums over its inverse
     power = np.cumprod(np.full(len(words), _FACTOR))
     prefix = np.zeros(len(words) + 1, np.uint64)
@@ -125,198 +138,141 @@ def runs(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray,
     return first, end - first, power[end - 1] * (prefix[end] - prefix[first])
 
 
-def line_hashes(hashes: np.ndarray, words: np.ndarray, least: int = ANCHOR_WORDS) -> np.ndarray:
-    """The winnowed hashes of runs of at least ``least`` words."""
-    if not len(words):
-        return hashes
-    run = runs(hashes, words, least)[2]
-    if len(run) <= WINNOW:
-        return run[run == run.min()] if len(run) else run
-    return np.unique(_sliding(np.minimum, run, WINNOW))
-
-
 def _sequences(docs: DataFrame, block_words: int) -> DataFrame:
-    """(id, version, hashes, words, lines) of each row that has a text."""
+    """(id, version, lines, places) of each row that has a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            out: list[list] = [[], [], []]
+            out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
             for text in part.column(2).to_pylist():
-                h, words = unit_hashes(text.encode("utf-8"))
-                out[0].append(h.view(np.int64))
-                out[1].append(words.astype(np.int32))
-                out[2].append(line_hashes(h, words, block_words).view(np.int64))
-            lists = [pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, x))], pa.int32()), pa.array(np.concatenate(x)))
+                first, size, line = lines(*unit_hashes(text.encode("utf-8")), block_words)
+                out[0].append(line.view(np.int64))
+                out[1].append(first << SIZE_BITS | size)
+            lists = [pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, x[1:]))], pa.int32()), pa.array(np.concatenate(x)))
                      for x in out]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists],
-                                             ["id", "version", "hashes", "words", "lines"])
-
-    rows = docs.filter("length(text) > 0").select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("version"), "text")
-    return rows.mapInArrow(run, "id long, version long, hashes array<long>, words array<int>, lines array<long>")
-
-
-def patience(a: list, b: list) -> list[tuple[int, int]]:
-    """Aligned positions of equal elements, increasing on both sides."""
-    out: list[tuple[int, int]] = []
-    stack = [(0, len(a), 0, len(b))]
-    while stack:
-        i, m, j, n = stack.pop()
-        while i < m and j < n and a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        while i < m and j < n and a[m - 1] == b[n - 1]:
-            m, n = m - 1, n - 1
-            out.append((m, n))
-        if i >= m or j >= n:
-            continue
-        once: dict = {}
-        for k in range(i, m):
-            once[a[k]] = -1 if a[k] in once else k
-        there: dict = {}
-        for k in range(j, n):
-            if once.get(b[k], -1) >= 0:
-                there[b[k]] = -1 if b[k] in there else k
-        pairs = sorted((once[x], k) for x, k in there.items() if k >= 0)
-        tails: list[int] = []       # longest run of pairs that increases in b
-        ends: list[int] = []
-        before = [-1] * len(pairs)
-        for p, (_, k) in enumerate(pairs):
-            at = bisect_left(tails, k)
-            before[p] = ends[at - 1] if at else -1
-            tails[at:at + 1] = [k]
-            ends[at:at + 1] = [p]
-        chain, p = [], ends[-1] if ends else -1
-        while p >= 0:
-            chain.append(pairs[p])
-            p = before[p]
-        chain.reverse()
-        if chain:
-            out.extend(chain)
-            bounds = [(i - 1, j - 1), *chain, (m, n)]
-            stack.extend((p[0] + 1, q[0], p[1] + 1, q[1]) for p, q in zip(bounds, bounds[1:]))
-    return sorted(out)
-
-
-def common_blocks(later: np.ndarray, words: np.ndarray, owner: np.ndarray, block_words: int = BLOCK_WORDS) -> list[int]:
-    """Positions of ``later`` inside aligned runs of at least ``block_words``
-    words. Units that only one side has take no part in the alignment."""
-    mine = np.isin(later, owner)
-    held = np.concatenate([[0], np.cumsum(np.where(mine, words, 0))])
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
-    if not len(edge) or (held[edge[1::2]] - held[edge[::2]]).max() < block_words:
-        return []
-    i = np.flatnonzero(mine)
-    j = np.flatnonzero(np.isin(owner, later[i]))
-    pairs = np.array(patience(later[i].tolist(), owner[j].tolist()), np.int64).reshape(-1, 2)
-    if not len(pairs):
-        return []
-    x, y = i[pairs[:, 0]], j[pairs[:, 1]]
-    new = np.concatenate([[True], (np.diff(x) != 1) | (np.diff(y) != 1)])
-    block = np.cumsum(new) - 1
-    size = np.bincount(block, weights=words[x])
-    return x[size[block] >= block_words].tolist()
-
-
-def moved_blocks(later: np.ndarray, words: np.ndarray, owner: np.ndarray, block_words: int = BLOCK_WORDS) -> list[int]:
-    """Positions of ``later`` inside any run of at least ``block_words`` words that
-    ``owner`` has as well, wherever and however often."""
-    mine = np.isin(later, owner)
-    held = np.concatenate([[0], np.cumsum(np.where(mine, words, 0))])
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
-    if not len(edge) or (held[edge[1::2]] - held[edge[::2]]).max() < block_words:
-        return []
-    kinds, at = np.unique(later, return_index=True)
-    place = np.minimum(np.searchsorted(kinds, owner), len(kinds) - 1)
-    there = np.where(kinds[place] == owner, words[at[place]], 1)  # equal units have equal words; others end a run
-    covered = np.zeros(len(later), bool)
-    for step in (1, -1):  # shortest runs from a unit on, and up to a unit
-        first, size, run = runs(later[::step].view(np.uint64), words[::step], block_words)
-        same = np.isin(run, runs(owner[::step].view(np.uint64), there[::step], block_words)[2])
-        change = np.zeros(len(later) + 1, np.int64)
-        np.add.at(change, first[same], 1)
-        np.add.at(change, first[same] + size[same], -1)
-        covered |= (np.cumsum(change)[:-1] > 0)[::step]
-    return np.flatnonzero(covered).tolist()
-
-
-def shared_blocks(later: np.ndarray, words: np.ndarray, owner: np.ndarray, block_words: int = BLOCK_WORDS) -> list[int]:
-    """Positions to cut: the common blocks of the alignment, then the runs of the rest."""
-    cut = common_blocks(later, words, owner, block_words)
-    rest, gone = later.copy(), 0
-    while (owner == gone).any():
-        gone += 1
-    rest[cut] = gone
-    return cut + moved_blocks(rest, words, owner, block_words)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["id", "version", "lines", "places"])
+
+    rows = docs.filter("length(text) > 0").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("version"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, version long, lines array<long>, places array<long>")
+
+
+def longest_increasing(values: np.ndarray) -> np.ndarray:
+    """Places of a longest strictly increasing subsequence (patience sorting); of several
+    the one that ends last, and so on backwards."""
+    if (np.diff(values) > 0).all():
+        return np.arange(len(values))
+    tails: list[int] = []  # least last value of a chain, by length
+    ends: list[int] = []   # its place
+    before = np.full(len(values), -1)
+    for p, v in enumerate(values.tolist()):
+        at = bisect_left(tails, v)
+        before[p] = ends[at - 1] if at else -1
+        tails[at:at + 1] = [v]
+        ends[at:at + 1] = [p]
+    chain, p = [], ends[-1]
+    while p >= 0:
+        chain.append(p)
+        p = before[p]
+    return np.array(chain[::-1])
+
+
+def aligned_blocks(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """Units to cut: those of the aligned lines, alignment by alignment.
+
+    ``mine`` are the places of the lines in the document, in order; ``theirs`` the
+    first place of the same line in the owner.
+    """
+    first, size = mine >> SIZE_BITS, mine & ((1 << SIZE_BITS) - 1)
+    base, last = int(first[0]), int((first + size).max())
+    cut = np.zeros(last - base, bool)
+    left = np.arange(len(mine))
+    while len(left):
+        here = left[np.sort(np.unique(theirs[left], return_index=True)[1])]
+        chain = here[longest_increasing(theirs[here])]
+        change = np.zeros(len(cut) + 1, np.int64)
+        np.add.at(change, first[chain] - base, 1)
+        np.add.at(change, first[chain] + size[chain] - base, -1)
+        cut |= np.cumsum(change)[:-1] > 0
+        before = np.concatenate([[0], np.cumsum(cut)])
+        left = left[before[first[left] + size[left] - base] == before[first[left] - base]]
+    return np.flatnonzero(cut) + base
 
 
 def _cuts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, version, cut): the unit positions to delete."""
+    if block_words >= 1 << SIZE_BITS:
+        raise ValueError(f"a line of {block_words} words may have too many units for its place")
     sequences = written(_sequences(docs, block_words), "lines-sequences")
     if not sequences.groupBy("id", "version").count().filter("count > 1").isEmpty():
         sequences = written(sequences.dropDuplicates(["id", "version"]), "lines-distinct")
-    lines = sequences.select("id", F.explode("lines").alias("line"))
-    shared = written(lines.groupBy("line").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
-                     .filter("owner < last").select("line", "owner"), "lines-shared")
-    pairs = written(lines.join(shared, "line").filter("owner < id").select("id", "owner").distinct(), "lines-pairs")
-    later = sequences.filter(may_contain(pairs, "id", F.col("id"))).select("id", "version", "hashes", "words")
-    owners = sequences.filter(may_contain(pairs, "owner", F.col("id"))).select(
-        F.col("id").alias("owner"), F.col("hashes").alias("owner_hashes"))
-    both = pairs.join(later, "id").join(owners, "owner")
+    found = sequences.select("id", "version", F.explode(F.arrays_zip("lines", "places")).alias("l")).select(
+        "id", "version", F.col("l.lines").alias("line"), F.col("l.places").alias("mine"))
+    own = F.when(F.col("id").isNotNull(), F.struct("id", F.col("mine").alias("place")))
+    shared = written(found.groupBy("line").agg(F.min(own).alias("own"), F.max("id").alias("last"),
+                                               F.max(F.col("id").isNull()).alias("nameless"))
+                     .filter("own.id < last OR own IS NOT NULL AND nameless")
+                     .select("line", F.col("own.id").alias("owner"), F.col("own.place").alias("theirs")), "lines-shared")
+    links = found.join(shared, "line").filter("owner < id OR id IS NULL").select("id", "version", "owner", "mine", "theirs")
+    # one document's links: as many as its lines
+    grouped = links.groupBy("id", "version").agg(F.array_sort(F.collect_list(F.struct("owner", "mine", "theirs"))).alias("links"))
+    grouped = grouped.select("id", "version", F.transform("links", lambda x: x["owner"]).alias("owner"),
+                             F.transform("links", lambda x: x["mine"]).alias("mine"),
+                             F.transform("links", lambda x: x["theirs"]).alias("theirs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            hashes, words, owner = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in part.columns[2:])
-            keep, cuts = [], []
-            for r in range(part.num_rows):
-                h, w, o = (x[at[r]:at[r + 1]] for x, at in (hashes, words, owner))
-                cut = shared_blocks(h, w, o, block_words)
-                if cut:
-                    keep.append(r)
-                    cuts.append(cut)
-            rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows),
-                                              pa.array(cuts, pa.list_(pa.int32()))], ["id", "version", "cut"])
-
-    found = (both.select("id", "version", "hashes", "words", "owner_hashes")
-             .mapInArrow(run, "id long, version long, cut array<int>"))
-    return written(found.groupBy("id", "version").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut")),
-                   "lines-cuts")
-
-
-def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with the repeated blocks deleted from ``text``, and ``__cut``: how
-    many units of the row were deleted."""
+            owner = part.column(2).values.dictionary_encode().indices.to_numpy()
+            mine, theirs = (part.column(c).values.to_numpy() for c in (3, 4))
+            at, cuts = part.column(2).offsets.to_numpy(), []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                edges = [a, *(np.flatnonzero(np.diff(owner[a:b])) + a + 1).tolist(), b]
+                cut = [aligned_blocks(mine[x:y], theirs[x:y]) for x, y in zip(edges, edges[1:])]
+                cuts.append(cut[0] if len(cut) == 1 else np.unique(np.concatenate(cut)))
+            lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, cuts))], pa.int32()),
+                                             pa.array(np.concatenate(cuts or [np.zeros(0)]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["id", "version", "cut"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return written(grouped.mapInArrow(run, f"id {kind}, version long, cut array<int>"), "lines-cuts")
+
+
+def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS, count: str | None = None) -> DataFrame:
+    """``docs`` with the repeated blocks deleted from ``text``, and a last column: how
+    many units of the row were deleted, named ``count`` or by a free name (``cut``)."""
+    names = [*docs.columns]
+    count = count or free_name("cut", names)
+    own, version, gone = (free_name(n, [*names, count]) for n in ("cut_id", "cut_version", "cut_units"))
     cuts = _cuts(docs.select("doc_id", "text"), block_words).select(
-        F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("cut").alias("__positions"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    here = (key == F.col("__id")) & (F.xxhash64("text") == F.col("__version"))
+        F.col("id").alias(own), F.col("version").alias(version), F.col("cut").alias(gone))
+    key = F.col("doc_id")
+    here = key.eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(version))
     # rows of documents without a cut pass without a shuffle
-    may = may_contain(cuts, "__id", key)
-    joined = docs.filter(may).join(cuts, here, "left").select(*docs.columns, "__positions")
-    at = docs.columns.index("text")
+    may = may_contain(cuts, own, key)
+    joined = docs.filter(may).join(cuts, here, "left").select(*names, gone)
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            positions, counts = part.column(len(names) - 1), np.zeros(part.num_rows, np.int32)
+            positions, counts = part.column(len(names)), np.zeros(part.num_rows, np.int32)
             columns = list(part.columns[:-1])
             cut_rows = [r for r in range(part.num_rows) if positions[r].is_valid]
             if cut_rows:
                 texts = columns[at].to_pylist()
                 for r in cut_rows:
-                    gone = set(positions[r].as_py())
-                    texts[r] = without(texts[r], gone)
-                    counts[r] = len(gone)
+                    cut = set(positions[r].as_py())
+                    texts[r] = without(texts[r], cut)
+                    counts[r] = len(cut)
                 columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], [*names, count])
 
-    names = [*docs.columns, "__cut"]
-    done = joined.mapInArrow(run, StructType([*docs.schema.fields, StructField("__cut", IntegerType())]))
-    return docs.filter(~may).withColumn("__cut", F.lit(0)).union(done)
+    done = joined.mapInArrow(run, StructType([*docs.schema.fields, StructField(count, IntegerType())]))
+    return docs.filter(~may).withColumn(count, F.lit(0)).union(done)
 
 
 def drop_repeats(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` after de-duplication, with its columns. A row that was cut to
     nothing but white space has become a repeat as a whole and goes."""
-    done = deduplicate(docs, block_words)
-    return done.filter((F.col("__cut") == 0) | (F.trim("text", F.lit(" \t\r\n")) != "")).select(*docs.columns)
+    count = free_name("cut", docs.columns)
+    done = deduplicate(docs, block_words, count)
+    return done.filter((F.col(count) == 0) | (F.trim("text", F.lit(" \t\r\n")) != "")).select(*docs.columns)

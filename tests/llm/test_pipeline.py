@@ -73,9 +73,7 @@ def test_stages_against_plain_versions(spark, planted):
     cut = dict(plain_dedup(sorted(text.items())))
     got = run("line dedup")
     assert set(got) == {k for k in text if cut[k] == text[k] or cut[k].strip()}
-    agree = sum(got[k] == cut[k] for k in got)
-    assert agree >= 0.99 * len(got)  # short blocks may share no line hash
-    assert all(len(got[k] or "") >= len(cut[k] or "") for k in got)
+    assert all(got[k] == cut[k] for k in got)
 
     least = dict(brute([(k, plain_fingerprint(t)) for k, t in sorted(text.items())]))
     assert set(run("SimHash near-dedup")) == {k for k in text if least[k] == k}
@@ -101,7 +99,7 @@ def test_stages_against_plain_versions(spark, planted):
 def test_run_and_registration(spark):
     got = corpus_pipeline.run(spark, SF)
     assert 0 < got.count() < 200 and "mix_position" in got.columns
-    assert sorted(int(q[2:].split("_")[0]) for q in catalog.SPARK) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in catalog.SPARK) == list(range(1, 14))
 
 
 def test_empty_documents(spark, tmp_path):

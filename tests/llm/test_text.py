@@ -140,17 +140,26 @@ def test_no_pages(spark):
     assert htmltext.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
-def test_patience_is_an_increasing_alignment_and_finds_moves():
+def plain_chain(values):
+    """A longest increasing subsequence by comparing all pairs; of several the one that
+    ends last, its element before that last, and so on."""
+    length = []
+    for i, v in enumerate(values):
+        length.append(1 + max((length[j] for j in range(i) if values[j] < v), default=0))
+    chain, at, want = [], len(values), max(length, default=0)
+    while want:
+        at = max(j for j in range(at) if length[j] == want and (not chain or values[j] < values[chain[-1]]))
+        chain.append(at)
+        want -= 1
+    return chain[::-1]
+
+
+def test_the_longest_chain():
     rng = random.Random(3)
-    for _ in range(300):
-        a = [rng.randrange(12) for _ in range(rng.randint(0, 25))]
-        b = [rng.randrange(12) for _ in range(rng.randint(0, 25))]
-        found = linededup.patience(a, b)
-        assert all(a[i] == b[j] for i, j in found)
-        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
-    a = list(range(30))
-    assert linededup.patience(a, a) == [(i, i) for i in a]
-    assert linededup.patience([90, *a, 91], [80, 81, *a]) == [(i + 1, i + 2) for i in a]
+    for _ in range(500):
+        values = rng.sample(range(100), rng.randint(1, 25))
+        assert linededup.longest_increasing(np.array(values)).tolist() == plain_chain(values)
+    assert linededup.longest_increasing(np.arange(9)).tolist() == list(range(9))
 
 
 def passage(seed, sentences=6):
@@ -169,45 +178,33 @@ def test_units_join_to_the_text_and_follow_the_words():
     assert len(inner) > 5 and inner <= around
 
 
-def test_winnowing_keeps_a_hash_of_every_window():
-    rng = random.Random(6)
-    for _ in range(100):
-        words = np.array([rng.randint(1, 9) for _ in range(rng.randint(1, 40))], np.int64)
-        h = np.array([rng.getrandbits(64) for _ in words], np.uint64)
-        taken, runs = set(linededup.line_hashes(h, words).tolist()), []
-        for i in range(len(words)):
-            total, run, j = words[i], int(h[i]), i
-            while total < linededup.ANCHOR_WORDS and j + 1 < len(words):
-                j += 1
-                total, run = total + words[j], (run * int(linededup._FACTOR) + int(h[j])) % (1 << 64)
-            if total >= linededup.ANCHOR_WORDS:
-                runs.append(run)
-        assert taken <= set(runs) and bool(taken) == bool(runs)
-        for i in range(len(runs) - linededup.WINNOW + 1):
-            assert taken & set(runs[i:i + linededup.WINNOW])
-
-
-def plain_blocks(later, words, owner):
-    """Runs of the alignment, the plain way."""
-    i = [k for k, u in enumerate(later) if u in set(owner)]
-    j = [k for k, u in enumerate(owner) if u in set(later)]
-    cut, run = set(), []
-    for x, y in [*((i[p], j[q]) for p, q in linededup.patience([later[k] for k in i], [owner[k] for k in j])), (-9, -9)]:
-        if run and (x, y) != (run[-1][0] + 1, run[-1][1] + 1):
-            cut |= {k for k, _ in run} if sum(words[k] for k, _ in run) >= linededup.BLOCK_WORDS else set()
-            run = []
-        run.append((x, y))
-    return cut
+def plain_lines(words, least=linededup.BLOCK_WORDS):
+    """(first unit, units) of the shortest runs of ``least`` words from and up to each unit."""
+    out = set()
+    for i in range(len(words)):
+        j = next((j for j in range(i + 1, len(words) + 1) if sum(words[i:j]) >= least), None)
+        out |= {(i, j - i)} if j else set()
+        k = next((k for k in range(i, -1, -1) if sum(words[k:i + 1]) >= least), None)
+        out |= {(k, i + 1 - k)} if k is not None else set()
+    return sorted(out)
 
 
-def test_common_blocks_are_the_long_runs():
-    rng = random.Random(8)
-    for _ in range(300):
-        a = [rng.randrange(15) for _ in range(rng.randint(0, 30))]
-        b = [rng.randrange(15) for _ in range(rng.randint(0, 10))] + a[3:20] + [rng.randrange(15) for _ in range(5)]
-        words = [rng.randint(1, 9) for _ in a]
-        got = linededup.common_blocks(np.array(a, np.int64), np.array(words, np.int64), np.array(b, np.int64))
-        assert set(got) == plain_blocks(a, words, b) and len(set(got)) == len(got)
+def test_lines_are_the_shortest_runs_and_cover_every_stretch():
+    rng = random.Random(6)
+    for _ in range(200):
+        words = np.array([rng.randint(1, 9) for _ in range(rng.randint(0, 40))], np.int64)
+        h = np.array([rng.randrange(5) for _ in words], np.uint64)  # equal units as well
+        first, size, line = linededup.lines(h, words)
+        found = list(zip(first.tolist(), size.tolist()))
+        assert found == plain_lines(words.tolist())
+        same = {}
+        for (i, n), x in zip(found, line.tolist()):
+            assert same.setdefault(tuple(h[i:i + n].tolist()), x) == x  # equal runs, equal hash
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                if words[i:j].sum() >= linededup.BLOCK_WORDS:
+                    inside = [set(range(a, a + n)) for a, n in found if i <= a and a + n <= j]
+                    assert set().union(*inside) == set(range(i, j))
 
 
 def test_every_passage_of_50_words_shares_a_line_hash():
@@ -216,7 +213,7 @@ def test_every_passage_of_50_words_shares_a_line_hash():
     text = lambda n: " ".join(word() for _ in range(n))
     for _ in range(2000):
         shared = text(50)
-        one, two = (set(linededup.line_hashes(*linededup.unit_hashes(f"{text(30)} {shared} {text(30)}".encode())).tolist())
+        one, two = (set(linededup.lines(*linededup.unit_hashes(f"{text(30)} {shared} {text(30)}".encode()))[2].tolist())
                     for _ in range(2))
         assert one & two
 
@@ -232,27 +229,44 @@ def test_a_passage_whose_parts_stand_in_earlier_documents(spark):
     assert got[60].strip() == passage(101)
 
 
-def plain_runs(units, words):
-    """Every run of at least BLOCK_WORDS words, as a tuple of units, with its positions."""
-    for i in range(len(units)):
-        for j in range(i + 1, len(units) + 1):
-            if sum(words[i:j]) >= linededup.BLOCK_WORDS:
-                yield tuple(units[i:j]), range(i, j)
+def plain_alignments(mine, theirs):
+    """Units cut by alignment after alignment. ``mine``: (first unit, units, line) in order;
+    ``theirs``: line -> (first unit, units) in the owner."""
+    cut, left = set(), mine
+    while left:
+        seen, here = set(), []
+        for i, n, line in left:
+            if line not in seen:
+                seen.add(line)
+                here.append((i, n, theirs[line]))
+        for k in plain_chain([x[2] for x in here]):
+            cut |= set(range(here[k][0], here[k][0] + here[k][1]))
+        left = [x for x in left if not cut & set(range(x[0], x[0] + x[1]))]
+    return cut
 
 
-def test_no_common_run_stays_in_any_order_or_number():
-    rng = random.Random(12)
-    for _ in range(300):
+def test_alignment_decides_and_leaves_no_shared_line():
+    rng, differs = random.Random(12), 0
+    for _ in range(400):
         size = [0, *(rng.randint(1, 9) for _ in range(14))]
         b = [rng.randint(1, 14) for _ in range(rng.randint(0, 25))]
         a = []
-        for i in (rng.randint(0, 20) for _ in range(rng.randint(1, 3))):
-            a += [*b[i:i + 6], rng.randint(1, 14)]
+        for i in (rng.randint(0, 20) for _ in range(rng.randint(1, 4))):
+            a += [*b[i:i + rng.randint(3, 9)], rng.randint(1, 14)]
         words = [size[x] for x in a]
-        cut = set(linededup.shared_blocks(np.array(a, np.int64), np.array(words, np.int64), np.array(b, np.int64)))
-        theirs = {t for t, _ in plain_runs(b, [size[x] for x in b])}
-        common = [set(at) for t, at in plain_runs(a, words) if t in theirs]
-        assert cut <= set().union(*common) and all(at & cut for at in common)
+        theirs = {}
+        for i, n in plain_lines([size[x] for x in b]):
+            theirs.setdefault(tuple(b[i:i + n]), (i, n))
+        mine = [(i, n, tuple(a[i:i + n])) for i, n in plain_lines(words) if tuple(a[i:i + n]) in theirs]
+        cut = plain_alignments(mine, theirs)
+        if mine:
+            place = lambda x: x[0] << linededup.SIZE_BITS | x[1]
+            got = linededup.aligned_blocks(np.array([place(x) for x in mine]), np.array([place(theirs[x[2]]) for x in mine]))
+            assert set(got.tolist()) == cut
+        covered = set().union(*(set(range(i, i + n)) for i, n, _ in mine))
+        assert cut <= covered and all(cut & set(range(i, i + n)) for i, n, _ in mine)
+        differs += cut != covered  # without the alignment all that any shared line covers would go
+    assert differs > 5
 
 
 def test_moved_and_repeated_passages_are_cut(spark):
@@ -266,18 +280,60 @@ def test_moved_and_repeated_passages_are_cut(spark):
 
 
 def plain_dedup(docs):
-    """Every later document against every earlier one, without candidate search."""
+    """Every document's lines looked up in all documents; ``docs`` are (id, text), ids distinct."""
+    pieces = {k: linededup.units(t) for k, t in docs}
+    runs = {k: [(i, n, tuple(p.strip() for p in u[i:i + n])) for i, n in plain_lines(w)] for k, (u, w) in pieces.items()}
+    holders = {}
+    for k in sorted(runs):
+        for i, n, line in runs[k]:
+            holders.setdefault(line, (k, (i, n)))  # the owner and its first place
     out = []
-    for key, text in docs:
-        pieces, words = linededup.units(text)
+    for k, text in docs:
         cut = set()
-        for other, earlier in docs:
-            if other < key:
-                cut |= plain_blocks([p.strip() for p in pieces], words, [p.strip() for p in linededup.units(earlier)[0]])
-        out.append((key, "".join(p for k, p in enumerate(pieces) if k not in cut) if pieces else text))
+        for owner in {holders[line][0] for _, _, line in runs[k]} - {k}:
+            mine = [x for x in runs[k] if holders[x[2]][0] == owner]
+            cut |= plain_alignments(mine, {x[2]: holders[x[2]][1] for x in mine})
+        u = pieces[k][0]
+        out.append((k, "".join(p for j, p in enumerate(u) if j not in cut) if u else text))
     return out
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_equals_the_plain_version(spark, seed):
+    """Random documents of shared, moved, repeated and broken passages, text ids."""
+    rng = random.Random(seed)
+    parts = [passage(200 + 40 * seed + i, rng.randint(1, 5)) for i in range(12)]
+    docs = []
+    for i in range(60):
+        chosen = [rng.choice(parts) if rng.random() < 0.7 else passage(9000 + 100 * seed + i, 2) for _ in range(rng.randint(1, 6))]
+        words = " ".join(chosen).split()
+        if rng.random() < 0.5:
+            words = words[rng.randint(0, 8):]
+        docs.append((f"k{i:03d}", "".join(w + ("\n" if rng.random() < 0.04 else " ") for w in words)))
+    got = linededup.deduplicate(spark.createDataFrame(docs, "doc_id string, text string"))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == plain_dedup(docs)
+
+
+def test_line_dedup_keeps_any_column_and_any_id(spark):
+    p = passage(31)
+    rows = [((1 << 63) - 1, f"{p} tail one"), (None, f"{p} tail two"), (None, f"{p} three"), (-5, f"head {p}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("cut", "_cut", "CUT_ID", "cut_version", "cut_units", "line", "owner", "mine", "theirs", "version", "id"):
+        docs = docs.withColumn(name, F.lit("x"))
+    got = linededup.deduplicate(docs)
+    assert got.columns == [*docs.columns, "__cut"] and {r.cut for r in got.collect()} == {"x"}
+    cut = {(r.doc_id, r.text.split()[-1]): r["__cut"] > 0 for r in got.collect()}
+    assert cut == {(-5, p.split()[-1]): False, ((1 << 63) - 1, "one"): True, (None, "two"): True, (None, "three"): True}
+    assert linededup.drop_repeats(docs).columns == docs.columns
+
+
+def test_a_very_long_text_with_many_owners(spark):
+    parts = [passage(400 + i) for i in range(150)]
+    docs = [(i, f"{x} {passage(600 + i, 1)}") for i, x in enumerate(parts)] + [(1000, " ".join(parts[::-1]) * 3)]
+    got = {r.doc_id: r.text for r in linededup.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(plain_dedup(docs)) and len(got[1000]) < 0.3 * len(docs[-1][1])
+
+
 def test_line_dedup_against_all_pairs(spark):
     shared, other = passage(1), passage(2)
     docs = [(1, f"Intro one here. {shared}\nTail one."), (2, f"Something else. {shared} Tail two."), (3, passage(3)),
