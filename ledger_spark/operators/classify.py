@@ -8,13 +8,15 @@ array of word weights. A row's words are vocabulary numbers, so each weight is a
 array access. The plan has the same size for any number of classes, and rows are
 neither joined with parameters nor shuffled.
 
-Multinomial logistic regression uses MLlib (distributed L-BFGS).
+Multinomial logistic regression uses MLlib (distributed L-BFGS) with a small ridge.
+A fitted model can be stored, with its vocabulary, and loaded by batches and streams.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from ledger_spark.functions.rules import keyword_classify
 from ledger_spark.operators.features import amount_features
 from ledger_spark.operators.text import present_words, word_numbers
+from ledger_spark.sources import storage
 
 LOG_SQRT_2PI = 0.5 * math.log(2 * math.pi)
 # Fixed values of the Gaussian naive Bayes scorer: standard deviations and
@@ -153,23 +156,88 @@ def bernoulli_nb_predict(model: dict, df: DataFrame, out_col: str = "pred_bnb")
     return _scored(df, model["words"], classes, out_col)
 
 
+#: H8's ridge: half this times the squared coefficients is added to the mean loss of a
+#: training row (intercepts are free). Without it separable classes have no finite
+#: optimum; with it there is exactly one.
+RIDGE = 1e-3
+#: The optimiser stops when a step gains less than this share of the loss.
+TOLERANCE = 1e-8
+#: Training rows of a task: each of the optimiser's steps is a job over all of them, and
+#: costs more to schedule than to compute where tasks hold few rows.
+ROWS_PER_TASK = 20_000
+
+
 def logistic_regression_fit(train: DataFrame, features_col: str = "features", label: str = "category",
-                            max_iter: int = 100):
-    """H8: multinomial softmax regression without penalty (MLlib), one class
-    per label, indexed in alphabetical order. Rows without a label do not train."""
+                            max_iter: int = 1000, ridge: float = RIDGE):
+    """H8: multinomial softmax regression (MLlib), one class per label, indexed in
+    alphabetical order, at the optimum that :func:`score_equations` checks. Rows
+    without a label do not train. ``ridge=0`` fits without a penalty."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IndexToString, StringIndexer
 
     train = train.where(F.col(label).isNotNull())
+    train = train.coalesce(max(1, -(-train.count() // ROWS_PER_TASK)))
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc",
                             handleInvalid="error").fit(train)
-    lr = LogisticRegression(featuresCol=features_col, labelCol="_label", family="multinomial",
-                            regParam=0.0, elasticNetParam=0.0, maxIter=max_iter, standardization=True)
+    lr = LogisticRegression(featuresCol=features_col, labelCol="_label", family="multinomial", regParam=ridge,
+                            elasticNetParam=0.0, maxIter=max_iter, tol=TOLERANCE, standardization=False)
     back = IndexToString(inputCol="prediction", outputCol="pred_lr", labels=indexer.labels)
     return Pipeline(stages=[indexer, lr, back]).fit(train)
 
 
+def score_equations(model, train: DataFrame, feature_names: list[str], features_col: str = "features",
+                    label: str = "category", ridge: float = RIDGE) -> DataFrame:
+    """The equations that hold at H8's optimum: per class and feature (and the
+    intercept), ``observed`` (sum of the feature over the class's training rows),
+    ``expected`` (its sum weighted by the class's probability, plus the ridge's pull)
+    and ``residual``, their difference per training row.
+
+    One pass with partial aggregation: two weighted sum vectors per class.
+    """
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    spark, labels, lr = train.sparkSession, lr_labels(model), model.stages[1]
+    rows = lr_predict(model, train.where(F.col(label).isNotNull())).withColumn("_p", vector_to_array("probability"))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for k, name in enumerate(labels):
+        is_k = (F.col(label) == name).cast("double")
+        aggs += [F.sum(is_k).alias(f"n{k}"), F.sum(F.col("_p")[k]).alias(f"p{k}"),
+                 Summarizer.sum(F.col(features_col), is_k).alias(f"seen{k}"),
+                 Summarizer.sum(F.col(features_col), F.col("_p")[k]).alias(f"held{k}")]
+    s = rows.agg(*aggs).first()  # classes x features numbers, as many as the model has
+    out = []
+    for k, name in enumerate(labels):
+        pull = [s.n * ridge * float(b) for b in lr.coefficientMatrix.toArray()[k]] + [0.0]
+        seen, held = [*map(float, s[f"seen{k}"].toArray()), s[f"n{k}"]], [*map(float, s[f"held{k}"].toArray()), s[f"p{k}"]]
+        out += [(name, f, o, e + w, (o - e - w) / s.n) for f, o, e, w in zip([*feature_names, "(intercept)"], seen, held, pull)]
+    return spark.createDataFrame(out, f"{label} string, feature string, observed double, expected double, residual double")
+
+
+def save_model(spark, path: str, model, vocab: list[str]) -> None:
+    """Store a fitted model with its vocabulary below ``path``. A model that is there
+    already is replaced by one commit, and stays readable for those who hold it."""
+    folder = f"model={uuid.uuid4().hex}"
+    model.write().save(f"{path.rstrip('/')}/{folder}/pipeline")
+    words = spark.createDataFrame(list(enumerate(vocab)), "place int, word string")
+    words.coalesce(1).write.parquet(f"{path.rstrip('/')}/{folder}/vocabulary")
+    storage.change(spark, path, lambda _: storage.State(leaves=(folder,)))
+
+
+def load_model(spark, path: str):
+    """(model, vocabulary) as last saved; both batch (:func:`suggest_category`) and stream
+    (:func:`ledger_spark.streaming.live.stream_suggest`) take them."""
+    from pyspark.ml import PipelineModel
+
+    state = storage.current(spark, path)
+    if state is None:
+        raise FileNotFoundError(f"no model at {path}")
+    folder = f"{path.rstrip('/')}/{state.leaves[0]}"
+    words = spark.read.schema("place int, word string").parquet(f"{folder}/vocabulary").orderBy("place").collect()
+    return PipelineModel.load(f"{folder}/pipeline"), [r.word for r in words]  # a vocabulary is bounded
+
+
 def lr_labels(model) -> list[str]:
     return list(model.stages[0].labels)
 

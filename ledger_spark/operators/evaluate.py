@@ -10,21 +10,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ledger_spark.session import materialize
+
 
 def pair_counts(scored: DataFrame, pred: str, actual: str = "category") -> DataFrame:
     return scored.groupBy(F.col(pred).alias("predicted"), F.col(actual).alias("actual")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
-def confusion_matrix(scored: DataFrame, pred: str, labels: list[str], actual: str = "category") -> DataFrame:
-    """Predicted x actual counts, zero-filled, fixed label order (long form)."""
-    spark = scored.sparkSession
+def stacked_counts(scored: DataFrame, attempts: list[tuple], actual: str = "category") -> DataFrame:
+    """Counts of (attempt, scope, predicted, actual) for several predictions of the same
+    rows, from one pass: at most attempts x classes^2 rows.
+
+    An attempt is ``(name, scope, prediction column, condition)``: the rows it is
+    measured on are those where the condition holds (None: all).
+    """
+    each = []
+    for name, scope, pred, on in attempts:
+        row = F.struct(F.lit(name).alias("attempt"), F.lit(scope).alias("scope"),
+                       F.col(pred).cast("string").alias("predicted"), F.col(actual).cast("string").alias("actual"))
+        each.append(row if on is None else F.when(on, row))
+    return (scored.select(F.explode(F.array_compact(F.array(*each))).alias("a")).select("a.*")
+            .groupBy("attempt", "scope", "predicted", "actual").agg(F.count(F.lit(1)).alias("n")))
+
+
+def compare_attempts(counts: DataFrame) -> DataFrame:
+    """D22 / H10 from :func:`stacked_counts`: one row per attempt, accuracy in % to 1 dp."""
+    right = F.sum(F.when(F.col("predicted") == F.col("actual"), F.col("n")).otherwise(0))
+    return counts.groupBy("attempt", "scope").agg(F.round(right / F.sum("n") * 100, 1).alias("accuracy"))
+
+
+def _confusion(counts: DataFrame, labels: list[str]) -> DataFrame:
+    spark = counts.sparkSession
     grid = spark.createDataFrame([(p, a) for p in labels for a in labels], "predicted string, actual string")
-    pc = pair_counts(scored, pred, actual)
-    return (grid.join(pc, ["predicted", "actual"], "left")
+    return (grid.join(counts.select("predicted", "actual", "n"), ["predicted", "actual"], "left")
             .select("predicted", "actual", F.coalesce("n", F.lit(0)).alias("n")))
 
 
+def confusion_matrix(scored: DataFrame, pred: str, labels: list[str], actual: str = "category") -> DataFrame:
+    """Predicted x actual counts, zero-filled, fixed label order (long form)."""
+    return _confusion(pair_counts(scored, pred, actual), labels)
+
+
 def confusion_matrix_wide(scored: DataFrame, pred: str, labels: list[str], actual: str = "category"):
     """D18 in the printed (pivoted) shape: one row per predicted label."""
     return (scored.groupBy(F.col(pred).alias("predicted")).pivot(actual, labels)
@@ -39,7 +66,11 @@ def accuracy(scored: DataFrame, pred: str, actual: str = "category") -> DataFram
 def per_class_metrics(scored: DataFrame, pred: str, labels: list[str], actual: str = "category") -> DataFrame:
     """Precision, recall, F1 (NULL when undefined) and the other per-class
     statistics of a confusion report."""
-    cm = confusion_matrix(scored, pred, labels, actual)
+    return _per_class(pair_counts(scored, pred, actual), labels)
+
+
+def _per_class(counts: DataFrame, labels: list[str]) -> DataFrame:
+    cm = _confusion(counts, labels)
     total = F.sum("support").over(Window.partitionBy())  # over <= #classes rows
     tp = cm.groupBy(F.col("actual").alias("class")).agg(
         F.sum(F.when(F.col("predicted") == F.col("actual"), F.col("n")).otherwise(0)).alias("tp"),
@@ -63,7 +94,10 @@ def per_class_metrics(scored: DataFrame, pred: str, labels: list[str], actual: s
 
 def overall_metrics(scored: DataFrame, pred: str, actual: str = "category") -> DataFrame:
     """Accuracy, no-information rate (largest class share) and Cohen's kappa."""
-    pc = pair_counts(scored, pred, actual)
+    return _overall(pair_counts(scored, pred, actual))
+
+
+def _overall(pc: DataFrame) -> DataFrame:
     rows = pc.groupBy(F.col("actual").alias("c")).agg(
         F.sum("n").alias("a"), F.sum(F.when(F.col("predicted") == F.col("actual"), F.col("n")).otherwise(0))
         .alias("tp"))
@@ -89,7 +123,11 @@ def model_comparison(results: list[tuple[str, DataFrame, str]]) -> DataFrame:
 
 def evaluate(scored: DataFrame, pred: str, labels: list[str], actual: str = "category") -> dict:
     """H9: the full evaluation of one scored frame (D18-D21) as named frames."""
-    return {"confusion": confusion_matrix(scored, pred, labels, actual),
-            "accuracy": accuracy(scored, pred, actual),
-            "per_class": per_class_metrics(scored, pred, labels, actual),
-            "overall": overall_metrics(scored, pred, actual)}
+    return evaluate_counts(materialize(pair_counts(scored, pred, actual)), labels)
+
+
+def evaluate_counts(counts: DataFrame, labels: list[str]) -> dict:
+    """H9 from counts of (predicted, actual), such as one attempt's :func:`stacked_counts`."""
+    right = F.sum(F.when(F.col("predicted") == F.col("actual"), F.col("n")).otherwise(0))
+    return {"confusion": _confusion(counts, labels), "accuracy": counts.agg((right / F.sum("n")).alias("accuracy")),
+            "per_class": _per_class(counts, labels), "overall": _overall(counts)}

@@ -70,15 +70,21 @@ def stratified_split(df: DataFrame, label: str = "category", p_num: int = 4, p_d
     return j.select(*out_cols, F.when(in_train, "train").otherwise("test").alias("split"))
 
 
+def feature_names(vocab: list[str], with_bucket: bool = True) -> list[str]:
+    """Names of :func:`build_features`' vector slots."""
+    return [*vocab, "log_amount", "is_round", "is_large", *(bucket_columns() if with_bucket else [])]
+
+
 def build_features(df: DataFrame, vocab: list[str], with_bucket: bool = True,
                    text_col: str = "description", amount_col: str = "amount",
-                   out_col: str = "features") -> DataFrame:
+                   out_col: str = "features", words_col: str | None = None) -> DataFrame:
     """H4: words (sparse binary) + log_amount, is_round, is_large (+ the six
-    bucket indicators) assembled into one vector."""
+    bucket indicators) assembled into one vector. With ``words_col`` (the row's
+    vocabulary words, see ``present_words``) the text is not tokenised again."""
     from pyspark.ml.feature import VectorAssembler
 
     from ledger_spark.operators.text import bag_of_words
 
-    f = one_hot_bucket(amount_features(bag_of_words(df, vocab, text_col, "bow"), amount_col))
+    f = one_hot_bucket(amount_features(bag_of_words(df, vocab, text_col, "bow", words_col), amount_col))
     inputs = ["bow", "log_amount", "is_round", "is_large"] + (bucket_columns() if with_bucket else [])
     return VectorAssembler(inputCols=inputs, outputCol=out_col).transform(f)

@@ -62,9 +62,12 @@ def document_term_matrix(df: DataFrame, vocab: list[str], id_col: str = "id",
 
 
 def bag_of_words(df: DataFrame, vocab: list[str], text_col: str = "description",
-                 out_col: str = "bow"):
-    """H3: binary presence as a sparse vector (MLlib ``CountVectorizerModel``)."""
+                 out_col: str = "bow", words_col: str | None = None):
+    """H3: binary presence as a sparse vector (MLlib ``CountVectorizerModel``), of the
+    text's tokens or of an array of words that is there already."""
     from pyspark.ml.feature import CountVectorizerModel
 
-    cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="_tok", outputCol=out_col, binary=True)
+    cv = CountVectorizerModel.from_vocabulary(vocab, inputCol=words_col or "_tok", outputCol=out_col, binary=True)
+    if words_col:
+        return cv.transform(df)
     return cv.transform(df.withColumn("_tok", token_array(text_col))).drop("_tok")

@@ -725,25 +725,59 @@ def score_transactions_consistency(spark, d):
                     (F.col("correct") == (F.col("predicted_category") == F.col("category"))).alias("correct_agrees"))
 
 
-def _test_accuracies(spark, d, with_lr: bool):
-    kw = EV.accuracy(CL.keyword_predictions(_docs(spark, d)), "pred_keyword")
-    f, nb = _gaussian_nb(spark, d)
-    nb_acc = EV.accuracy(CL.gaussian_nb_predict(nb, f.where(F.col("split") == "test")), "pred_nb")
-    out = [("Attempt 1: Keywords", kw, "all rows"), ("Attempt 2: Naive Bayes", nb_acc, "test rows")]
-    if with_lr:
-        lr, feats, _ = _lr(spark, d)
-        lr_acc = EV.accuracy(CL.lr_predict(lr, feats.where(F.col("split") == "test")), "pred_lr")
-        out.append(("Attempt 3: Logistic Regression", lr_acc, "test rows"))
-    return out
+def _attempts(spark, d):
+    """H10's three attempts over one frame: vocabulary, split, tokenising and keyword
+    rules once, the rows' small features written once, both models fitted on them.
+    Returns the frame with all predictions and the attempts to compare."""
+    docs = _docs(spark, d)
+    vocab = _vocab(docs)
+    f, cols = CL.nb_feature_frame(CL.keyword_predictions(FE.stratified_split(docs)), vocab)
+    f = materialize(f.select("id", "category", "split", "amount", "words", *CL.NUMERIC_FEATURES, "pred_keyword"))
+    train, test = F.col("split") == "train", F.col("split") == "test"
+    scored = CL.gaussian_nb_predict(CL.gaussian_nb_fit(f.where(train), cols), f)
+    attempts = [("Attempt 1: Keywords", "all rows", "pred_keyword", None), ("Attempt 2: Naive Bayes", "test rows", "pred_nb", test)]
+    return f, vocab, scored, attempts, train, test
 
 
 def model_comparison(spark, d):
-    return EV.model_comparison(_test_accuracies(spark, d, True))
+    f, vocab, scored, attempts, train, test = _attempts(spark, d)
+    vectors = materialize(FE.build_features(f.where(train), vocab, words_col="words").select("category", "features"))
+    lr = CL.logistic_regression_fit(vectors)
+    scored = CL.lr_predict(lr, FE.build_features(scored, vocab, words_col="words"))
+    attempts = [*attempts, ("Attempt 3: Logistic Regression", "test rows", "pred_lr", test)]
+    return EV.compare_attempts(EV.stacked_counts(scored, attempts))
 
 
 def model_comparison_exact(spark, d):
     """The rows of the comparison that do not depend on an optimiser's path."""
-    return EV.model_comparison(_test_accuracies(spark, d, False))
+    _, _, scored, attempts, *_ = _attempts(spark, d)
+    return EV.compare_attempts(EV.stacked_counts(scored, attempts))
+
+
+def attempts_overall(spark, d):
+    """H9 per attempt from the one table of stacked counts: accuracy, no-information
+    rate, kappa and rows of the keyword rules (all rows) and naive Bayes (test rows)."""
+    _, _, scored, attempts, *_ = _attempts(spark, d)
+    counts = materialize(EV.stacked_counts(scored, attempts))
+    out = None
+    for name, *_ in attempts:
+        m = EV.evaluate_counts(counts.where(F.col("attempt") == name), [])["overall"]
+        m = m.select(F.lit(name).alias("attempt"), *[F.round(c, 6).alias(c) for c in ("accuracy", "no_information_rate", "kappa")], "n")
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def lr_score_equations(spark, d):
+    """H8 at its optimum: for every class and feature, the feature's sum over the
+    class's training rows, and whether the model's expectation balances it."""
+    model, feats, vocab = _lr(spark, d)
+    e = CL.score_equations(model, feats.where(F.col("split") == "train"), FE.feature_names(vocab))
+    return e.select("category", "feature", F.round("observed", 3).alias("observed"),
+                    (F.abs("residual") <= BALANCE).alias("balanced"))
+
+
+#: Greatest residual per training row at which a score equation counts as balanced.
+BALANCE = 1e-4
 
 
 def lr_per_class_metrics(spark, d):
@@ -760,6 +794,25 @@ def lr_per_class_support(spark, d):
                     (F.col("detection_rate") <= F.least("prevalence", "detection_prevalence")).alias("rates_agree"))
 
 
+def stored_model_suggestions(spark, d):
+    """H12 and J3 with a stored model: fitted once, saved, loaded by a batch and by a
+    stream. Row by row both give what the fitted model gives."""
+    model, _, vocab = _lr(spark, d)
+    path = LV.work_dir(spark, "model")
+    CL.save_model(spark, path, model, vocab)
+    loaded, words = CL.load_model(spark, path)
+    docs = _docs(spark, d).select("id", "description", "amount")
+    names = ["suggested", "suggested_category_id"]
+    fitted = CL.suggest_category(model, docs, vocab, _cats(spark, d)).select("id", F.struct(*names).alias("fitted"))
+    batch = CL.suggest_category(loaded, docs, words, _cats(spark, d)).select("id", F.struct(*names).alias("batch"))
+    out = LV.work_dir(spark, "suggested")
+    LV.drain(LV.run(LV.stream_suggest(_doc_stream(spark, d), loaded, words, _cats(spark, d)).select("id", *names), out, "append"))
+    stream = LV.read_output(spark, out).select("id", F.struct(*names).alias("stream"))
+    return fitted.join(batch, "id", "full").join(stream, "id", "full").select(
+        "id", F.col("batch").eqNullSafe(F.col("fitted")).alias("batch_agrees"),
+        F.col("stream").eqNullSafe(F.col("fitted")).alias("stream_agrees"))
+
+
 def suggest_category(spark, d):
     model, _, vocab = _lr(spark, d)
     new = _docs(spark, d).select("id", "description", "amount")
@@ -857,6 +910,28 @@ SELECT 'Attempt 1: Keywords' AS attempt, 'all rows' AS scope,
 UNION ALL
 SELECT 'Attempt 2: Naive Bayes', 'test rows', ROUND(100 * avg(CASE WHEN pred_nb = category THEN 1.0 ELSE 0.0 END), 1)
 FROM pred""")
+_reg(attempts_overall, _NB + f""",
+pc AS (SELECT 'Attempt 1: Keywords' AS attempt, {S.keyword_case('text')} AS predicted, category AS actual, count(*) AS n
+       FROM dt GROUP BY ALL
+       UNION ALL SELECT 'Attempt 2: Naive Bayes', pred_nb, category, count(*) FROM pred GROUP BY ALL),
+ra AS (SELECT attempt, actual AS c, sum(n) AS a, sum(CASE WHEN predicted = actual THEN n ELSE 0 END) AS tp FROM pc GROUP BY 1, 2),
+ca AS (SELECT attempt, predicted AS c, sum(n) AS p FROM pc GROUP BY 1, 2),
+m AS (SELECT attempt, sum(coalesce(a, 0)) AS t, sum(coalesce(tp, 0)) AS d, sum(coalesce(a, 0) * coalesce(p, 0)) AS ap,
+             max(coalesce(a, 0)) AS amax FROM ra FULL JOIN ca USING (attempt, c) GROUP BY attempt)
+SELECT attempt, ROUND(d / t, 6) AS accuracy, ROUND(amax / t, 6) AS no_information_rate,
+       ROUND((d / t - ap / (t * t)) / (1 - ap / (t * t)), 6) AS kappa, CAST(t AS BIGINT) AS n FROM m""")
+_reg(lr_score_equations, _VOCAB + _SPLIT + f""",
+one AS (
+  SELECT sp.category, v.word AS feature, CASE WHEN list_contains(sp.toks, v.word) THEN 1.0 ELSE 0.0 END AS x FROM sp, vocab v WHERE split = 'train'
+  UNION ALL SELECT category, 'log_amount', ln(1 + CAST(amount AS DOUBLE)) FROM sp WHERE split = 'train'
+  UNION ALL SELECT category, 'is_round', CAST(amount % 10 = 0 AS DOUBLE) FROM sp WHERE split = 'train'
+  UNION ALL SELECT category, 'is_large', CAST(amount > 200 AS DOUBLE) FROM sp WHERE split = 'train'
+  UNION ALL SELECT category, 'amount_bucket' || b, CAST(coalesce({_BUCKET} = b, false) AS DOUBLE)
+            FROM sp, (VALUES ('tiny'), ('small'), ('medium'), ('large'), ('xlarge'), ('huge')) bs(b) WHERE split = 'train'
+  UNION ALL SELECT category, '(intercept)', 1.0 FROM sp WHERE split = 'train')
+SELECT category, feature, ROUND(sum(x), 3) AS observed, true AS balanced FROM one GROUP BY 1, 2""")
+_reg(stored_model_suggestions, """
+SELECT doc_id AS id, true AS batch_agrees, true AS stream_agrees FROM documents WHERE length(text) >= 3""")
 _reg(lr_per_class_support, _DT + _SPLIT + """,
 te AS (SELECT * FROM sp WHERE split = 'test')
 SELECT category AS class, count(*) AS support, ROUND(count(*) / (SELECT count(*) FROM te), 6) AS prevalence,
@@ -950,13 +1025,20 @@ def _kpi_output(k):
                     R.mean_money("total", "n").alias("avg_amount"))
 
 
-def stream_suggest(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    feats, vocab = _lr_features(spark, d)
-    model = CL.logistic_regression_fit(feats.where(F.col("split") == "train"))
-    ds = LV.read_stream(spark, f"{d}/documents.parquet", docs.schema).select(
+def _doc_stream(spark, d):
+    schema = spark.read.parquet(f"{d}/documents.parquet").schema
+    return LV.read_stream(spark, f"{d}/documents.parquet", schema).select(
         F.col("doc_id").alias("id"), F.col("text").alias("description"),
         F.col("n_chars").cast("decimal(12,2)").alias("amount"))
+
+
+def stream_suggest(spark, d):
+    """The model is fitted and stored, the stream loads it."""
+    fitted, _, words = _lr(spark, d)
+    path = LV.work_dir(spark, "model")
+    CL.save_model(spark, path, fitted, words)
+    model, vocab = CL.load_model(spark, path)
+    ds = _doc_stream(spark, d)
     out = LV.work_dir(spark, "suggest")
     LV.drain(LV.run(LV.stream_suggest(ds, model, vocab, _cats(spark, d))
                     .select("id", "suggested", "suggested_category_id"), out, "append"))
@@ -973,32 +1055,48 @@ def change_batches(spark, d) -> list[DataFrame]:
     2. orders of the lowest priority are deleted by id alone (seq 4), urgent ones
        move to the next month and get a note, a column that is new (seq 3);
     3. late arrivals: older updates of the deleted and the moved orders (seq 2),
-       which must change nothing, and an update of high-priority ones (seq 2).
+       which must change nothing, and an update of high-priority ones (seq 2), which
+       also changes their category.
     """
     o = spark.read.parquet(f"{d}/orders.parquet").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("date"),
-        F.col("o_totalprice").cast("decimal(12,2)").alias("amount"), F.col("o_orderpriority").alias("p"))
+        F.col("o_totalprice").cast("decimal(12,2)").alias("amount"), F.col("o_orderpriority").alias("p"),
+        (F.col("o_custkey") % 13 + 1).alias("category_id"))
     none = F.lit(None)
 
-    def change(rows, seq, op, date=F.col("date"), amount=F.col("amount"), note=none):
+    def change(rows, seq, op, date=F.col("date"), amount=F.col("amount"), note=none, category=F.col("category_id")):
         return rows.select("id", date.cast("date").alias("date"), amount.cast("decimal(12,2)").alias("amount"),
-                           note.cast("string").alias("note"), F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"))
+                           category.cast("long").alias("category_id"), note.cast("string").alias("note"),
+                           F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"))
 
     low, urgent, high = (o.where(F.col("p") == x) for x in (DELETED_PRIORITY, MOVED_PRIORITY, LATE_PRIORITY))
     return [change(o, 1, "insert").drop("note"),
-            change(low, 4, "delete", date=none, amount=none).unionByName(
+            change(low, 4, "delete", date=none, amount=none, category=none).unionByName(
                 change(urgent, 3, "update", date=F.add_months("date", 1), note=F.lit("moved"))),
             change(low.unionByName(urgent), 2, "update", amount=F.lit(0.01)).unionByName(
-                change(high, 2, "update", amount=F.col("amount") * 2, note=F.lit("late")))]
+                change(high, 2, "update", amount=F.col("amount") * 2, note=F.lit("late"), category=F.col("category_id") % 13 + 1))]
 
 
-def stream_change_log(spark, d):
-    root = LV.work_dir(spark, "changes")
+def _changed_table(spark, d, root: str) -> str:
+    """The table that the change log leaves, applied part by part."""
     table = f"{root}/table"
     for i, part in enumerate(change_batches(spark, d)):  # a later part may have more columns
         part.write.parquet(f"{root}/in-{i}")
         LV.drain(LV.stream_change_log(LV.read_stream(spark, f"{root}/in-{i}", part.schema), table,
                                       checkpoint=f"{root}/checkpoint-{i}"))
+    return table
+
+
+def stream_kpis_after_changes(spark, d):
+    """J2 behind J4: the KPIs follow the change log through its signed rows, batch by batch."""
+    root = LV.work_dir(spark, "kpis-after")
+    deltas = LV.stream_deltas(spark, _changed_table(spark, d, root), max_files_per_trigger=2)
+    LV.drain(LV.run(LV.stream_monthly_kpis(deltas, MT.seed_categories(spark), "_sign"), f"{root}/kpis", "complete"))
+    return _kpi_output(LV.live_kpis(LV.read_output(spark, f"{root}/kpis", "complete")))
+
+
+def stream_change_log(spark, d):
+    table = _changed_table(spark, d, LV.work_dir(spark, "changes"))
     return portable(LV.read_changes(spark, table).select("id", "date", F.col("amount").cast("double").alias("amount"),
                                                          "note"))
 
@@ -1013,21 +1111,26 @@ FROM transactions t JOIN categories c ON t.category_id = c.id GROUP BY 1, 2"""
 _reg(stream_monthly_kpis, _KPI_SQL)
 _reg(stream_monthly_kpis_update, _KPI_SQL)
 _reg(stream_suggest, None)
-_reg(stream_change_log, f"""
-, c AS (
-  SELECT o_orderkey AS id, o_orderdate AS date, CAST(o_totalprice AS DECIMAL(12,2)) AS amount, NULL AS note,
-         1 AS seq, 'insert' AS op, o_orderpriority AS p FROM orders
-  UNION ALL SELECT o_orderkey, NULL, NULL, NULL, 4, 'delete', o_orderpriority FROM orders
+_CHANGES_SQL = f"""
+, ch AS (
+  SELECT o_orderkey AS id, o_orderdate AS date, CAST(o_totalprice AS DECIMAL(12,2)) AS amount,
+         o_custkey % 13 + 1 AS category_id, NULL AS note, 1 AS seq, 'insert' AS op, o_orderpriority AS p FROM orders
+  UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, 4, 'delete', o_orderpriority FROM orders
             WHERE o_orderpriority = {S.q(DELETED_PRIORITY)}
-  UNION ALL SELECT o_orderkey, o_orderdate + INTERVAL 1 MONTH, CAST(o_totalprice AS DECIMAL(12,2)), 'moved', 3, 'update',
-            o_orderpriority FROM orders WHERE o_orderpriority = {S.q(MOVED_PRIORITY)}
-  UNION ALL SELECT o_orderkey, o_orderdate, 0.01, NULL, 2, 'update', o_orderpriority FROM orders
+  UNION ALL SELECT o_orderkey, o_orderdate + INTERVAL 1 MONTH, CAST(o_totalprice AS DECIMAL(12,2)), o_custkey % 13 + 1,
+            'moved', 3, 'update', o_orderpriority FROM orders WHERE o_orderpriority = {S.q(MOVED_PRIORITY)}
+  UNION ALL SELECT o_orderkey, o_orderdate, 0.01, o_custkey % 13 + 1, NULL, 2, 'update', o_orderpriority FROM orders
             WHERE o_orderpriority IN ({S.q(DELETED_PRIORITY)}, {S.q(MOVED_PRIORITY)})
-  UNION ALL SELECT o_orderkey, o_orderdate, CAST(o_totalprice AS DECIMAL(12,2)) * 2, 'late', 2, 'update', o_orderpriority
-            FROM orders WHERE o_orderpriority = {S.q(LATE_PRIORITY)}),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS n FROM c)
-SELECT id, CAST(CAST(date AS DATE) AS VARCHAR) AS date, CAST(amount AS DOUBLE) AS amount, note
-FROM r WHERE n = 1 AND op <> 'delete'""")
+  UNION ALL SELECT o_orderkey, o_orderdate, CAST(o_totalprice AS DECIMAL(12,2)) * 2, (o_custkey % 13 + 1) % 13 + 1, 'late', 2,
+            'update', o_orderpriority FROM orders WHERE o_orderpriority = {S.q(LATE_PRIORITY)}),
+lastop AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS n FROM ch),
+after AS (SELECT * FROM lastop WHERE n = 1 AND op <> 'delete')"""
+_reg(stream_change_log, _CHANGES_SQL + """
+SELECT id, CAST(CAST(date AS DATE) AS VARCHAR) AS date, CAST(amount AS DOUBLE) AS amount, note FROM after""")
+_reg(stream_kpis_after_changes, _CHANGES_SQL + f"""
+SELECT {M.replace('date', 't.date')} AS month, c.name AS category, count(*) AS n, {S.r2('sum(t.amount)')} AS total,
+       {S.mean2('sum(t.amount)', 'count(*)')} AS avg_amount
+FROM after t JOIN categories c ON t.category_id = c.id GROUP BY 1, 2""")
 
 
 # --------------------------------------------------------------------------

@@ -1,15 +1,17 @@
 """Table maintenance (A4-A10, A13): seeding, validation, ids, reload, append, delete.
 
-``transactions`` is a versioned table (:mod:`ledger_spark.sources.storage`),
-partitioned by ``month`` so month filters prune whole directories: a reload
-switches versions, a delete or update replaces the touched months only.
+``transactions`` is a stored table (:mod:`ledger_spark.sources.storage`),
+partitioned by month, so that month filters prune whole folders, and by a hash
+bucket of the id, so that a delete or update reads its ids' buckets and rewrites
+only folders that hold one. Every change is one atomic commit.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ledger_spark.functions.dates import month_key
@@ -150,28 +152,42 @@ def validate_budgets(b: DataFrame):
             out.where(F.size("reasons") > 0).select(*b.columns, "reasons"))
 
 
-def _with_month(t: DataFrame) -> DataFrame:
-    return t.withColumn("month", F.coalesce(month_key("date"), F.lit("none")))
+def leaf_order() -> tuple:
+    """Order of a leaf's rows: by size of the amount, then by date."""
+    return F.floor(F.log2(F.col("amount").cast("double"))), F.col("date")
+
+
+def _placed(t: DataFrame, buckets: int) -> DataFrame:
+    return (t.withColumn("month", F.coalesce(month_key("date"), F.lit("none")))
+            .withColumn("bucket", storage.bucket(F.col("id"), buckets)))
 
 
-def reload_transactions(t: DataFrame, path: str) -> None:
-    """A5: replace all stored rows atomically: a new version is written, with
-    every column of the table (A10), then the table's pointer is switched to it."""
+def reload_transactions(t: DataFrame, path: str, buckets: int | None = None) -> None:
+    """A5: replace all stored rows atomically: they are written beside the old
+    ones, with every column of the table (A10), then the new state is committed.
+
+    ``buckets`` is the number of id buckets per month; a table keeps its number, a
+    new one gets it from its rows (:func:`storage.buckets_for`).
+    """
     t = fill_defaults(t)
     spark = t.sparkSession
-    folder = storage.new_version(spark, path)
-    storage.write_months(_with_month(t), folder)
-    storage.keep_schema(t, folder)
-    storage.switch(spark, path, folder)
+    if buckets is None:
+        state = storage.current(spark, path)
+        if state is None:
+            size = t.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(month_key("date")).alias("months")).first()
+            buckets = storage.buckets_for(size.n, size.months)
+        else:
+            buckets = state.buckets
+    storage.change(spark, path, lambda before: storage.State(
+        schema=TRANSACTIONS, leaves=storage.write(_placed(t, buckets), path, sort=leaf_order()), buckets=buckets,
+        notes=before.notes if before else {}))
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     """Stored rows with their ``month``; None when the table does not exist. A
     table that exists but cannot be read raises."""
-    folder = storage.current(spark, path)
-    if folder is None:
-        return None
-    return spark.read.schema(T.StructType([*TRANSACTIONS.fields, T.StructField("month", T.StringType())])).parquet(folder)
+    state = storage.current(spark, path)
+    return None if state is None else storage.read(spark, path, state).drop("v", "bucket")
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
@@ -218,19 +234,48 @@ def check_new_rows(new_rows: DataFrame, categories: DataFrame | None = None) ->
     return good, rejects
 
 
+#: Batches whose tokens a table remembers, the newest ones.
+TOKENS_KEPT = 10_000
+
+
 def append_transactions(spark: SparkSession, path: str, new_rows: DataFrame,
-                        categories: DataFrame | None = None) -> DataFrame:
+                        categories: DataFrame | None = None, token: str | None = None) -> DataFrame:
     """Insert the good rows of :func:`check_new_rows`; ids continue after
-    the stored maximum. Returns the rows written."""
+    the stored maximum. Returns the rows written.
+
+    ``token`` names the batch. It is committed together with the rows, so a batch
+    that is given again (after a failure whose outcome the caller doesn't know)
+    leaves the table as it is and returns the rows that it wrote then and that are
+    still stored. The newest ``TOKENS_KEPT`` tokens are remembered. Of two appenders
+    at once, one takes the ids after the other's.
+    """
     good, _ = check_new_rows(new_rows, categories)
-    stored = _stored(spark, path)
-    start = 0 if stored is None else (stored.agg(F.max("id")).first()[0] or 0)
-    rows = materialize(fill_defaults(assign_ids(good, start=int(start), order_cols=("date", "description"))))
-    if stored is None:
-        reload_transactions(rows, path)
-    else:
-        storage.write_months(_with_month(rows), storage.current(spark, path))
-    return rows
+    numbered: list[DataFrame] = []  # ids from 1, once and for all attempts
+    first = 0
+    known: list[int] | None = None
+
+    def attempt(state: storage.State | None) -> storage.State | None:
+        nonlocal first, known
+        notes = state.notes if state else {}
+        known = notes.get("tokens", {}).get(token)
+        if known is not None:
+            return None
+        if not numbered:
+            numbered.append(materialize(fill_defaults(assign_ids(good, order_cols=("date", "description")))))
+        first = int((storage.read(spark, path, state).agg(F.max("id")).first()[0] if state else None) or 0)
+        rows = numbered[0].withColumn("id", F.col("id") + first)
+        buckets = state.buckets if state else 1
+        leaves = storage.write(_placed(rows, buckets), path, sort=leaf_order())
+        if token is not None:
+            tokens = {**notes.get("tokens", {}), token: [first + 1, first + numbered[0].count()]}
+            notes = {**notes, "tokens": dict(list(tokens.items())[-TOKENS_KEPT:])}
+        return storage.State(schema=TRANSACTIONS, leaves=(state.leaves if state else ()) + leaves, buckets=buckets, notes=notes)
+
+    storage.change(spark, path, attempt)
+    if known is not None:
+        return read_transactions(spark, path).where(F.col("id").between(*known))
+    storage.compact(spark, path, leaf_order())
+    return numbered[0].withColumn("id", F.col("id") + first)
 
 
 def delete_transactions(t: DataFrame, ids: DataFrame) -> DataFrame:
@@ -239,17 +284,24 @@ def delete_transactions(t: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _rewrite(spark: SparkSession, path: str, ids: DataFrame, change) -> None:
-    """Replace the months that hold any of ``ids`` by ``change(their rows)``."""
-    stored = _stored(spark, path)
-    if stored is None:
-        raise FileNotFoundError(f"no transactions table at {path}")
-    touched = materialize(stored.join(ids.select("id").distinct(), "id", "left_semi").select("month").distinct())
-    storage.replace_months(spark, storage.current(spark, path), change(stored.join(touched, "month", "left_semi")), touched)
+    """Replace the leaves that hold any of ``ids`` by ``change(their rows)``. Only
+    leaves of the ids' buckets are searched."""
+
+    def attempt(state: storage.State | None) -> storage.State | None:
+        if state is None:
+            raise FileNotFoundError(f"no transactions table at {path}")
+        held = storage.holding(spark, path, state, ids)
+        if not held:
+            return None
+        rows = change(storage.read(spark, path, state, held).drop("v"))
+        return replace(state, leaves=storage.without(state.leaves, held) + storage.write(rows, path, sort=leaf_order()))
+
+    storage.change(spark, path, attempt)
 
 
 def delete_stored(spark: SparkSession, path: str, ids: DataFrame) -> None:
     """A7 on the stored table: the listed ids are gone for every later read;
-    only the months that held them are rewritten."""
+    only the months and buckets that held them are rewritten."""
     _rewrite(spark, path, ids, lambda rows: delete_transactions(rows, ids))
 
 

@@ -1,5 +1,6 @@
 import json
 import os
+import re
 import tempfile
 
 import pytest
@@ -91,10 +92,9 @@ def _table(spark, cats, path, n=300):
 def test_few_files_per_month(spark, cats, tmp_path):
     path = str(tmp_path / "t")
     _table(spark, cats, path)
-    folder = storage.current(spark, path)
-    months = [m for m in os.listdir(folder) if m.startswith("month=")]
-    assert len(months) == 3
-    assert all(len([f for f in os.listdir(f"{folder}/{m}") if f.endswith(".parquet")]) <= 2 for m in months)
+    leaves = storage.current(spark, path).leaves
+    assert len({leaf.split("/")[1] for leaf in leaves}) == len(leaves) == 3
+    assert all(len([f for f in os.listdir(f"{path}/{leaf}") if f.endswith(".parquet")]) <= 2 for leaf in leaves)
 
 
 def test_append_maps_category_names_and_reports_rejects(spark, cats, tmp_path):
@@ -114,8 +114,7 @@ def test_an_unreadable_table_stops_the_append(spark, cats, tmp_path):
     """A read error must not look like a first write, which restarts the ids."""
     path = str(tmp_path / "t")
     _table(spark, cats, path, 30)
-    month = next(m for m in os.listdir(storage.current(spark, path)) if m.startswith("month="))
-    with open(f"{storage.current(spark, path)}/{month}/part-broken.parquet", "w") as f:
+    with open(f"{path}/{storage.current(spark, path).leaves[0]}/part-broken.parquet", "w") as f:
         f.write("not parquet")
     new = spark.createDataFrame([("a", 1.0)], "description string, amount double")
     with pytest.raises(Exception):
@@ -140,12 +139,106 @@ def test_delete_and_predictions_reach_the_store(spark, cats, tmp_path):
 def test_reload_switches_versions(spark, cats, tmp_path):
     path = str(tmp_path / "t")
     _table(spark, cats, path, 6)
-    before, old = MT.read_transactions(spark, path), storage.current(spark, path)
+    before, old = MT.read_transactions(spark, path), storage.current(spark, path).leaves
     _table(spark, cats, path, 3)
-    assert storage.current(spark, path) != old
+    assert not {*storage.current(spark, path).leaves} & {*old}
     assert before.count() == 6 and MT.read_transactions(spark, path).count() == 3  # a reader keeps its version
     MT.reload_transactions(MT.fill_defaults(before.limit(0)), path)
-    assert MT.read_transactions(spark, path).count() == 0 and not os.path.exists(old)
+    assert MT.read_transactions(spark, path).count() == 0 and not any(os.path.exists(f"{path}/{leaf}") for leaf in old)
+
+
+def test_a_write_that_fails_midway_changes_nothing(spark, cats, tmp_path, monkeypatch):
+    """A crash after the files are written and before the commit: readers see the old rows only."""
+    path = str(tmp_path / "t")
+    _table(spark, cats, path, 9)
+
+    def crash(*_):
+        raise RuntimeError("lost the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(storage, "commit", crash)
+        for change in (lambda: MT.delete_stored(spark, path, spark.range(5)),
+                       lambda: MT.append_transactions(spark, path, spark.createDataFrame([("a", 1.0)], "description string, amount double")),
+                       lambda: _table(spark, cats, path, 3)):
+            with pytest.raises(RuntimeError, match="lost the driver"):
+                change()
+    assert sorted(r.id for r in MT.read_transactions(spark, path).collect()) == list(range(1, 10))
+    MT.delete_stored(spark, path, spark.range(5))
+    assert sorted(r.id for r in MT.read_transactions(spark, path).collect()) == [5, 6, 7, 8, 9]
+
+
+def test_two_writers_at_once_both_count(spark, cats, tmp_path, monkeypatch):
+    """The slower one finds its state taken, begins again and takes later ids."""
+    path = str(tmp_path / "t")
+    _table(spark, cats, path, 3)
+    row = lambda d: spark.createDataFrame([(d, 1.0)], "description string, amount double")
+    commit, others = storage.commit, []
+
+    def overtaken(*args):
+        if not others:
+            others.append(True)
+            others.append([r.id for r in MT.append_transactions(spark, path, row("fast")).collect()])
+        return commit(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(storage, "commit", overtaken)
+        slow = [r.id for r in MT.append_transactions(spark, path, row("slow")).collect()]
+    assert others[1] == [4] and slow == [5]
+    assert sorted((r.id, r.description) for r in MT.read_transactions(spark, path).where("id > 3").collect()) == [(4, "FAST"), (5, "SLOW")]
+    stored = {leaf.split("/")[0] for leaf in storage.current(spark, path).leaves}
+    assert {f for f in os.listdir(path) if f.startswith("v=")} == stored  # nothing is left of the failed attempt
+
+
+def test_an_append_that_is_tried_again_counts_once(spark, cats, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    _table(spark, cats, path, 3)
+    new = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("bad", -1.0)], "description string, amount double")
+    commit = storage.commit
+
+    def committed_then_lost(*args):
+        commit(*args)
+        raise RuntimeError("lost after the commit")
+
+    with monkeypatch.context() as m:
+        m.setattr(storage, "commit", committed_then_lost)
+        with pytest.raises(RuntimeError):
+            MT.append_transactions(spark, path, new, token="batch-7")
+    again = MT.append_transactions(spark, path, new, token="batch-7")
+    assert sorted((r.id, r.description) for r in again.collect()) == [(4, "A"), (5, "B")]
+    assert MT.read_transactions(spark, path).count() == 5
+    MT.append_transactions(spark, path, new, token="batch-8")
+    assert MT.read_transactions(spark, path).count() == 7
+    MT.append_transactions(spark, path, new.limit(0), token="none")
+    assert MT.append_transactions(spark, path, new, token="none").count() == 0
+
+
+def test_finding_ids_reads_their_buckets_only(spark, cats, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(i, f"2024-{1 + i % 3:02d}-05", f"D{i}", "10.00", "rent") for i in range(1, 601)]
+    MT.reload_transactions(tx(spark, rows, cats), path, buckets=8)
+    state = storage.current(spark, path)
+    assert state.buckets == 8 and len(state.leaves) == 24
+    ids = spark.createDataFrame([(17,), (400,)], "id long")
+    found = storage.in_buckets(spark, path, state, ids)
+    wanted = {r[0] for r in ids.select(storage.bucket(F.col("id"), 8)).collect()}
+    assert len(found.inputFiles()) == 3 * len(wanted) < 24
+    assert re.search(r"PartitionFilters: \[[^]]*bucket", found._jdf.queryExecution().executedPlan().toString())
+    before = set(state.leaves)
+    MT.delete_stored(spark, path, ids)
+    after = storage.current(spark, path)
+    assert len(before - set(after.leaves)) == 2 and after.buckets == 8  # only the two leaves that held them
+    assert MT.read_transactions(spark, path).count() == 598
+
+
+def test_many_small_appends_are_merged(spark, cats, tmp_path):
+    path = str(tmp_path / "t")
+    _table(spark, cats, path, 3)
+    state = storage.current(spark, path)
+    new = storage.write(storage.read(spark, path, state).drop("v").withColumn("id", F.col("id") + 10), path)
+    storage.commit(spark, path, state, storage.replace(state, leaves=state.leaves + new))
+    storage.compact(spark, path, most=1)
+    assert len(storage.current(spark, path).leaves) == 3
+    assert sorted(r.id for r in MT.read_transactions(spark, path).collect()) == [1, 2, 3, 11, 12, 13]
 
 
 def test_reload_append_delete(spark, cats):

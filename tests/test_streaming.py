@@ -1,10 +1,12 @@
 import datetime
 import decimal
+import re
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledger_spark.sources import storage
 from ledger_spark.streaming import live as LV
 
 
@@ -68,7 +70,7 @@ def test_delete_by_id_month_moves_and_late_operations(spark, tmp_path):
 def test_an_unreadable_table_stops_the_stream(spark, tmp_path):
     table = str(tmp_path / "t")
     _apply(spark, table, [(1, JAN, 1.0, 1, "insert")])
-    with open(f"{table}/month=2024-01/part-broken.parquet", "w") as f:
+    with open(f"{table}/{storage.current(spark, table).leaves[0]}/part-broken.parquet", "w") as f:
         f.write("not parquet")
     with pytest.raises(Exception):
         _apply(spark, table, [(2, JAN, 2.0, 1, "insert")])
@@ -131,3 +133,98 @@ def test_change_log_empties_a_month(spark):
     cs = LV.read_stream(spark, f"{root}/in/*", spark.createDataFrame([], schema).schema, max_files_per_trigger=1)
     LV.drain(LV.stream_change_log(cs, f"{root}/table"))
     assert [r.id for r in LV.read_changes(spark, f"{root}/table").collect()] == [2]
+
+
+LEDGER = "id long, date date, amount decimal(12,2), category_id long, seq long, op string"
+
+
+def _kpis(spark, table, cats, out, **kw):
+    """The KPI stream over the delta log, drained (it goes on from its checkpoint)."""
+    deltas = LV.stream_deltas(spark, table, **kw)
+    LV.drain(LV.run(LV.stream_monthly_kpis(deltas, cats, "_sign"), out, "complete"))
+    return {(r.month, r.category): (r.n, r.total) for r in LV.live_kpis(LV.read_output(spark, out, "complete")).collect()}
+
+
+def _batch_kpis(spark, table, cats):
+    return {(r.month, r.category): (r.n, r.total) for r in LV.stream_monthly_kpis(LV.read_changes(spark, table), cats).collect()}
+
+
+def _money(x):
+    return decimal.Decimal(x).quantize(decimal.Decimal("0.01"))
+
+
+def test_live_kpis_follow_every_kind_of_change(spark, cats, tmp_path):
+    """Insert, update, recategorise, move, delete, revive, late and replayed batches:
+    the stream's KPIs equal those of the table after every batch."""
+    table, out = str(tmp_path / "t"), str(tmp_path / "kpis")
+    row = lambda i, date, amount, cat, seq, op: (i, date, None if amount is None else _money(amount), cat, seq, op)
+    batches = [
+        [row(i, JAN if i % 2 else FEB, i, 1 + i % 3, 1, "insert") for i in range(1, 40)],
+        [row(1, JAN, 100, 2, 2, "update"), row(2, JAN, 2, 3, 2, "update"), row(3, None, None, None, 2, "delete")],
+        [row(1, JAN, 5, 2, 1, "update"), row(3, FEB, 9, 1, 1, "update")],                 # late: nothing changes
+        [row(3, FEB, 9, 1, 5, "insert"), row(5, None, None, None, 6, "delete"), row(77, None, None, None, 3, "delete")],
+        [row(i, None, None, None, 9, "delete") for i in range(1, 40) if i % 2 == 0],      # all of a month goes
+        [row(50, FEB, 7, None, 1, "insert"), row(51, None, 8, 1, 1, "insert")],           # no category, no date
+    ]
+    for rows in batches:
+        df = spark.createDataFrame(rows, LEDGER)
+        LV.apply_changes(spark, df, table, buckets=4)
+        assert _kpis(spark, table, cats, out) == _batch_kpis(spark, table, cats)
+        LV.apply_changes(spark, df, table)  # replayed: no further deltas
+        assert _kpis(spark, table, cats, out) == _batch_kpis(spark, table, cats)
+    assert sum(n for n, _ in _batch_kpis(spark, table, cats).values()) > 0
+
+
+def test_deltas_appear_once_whatever_fails(spark, cats, tmp_path, monkeypatch):
+    table, out = str(tmp_path / "t"), str(tmp_path / "kpis")
+    first = spark.createDataFrame([(i, JAN, _money(i), 1, 1, "insert") for i in range(1, 6)], LEDGER)
+    second = spark.createDataFrame([(1, FEB, _money(50), 2, 2, "update"), (2, None, None, None, 2, "delete")], LEDGER)
+    LV.apply_changes(spark, first, table)
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # before the commit: the batch is applied again from the start
+        m.setattr(storage, "commit", lost)
+        with pytest.raises(RuntimeError):
+            LV.apply_changes(spark, second, table)
+    assert _kpis(spark, table, cats, out) == _batch_kpis(spark, table, cats)
+    commit = storage.commit
+
+    def committed(*args):
+        commit(*args)
+        lost()
+
+    with monkeypatch.context() as m:  # after the commit, before its deltas are shown
+        m.setattr(storage, "commit", committed)
+        with pytest.raises(RuntimeError):
+            LV.apply_changes(spark, second, table)
+    LV.apply_changes(spark, second, table)
+    assert _kpis(spark, table, cats, out) == _batch_kpis(spark, table, cats)
+    shown = spark.read.parquet(f"{table}/{LV.DELTAS}/*")
+    assert shown.agg(F.sum("_sign")).first()[0] == LV.read_changes(spark, table).count() == 4
+
+
+def test_a_batch_reads_its_ids_buckets_only(spark, tmp_path):
+    table = str(tmp_path / "t")
+    rows = [(i, JAN if i % 2 else FEB, float(i), 1, "insert") for i in range(400)]
+    LV.apply_changes(spark, spark.createDataFrame(rows, SCHEMA), table, buckets=16)
+    state = storage.current(spark, table)
+    assert len(state.leaves) == 32
+    found = storage.in_buckets(spark, table, state, spark.createDataFrame([(7,)], "id long"))
+    assert len(found.inputFiles()) == 2 and re.search(r"PartitionFilters: \[[^]]*bucket", found._jdf.queryExecution().executedPlan().toString())
+    _apply(spark, table, [(7, None, None, 2, "delete"), (1000, FEB, 1.0, 1, "insert")])
+    after = storage.current(spark, table)
+    assert len(set(state.leaves) - set(after.leaves)) == 1  # the leaf that lost a row; the new row came beside
+    assert LV.read_changes(spark, table).count() == 400
+
+
+def test_marks_of_deleted_ids_can_be_dropped(spark, tmp_path):
+    table = str(tmp_path / "t")
+    _apply(spark, table, [(1, JAN, 1.0, 1, "insert"), (2, JAN, 2.0, 1, "insert"), (3, FEB, 3.0, 1, "insert")])
+    _apply(spark, table, [(1, None, None, 5, "delete"), (3, None, None, 9, "delete")])
+    LV.forget_deleted(spark, table, 9)
+    rows = storage.read(spark, table, storage.current(spark, table))
+    assert sorted((r.id, r._deleted) for r in rows.collect()) == [(2, False), (3, True)]
+    _apply(spark, table, [(3, FEB, 3.5, 8, "update")])  # older than its mark, which is kept
+    assert [x[0] for x in _live(spark, table)] == [2]
