@@ -3,157 +3,162 @@
 Each source's rows, in a fixed pseudo-random order, are cut into blocks. Blocks
 are scheduled one per slot: block k of a source of weight w is released at slot
 ``floor(k / w)`` and due by ``ceil((k + 1) / w)``; in every slot the released block
-with the earliest deadline goes next. The weights add up to 1, so every deadline
-is met, and after any number of slots each source is less than one block away
-from its target share.
-
-Weights are whole units of a common total, so the schedule repeats after ``total``
-slots. One such period is computed on the driver (its length is a parameter, not
-the data's); from it the slot of any block follows by division. Where a source
-runs out of blocks, a new phase begins with the other sources, in the same
-proportions to each other. No row is dropped, repeated or collected.
-
-Nulls and ties: NULL is a source of its own. A source without a target weight
-gets one unit. The rows of a source are ordered by the hash of their id, equal
-ones by the id, then arbitrarily. Without targets the weights follow the
-``TEMPERATURE`` power of the sources' sizes. Beyond the ``MOST_SOURCES`` largest
-sources the others are mixed as one.
+with the earliest deadline goes next. Weights are exact fractions that add up to 1:
+then a released block is always there, every deadline is met, and after any number
+of slots each source is less than one block away from its target share. Where a
+source runs out of blocks, a new phase begins with the others, in the same
+proportions to each other. No row is dropped or repeated.
+
+The schedule is run on the driver, slot by slot, over blocks, not rows: blocks have
+``BLOCK_ROWS`` rows, more if the table would have over ``MOST_BLOCKS`` of them, so
+there are at most that many, plus one per source, at any size of the table. It
+reaches the rows as a table of at most 32 bytes a block, which is broadcast.
+
+Rows are written once with a number; its hash orders a source's rows and deals them
+into buckets, so neither a NULL or repeated id nor equal rows gather in a task, and
+a lost executor finds the same numbers again. A bucket has about ``BUCKET_ROWS`` rows,
+more if the source would have over ``MOST_BUCKETS`` of them.
+
+Nulls and ties: NULL is a source of its own. Equal deadlines go to the source that
+sorts first. A source without a target weight gets one 1024th of the least target.
+Targets are numbers above 0; a float counts as its decimal notation. Without targets
+the weights follow the square root of the sources' sizes, to six places. Texts are not
+looked at. Repeated rows are as many rows; an empty table gives an empty result.
+Input columns called ``mix_position``, ``mix_slot``, ``mix_release`` and
+``mix_deadline`` are replaced; all others are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledger_spark.llm.common import written
+from ledger_spark.llm.common import free_name, written
 
 BLOCK_ROWS = 16
-#: Units that the weights are expressed in, for each source at least four.
-UNITS = 1024
-TEMPERATURE = 0.5
-MOST_SOURCES = 256
-#: Rows that a bucket of a source's order should hold.
+MOST_BLOCKS = 1 << 20
 BUCKET_ROWS = 1024
-
-
-def units_of(weights: Mapping[object, float]) -> dict[object, int]:
-    """Weights in whole units by largest remainders, at least one each."""
-    names = sorted(weights, key=lambda s: (s is None, str(s)))
-    total = max(UNITS, 4 * len(names))
-    whole = sum(weights[s] for s in names)
-    share = {s: weights[s] / whole * (total - len(names)) for s in names}
-    out = {s: 1 + int(share[s]) for s in names}
-    by_rest = sorted(names, key=lambda s: int(share[s]) - share[s])
-    for s in by_rest[:total - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def period(units: Mapping[object, int]) -> dict[object, np.ndarray]:
-    """Slots of each source's blocks in one period of ``sum(units)`` slots, by
-    earliest deadline first among released blocks."""
-    total = sum(units.values())
-    order = list(units)
-    slots: dict[object, list[int]] = {s: [] for s in order}
-    waiting = [(0, i) for i in range(len(order))]  # (release, source)
-    ready: list[tuple[int, int]] = []              # (deadline, source)
-    for slot in range(total):
-        while waiting and waiting[0][0] <= slot:
-            _, i = heapq.heappop(waiting)
-            u, k = units[order[i]], len(slots[order[i]])
-            heapq.heappush(ready, (-(-(k + 1) * total // u), i))
-        deadline, i = heapq.heappop(ready)
-        assert slot < deadline
-        mine = slots[order[i]]
-        mine.append(slot)
-        if len(mine) < units[order[i]]:
-            heapq.heappush(waiting, (len(mine) * total // units[order[i]], i))
-    return {s: np.array(x) for s, x in slots.items()}
-
-
-def phases(units: Mapping[object, int], blocks: Mapping[object, int]) -> list[tuple]:
-    """(source, first block, blocks, first slot, units, total, slots of the period)
-    of every source in every phase."""
+MOST_BUCKETS = 1 << 16
+#: Blocks of a row of the broadcast table.
+CHUNK = 1024
+OUTPUT = ["mix_position", "mix_slot", "mix_release", "mix_deadline"]
+
+
+def units_of(weights: Mapping[object, object]) -> dict[object, int]:
+    """Weights as whole numbers in exactly the same proportions."""
+    exact = {s: Fraction(str(w)) if isinstance(w, float) else Fraction(w) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("target weights must be above 0")
+    common = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
+    whole = {s: int(w * common) for s, w in exact.items()}
+    shared = math.gcd(*whole.values()) or 1
+    return {s: w // shared for s, w in whole.items()}
+
+
+def schedule(units: Mapping[object, int], blocks: Mapping[object, int]) -> dict[object, np.ndarray]:
+    """(slot, release, deadline) of each source's blocks, by earliest deadline first
+    among released ones. Ties go by the order of ``blocks``."""
+    out: dict[object, list[tuple[int, int, int]]] = {s: [] for s in blocks}
     left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    out, begin = [], 0
+    begin = 0
     while left:
-        active = {s: units[s] for s in left}
-        total, table = sum(active.values()), period(active)
-
-        def slot(s, k):
-            return k // active[s] * total + int(table[s][k % active[s]])
-
-        length = min(slot(s, n - 1) for s, n in left.items()) + 1
-        rounds, rest = divmod(length, total)
-        for s in list(left):
-            n = rounds * active[s] + int(np.searchsorted(table[s], rest))
-            if n:
-                out.append((s, done[s], n, begin, active[s], total, table[s].tolist()))
-            done[s] += n
-            left[s] -= n
-            if not left[s]:
-                del left[s]
-        begin += length
-    return out
-
-
-def mix(docs: DataFrame, targets: Mapping[object, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+        names, total = list(left), sum(units[s] for s in left)
+        share = [units[s] for s in names]
+        done = [0] * len(names)
+        waiting = [(0, i) for i in range(len(names))]  # (release, source)
+        ready: list[tuple[int, int, int]] = []         # (deadline, source, release)
+        slot = 0
+        while True:
+            while waiting and waiting[0][0] <= slot:
+                release, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(done[i] + 1) * total // share[i]), i, release))
+            deadline, i, release = heapq.heappop(ready)
+            out[names[i]].append((begin + slot, begin + release, begin + deadline))
+            done[i] += 1
+            slot += 1
+            if done[i] == left[names[i]]:  # the phase ends with its last block
+                break
+            heapq.heappush(waiting, (done[i] * total // share[i], i))
+        left = {s: n - d for (s, n), d in zip(left.items(), done) if n > d}
+        begin += slot
+    return {s: np.array(x, np.int64).reshape(-1, 3) for s, x in out.items()}
+
+
+def _table(plan: Mapping[object, np.ndarray], rows: Mapping[object, int], block_rows: int) -> pa.Table:
+    """(source, chunk, slots, releases, deadlines, starts): ``CHUNK`` blocks a row; a
+    block starts where the blocks of the slots before it end."""
+    slots = np.concatenate([x[:, 0] for x in plan.values()])
+    sizes = np.concatenate([np.minimum(block_rows, rows[s] - np.arange(len(x)) * block_rows) for s, x in plan.items()])
+    order = np.argsort(slots)
+    starts = np.empty(len(slots), np.int64)
+    starts[order] = np.cumsum(sizes[order]) - sizes[order]
+    sources, chunks, cuts, at = [], [], [0], 0
+    for s, x in plan.items():
+        for c in range(0, len(x), CHUNK):
+            sources.append(s)
+            chunks.append(c // CHUNK)
+            cuts.append(at + min(c + CHUNK, len(x)))
+        at += len(x)
+    columns = [*np.concatenate(list(plan.values())).T, starts]
+    lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.ascontiguousarray(x))) for x in columns]
+    return pa.table([pa.array(sources), pa.array(chunks, pa.int64()), *lists],
+                    ["source", "chunk", "slots", "releases", "deadlines", "starts"])
+
+
+def mix(docs: DataFrame, targets: Mapping[object, object] | None = None, block_rows: int | None = None) -> DataFrame:
     """``docs`` with ``mix_position`` (from 0, without gaps), ``mix_slot`` (of the
     row's block), ``mix_release`` and ``mix_deadline`` (of the block, in slots).
 
-    Needs ``doc_id`` and ``source``; input columns of the new names are replaced.
+    Needs ``source``.
     """
     spark = docs.sparkSession
-    docs = docs.drop("mix_position", "mix_slot", "mix_release", "mix_deadline")
-    order = F.xxhash64(F.lit("mix"), "doc_id")
-    largest = docs.groupBy("source").count().orderBy(F.desc("count"), "source").limit(MOST_SOURCES).collect()
-    total = docs.count()
-    counts = {r["source"]: r["count"] for r in largest}
-    others = total - sum(counts.values())
-    named = [s for s in counts if s is not None]
-    stream = F.when(F.col("source").isNull(), "null").when(
-        F.col("source").isin(named) if named else F.lit(False), F.concat(F.lit("source "), F.col("source").cast("string"))
-    ).otherwise("other")
-    name = {None: "null"} | {s: f"source {s}" for s in named}
-    rows = {name[s]: n for s, n in counts.items()} | ({"other": others} if others else {})
+    docs = docs.drop(*OUTPUT)
+    names = [*docs.columns]
+    own = {n: free_name(n, [*names, *OUTPUT]) for n in ("row", "order", "bucket", "before", "number", "rows", "buckets", "their",
+                                                        "chunk", "slots", "releases", "deadlines", "starts", "at")}
+    c = lambda n: F.col(own[n])
+    numbered = written(docs.withColumn(own["row"], F.monotonically_increasing_id()), "mix-rows")
+    found = numbered.groupBy("source").count().collect()  # a row per source
+    rows = {r["source"]: r["count"] for r in sorted(found, key=lambda r: (r["source"] is None, r["source"]))}
+    if not rows:
+        return docs.select("*", *[F.lit(0).cast("long").alias(n) for n in OUTPUT])
+    total = sum(rows.values())
+    size = block_rows or max(BLOCK_ROWS, -(-total // MOST_BLOCKS))
     if targets is None:
-        weights = {s: n ** TEMPERATURE for s, n in rows.items()}
+        weights = {s: Fraction(math.isqrt(n * 10 ** 12), 10 ** 6) for s, n in rows.items()}
     else:
-        least = min(targets.values(), default=1.0) / UNITS
-        weights = {name[s]: targets.get(s, least) for s in counts} | ({"other": least} if others else {})
-    plan = phases(units_of(weights), {s: -(-n // block_rows) for s, n in rows.items()}) if rows else []
-    # the last block of a source may be short; positions after it move up
-    short = sorted((begin + (n - 1) // u * t + p[(n - 1) % u], -rows[s] % block_rows)
-                   for s, first, n, begin, u, t, p in plan if (first + n) * block_rows >= rows[s])
-    # number the rows of a stream: by bucket of the order, then inside the bucket
-    # a bucket holds about BUCKET_ROWS rows of its stream, however large the stream
-    buckets = F.create_map(*[F.lit(x) for s, n in rows.items() for x in (s, -(-n // BUCKET_ROWS))])
-    dealt = docs.withColumns({"__stream": stream, "__order": order}).withColumn(
-        "__bucket", F.pmod(F.shiftrightunsigned("__order", 8), F.element_at(buckets, F.col("__stream")) if rows else F.lit(1)))
-    sizes = written(dealt.groupBy("__stream", "__bucket").agg(F.count(F.lit(1)).alias("__rows")), "mix-sizes")
-    before = Window.partitionBy("__stream").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__stream", "__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__stream", "__bucket").orderBy("__order", "doc_id")
-    numbered = (dealt.withColumn("__number", F.row_number().over(inside) - 1).join(offsets, ["__stream", "__bucket"])
-                .withColumn("__number", F.col("__number") + F.col("__before"))
-                .withColumn("__block", F.floor(F.col("__number") / block_rows).cast("long")))
-    kind = ("__source string, __first long, __blocks long, __begin long, __units long, __total long, "
-            "__slots array<long>")
-    table = spark.createDataFrame([tuple(x) for x in plan], kind)  # at most MOST_SOURCES**2 rows, one period each
-    k = F.col("__block") - F.col("__first")
-    placed = (numbered.join(F.broadcast(table), (F.col("__stream") == F.col("__source")) & (k >= 0) & (k < F.col("__blocks")))
-              .withColumn("__cycle", F.floor(k / F.col("__units")).cast("long"))
-              .withColumn("mix_slot", F.col("__begin") + F.col("__cycle") * F.col("__total")
-                          + F.get("__slots", (k % F.col("__units")).cast("int")))
-              .withColumn("mix_release", F.expr("__begin + ((__block - __first) * __total) div __units"))
-              .withColumn("mix_deadline", F.expr("__begin + ((__block - __first + 1) * __total + __units - 1) div __units")))
-    gaps = F.array(*[F.struct(F.lit(s).cast("long").alias("slot"), F.lit(g).cast("long").alias("rows")) for s, g in short])
-    missing = (F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["slot"] < F.col("mix_slot"), x["rows"]).otherwise(0))
-               if short else F.lit(0))
-    position = F.col("mix_slot") * block_rows + F.col("__number") % block_rows - missing
-    return placed.withColumn("mix_position", position.cast("long")).select(
-        *docs.columns, "mix_position", "mix_slot", "mix_release", "mix_deadline")
+        given = {s: Fraction(str(w)) if isinstance(w, float) else Fraction(w) for s, w in targets.items()}
+        least = min(given.values(), default=Fraction(1)) / 1024
+        weights = {s: given.get(s, least) for s in rows}
+    plan = schedule(units_of(weights), {s: -(-n // size) for s, n in rows.items()})
+    kind = docs.schema["source"].dataType
+    table = spark.createDataFrame(_table(plan, rows, size))
+    table = table.select(F.col("source").cast(kind).alias(own["their"]), *[F.col(n).alias(own[n]) for n in table.columns[1:]])
+    # at most 32 bytes a block, MOST_BLOCKS and one a source
+    per_source = spark.createDataFrame(pa.table([pa.array(rows), pa.array([min(MOST_BUCKETS, -(-n // BUCKET_ROWS)) for n in rows.values()])],
+                                                ["source", "buckets"]))
+    per_source = per_source.select(F.col("source").cast(kind).alias(own["their"]), F.col("buckets").alias(own["buckets"]))
+    same = F.col("source").eqNullSafe(F.col(own["their"]))
+    dealt = (numbered.withColumn(own["order"], F.xxhash64(F.lit("mix"), c("row")))
+             .join(F.broadcast(per_source), same).drop(own["their"])
+             .withColumn(own["bucket"], F.pmod(F.shiftrightunsigned(own["order"], 8), c("buckets"))).drop(own["buckets"]))
+    counts = written(dealt.groupBy("source", own["bucket"]).agg(F.count(F.lit(1)).alias(own["rows"])), "mix-sizes")
+    # at most MOST_BUCKETS rows a source
+    before = Window.partitionBy("source").orderBy(own["bucket"]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("source").alias(own["their"]), c("bucket").alias(own["at"]),
+                            F.coalesce(F.sum(own["rows"]).over(before), F.lit(0)).alias(own["before"]))
+    inside = Window.partitionBy("source", own["bucket"]).orderBy(own["order"], own["row"])
+    placed = (dealt.withColumn(own["number"], F.row_number().over(inside) - 1)
+              .join(offsets, same & (c("bucket") == c("at"))).drop(own["their"], own["at"])
+              .withColumn(own["number"], c("number") + c("before"))
+              .withColumn(own["at"], F.floor(c("number") / size).cast("long"))
+              .join(F.broadcast(table), same & (F.floor(c("at") / CHUNK).cast("long") == c("chunk"))))
+    of = lambda n: F.get(c(n), (c("at") % CHUNK).cast("int"))
+    return placed.select(*names, (of("starts") + c("number") % size).cast("long").alias("mix_position"),
+                         of("slots").alias("mix_slot"), of("releases").alias("mix_release"), of("deadlines").alias("mix_deadline"))

@@ -1,6 +1,8 @@
 """The pipeline: columns and effect of every stage, planted cases, nulls, empty tables."""
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -90,10 +92,10 @@ def test_stages_against_plain_versions(spark, planted):
     sizes = {}
     for r in mixed:
         sizes.setdefault(r.source, []).append(r.mix_slot)
-    blocks = {s: -(-len(x) // mixing.BLOCK_ROWS) for s, x in sizes.items()}
-    units = mixing.units_of({f"source {s}" if s is not None else "null": len(x) ** 0.5 for s, x in sizes.items()})
-    plan = plain_schedule(units, {f"source {s}" if s is not None else "null": n for s, n in blocks.items()})
-    assert sorted({(r.mix_slot, f"source {r.source}" if r.source is not None else "null") for r in mixed}) == [x[:2] for x in plan]
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    units = mixing.units_of({s: Fraction(math.isqrt(len(sizes[s]) * 10 ** 12), 10 ** 6) for s in names})
+    plan = plain_schedule(units, {s: -(-len(sizes[s]) // mixing.BLOCK_ROWS) for s in names})
+    assert {(r.mix_slot, r.source, r.mix_release, r.mix_deadline) for r in mixed} == {(t, s, r, d) for t, s, _, r, d in plan}
 
 
 def test_run_and_registration(spark):

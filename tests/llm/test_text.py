@@ -1,10 +1,12 @@
 """HTML extraction, line de-duplication and mixing against plain versions."""
 
 import html
+import math
 import random
 import re
 import time
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -327,6 +329,15 @@ def test_line_dedup_keeps_any_column_and_any_id(spark):
     assert linededup.drop_repeats(docs).columns == docs.columns
 
 
+def test_a_row_without_text_shares_an_id(spark):
+    p = passage(33)
+    rows = [(1, p), (2, None), (2, f"{p} own"), (2, ""), (3, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text, r.cut) for r in linededup.deduplicate(docs).collect() if r.doc_id == 2 and r.text)
+    assert [r[1].split()[-1] for r in got] == ["own"] and got[0][2] > 0
+    assert linededup.deduplicate(docs).count() == 5
+
+
 def test_a_very_long_text_with_many_owners(spark):
     parts = [passage(400 + i) for i in range(150)]
     docs = [(i, f"{x} {passage(600 + i, 1)}") for i, x in enumerate(parts)] + [(1000, " ".join(parts[::-1]) * 3)]
@@ -362,65 +373,105 @@ def test_line_dedup_nulls_repeats_hot_passage_and_columns(spark):
     assert linededup.drop_repeats(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 0.5, "b": 0.3, "c": 0.2}, {f"s{i}": 1 + i % 5 for i in range(20)}])
-def test_period_stays_within_a_block_of_the_target(weights):
-    units = mixing.units_of(weights)
-    total, slots = sum(units.values()), mixing.period(units)
-    order = sorted((t, s) for s, ts in slots.items() for t in ts.tolist())
-    assert [t for t, _ in order] == list(range(total))
-    done = Counter()
-    for t, s in order:
+WEIGHTS = [{"a": 1}, {"a": 0.5, "b": 0.3, "c": 0.2}, {f"s{i}": 1 / 20 for i in range(20)}, {s: 1 / 3 for s in "abc"},
+           {"a": 0.0001, "b": 0.9999}, {"a": 0.123456789, "b": 0.7, "c": 2}, {f"s{i}": 1 + i % 7 for i in range(1000)}]
+
+
+@pytest.mark.parametrize("weights", WEIGHTS)
+def test_every_slot_stays_within_a_block_of_the_targets(weights):
+    """Against the exact targets, over far more slots than any rounding would forgive."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    whole = sum(exact.values())
+    assert mixing.units_of(weights) == {s: w / whole * sum(mixing.units_of(weights).values()) for s, w in exact.items()}
+    n = 3000 if len(weights) > 100 else 12_000
+    plan = mixing.schedule(mixing.units_of(weights), {s: n for s in weights})
+    order = sorted((int(t), s) for s, x in plan.items() for t in x[:, 0])
+    assert [t for t, _ in order] == list(range(n * len(weights)))
+    end = min(int(x[-1, 0]) for x in plan.values())  # all sources have blocks up to here
+    w, done = {s: x / whole for s, x in exact.items()}, Counter()
+    for t, s in order[:min(end, 30_000)]:
         done[s] += 1
-        assert all(abs(done[x] * total - (t + 1) * u) < total for x, u in units.items())
+        k = done[s] - 1
+        assert k / w[s] < t + 1 <= -(-(k + 1) // w[s])      # released, and in time
+        if t % 97 == 0 or len(w) < 10:
+            assert all(abs(done[x] - (t + 1) * w[x]) < 1 for x in w)
 
 
 def plain_schedule(units, blocks):
-    """Slot by slot over the remaining sources."""
-    left, begin, out = dict(blocks), 0, []
-    done = Counter()
-    while any(left.values()):
-        active = {s: units[s] for s in left if left[s]}
-        total, table = sum(active.values()), mixing.period(active)
-        at = {t: s for s, ts in table.items() for t in ts.tolist()}
-        t = 0
-        while all(left[s] for s in active):
-            s = at[t % total]
-            out.append((begin + t, s, done[s]))
+    """(slot, source, block, release, deadline), slot by slot over all released blocks."""
+    left, out, begin = {s: n for s, n in blocks.items() if n}, [], 0
+    while left:
+        w = {s: Fraction(units[s], sum(units[x] for x in left)) for s in left}
+        done, t = Counter(), 0
+        while all(done[s] < left[s] for s in left):
+            released = [s for s in left if done[s] / w[s] < t + 1]
+            s = min(released, key=lambda s: (-(-(done[s] + 1) // w[s]), list(left).index(s)))
+            out.append((begin + t, s, blocks[s] - left[s] + done[s], begin + done[s] // w[s], begin - (-(done[s] + 1) // w[s])))
             done[s] += 1
-            left[s] -= 1
             t += 1
+        left = {s: n - done[s] for s, n in left.items() if n > done[s]}
         begin += t
     return out
 
 
-def test_phases_against_a_slot_by_slot_schedule():
-    units, blocks = {"a": 5, "b": 3, "c": 1}, {"a": 40, "b": 7, "c": 30}
-    got = []
-    for s, first, n, begin, u, total, table in mixing.phases(units, blocks):
-        got += [(begin + k // u * total + table[k % u], s, first + k) for k in range(n)]
-    assert sorted(got) == plain_schedule(units, blocks)
+def test_the_schedule_against_a_slot_by_slot_version():
+    rng = random.Random(2)
+    cases = [({"a": 5, "b": 3, "c": 1}, {"a": 40, "b": 7, "c": 30}), ({"a": 1}, {"a": 0}), ({"a": 10 ** 20, "b": 1}, {"a": 9, "b": 3})]
+    cases += [({s: rng.randint(1, 9) for s in "abcdef"}, {s: rng.randint(0, 30) for s in "abcdef"}) for _ in range(20)]
+    for units, blocks in cases:
+        got = [(int(t), s, k, int(r), int(d)) for s, x in mixing.schedule(units, blocks).items() for k, (t, r, d) in enumerate(x.tolist())]
+        assert sorted(got) == sorted(plain_schedule(units, blocks))
 
 
 def test_mix_is_a_permutation_close_to_its_targets(spark):
     rows = [(i, None, "big" if i % 3 else f"s{i % 4}") for i in range(3000)] + [(None, "x", None), (5, "again", "big"), (5, "again", "big")]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS mix_slot", "'z' AS stream", "9 AS total", "4 AS k")
+    for name in ("row", "order", "bucket", "number", "Slots", "chunk", "starts", "at", "their", "__number", "__stream"):
+        docs = docs.withColumn(name, F.lit("kept"))
     targets = {"big": 0.4, "s0": 0.3, "s1": 0.2, "s2": 0.1}
     mixed = mixing.mix(docs, targets, block_rows=4)
-    assert mixed.columns == ["doc_id", "text", "source", "stream", "total", "k", "mix_position", "mix_slot", "mix_release", "mix_deadline"]
+    assert mixed.columns == [*[c for c in docs.columns if c != "mix_slot"], *mixing.OUTPUT]
     got = sorted(mixed.collect(), key=lambda r: r.mix_position)
-    assert [r.mix_position for r in got] == list(range(len(rows)))
+    assert [r.mix_position for r in got] == list(range(len(rows))) and {r.number for r in got} == {"kept"}
     assert sorted((str(r.doc_id), str(r.source)) for r in got) == sorted((str(a), str(c)) for a, _, c in rows)
     assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
+    whole = sum(targets.values()) + 2 * 0.1 / 1024  # two sources have no target
     seen = Counter()
     for n, r in enumerate(got[:400], 1):
         seen[r.source] += 1
-        assert all(abs(seen[s] - n * w) <= 2 * 4 + 0.02 * n for s, w in targets.items())
+        assert all(abs(seen[s] - n * w / whole) < 2 * 4 for s, w in targets.items())
+
+
+def test_mix_follows_the_plain_schedule(spark):
+    rows = [(i, "t", None if i % 11 == 0 else f"s{i % 5 % 3}") for i in range(700)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), block_rows=8).collect()
+    n = Counter(r[2] for r in rows)
+    names = sorted(n, key=lambda s: (s is None, s))
+    units = mixing.units_of({s: Fraction(math.isqrt(n[s] * 10 ** 12), 10 ** 6) for s in names})
+    plan, start, want = plain_schedule(units, {s: -(-n[s] // 8) for s in names}), 0, Counter()
+    for t, s, k, r, d in plan:
+        size = min(8, n[s] - 8 * k)
+        want.update((start + j, s, t, r, d) for j in range(size))
+        start += size
+    assert Counter((r.mix_position, r.source, r.mix_slot, r.mix_release, r.mix_deadline) for r in got) == want
+
+
+def test_rows_without_ids_spread_over_tasks(spark):
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("hot").alias("source"))
+    mixed = mixing.mix(docs)
+    assert mixed.agg(F.count_distinct("mix_position"), F.min("mix_position"), F.max("mix_position")).first()[:] == (100_000, 0, 99_999)
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod(shiftrightunsigned" in plan  # a row's own number decides its bucket
+    per_bucket = docs.select(F.pmod(F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.monotonically_increasing_id()), 8), F.lit(98)).alias("b")).groupBy("b").count()
+    assert per_bucket.count() == 98 and per_bucket.agg(F.max("count")).first()[0] < 2 * 1024
 
 
 def test_mix_edge_tables(spark):
     docs = spark.createDataFrame([], DOCS)
-    assert mixing.mix(docs).count() == 0
+    assert mixing.mix(docs).count() == 0 and mixing.mix(docs).columns == [*docs.columns, *mixing.OUTPUT]
     many = spark.createDataFrame([(i, "t", f"s{i % 300}") for i in range(900)], DOCS)
     got = mixing.mix(many)
     assert sorted(r.mix_position for r in got.select("mix_position").collect()) == list(range(900))
     assert got.filter(F.col("mix_slot") >= F.col("mix_deadline")).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(many, {"s1": 0.0})
