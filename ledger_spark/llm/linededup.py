@@ -199,21 +199,49 @@ def aligned_blocks(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut) + base
 
 
-def _cuts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(id, version, cut): the unit positions to delete."""
-    if block_words >= 1 << SIZE_BITS:
-        raise ValueError(f"a line of {block_words} words may have too many units for its place")
-    sequences = written(_sequences(docs, block_words), "lines-sequences")
-    if not sequences.groupBy("id", "version").count().filter("count > 1").isEmpty():
-        sequences = written(sequences.dropDuplicates(["id", "version"]), "lines-distinct")
+def _links(sequences: DataFrame) -> DataFrame:
+    """(id, version, owner, mine, theirs): every line of a document that has an owner
+    before it, with its place here and its first place there."""
     found = sequences.select("id", "version", F.explode(F.arrays_zip("lines", "places")).alias("l")).select(
         "id", "version", F.col("l.lines").alias("line"), F.col("l.places").alias("mine"))
     own = F.when(F.col("id").isNotNull(), F.struct("id", F.col("mine").alias("place")))
-    shared = written(found.groupBy("line").agg(F.min(own).alias("own"), F.max("id").alias("last"),
-                                               F.max(F.col("id").isNull()).alias("nameless"))
-                     .filter("own.id < last OR own IS NOT NULL AND nameless")
-                     .select("line", F.col("own.id").alias("owner"), F.col("own.place").alias("theirs")), "lines-shared")
-    links = found.join(shared, "line").filter("owner < id OR id IS NULL").select("id", "version", "owner", "mine", "theirs")
+    shared = (found.groupBy("line").agg(F.min(own).alias("own"), F.max("id").alias("last"),
+                                        F.max(F.col("id").isNull()).alias("nameless"))
+              .filter("own.id < last OR own IS NOT NULL AND nameless")
+              .select("line", F.col("own.id").alias("owner"), F.col("own.place").alias("theirs")))
+    shared = written(shared, "lines-shared")
+    return found.join(shared, "line").filter("owner < id OR id IS NULL").select("id", "version", "owner", "mine", "theirs")
+
+
+def _links_by_number(sequences: DataFrame, bits: int) -> DataFrame:
+    """:func:`_links` for whole ids, each of one row, that leave ``bits`` of a long free:
+    id and place travel as one number, which orders by id, then place."""
+    found = (sequences.select(F.col("id").cast("long").alias("id"), F.explode(F.arrays_zip("lines", "places")).alias("l"))
+             .select(F.col("l.lines").alias("line"), F.shiftleft("id", bits).bitwiseOR(F.col("l.places")).alias("own")))
+    shared = (found.groupBy("line").agg(F.min("own").alias("first"), F.max("own").alias("last"))
+              .filter(F.shiftright("first", bits) < F.shiftright("last", bits)).select("line", "first"))
+    id_of, place_of = (lambda c: F.shiftright(c, bits)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << bits) - 1)))
+    return (found.join(written(shared, "lines-shared"), "line").filter(id_of("own") > id_of("first"))
+            .select(id_of("own").alias("id"), F.lit(0).cast("long").alias("version"), id_of("first").alias("owner"),
+                    place_of("own").alias("mine"), place_of("first").alias("theirs")))
+
+
+def _cuts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, bool]:
+    """(id, version, cut): the unit positions to delete; and whether versions tell rows apart."""
+    if block_words >= 1 << SIZE_BITS:
+        raise ValueError(f"a line of {block_words} words may have too many units for its place")
+    sequences = written(_sequences(docs, block_words), "lines-sequences")
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    size = sequences.agg(F.max(F.try_element_at("places", F.lit(-1))).alias("place"), F.min("id").alias("least"),
+                         F.max("id").alias("most"), F.count_if(F.col("id").isNull()).alias("nameless")).first()
+    bits = int(size.place or 1).bit_length()
+    versions = not sequences.groupBy("id").count().filter("count > 1").isEmpty()
+    if whole and not versions and not size.nameless and max(abs(size.least or 0), abs(size.most or 0)) < 1 << 62 - bits:
+        links = _links_by_number(sequences, bits)
+    else:
+        if versions:
+            sequences = written(sequences.dropDuplicates(["id", "version"]), "lines-distinct")
+        versions, links = True, _links(sequences)
     # one document's links: as many as its lines
     grouped = links.groupBy("id", "version").agg(F.array_sort(F.collect_list(F.struct("owner", "mine", "theirs"))).alias("links"))
     grouped = grouped.select("id", "version", F.transform("links", lambda x: x["owner"]).alias("owner"),
@@ -233,8 +261,8 @@ def _cuts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                                              pa.array(np.concatenate(cuts or [np.zeros(0)]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["id", "version", "cut"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(grouped.mapInArrow(run, f"id {kind}, version long, cut array<int>"), "lines-cuts")
+    kind = grouped.schema["id"].dataType.simpleString()
+    return written(grouped.mapInArrow(run, f"id {kind}, version long, cut array<int>"), "lines-cuts"), versions
 
 
 def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS, count: str | None = None) -> DataFrame:
@@ -243,10 +271,12 @@ def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS, count: str | No
     names = [*docs.columns]
     count = count or free_name("cut", names)
     own, version, gone = (free_name(n, [*names, count]) for n in ("cut_id", "cut_version", "cut_units"))
-    cuts = _cuts(docs.select("doc_id", "text"), block_words).select(
-        F.col("id").alias(own), F.col("version").alias(version), F.col("cut").alias(gone))
+    cuts, versions = _cuts(docs.select("doc_id", "text"), block_words)
+    cuts = cuts.select(F.col("id").alias(own), F.col("version").alias(version), F.col("cut").alias(gone))
     key = F.col("doc_id")
-    here = key.eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(version))
+    here = key.eqNullSafe(F.col(own)) & (F.length("text") > 0)
+    if versions:
+        here = here & (F.xxhash64("text") == F.col(version))
     # rows of documents without a cut pass without a shuffle
     may = may_contain(cuts, own, key)
     joined = docs.filter(may).join(cuts, here, "left").select(*names, gone)
