@@ -35,7 +35,7 @@ SAMPLE_ROWS = 6400
 MAX_LANGUAGES = 256
 GRAMS = 4096
 #: Resolution of the hash cut that draws each language's sample.
-CUTS = 1 << 24
+CUTS = 1 << 62
 UNKNOWN = "und"
 EPOCHS = 15
 #: Texts are read in pieces of this many characters, so memory stays bounded.
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, learnable: Column, per_language: int = SAMPLE_PER_LANGU
     if not counts:
         return Model(np.zeros((0, GRAMS), np.float32), np.array([]))
     each = max(1, min(per_language, sample_rows // len(counts)))
-    cut = F.create_map(*[F.lit(x) for r in counts for x in (r["__lang"], int(min(1.0, each / r["count"]) * CUTS))])
+    cut = F.create_map(*[F.lit(x) for r in counts for x in (r["__lang"], min(CUTS, CUTS * each // r["count"]))])
     near = F.pmod(F.xxhash64("__key"), F.lit(CUTS))
     parts = rows.filter(near < F.element_at(cut, F.col("__lang"))).orderBy(near, "__key").limit(2 * sample_rows)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ledger_spark.llm.common import held_out, may_learn, slices, smallest_by_hash, table
+from ledger_spark.llm.common import free_name, held_out, may_learn, slices, smallest_by_hash, table
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 4096
@@ -95,6 +95,16 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's ``k`` greatest values, in order of place; of equal ones the first."""
+    least = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, [cosine.shape[1] - k]]
+    picked = cosine >= least
+    for r in np.flatnonzero(picked.sum(axis=1) > k):  # more rows share the last value than are wanted
+        ties = np.flatnonzero(cosine[r] == least[r])
+        picked[r, ties[k - int((cosine[r] > least[r]).sum()):]] = False
+    return np.nonzero(picked)[1].reshape(len(cosine), k)
+
+
 class Model:
     """Latent space, labelled vectors in it, and their labels."""
 
@@ -124,9 +134,7 @@ class Model:
             return out
         cosine = _unit((terms * self.weight) @ self.basis) @ self.vectors.T
         k = min(self.neighbours, len(self.labels))
-        # equal cosines: the earlier row, through a decrease smaller than any real difference
-        cosine -= np.arange(cosine.shape[1], dtype=np.float32) * np.float32(1e-9)
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        near = nearest(cosine, k)
         weight = np.clip(np.take_along_axis(cosine, near, axis=1), 0, None).astype(np.float64)
         total = weight.sum(axis=1)
         voted = total > 0
@@ -192,4 +200,5 @@ def keep_good(docs: DataFrame, sf_dir: str, threshold: float = THRESHOLD, modulu
     """
     labels = table(docs.sparkSession, sf_dir, "labels")
     model = fit(docs, labels, learnable=may_learn(F.col("doc_id"), modulus, remainder))
-    return score(docs, model, into="__quality").filter(F.col("__quality") >= threshold).select(*docs.columns)
+    into = free_name("quality", docs.columns)
+    return score(docs, model, into=into).filter(F.col(into) >= threshold).select(*docs.columns)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ledger_spark.llm.common import may_contain, slices, smallest_by_hash, written
+from ledger_spark.llm.common import free_name, may_contain, slices, smallest_by_hash, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -298,28 +298,30 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
     The columns are those of ``docs``. Rows without a doc_id stay where nothing
     of their component has one: one row per fingerprint.
     """
+    names = docs.columns
+    own, fp, n, found_fp = (free_name(c, names) for c in ("kept_id", "kept_fp", "kept_rows", "found_fp"))
     found = written(near_duplicates(docs, shingle_words, max_bits), "simhash-found")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     # ids of which some row goes; the rows of all others pass without a shuffle
     concerned = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.every(stays).alias("stays"))
     may = may_contain(concerned.filter("rows > 1 OR NOT stays OR doc_id IS NULL"), "doc_id", F.col("doc_id"))
     rest = docs.filter(may)
-    kept = written(found.filter(stays).groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
-                   .agg(F.count(F.lit(1)).alias("__rows")), "simhash-kept")
-    ids = kept.groupBy("__id").agg(F.sum("__rows").alias("__rows"))
+    kept = written(found.filter(stays).groupBy(F.col("doc_id").alias(own), F.col("fp").alias(fp))
+                   .agg(F.count(F.lit(1)).alias(n)), "simhash-kept")
+    ids = kept.groupBy(own).agg(F.sum(n).alias(n))
     once = docs.filter(~may).union(
-        rest.join(ids.filter("__rows = 1"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"))
-    again = ids.filter("__rows > 1")
+        rest.join(ids.filter(F.col(n) == 1), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi"))
+    again = ids.filter(F.col(n) > 1)
     if again.isEmpty():
         return once
-    more = rest.join(again, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    names, at, schema = docs.columns, docs.columns.index("text"), docs.schema
+    more = rest.join(again, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    at, schema = names.index("text"), docs.schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             fps = np.array([fingerprint(t, shingle_words) for t in part.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64))], [*names, "__found"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64))], [*names, found_fp])
 
-    more = more.mapInArrow(add, StructType([*schema.fields, StructField("__found", LongType())]))
-    more = more.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__found") == F.col("__fp")), "left_semi")
-    return once.union(more.dropDuplicates(["doc_id", "__found"]).select(*names))
+    more = more.mapInArrow(add, StructType([*schema.fields, StructField(found_fp, LongType())]))
+    more = more.join(kept, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(found_fp) == F.col(fp)), "left_semi")
+    return once.union(more.dropDuplicates(["doc_id", found_fp]).select(*names))

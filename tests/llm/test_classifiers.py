@@ -157,3 +157,28 @@ def test_quality_stage_keeps_columns(spark):
     kept = quality.keep_good(docs, SF)
     assert kept.columns == docs.columns and 700 < kept.count() < 1000
     assert may_learn(F.lit(None), 4, 2) is not None
+
+
+def test_nearest_takes_the_first_of_equal_values():
+    rng = np.random.default_rng(0)
+    for k in (1, 5, 15):
+        values = rng.integers(0, 6, (200, 40)).astype(np.float32)
+        want = [sorted(sorted(range(40), key=lambda i: (-row[i], i))[:k]) for row in values.tolist()]
+        assert quality.nearest(values, k).tolist() == want
+    assert quality.nearest(np.ones((3, 4096), np.float32), 15).tolist() == [list(range(15))] * 3
+
+
+def test_good_rows_keep_any_column(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    clash = docs
+    for name in ("quality", "_quality", "__quality", "score"):
+        clash = clash.withColumn(name, F.lit("kept"))
+    got = quality.keep_good(clash, "/root/testdata/sf0.001")
+    assert got.columns == clash.columns and {r.quality for r in got.collect()} == {"kept"}
+    assert got.count() == quality.keep_good(docs, "/root/testdata/sf0.001").count()
+
+
+def test_a_frequent_language_keeps_its_share_of_the_sample():
+    """Rows beyond 2**24 times the sample must not round the cut to nothing."""
+    for count in (10, 10 ** 11, 10 ** 15):
+        assert 0 < min(language.CUTS, language.CUTS * 800 // count) <= language.CUTS

@@ -125,3 +125,14 @@ def test_labels_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "u long, v long")
     got = {r.node: r.root for r in simhash.component_labels(edges).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
+
+
+def test_kept_rows_keep_any_column(spark):
+    rows = [(1, "some words here"), (2, "some words here"), (2, "some words here"), (3, "another text"), (3, "another one text"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = docs
+    for name in ("__id", "__fp", "__found", "__rows", "kept_id", "kept_fp", "kept_rows", "found_fp", "fp", "u"):
+        clash = clash.withColumn(name, F.lit("kept"))
+    got = simhash.keep_one(clash)
+    assert got.columns == clash.columns and {r.fp for r in got.collect()} == {"kept"}
+    assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(map(str, simhash.keep_one(docs).collect()))
