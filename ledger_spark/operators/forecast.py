@@ -17,6 +17,12 @@ Holt (level + trend): alpha, beta on multiples of 1/200. Coarse pass: every
 Holt-Winters (additive season of 12): alpha, beta, gamma on multiples of
 1/100; coarse pass every 10th value, refine +-5 steps of .01 (wider steps,
 three parameters).
+Gauss-Newton (``search="newton"``)
+----------------------------------
+For many series: the fold carries the derivatives of level, trend and season by each
+parameter, so one fold gives the sum of squares, its gradient and the Gauss-Newton
+matrix. The best of a few start points is improved by damped steps inside [0, 1];
+a step that doesn't lower the sum is taken back and damped harder.
 Ties in SSE go to the smaller parameters. The original uses a gradient
 optimiser from (0.3, 0.1); on a multi-modal SSE it may stop elsewhere.
 """
@@ -116,11 +122,13 @@ def _sample_sd(e):
     return F.sqrt(F.aggregate(e, F.lit(0.0), lambda acc, v: acc + (v - mean_e) * (v - mean_e)) / (k - 1))
 
 
-def holt_forecast(series: DataFrame, h: int = 3) -> DataFrame:
+def holt_forecast(series: DataFrame, h: int = 3, search: str = "grid") -> DataFrame:
     """I2 + I3: fitted alpha/beta, SSE, h-step forecasts and the 95 % interval of
-    the first step (residual sample sd x 1.96). Series shorter than 3 -> NULLs."""
+    the first step (residual sample sd x 1.96). Series shorter than 3 -> NULLs.
+    ``search`` is "grid" (882 folds a series) or "newton" (50)."""
     ok = F.col("n") >= 3
-    s = series.withColumn("_f", F.when(ok, F.expr(holt_fit_expr("xs"))))
+    fit = {"grid": holt_fit_expr, "newton": holt_newton_expr}[search]
+    s = series.withColumn("_f", F.when(ok, F.expr(fit("xs"))))
     f = F.col("_f")
     fc = F.transform(F.sequence(F.lit(1), F.lit(h)), lambda i: f["l"] + i * f["t"])
     out = s.select(*[c for c in series.columns if c not in ("xs", "months")],
@@ -187,9 +195,10 @@ def hw_fit_expr(start: str = "_st") -> str:
                                    _let(_hw_search("st0", "crs"), "bst", _let(final, "fin", body))))
 
 
-def holt_winters_seasonal(series: DataFrame, h: int = 3, period: int = 12) -> DataFrame:
+def holt_winters_seasonal(series: DataFrame, h: int = 3, period: int = 12, search: str = "grid") -> DataFrame:
     """I8: additive seasonal Holt-Winters for series of at least two periods
-    (shorter series -> NULL). Forecast h: level + h*trend + season of h."""
+    (shorter series -> NULL). Forecast h: level + h*trend + season of h.
+    ``search`` is "grid" (2,662 folds a series) or "newton" (50)."""
     if period != 12:
         raise ValueError("only a 12-month season is supported")
     tr, fig = _hw_start("xs")
@@ -205,7 +214,8 @@ def holt_winters_seasonal(series: DataFrame, h: int = 3, period: int = 12) -> Da
     s = s.withColumn("_st", F.when(ok, F.struct(
         (F.col("_ty") - F.col("_t0") * 6.5).alias("l"), F.col("_t0").alias("t"),
         F.transform("_fg", lambda v: v - F.col("_fm")).alias("q"))))
-    s = s.withColumn("_f", F.when(ok, F.expr(hw_fit_expr("_st"))))
+    fit = {"grid": hw_fit_expr, "newton": hw_newton_expr}[search]
+    s = s.withColumn("_f", F.when(ok, F.expr(fit("_st"))))
     f = F.col("_f")
     fc = F.transform(F.sequence(F.lit(1), F.lit(h)),
                      lambda i: f["l"] + i * f["t"] + f["q"][(i - 1) % 12])
@@ -216,6 +226,126 @@ def holt_winters_seasonal(series: DataFrame, h: int = 3, period: int = 12) -> Da
             .withColumn("upper95", F.col("forecast")[0] + F.lit(Z95) * F.col("resid_sd")))
 
 
+# --------------------------------------------------------------------------
+# Parameter search by Gauss-Newton steps
+# --------------------------------------------------------------------------
+
+#: Start values of each parameter; the best of all their combinations is improved.
+STARTS = {2: ((0.1, 0.3, 0.5, 0.7, 0.9), (0.03, 0.15, 0.35, 0.6, 0.9)),
+          3: ((0.1, 0.4, 0.8), (0.03, 0.2, 0.6), (0.05, 0.3, 0.7))}
+#: Steps taken from there. Starts, steps, the start's own fold and the last one are 50 folds.
+STEPS = {2: 23, 3: 21}
+DAMPING, HARDER, EASIER = 0.01, 4.0, 0.25
+
+
+def newton_parts(names: list[str]) -> dict[str, list[tuple[str, str]]]:
+    """The search's arithmetic as (field, SQL) lists, the same text for every engine.
+
+    Fields of ``{p}`` are the accepted point: parameters, damping, sum of squares, its
+    gradient (``g_``) and Gauss-Newton matrix (``h_``); ``{s}`` is the running fold with
+    the derivatives of level, trend and season by each parameter, ``{v}`` its one-step
+    error and the error's derivatives.
+    """
+    pairs = [(x, y) for i, x in enumerate(names) for y in names[i:]]
+    season = "g" in names
+    free = {x: f"(NOT (({{p}}.{x} <= 0 AND {{p}}.g_{x} > 0) OR ({{p}}.{x} >= 1 AND {{p}}.g_{x} < 0)))" for x in names}
+    masked = [(f"m_{x}{y}", f"CASE WHEN {free[x]} THEN {{p}}.h_{x}{x} * (1 + {{p}}.damp) + 1e-300D ELSE 1D END" if x == y else
+               f"CASE WHEN {free[x]} AND {free[y]} THEN {{p}}.h_{x}{y} ELSE 0D END") for x, y in pairs]
+    masked += [(f"r_{x}", f"CASE WHEN {free[x]} THEN {{p}}.g_{x} ELSE 0D END") for x in names]
+    m = lambda x, y: f"{{m}}.m_{x}{y}" if (x, y) in pairs else f"{{m}}.m_{y}{x}"
+    r = lambda x: f"{{m}}.r_{x}"
+
+    def minor(cols: list, i: int, j: int) -> str:
+        """2 x 2 determinant of the columns' rows i and j."""
+        return f"({cols[0](i)} * {cols[1](j)} - {cols[1](i)} * {cols[0](j)})"
+
+    def det(cols: list) -> str:
+        if len(cols) == 2:
+            return minor(cols, 0, 1)
+        rows = ((1, 2), (0, 2), (0, 1))
+        return "(" + " ".join(f"{sign} {cols[0](k)} * {minor(cols[1:], *rows[k])}" for k, sign in enumerate("+-+")) + ")"
+
+    columns = [lambda k, x=x: m(names[k], x) for x in names]
+    right = lambda k: r(names[k])
+    solved = [("det", det(columns))] + [(f"d_{x}", det([*columns[:i], right, *columns[i + 1:]])) for i, x in enumerate(names)]
+    moved = [(x, f"least(1D, greatest(0D, {{p}}.{x} - CASE WHEN {{d}}.det > 0 THEN {{d}}.d_{x} / {{d}}.det ELSE 0D END))") for x in names]
+    error = [("e", "{x} - ({s}.l + {s}.t" + (" + {q0})" if season else ")"))]
+    error += [(f"e_{x}", f"-({{s}}.l_{x} + {{s}}.t_{x}" + (f" + {{q0_{x}}})" if season else ")")) for x in names]
+    step = [("l", "{s}.l + {s}.t + {s}.a * {v}.e"), ("t", "{s}.t + {s}.a * {s}.b * {v}.e")]
+    for x in names:
+        own = {"a": " + {v}.e", "b": "", "g": ""}[x]
+        trend = {"a": " + {s}.b * {v}.e", "b": " + {s}.a * {v}.e", "g": ""}[x]
+        step += [(f"l_{x}", f"{{s}}.l_{x} + {{s}}.t_{x}{own} + {{s}}.a * {{v}}.e_{x}"),
+                 (f"t_{x}", f"{{s}}.t_{x}{trend} + {{s}}.a * {{s}}.b * {{v}}.e_{x}")]
+    step += [("sse", "{s}.sse + {v}.e * {v}.e")]
+    step += [(f"g_{x}", f"{{s}}.g_{x} + {{v}}.e * {{v}}.e_{x}") for x in names]
+    step += [(f"h_{x}{y}", f"{{s}}.h_{x}{y} + {{v}}.e_{x} * {{v}}.e_{y}") for x, y in pairs]
+    fresh = []  # the season's new value, and its derivatives
+    if season:
+        fresh = [("q", "{q0} + {s}.g * (1 - {s}.a) * {v}.e"),
+                 ("q_a", "{q0_a} + {s}.g * (1 - {s}.a) * {v}.e_a - {s}.g * {v}.e"),
+                 ("q_b", "{q0_b} + {s}.g * (1 - {s}.a) * {v}.e_b"),
+                 ("q_g", "{q0_g} + {s}.g * (1 - {s}.a) * {v}.e_g + (1 - {s}.a) * {v}.e")]
+    zero = [f for f, _ in step[2:]]  # a fold's fields have one order: structs are compared by place
+    kept = [*names, "sse", *[f"g_{x}" for x in names], *[f"h_{x}{y}" for x, y in pairs]]
+    return {"masked": masked, "solved": solved, "moved": moved, "error": error, "step": step, "fresh": fresh,
+            "zero": [(z, "0D") for z in zero], "kept": [(k, k) for k in kept]}
+
+
+def _struct(fields, **names) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v.format(**names)}" for k, v in fields) + ")"
+
+
+def _newton_fold(xs: str, skip: int, at: str, start: str, parts: dict, names: list[str]) -> str:
+    """Fold of the series at the parameters of struct ``at``: sum of squares, gradient, matrix."""
+    season = bool(parts["fresh"])
+    first = [*[(x, f"{at}.{x}") for x in names], ("l", f"{start}.l"), ("t", f"{start}.t"), *parts["zero"]]
+    old = {}
+    if season:
+        first += [("q", f"{start}.q"), *[(f"q_{x}", "array_repeat(0D, 12)") for x in names]]
+        old = {"q0": "s.q[0]", **{f"q0_{x}": f"s.q_{x}[0]" for x in names}}
+    step = [*[(x, f"s.{x}") for x in names], *parts["step"],
+            *[(f, f"concat(slice(s.{f}, 2, 11), array({v}))") for f, v in parts["fresh"]]]
+    body = _let(_struct(parts["error"], s="s", x="x", **old), "v", _struct(step, s="s", v="v", **old))
+    return f"aggregate(slice({xs}, {skip + 1}, greatest(size({xs}) - {skip}, 0)), {_struct(first)}, (s, x) -> {body})"
+
+
+def _newton_search(xs: str, skip: int, start: str, names: list[str], plain_fold) -> str:
+    """struct(a, b, ..., sse, ...) of the best point found."""
+    parts, p = newton_parts(names), len(names)
+    k = len(STARTS[p][0])
+    pick = [(x, f"array({', '.join(f'{v}D' for v in values)})[CAST(i div {k ** (p - 1 - j)} AS INT) % {k}]")
+            for j, (x, values) in enumerate(zip(names, STARTS[p]))]
+    first = _let(f"array_min(transform(transform(sequence(0, {k ** p - 1}), i -> {_struct(pick)}), "
+                 f"c -> named_struct('sse', {plain_fold('c')}.sse, {', '.join(f'{chr(39)}{x}{chr(39)}, c.{x}' for x in names)})))",
+                 "st1", _newton_fold(xs, skip, "st1", start, parts, names))
+    accepted = lambda s, damp: _struct([*[(f, f"{s}.{f}") for f, _ in parts["kept"]], ("damp", damp)])
+    trial = _let(_struct(parts["masked"], p="p"), "m", _let(_struct(parts["solved"], m="m"), "d", _struct(parts["moved"], p="p", d="d")))
+    turn = _let(trial, "c", _let(_newton_fold(xs, skip, "c", start, parts, names), "f",
+                                 f"CASE WHEN f.sse < p.sse THEN {accepted('f', f'p.damp * {EASIER}D')} "
+                                 f"ELSE {accepted('p', f'p.damp * {HARDER}D')} END"))
+    return _let(first, "f0", f"aggregate(sequence(1, {STEPS[p]}), {accepted('f0', f'{DAMPING}D')}, (p, n) -> {turn})")
+
+
+def holt_newton_expr(xs: str = "xs") -> str:
+    """As :func:`holt_fit_expr`, the parameters by Gauss-Newton steps."""
+    start = f"named_struct('l', {_x2(xs)}, 't', {_x2(xs)} - {_x1(xs)})"
+    final = _holt_fold(xs, "bst.a", "bst.b", collect=True)
+    body = "named_struct('alpha', bst.a, 'beta', bst.b, 'sse', bst.sse, 'l', fin.l, 't', fin.t, 'e', fin.e)"
+    search = _newton_search(xs, 2, "st0", ["a", "b"], lambda c: _holt_fold(xs, f"{c}.a", f"{c}.b"))
+    return _let(start, "st0", _let(search, "bst", _let(final, "fin", body)))
+
+
+def hw_newton_expr(start: str = "_st") -> str:
+    """As :func:`hw_fit_expr`, the parameters by Gauss-Newton steps."""
+    final = _hw_fold("xs", "bst.a", "bst.b", "bst.g", "st0", True)
+    body = ("named_struct('alpha', bst.a, 'beta', bst.b, 'gamma', bst.g, 'sse', bst.sse, "
+            "'l', fin.l, 't', fin.t, 'q', fin.q, 'e', fin.e)")
+    search = _newton_search("xs", 12, "st0", ["a", "b", "g"],
+                            lambda c: _hw_fold("xs", f"{c}.a", f"{c}.b", f"{c}.g", "st0", False))
+    return _let(start, "st0", _let(search, "bst", _let(final, "fin", body)))
+
+
 # --------------------------------------------------------------------------
 # I4, I5, I6, E3, E5, E6
 # --------------------------------------------------------------------------

@@ -490,6 +490,26 @@ def seasonal_holt_winters(spark, d):
                                                                 for i in range(3)])
 
 
+def holt_newton_by_category(spark, d):
+    """I2 by Gauss-Newton steps, one series per category; its sum of squares is no worse than the grid's."""
+    return _newton(_series(spark, d, ["category_id"]), FC.holt_forecast, ["alpha", "beta"])
+
+
+def seasonal_newton_by_category(spark, d):
+    """I8 by Gauss-Newton steps, one series per category; its sum of squares is no worse than the grid's."""
+    return _newton(_series(spark, d, ["category_id"]), FC.holt_winters_seasonal, ["alpha", "beta", "gamma"])
+
+
+def _newton(series, forecast, names):
+    series = materialize(series)
+    fits = forecast(series, 3, search="newton").join(
+        forecast(series, 3).select("category_id", F.col("sse").alias("grid_sse")), "category_id")
+    r = lambda c: F.round(c, 2)
+    return fits.select("category_id", *[F.round(c, 3).alias(c) for c in names], *[r(F.col("forecast")[i]).alias(f"f{i + 1}") for i in range(3)],
+                       r("lower95").alias("lower95"), r("upper95").alias("upper95"),
+                       (F.col("sse") <= F.col("grid_sse") * (1 + 1e-9)).alias("no_worse"))
+
+
 def forecast_panel(spark, d):
     return FC.forecast_panel(_series(spark, d))
 
@@ -538,6 +558,23 @@ _reg_rec(holt_forecast, _ser_sql("0", "2") + S.holt_ctes("ser") + "\n" + _FC_SEL
 _reg_rec(holt_forecast_by_category, _ser_sql("category_id", "1, 2") + S.holt_ctes("ser") + "\n"
          + _FC_SELECT.format(k="k AS category_id, ", z=repr(Z95)))
 
+_NEWTON_SELECT = """
+SELECT k AS category_id, {names}, {steps}, ROUND({first} - {z} * sd, 2) AS lower95, ROUND({first} + {z} * sd, 2) AS upper95,
+       true AS no_worse FROM nfit"""
+_HOLT_BASE = """,
+hs AS (SELECT k, xs, n, xs[2] AS l0, xs[2] - xs[1] AS t0 FROM ser WHERE n >= 3)"""
+
+
+def _newton_sql(start: str, base: str, names: dict, season: str) -> str:
+    steps = [f"l + {h} * t{season.format(h=h)}" for h in (1, 2, 3)]
+    return (_ser_sql("category_id", "1, 2") + start + S.newton_ctes(base, list(names)) + _NEWTON_SELECT.format(
+        names=", ".join(f"ROUND({k}, 3) AS {v}" for k, v in names.items()), z=repr(Z95), first=steps[0],
+        steps=", ".join(f"ROUND({x}, 2) AS f{h}" for h, x in enumerate(steps, 1))))
+
+
+_reg_rec(holt_newton_by_category, _newton_sql(_HOLT_BASE, "hs", {"a": "alpha", "b": "beta"}, ""))
+_reg_rec(seasonal_newton_by_category, _newton_sql(S.hw_start_ctes("ser"), "ws", {"a": "alpha", "b": "beta", "g": "gamma"}, " + q[{h}]"))
+
 _LM = """,
 lx AS (SELECT k, unnest(xs) AS x, generate_subscripts(xs, 1) AS t, n FROM ser),
 lm AS (SELECT k, regr_slope(x, t) AS slope, regr_intercept(x, t) AS intercept, regr_r2(x, t) AS r2,
@@ -603,6 +640,11 @@ def vocabulary(spark, d):
     return TX.vocabulary(TX.tokenize(_docs(spark, d)))
 
 
+def vocabulary_by_sketch(spark, d):
+    """D14 in two passes: a frequent-items sketch names the candidates, which are counted."""
+    return TX.frequent_words(TX.tokenize(_docs(spark, d)))
+
+
 def document_terms(spark, d):
     """D15 in sparse long form: (id, word) for every vocabulary word present."""
     docs = _docs(spark, d)
@@ -835,6 +877,7 @@ sp AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY category ORDER BY md5
 
 _reg(token_counts, _VOCAB + "\nSELECT word, n FROM tc")
 _reg(vocabulary, _VOCAB + "\nSELECT word, n FROM vocab")
+_reg(vocabulary_by_sketch, _VOCAB + "\nSELECT word, n FROM vocab")
 _reg(document_terms, _VOCAB + """
 SELECT DISTINCT dt.id, v.word FROM dt, vocab v WHERE list_contains(dt.toks, v.word)""")
 _reg(keyword_classify_documents, f"""

@@ -12,6 +12,8 @@ Money rules shared with the Spark side:
 
 from __future__ import annotations
 
+import re
+
 from ledger_spark.schema import (KEYWORD_RULES, RECURRING_PATTERN, SEED_CATEGORIES,
                                  STATUS_OVER, STATUS_UNDER, DEFAULT_COLOR)
 from ledger_spark.sources.tables import FIXTURE_ESSENTIAL, UNSPENT_BUDGET
@@ -172,6 +174,24 @@ hfit AS (
 )"""
 
 
+def hw_start_ctes(series: str, key: str = "k") -> str:
+    """``ws(k, xs, n, l0, t0, s0)``: start level, trend and season of the series of two years or more."""
+    def add(lst):
+        return f"list_reduce({lst}, lambda u, w: u + w)"
+
+    tr = ("list_transform(range(6, 18), lambda i: ((0.5 * xs[i - 5] + "
+          + add("xs[i - 4:i + 6]") + ") + 0.5 * xs[i + 7]) / 12)")
+    return f""",
+w0 AS (SELECT {key}, xs, n, {tr} AS tr FROM {series} WHERE n >= 24),
+w1 AS (SELECT *, list_transform(range(0, 12), lambda p: CASE WHEN p < 6 THEN xs[p + 13] - tr[p + 7]
+                                                              ELSE xs[p + 1] - tr[p - 5] END) AS fg,
+              {add('tr')} / 12 AS ty FROM w0),
+w2 AS (SELECT *, {add('fg')} / 12 AS fm,
+              {add("list_transform(range(0, 12), lambda i: (i + 1 - 6.5) * (tr[i + 1] - ty))")} / 143.0 AS t0
+       FROM w1),
+ws AS (SELECT {key}, xs, n, ty - t0 * 6.5 AS l0, t0, list_transform(fg, lambda v: v - fm) AS s0 FROM w2)"""
+
+
 def hw_ctes(series: str, key: str = "k") -> str:
     """CTEs fitting additive seasonal Holt-Winters (period 12) on the same
     start values and two-pass grid as the Spark side. ``series`` is a
@@ -197,17 +217,7 @@ def hw_ctes(series: str, key: str = "k") -> str:
          sse + (xs[i] - ((l + t) + q[1])) * (xs[i] - ((l + t) + q[1])){extra_step}, xs, n{extra_cols}
   FROM {name} WHERE i <= n
 )"""
-    tr = ("list_transform(range(6, 18), lambda i: ((0.5 * xs[i - 5] + "
-          + add("xs[i - 4:i + 6]") + ") + 0.5 * xs[i + 7]) / 12)")
-    return f""",
-w0 AS (SELECT {key}, xs, n, {tr} AS tr FROM {series} WHERE n >= 24),
-w1 AS (SELECT *, list_transform(range(0, 12), lambda p: CASE WHEN p < 6 THEN xs[p + 13] - tr[p + 7]
-                                                              ELSE xs[p + 1] - tr[p - 5] END) AS fg,
-              {add('tr')} / 12 AS ty FROM w0),
-w2 AS (SELECT *, {add('fg')} / 12 AS fm,
-              {add("list_transform(range(0, 12), lambda i: (i + 1 - 6.5) * (tr[i + 1] - ty))")} / 143.0 AS t0
-       FROM w1),
-ws AS (SELECT {key}, xs, n, ty - t0 * 6.5 AS l0, t0, list_transform(fg, lambda v: v - fm) AS s0 FROM w2),
+    return f"""{hw_start_ctes(series, key)},
 wg1 AS (SELECT s.*, a.i * 10 AS ja, b.i * 10 AS jb, c.i * 10 AS jg
         FROM ws s, range(0, 11) a(i), range(0, 11) b(i), range(0, 11) c(i)),
 {fold('wr1', 'wg1').strip()},
@@ -231,3 +241,68 @@ wfit AS (
               / (len(e) - 1)) AS sd
   FROM wr3 WHERE i = n + 1
 )"""
+
+
+def newton_ctes(base: str, names: list[str], key: str = "k") -> str:
+    """The Gauss-Newton search in SQL: one recursion over the points of the series, turn by
+    turn, on the arithmetic that :func:`ledger_spark.operators.forecast.newton_parts` states.
+
+    ``base`` is a relation (key, xs, n, l0, t0[, s0]). Produces ``nfit(k, a, b[, g], sse,
+    l, t[, q], e)``.
+    """
+    from ledger_spark.operators import forecast as FC
+
+    parts, p, season = FC.newton_parts(names), len(names), "g" in names
+    first = 13 if season else 3
+    plain = lambda text: re.sub(r"(?<=\d)D\b", "", text)
+
+    def struct(fields, **at):
+        return "struct_pack(" + ", ".join(f"{f} := {plain(v.format(**at))}" for f, v in fields) + ")"
+
+    old = {"q0": "f.q[1]", **{f"q0_{x}": f"f.q_{x}[1]" for x in names}}
+    zero = [(f, "CAST(0 AS DOUBLE)") for f, _ in parts["zero"]]
+    begin = lambda at: struct([*[(x, f"{at}{x}") for x in names], ("l", "l0"), ("t", "t0"), *zero,
+                               *([("q", "s0"), *[(f"q_{x}", "list_transform(s0, lambda z: CAST(0 AS DOUBLE))") for x in names]]
+                                 if season else [])])
+    step = struct([*[(x, f"f.{x}") for x in names], *parts["step"],
+                   *[(f, f"list_append(f.{f}[2:12], {v})") for f, v in parts["fresh"]]], s="f", v="v", **old)
+    taken = lambda at, damp: struct([*[(f, f"{at}.{f}") for f, _ in parts["kept"]], ("damp", damp)])
+    values = ", ".join(f"(VALUES {', '.join(f'(CAST({v} AS DOUBLE))' for v in vs)}) AS s_{x}({x})"
+                       for x, vs in zip(names, FC.STARTS[p]))
+    listed = ", ".join(names)
+    return f""",
+na AS (SELECT b.*, {listed} FROM {base} b, {values}),
+nr0 AS (
+  SELECT {key}, xs, n, l0, t0, {'s0, ' if season else ''}{first} AS i, {begin('')} AS f FROM na
+  UNION ALL
+  SELECT {key}, xs, n, l0, t0, {'s0, ' if season else ''}i + 1, {step}
+  FROM (SELECT *, {struct(parts['error'], s='f', x='xs[i]', **old)} AS v FROM nr0 WHERE i <= n)
+),
+ns AS (SELECT {key}, any_value(xs) AS xs, any_value(n) AS n, any_value(l0) AS l0, any_value(t0) AS t0,
+              {'any_value(s0) AS s0, ' if season else ''}arg_min(f, struct_pack(sse := f.sse, {', '.join(f'{x} := f.{x}' for x in names)})) AS f
+       FROM nr0 WHERE i = n + 1 GROUP BY {key}),
+nr AS (
+  SELECT {key}, xs, n, l0, t0, {'s0, ' if season else ''}0 AS turn, n + 1 AS i, {taken('f', f'CAST({FC.DAMPING} AS DOUBLE)')} AS p, f FROM ns
+  UNION ALL
+  SELECT {key}, xs, n, l0, t0, {'s0, ' if season else ''}CASE WHEN i > n THEN turn + 1 ELSE turn END, CASE WHEN i > n THEN {first} ELSE i + 1 END,
+         p2, CASE WHEN i > n THEN {begin('c.')} ELSE {step} END
+  FROM (SELECT *, {struct(parts['moved'], p='p2', d='d')} AS c
+  FROM (SELECT *, {struct(parts['solved'], m='m')} AS d
+  FROM (SELECT *, {struct(parts['masked'], p='p2')} AS m
+  FROM (SELECT *, CASE WHEN i <= n OR turn = 0 THEN p WHEN f.sse < p.sse THEN {taken('f', f'p.damp * {FC.EASIER}')}
+                       ELSE {taken('p', f'p.damp * {FC.HARDER}')} END AS p2,
+               {struct(parts['error'], s='f', x='xs[i]', **old)} AS v
+        FROM nr WHERE turn <= {FC.STEPS[p]}))))
+),
+nb AS (SELECT {key}, xs, n, l0, t0, {'s0, ' if season else ''}{', '.join(f'p.{x} AS {x}' for x in names)}, p.sse AS best_sse
+       FROM nr WHERE turn = {FC.STEPS[p] + 1} AND i = {first}),
+ne AS (
+  SELECT *, {first} AS i, l0 AS l, t0 AS t{', s0 AS q' if season else ''}, CAST([] AS DOUBLE[]) AS e FROM nb
+  UNION ALL
+  SELECT * EXCLUDE (i, l, t{', q' if season else ''}, e, er), i + 1, l + t + a * er, t + a * b * er{', list_append(q[2:12], q[1] + g * (1 - a) * er)' if season else ''},
+         list_append(e, er)
+  FROM (SELECT *, xs[i] - (l + t{' + q[1]' if season else ''}) AS er FROM ne WHERE i <= n)
+),
+nfit AS (SELECT {key}, {listed}, best_sse AS sse, l, t, {'q, ' if season else ''}e,
+                sqrt(list_sum(list_transform(e, lambda v: (v - list_sum(e) / len(e)) * (v - list_sum(e) / len(e)))) / (len(e) - 1)) AS sd
+         FROM ne WHERE i = n + 1)"""

@@ -102,15 +102,16 @@ def clear_scratch(spark: SparkSession) -> None:
     delete(spark, scratch_dir(spark))
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once to the scratch folder and continue from the files.
 
     Used where a compact intermediate is read by several later jobs. Lineage is
     cut, so a lost executor re-reads files instead of recomputing upstream, and
-    the planner knows the true size.
+    the planner knows the true size. Partitioned ``by`` columns, a filter on them
+    reads its own files only.
     """
     path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

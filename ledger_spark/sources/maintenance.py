@@ -106,6 +106,9 @@ def fill_defaults(df: DataFrame) -> DataFrame:
 def validate_transactions(df: DataFrame, categories: DataFrame | None = None):
     """Split rows into ``(good, rejects)``; rejects carry ``reasons`` (array).
 
+    The rows are judged once: they are written with their verdict, partitioned by
+    it, and each result reads its own part.
+
     Checks: NOT NULL id/date/description/amount, amount > 0 and within
     decimal(12,2), unique id, and (with ``categories``) a known category id.
     Uniqueness comes from a partially aggregated count per id joined back,
@@ -132,10 +135,8 @@ def validate_transactions(df: DataFrame, categories: DataFrame | None = None):
         reasons.append(F.when(F.col("category_id").isNotNull() & F.col("_known").isNull(),
                               F.lit("unknown category")))
     out = out.withColumn("reasons", F.array_compact(F.array(*reasons)))
-    keep = [c for c in df.columns]
-    good = out.where(F.size("reasons") == 0).select(*keep)
-    rejects = out.where(F.size("reasons") > 0).select(*keep, "reasons")
-    return good, rejects
+    judged = materialize(out.select(*df.columns, "reasons", (F.size("reasons") == 0).alias("_good")), by=("_good",))
+    return judged.where("_good").select(*df.columns), judged.where("NOT _good").select(*df.columns, "reasons")
 
 
 def validate_budgets(b: DataFrame):

@@ -119,3 +119,84 @@ def test_unlabelled_rows_are_scored_but_do_not_train(spark):
     assert CL.lr_labels(model) == ["food", "rent"] and model.stages[1].numClasses == 2
     scored = CL.score_transactions(model, feats)
     assert scored.count() == 7 and scored.where("predicted_category IS NULL").count() == 0
+
+
+def test_frequent_words_equal_the_full_count(spark):
+    """Ties at the n-th place, a hot word, and a flat distribution that the sketch cannot judge."""
+    from ledger_spark.operators import text as TX
+
+    many = [("hot " * 400 + " ".join(f"w{i % 40}" for i in range(2000)) + f" once{k}") for k in range(30)]
+    flat = [" ".join(f"f{k}x{i}" for i in range(300)) for k in range(20)]
+    for texts in (many, flat, [], ["one two two"]):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, description string")
+        tokens = TX.tokenize(df)
+        for n in (1, 25, 80):
+            want = [tuple(r) for r in TX.vocabulary(tokens, n).collect()]
+            assert [tuple(r) for r in TX.frequent_words(tokens, n, tracked=256).collect()] == want
+
+
+def test_only_candidates_are_shuffled(spark):
+    from ledger_spark.operators import text as TX
+
+    df = spark.createDataFrame([(k, "hot warm " * 50 + " ".join(f"r{k}x{i}" for i in range(400))) for k in range(40)],
+                               "id long, description string")
+    tokens = TX.tokenize(df)
+    best = TX.frequent_words(tokens, 2, tracked=512)
+    assert [r.word for r in best.collect()] == ["hot", "warm"] and TX.sure_count(20_000, 512) < 2000
+    scanned = spark.read.parquet(best.inputFiles()[0].rsplit("/", 1)[0])
+    assert scanned.count() <= 512 < tokens.select("word").distinct().count()
+
+
+def test_score_equations_hold_and_the_coefficients_score_in_sql(spark):
+    """At the optimum every equation balances; another point's equations do not; and the
+    stored coefficients, applied in DuckDB, give MLlib's labels."""
+    import duckdb
+    from pyspark.ml.functions import vector_to_array
+
+    docs = TB.labelled_documents(spark, SF_SMALL)
+    vocab = ["de", "la", "the", "und"]
+    names = FE.feature_names(vocab)
+    rows = FE.build_features(docs, vocab).select("id", "category", "features")
+    model = CL.logistic_regression_fit(rows)
+    e = CL.score_equations(model, rows, names).collect()
+    assert len(e) == len(CL.lr_labels(model)) * (len(names) + 1) and max(abs(r.residual) for r in e) < 1e-4
+    early = CL.logistic_regression_fit(rows, max_iter=2)
+    assert max(abs(r.residual) for r in CL.score_equations(early, rows, names).collect()) > 1e-3
+    lr, labels = model.stages[1], CL.lr_labels(model)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE x (id BIGINT, f DOUBLE[])")
+    con.executemany("INSERT INTO x VALUES (?, ?)", [(r.id, r.f) for r in rows.select("id", vector_to_array("features").alias("f")).collect()])
+    con.execute("CREATE TABLE c (label VARCHAR, b DOUBLE, w DOUBLE[])")
+    con.executemany("INSERT INTO c VALUES (?, ?, ?)", [(y, float(lr.interceptVector[k]), lr.coefficientMatrix.toArray()[k].tolist())
+                                                       for k, y in enumerate(labels)])
+    want = dict(con.execute("SELECT id, arg_max(label, b + list_dot_product(f, w)) FROM x, c GROUP BY id").fetchall())
+    assert {r.id: r.pred_lr for r in CL.lr_predict(model, rows).collect()} == want
+
+
+def test_a_stored_model_suggests_what_the_fitted_one_does(spark, cats, tmp_path):
+    docs = TB.labelled_documents(spark, SF_SMALL)
+    vocab = ["de", "la", "the", "und"]
+    model = CL.logistic_regression_fit(FE.build_features(docs, vocab))
+    path = str(tmp_path / "model")
+    CL.save_model(spark, path, model, vocab)
+    loaded, words = CL.load_model(spark, path)
+    assert words == vocab
+    new = docs.select("id", "description", "amount")
+    both = [sorted(tuple(r) for r in CL.suggest_category(m, new, vocab, cats).collect()) for m in (model, loaded)]
+    assert both[0] == both[1] and len(both[0]) > 100
+    CL.save_model(spark, path, CL.logistic_regression_fit(FE.build_features(docs, ["x"])), ["x"])  # replaced
+    assert CL.load_model(spark, path)[1] == ["x"]
+
+
+def test_stacked_counts_agree_with_each_attempt_alone(spark):
+    rows = [(i, "ab"[i % 2], "aab"[i % 3], "ba"[i % 2], "test" if i % 4 else "train") for i in range(60)] + [(99, None, "a", None, "test")]
+    df = spark.createDataFrame(rows, "id long, category string, p1 string, p2 string, split string")
+    test = F.col("split") == "test"
+    counts = EV.stacked_counts(df, [("one", "all", "p1", None), ("two", "test", "p2", test)])
+    got = {r.attempt: r.accuracy for r in EV.compare_attempts(counts).collect()}
+    for name, pred, rows_of in (("one", "p1", df), ("two", "p2", df.where(test))):
+        assert got[name] == round(100 * EV.accuracy(rows_of, pred).first().accuracy, 1)
+        mine = EV.evaluate_counts(counts.where(F.col("attempt") == name), ["a", "b"])
+        alone = EV.evaluate(rows_of, pred, ["a", "b"])
+        for part in ("confusion", "per_class", "overall"):
+            assert sorted(map(str, mine[part].collect())) == sorted(map(str, alone[part].collect()))

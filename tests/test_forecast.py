@@ -154,3 +154,53 @@ def test_seasonal_matches_brute_force(spark):
     assert math.isclose(r.sse, sse, rel_tol=1e-9)
     assert np.allclose(r.forecast, fc, rtol=1e-9)
     assert math.isclose(r.resid_sd, float(np.std(res, ddof=1)), rel_tol=1e-9)
+
+
+def _many(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(12):
+        n, t = int(rng.integers(24, 60)), None
+        t = np.arange(n)
+        ys = 200 + np.cumsum(rng.normal(0, 2, n)) + 15 * np.sin(2 * np.pi * t / 12) * (i % 2) + rng.normal(0, 3, n)
+        rows.append((f"s{i}", [float(v) for v in ys], n))
+    rows += [("flat", [5.0] * 30, 30), ("line", [float(v) for v in range(30)], 30), ("short", [1.0, 2.0], 2)]
+    return spark.createDataFrame(rows, "k string, xs array<double>, n int").withColumn("months", F.array().cast("array<date>"))
+
+
+def test_newton_needs_few_folds_and_is_as_good_as_the_grid(spark):
+    s = _many(spark).cache()
+    for fit, names in ((FC.holt_forecast, ["alpha", "beta"]), (FC.holt_winters_seasonal, ["alpha", "beta", "gamma"])):
+        grid = {r.k: r for r in fit(s, 3).collect()}
+        newton = {r.k: r for r in fit(s, 3, search="newton").collect()}
+        better = 0
+        for k, g in grid.items():
+            r = newton[k]
+            if g.sse is None:
+                assert r.sse is None and r.forecast is None
+                continue
+            assert all(0 <= r[c] <= 1 for c in names) and r.sse <= g.sse * 1.05 + 1e-9  # another minimum may win
+            better += r.sse <= g.sse * (1 + 1e-9) + 1e-12
+        assert better >= 0.9 * sum(g.sse is not None for g in grid.values())
+    for p in (2, 3):
+        assert len(FC.STARTS[p][0]) ** p + 1 + FC.STEPS[p] + 1 <= 50
+
+
+def test_newton_gradient_is_that_of_the_sum_of_squares(spark):
+    """The fold's derivatives against differences, with and without a season."""
+    s = _many(spark).where("k = 's1'")
+    xs = s.first().xs
+    for names, skip, start in ((["a", "b"], 2, "named_struct('l', xs[1], 't', xs[1] - xs[0])"),
+                               (["a", "b", "g"], 12, "named_struct('l', 200D, 't', 0.1D, 'q', transform(sequence(1, 12), i -> i - 6.5D))")):
+        parts = FC.newton_parts(names)
+
+        def fold(**at):
+            point = "named_struct(" + ", ".join(f"'{k}', {v!r}D" for k, v in at.items()) + ")"
+            return s.select(F.expr(FC._newton_fold("xs", skip, point, start, parts, names)).alias("f")).first().f
+
+        at = {x: 0.3 + 0.1 * i for i, x in enumerate(names)}
+        here = fold(**at)
+        for x in names:
+            up, down = (fold(**{**at, x: at[x] + d}).sse for d in (1e-5, -1e-5))
+            assert math.isclose((up - down) / 2e-5, 2 * here[f"g_{x}"], rel_tol=1e-4)
+    assert len(xs) > 20

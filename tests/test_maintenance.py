@@ -49,6 +49,23 @@ def test_validate_reasons(spark):
     assert got[3] == {"amount not positive", "duplicate id"}
 
 
+def test_rows_are_judged_once(spark, cats):
+    """One evaluation of the input; the good rows and the rejects read their own files."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    base = tx(spark, [(i, "2024-01-01", "A", "1.00" if i % 3 else "-1.00", "rent") for i in range(30)], cats)
+    good, rejects = MT.validate_transactions(base.mapInPandas(mark, base.schema).where("id IS NOT NULL").coalesce(1), cats)
+    evaluated = seen.value
+    assert good.count() == 20 and rejects.count() == 10 and seen.value == evaluated
+    plan = rejects._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and re.search(r"PartitionFilters: \[[^]]*_good", plan) and "Join" not in plan
+
+
 def test_budget_uniqueness(spark):
     b = spark.createDataFrame([(1, 1, "2024-01", 5.0), (2, 1, "2024-01", 6.0), (3, 2, "24-1", 1.0)],
                               "id long, category_id long, month string, budget_amt double")
@@ -287,3 +304,25 @@ def test_insert_categories_dedups(spark):
     base = MT.seed_categories(spark)
     new = spark.createDataFrame([("zz",), ("zz",), (None,)], "name string")
     assert MT.insert_categories(base, new).count() == 14
+
+
+def test_bounds_on_date_and_amount_skip_pages(spark, cats, tmp_path, monkeypatch):
+    """A leaf's rows lie by size of amount, then date: statistics leave out what a bound excludes."""
+    path = str(tmp_path / "t")
+    monkeypatch.setattr(storage, "ROW_GROUP", 64 << 10)
+    t = spark.range(60_000, numPartitions=4).select(
+        "id", F.expr("date_add(DATE '2024-01-01', CAST(pmod(xxhash64(id), 31) AS INT))").alias("date"), F.lit("D").alias("description"),
+        F.expr("CAST(pow(2, 1 + pmod(xxhash64(id, 7), 12)) AS DECIMAL(12,2))").alias("amount"), F.lit(1).cast("long").alias("category_id"))
+    MT.reload_transactions(t, path)
+
+    def scanned(rows):
+        n = rows.count()
+        df = rows.select("id")
+        df.collect()
+        leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return n, leaf.metrics().apply("numOutputRows").value()
+
+    stored = MT.read_transactions(spark, path)
+    for bound in (F.col("amount") > 3000, F.col("date") == F.lit("2024-01-09").cast("date")):
+        wanted, read = scanned(stored.where(bound))
+        assert 0 < wanted <= read < 30_000
