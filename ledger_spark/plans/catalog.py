@@ -491,12 +491,12 @@ def seasonal_holt_winters(spark, d):
 
 
 def holt_newton_by_category(spark, d):
-    """I2 by Gauss-Newton steps, one series per category; its sum of squares is no worse than the grid's."""
+    """I2 by Gauss-Newton steps, one series per category, and whether its sum of squares is no worse than the grid's."""
     return _newton(_series(spark, d, ["category_id"]), FC.holt_forecast, ["alpha", "beta"])
 
 
 def seasonal_newton_by_category(spark, d):
-    """I8 by Gauss-Newton steps, one series per category; its sum of squares is no worse than the grid's."""
+    """I8 by Gauss-Newton steps, one series per category, and whether its sum of squares is no worse than the grid's."""
     return _newton(_series(spark, d, ["category_id"]), FC.holt_winters_seasonal, ["alpha", "beta", "gamma"])
 
 
@@ -559,21 +559,23 @@ _reg_rec(holt_forecast_by_category, _ser_sql("category_id", "1, 2") + S.holt_cte
          + _FC_SELECT.format(k="k AS category_id, ", z=repr(Z95)))
 
 _NEWTON_SELECT = """
-SELECT k AS category_id, {names}, {steps}, ROUND({first} - {z} * sd, 2) AS lower95, ROUND({first} + {z} * sd, 2) AS upper95,
-       true AS no_worse FROM nfit"""
+SELECT k AS category_id, {names}, {steps}, ROUND({first} - {z} * nfit.sd, 2) AS lower95, ROUND({first} + {z} * nfit.sd, 2) AS upper95,
+       nfit.sse <= grid.sse * (1 + 1e-9) AS no_worse FROM nfit JOIN {grid} AS grid USING (k)"""
 _HOLT_BASE = """,
-hs AS (SELECT k, xs, n, xs[2] AS l0, xs[2] - xs[1] AS t0 FROM ser WHERE n >= 3)"""
+hn AS (SELECT k, xs, n, xs[2] AS l0, xs[2] - xs[1] AS t0 FROM ser WHERE n >= 3)"""
 
 
-def _newton_sql(start: str, base: str, names: dict, season: str) -> str:
-    steps = [f"l + {h} * t{season.format(h=h)}" for h in (1, 2, 3)]
+def _newton_sql(start: str, base: str, grid: str, names: dict, season: str) -> str:
+    """Both searches in SQL: the steps' result, and whether it is no worse than the grid's."""
+    steps = [f"nfit.l + {h} * nfit.t{season.format(h=h)}" for h in (1, 2, 3)]
     return (_ser_sql("category_id", "1, 2") + start + S.newton_ctes(base, list(names)) + _NEWTON_SELECT.format(
-        names=", ".join(f"ROUND({k}, 3) AS {v}" for k, v in names.items()), z=repr(Z95), first=steps[0],
+        names=", ".join(f"ROUND(nfit.{k}, 3) AS {v}" for k, v in names.items()), z=repr(Z95), first=steps[0], grid=grid,
         steps=", ".join(f"ROUND({x}, 2) AS f{h}" for h, x in enumerate(steps, 1))))
 
 
-_reg_rec(holt_newton_by_category, _newton_sql(_HOLT_BASE, "hs", {"a": "alpha", "b": "beta"}, ""))
-_reg_rec(seasonal_newton_by_category, _newton_sql(S.hw_start_ctes("ser"), "ws", {"a": "alpha", "b": "beta", "g": "gamma"}, " + q[{h}]"))
+_reg_rec(holt_newton_by_category, _newton_sql(_HOLT_BASE + S.holt_ctes("ser"), "hn", "hfit", {"a": "alpha", "b": "beta"}, ""))
+_reg_rec(seasonal_newton_by_category, _newton_sql(S.hw_ctes("ser"), "ws", "wfit", {"a": "alpha", "b": "beta", "g": "gamma"},
+                                                   " + nfit.q[{h}]"))
 
 _LM = """,
 lx AS (SELECT k, unnest(xs) AS x, generate_subscripts(xs, 1) AS t, n FROM ser),
