@@ -215,6 +215,7 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, values: np.ndarray):
         self.ids, self.labels, self.values = ids, labels, values
+        self.index = None  # whatever else a caller builds once over the rows
         self.every: Lists | None = None
         self.of_label: dict[int, tuple[np.ndarray, Lists]] = {}
 

@@ -18,9 +18,10 @@ members: this is the proof by which all others stop being looked at. Reading end
 when at most ``RESCORE`` possible members are left, or with the last segment;
 possible members are then scored exactly, so no quantised score reaches a result.
 
-Queries are dealt into blocks, every block meets every shard (a stated query set
-against all rows), a task returns k rows per query, and a window picks the best
-k of all shards. Nothing is broadcast or collected.
+Every query meets every shard (a stated query set against all rows): a shard's
+candidates come to a task first, its index is built once, and the queries stream
+past it. A shard returns k rows per query, and a window picks the best k of all
+shards. Candidates are shuffled once, nothing is broadcast or collected.
 
 Nulls and ties: a vector that is NULL, empty, or holds a NULL or non-finite
 component takes no part, nor does one without an id; vectors are compared with
@@ -35,14 +36,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ledger_spark.llm.hardneg import Shard as Candidates, over_shards
+
 SCALE = 1024
 K = 10
 QUERY_EVERY = 100
 SHARD_ROWS = 8192
-BLOCK_QUERIES = 256
 #: Width of a quantisation level, in units of 1 / SCALE.
 STEP = 64
 #: Tests on the way through all postings.
@@ -112,39 +113,20 @@ class Shard:
         return rows[best], scores[best]
 
 
-def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy().reshape(-1, dims)
-
-
 def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = QUERY_EVERY,
-          k: int = K, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+          k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the best ``k`` for each row whose id ``every`` divides."""
-    rows = usable(vectors, key, vector).withColumn("dims", F.size("v"))
-    asked = rows.filter(F.col("id") % every == 0).groupBy("dims", "id").agg(F.min("v").alias("v"))
-    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q")).first()
-    shards, blocks = max(1, math.ceil(sizes.n / shard_rows)), max(1, math.ceil(sizes.q / block_queries))
-    # the row's position in its file is part of the hash: repeats of one row spread as well
-    candidates = (rows.withColumn("shard", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)))
-                  .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    queries = (asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-               .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))))
-
-    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if mine.num_rows and theirs.num_rows:
-            dims = mine.column("dims")[0].as_py()
-            ids = mine.column("id").to_numpy()
-            shard = Shard(_matrix(mine.column("v"), dims))
-            for own, query in zip(theirs.column("id").to_pylist(), _matrix(theirs.column("v"), dims)):
-                best, scores = shard.top(query, ids != own, ids, k)
-                out[0] += [own] * len(best)
-                out[1] += ids[best].tolist()
-                out[2] += scores.tolist()
-        return pa.table([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
-
-    on = ["dims", "shard", "block"]
-    found = (candidates.groupBy(*on).cogroup(queries.groupBy(*on))
-             .applyInArrow(run, "query_id long, vec_id long, score long"))
+    rows = usable(vectors, key, vector).withColumns({"dims": F.size("v"), "label": F.lit(0)})
+    asked = (rows.filter(F.col("id") % every == 0).groupBy("dims", "id").agg(F.min("v").alias("v"))
+             .withColumns({"label": F.lit(0), "asked": F.lit(None).cast("int")}))
+    shards = max(1, math.ceil(rows.count() / shard_rows))
+
+    def best_of(shard: Candidates, own: int, _: int, query: np.ndarray, __: None) -> list[tuple]:
+        shard.index = shard.index or Shard(shard.values)
+        best, scores = shard.index.top(query, shard.ids != own, shard.ids, k)
+        return [(own, i, s) for i, s in zip(shard.ids[best].tolist(), scores.tolist())]
+
+    found = over_shards(rows, asked, shards, "query_id vec_id score", best_of)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

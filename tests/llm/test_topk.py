@@ -31,7 +31,7 @@ def test_matches_brute_force_over_shards_and_blocks(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(0, 0.2, 16).round(2).tolist(), 0) for i in range(1200)]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert rows_of(topk.top_k(df, every=100, shard_rows=400, block_queries=5)) == brute(rows, 100, 10)
+    assert rows_of(topk.top_k(df, every=100, shard_rows=400)) == brute(rows, 100, 10)
 
 
 def test_nulls_ties_repeats_and_lengths(spark):
