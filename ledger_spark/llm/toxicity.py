@@ -377,8 +377,9 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, lab
             rows = [shared.value.features(t)[0] for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), part.column(1)], ["x", "y"])
 
-    got = (sample.filter("__calibrates").select("__text", "__label")
-           .mapInArrow(measure, "x array<double>, y int").collect())
+    # where keys repeat in the documents there may be more rows than were chosen
+    got = (sample.filter("__calibrates").select("__text", "__label").mapInArrow(measure, "x array<double>, y int")
+           .orderBy(F.xxhash64("x", "y"), "y", "x").limit(2 * SAMPLE_PER_LABEL).collect())
     got.sort(key=lambda r: (r.y, r.x))
     x = np.array([r.x for r in got], float).reshape(len(got), 4)
     y = np.array([r.y for r in got], float)

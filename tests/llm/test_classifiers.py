@@ -182,3 +182,15 @@ def test_a_frequent_language_keeps_its_share_of_the_sample():
     """Rows beyond 2**24 times the sample must not round the cut to nothing."""
     for count in (10, 10 ** 11, 10 ** 15):
         assert 0 < min(language.CUTS, language.CUTS * 800 // count) <= language.CUTS
+
+
+def test_calibration_rows_are_bounded_where_keys_repeat(spark, monkeypatch):
+    """Thirty labelled keys with many rows each: the driver gets the sample's bound, not all rows."""
+    rows = [(k, f"you scum idiot {k} {i}" if k % 2 else f"a calm walk {k} {i}") for k in range(30) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "SAMPLE_PER_LABEL", 30)
+    monkeypatch.setattr(toxicity, "_calibrate", lambda x, y, share: seen.append(len(x)) or np.zeros(5))
+    toxicity.fit(docs, labels)
+    assert seen and seen[0] <= 60 < 300
