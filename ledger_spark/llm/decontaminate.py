@@ -23,7 +23,9 @@ Nulls and ties: a NULL or empty text holds nothing. An item that is NULL, or has
 fewer than ``Q`` normalised characters, has no q-gram and is never found. Items
 are found independently of each other; of several regions of one item in one text
 the one with the fewest edits counts, of equal ones the first. Repeated rows (of
-documents or benchmark) are reported once each.
+documents or benchmark) are reported once each. Empty tables give an empty result;
+without items every document stays. :func:`matches` ignores extra columns,
+:func:`drop_contaminated` keeps them, whatever their names.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@
 Nulls and ties: a NULL or empty html has the text "". A NULL url, or one without a
 host, belongs to the host "". Repeated rows are extracted once each. Markup that
 nothing closes ends with its parent; an open script, style or comment swallows the
-rest of the page. Unknown character references stay as they are.
+rest of the page. Unknown character references stay as they are. Pages are read
+whole, however long. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

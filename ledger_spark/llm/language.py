@@ -14,7 +14,8 @@ and whole texts.
 Nulls and ties: a NULL text, or one without a letter, is ``und`` with score 0;
 so is everything when no language was learned. Equal votes go to the larger sum
 of margins, then to the language first in alphabetical order. Repeated rows are
-predicted alike.
+predicted alike. An empty table gives an empty result. Columns of the input are kept,
+but ``lang_pred`` and ``score`` are replaced.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Nulls and ties: a NULL or empty text has no direction and gets the sample's
 share of label 1, as does every text when nothing is labelled 0 or 1 (0.5 when
 no row is labelled at all). Equal similarities keep the labelled row of the
 smaller key hash. Repeated rows score alike; a key labelled twice counts as
-often as it is labelled.
+often as it is labelled. An empty table gives an empty result. Columns of the input
+are kept, but the score's own is replaced; :func:`keep_good` takes a free name for it.
 """
 
 from __future__ import annotations

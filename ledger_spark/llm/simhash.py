@@ -15,7 +15,9 @@
 
 Nulls and ties: a NULL or blank text has fingerprint zero and is linked like any
 other; a NULL ``doc_id`` is kept and never becomes a component id unless its
-whole component has none (then NULL). Repeated rows keep one result row each.
+whole component has none (then NULL). Repeated rows keep one result row each. Texts are
+read whole, however long. An empty table gives an empty result. :func:`near_duplicates`
+ignores extra columns, :func:`keep_one` keeps them, whatever their names.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ component takes no part, nor does one without an id; vectors are compared with
 those of the same length only. Equal scores rank by the smaller id. A repeated id
 is as many candidates as it has rows; as a query it counts once, with its
 smallest vector; no row with the query's own id is its candidate. A query without
-candidates has no rows.
+candidates has no rows. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

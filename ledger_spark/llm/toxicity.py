@@ -22,7 +22,9 @@ hit, the best window of ``WINDOW`` words, the total and the density make the sco
 Nulls and ties: NULL, empty and wordless texts score as texts without a hit.
 Repeated rows score alike. Without labelled rows of both kinds the lexicon is
 empty, and every text gets the share of label 1 (0 without any label). An entry
-reached in several ways counts once per word, with its greatest weight.
+reached in several ways counts once per word, with its greatest weight. Texts are read
+whole, however long. An empty table gives an empty result. Columns of the input are
+kept, but ``score`` and ``hits`` are replaced.
 """
 
 from __future__ import annotations
