@@ -173,15 +173,14 @@ def test_newton_needs_few_folds_and_is_as_good_as_the_grid(spark):
     for fit, names in ((FC.holt_forecast, ["alpha", "beta"]), (FC.holt_winters_seasonal, ["alpha", "beta", "gamma"])):
         grid = {r.k: r for r in fit(s, 3).collect()}
         newton = {r.k: r for r in fit(s, 3, search="newton").collect()}
-        better = 0
         for k, g in grid.items():
             r = newton[k]
             if g.sse is None:
                 assert r.sse is None and r.forecast is None
                 continue
-            assert all(0 <= r[c] <= 1 for c in names) and r.sse <= g.sse * 1.05 + 1e-9  # another minimum may win
-            better += r.sse <= g.sse * (1 + 1e-9) + 1e-12
-        assert better >= 0.9 * sum(g.sse is not None for g in grid.values())
+            # a season over less than three years has several minima, and another may win
+            slack = 0.05 if "gamma" in names and g.n < 36 else 1e-9
+            assert all(0 <= r[c] <= 1 for c in names) and r.sse <= g.sse * (1 + slack) + 1e-9, k
     for p in (2, 3):
         assert len(FC.STARTS[p][0]) ** p + 1 + FC.STEPS[p] + 1 <= 50
 
