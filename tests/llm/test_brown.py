@@ -92,3 +92,83 @@ def test_held_out_rows_score_better_than_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = brown.score_held_out(docs).filter("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
     assert got.s > got.b
+
+
+def _learned(spark, texts, head=40, clustered=4, k=3):
+    learn = spark.createDataFrame([(t,) for t in texts], "text string")
+    model, vocab = brown.fit(learn, head, clustered, k)
+    cls = {r.word.encode(): r.cls for r in vocab.collect()}
+    seeds = model.word[:clustered]
+    return model, {**cls, **dict(zip(seeds, model.classes[1:]))}, [w for w in cls if w not in seeds]
+
+
+CONTEXTS = [f"the {w} is a w{i}x of {v}ing, the q{i % 3}" for i in range(40)
+            for w, v in ((f"cat{'abcdefgh'[i % 8]}", "run"),)] + ["is ruby a the garnet of is a", None, " "]
+
+
+@pytest.mark.parametrize("head", [4, 9, 1000])
+def test_every_training_word_is_in_the_class_of_its_greatest_gain(spark, head):
+    """Words beyond the seeds, by whichever way they come, against contexts counted in plain Python."""
+    clustered, k = 4, 3
+    model, cls, tail = _learned(spark, CONTEXTS, head)
+    count, words = Counter(), [[b"", *(t or "").encode().lower().split(), b""] for t in CONTEXTS]
+    count.update(w for text in words for w in text[1:])
+    assert set(cls) == set(count) - {b""}
+    seeds = sorted((w for w in count if w), key=lambda w: (-count[w], w))[:clustered]
+    assert seeds == model.word[:clustered]
+    start = {b"": 0, **{w: cls[w] for w in seeds}}
+    start.update({w: 1 + k + brown.open_class(w) for w in tail})
+    table, final = np.zeros((1 + k + brown.OPEN,) * 2), np.zeros((1 + k + brown.OPEN,) * 2)
+    near = {w: np.zeros(2 * len(table)) for w in tail}
+    for text in words:
+        for a, b in zip(text, text[1:]):
+            table[start[a], start[b]] += 1
+            final[{b"": 0, **cls}[a], {b"": 0, **cls}[b]] += 1
+            if b in near:
+                near[b][start[a]] += 1
+            if a in near:
+                near[a][len(table) + start[b]] += 1
+    gain = brown.gains(table)
+    assert {w: 1 + int(np.argmax(near[w] @ gain)) for w in tail} == {w: cls[w] for w in tail}
+    assert np.allclose(model.steps[:len(final), :len(final)], brown.transitions(final))
+
+
+def test_rare_words_of_one_spelling_part_by_their_neighbours(spark):
+    texts = ["red bib to", "to did red"] * 30
+    texts += [f"red {x}{y}b to" for x in "abcdefgh" for y in "xyz"] + [f"to {x}{y}d red" for x in "abcdefgh" for y in "xyz"]
+    _, cls, tail = _learned(spark, texts, clustered=4, k=4)
+    assert len({brown.open_class(w) for w in tail}) == 1 and len(tail) == 48
+    assert {cls[w] for w in tail if w.endswith(b"b")} == {cls[b"bib"]}
+    assert {cls[w] for w in tail if w.endswith(b"d")} == {cls[b"did"]} != {cls[b"bib"]}
+
+
+def test_what_follows_any_word_sums_to_one(spark):
+    """All training words, the end mark and one unseen word per spelling, after every class and spelling."""
+    model, cls, tail = _learned(spark, CONTEXTS, head=9)
+    count = Counter(w for t in CONTEXTS for w in (t or "").encode().lower().split())
+    emit = {w: model.emit[model.word.index(w) + 1] if w in model.word
+            else math.log10(count[w]) + model.share[cls[w], brown.open_class(w)] for w in count}
+    for row in model.steps:
+        seen = sum(10 ** (row[cls[w]] + emit[w]) for w in count)
+        assert seen + 10 ** row[0] + (10 ** row[model.k:]).sum() == pytest.approx(1)
+
+
+def test_score_is_the_sum_of_its_steps(spark):
+    model, cls, _ = _learned(spark, CONTEXTS, head=9)
+    learn = spark.createDataFrame([(t,) for t in CONTEXTS], "text string")
+    _, vocab = brown.fit(learn, 9, 4, 3)
+    count = Counter(w for t in CONTEXTS for w in (t or "").encode().lower().split())
+    texts = ["the cata is a w1x new words, 77 w2x", "", "unseen", "garnet ruby w3x w4x of", CONTEXTS[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in brown.score(docs, model, vocab).collect()}
+    for i, text in enumerate(texts):
+        at, total = 0, 0.0
+        for w in [*text.encode().lower().split(), b""]:
+            c = 0 if not w else cls.get(w, model.k + brown.open_class(w))
+            total += model.steps[at, c]
+            if w in model.word:
+                total += model.emit[model.word.index(w) + 1]
+            elif w in cls:
+                total += math.log10(count[w]) + model.share[c, brown.open_class(w)]
+            at = c
+        assert got[i] == pytest.approx(total, abs=1e-9)
