@@ -1034,11 +1034,13 @@ _reg(loess_by_category, _ser_sql("category_id", "1, 2") + _loess_sql("", "k AS c
 
 
 def _raw_stream(spark, d):
-    """The feed as a file stream. Orders and customers are joined before the
-    stream, where AQE splits a hot customer; a streaming join would not."""
+    """The feed as a file stream of a few micro-batches, however many its files. Orders and
+    customers are joined before the stream, where AQE splits a hot customer; a streaming
+    join would not."""
     landed = LV.work_dir(spark, "feed")
     TB.raw_feed(spark, d).write.parquet(landed)
-    return LV.read_stream(spark, landed, spark.read.parquet(landed).schema, max_files_per_trigger=1)
+    feed = spark.read.parquet(landed)
+    return LV.read_stream(spark, landed, feed.schema, max_files_per_trigger=LV.files_per_batch(len(feed.inputFiles())))
 
 
 def stream_clean(spark, d):

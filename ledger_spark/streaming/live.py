@@ -33,6 +33,10 @@ from ledger_spark.session import checkpoint_dir, materialize, scratch_dir
 from ledger_spark.sources import storage
 
 
+#: Micro-batches in which a backlog of files is drained (see :func:`files_per_batch`).
+BATCHES = 4
+
+
 def stream_path(spark: SparkSession, path: str) -> str:
     """File stream sources need a directory or a glob; a single file is turned
     into an equivalent one-file glob."""
@@ -51,6 +55,13 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     return r.load(stream_path(spark, path))
 
 
+def files_per_batch(files: int, batches: int = BATCHES) -> int:
+    """``max_files_per_trigger`` with which so many files drain in at most ``batches``
+    micro-batches: each costs the start of a job and the commits of its state, whatever its
+    size, so that a backlog in batches of a fixed size costs more than its rows."""
+    return max(1, -(-files // batches))
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one query's output and checkpoint, inside this
     application's scratch folder (see :func:`ledger_spark.session.clear_scratch`)."""

@@ -228,3 +228,29 @@ def test_marks_of_deleted_ids_can_be_dropped(spark, tmp_path):
     assert sorted((r.id, r._deleted) for r in rows.collect()) == [(2, False), (3, True)]
     _apply(spark, table, [(3, FEB, 3.5, 8, "update")])  # older than its mark, which is kept
     assert [x[0] for x in _live(spark, table)] == [2]
+
+
+@pytest.mark.parametrize("query", ["stream_monthly_kpis_update", "stream_monthly_kpis", "stream_clean"])
+def test_a_feed_of_many_files_drains_in_few_batches(spark, tmp_path, monkeypatch, query):
+    """Each micro-batch has a fixed cost; all rows count, in whichever batch they come."""
+    from ledger_spark.plans import catalog
+
+    day, price = datetime.date(2024, 5, 1), decimal.Decimal("10.00")
+    for i in range(9):
+        rows = [(10 * i + j, 1 + j % 2, day, price) for j in range(10)]
+        (spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice decimal(12,2)")
+         .coalesce(1).write.mode("append").parquet(f"{tmp_path}/orders.parquet"))
+    (spark.createDataFrame([(1, "a", "BUILDING"), (2, "b", "MACHINERY")], "c_custkey long, c_name string, c_mktsegment string")
+     .coalesce(1).write.parquet(f"{tmp_path}/customer.parquet"))
+    seen, run = [], LV.run
+    monkeypatch.setattr(LV, "run", lambda *a, **k: seen.append(run(*a, **k)) or seen[-1])
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # a file of the feed per input file
+    try:
+        got = getattr(catalog, query)(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    assert len(got) == 90 if query == "stream_clean" else sorted((r.category, r.n, r.total) for r in got) == [
+        ("building", 45, 450.0), ("machinery", 45, 450.0)]
+    batches = [p for p in seen[0].recentProgress if p["numInputRows"]]
+    assert 1 < len(batches) <= LV.BATCHES
