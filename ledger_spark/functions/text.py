@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,5 +55,15 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 def tokens(c) -> Column:
     """H1 as an array column (no explode needed for presence features)."""
-    parts = F.split(F.lower(_c(c)), TOKEN_SPLIT)
-    return F.filter(parts, lambda t: (t != F.lit("")) & ~t.rlike("^[0-9]+$"))
+    # only what starts below ":", the character after "9", can be empty or all digits
+    return F.filter(_parts(c), lambda t: (t >= ":") | ((t != F.lit("")) & ~t.rlike("^[0-9]+$")))
+
+
+def tokens_among(c, words: list[str]) -> Column:
+    """The tokens of :func:`tokens` that are one of ``words``, by one set look-up each."""
+    held = [w for w in words if not re.fullmatch("[0-9]*", w)]
+    return F.filter(_parts(c), lambda t: t.isin(held))
+
+
+def _parts(c) -> Column:
+    return F.split(F.lower(_c(c)), TOKEN_SPLIT)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledger_spark.functions.text import tokens as token_array
+from ledger_spark.functions.text import tokens_among
 from ledger_spark.schema import VOCAB_SIZE
 from ledger_spark.session import materialize
 
@@ -101,10 +102,11 @@ def document_term_matrix(df: DataFrame, vocab: list[str], id_col: str = "id",
 def bag_of_words(df: DataFrame, vocab: list[str], text_col: str = "description",
                  out_col: str = "bow", words_col: str | None = None):
     """H3: binary presence as a sparse vector (MLlib ``CountVectorizerModel``), of the
-    text's tokens or of an array of words that is there already."""
+    text's tokens (those outside the vocabulary never reach it) or of an array of words
+    that is there already."""
     from pyspark.ml.feature import CountVectorizerModel
 
     cv = CountVectorizerModel.from_vocabulary(vocab, inputCol=words_col or "_tok", outputCol=out_col, binary=True)
     if words_col:
         return cv.transform(df)
-    return cv.transform(df.withColumn("_tok", token_array(text_col))).drop("_tok")
+    return cv.transform(df.withColumn("_tok", tokens_among(text_col, vocab))).drop("_tok")

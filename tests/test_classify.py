@@ -200,3 +200,27 @@ def test_stacked_counts_agree_with_each_attempt_alone(spark):
         alone = EV.evaluate(rows_of, pred, ["a", "b"])
         for part in ("confusion", "per_class", "overall"):
             assert sorted(map(str, mine[part].collect())) == sorted(map(str, alone[part].collect()))
+
+
+def test_only_vocabulary_words_reach_the_vectors_and_all_tokens_stay_right(spark):
+    """Tokens are tested for digits only where they may be digits; vectors take one look-up a token."""
+    from ledger_spark.functions.text import tokens, tokens_among
+
+    texts = ["12 a1 1a 007 x  Z9", "", "...", "٣٤ é9 9é Ünï 5", "0", "9z :;<=> 99", "a 12 a 1a 1a", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    words = ["a", "1a", "é9", "12", "missing", ""]
+    got = df.select("id", tokens("t").alias("all"), tokens_among("t", words).alias("some")).orderBy("id").collect()
+    import re
+
+    for r, text in zip(got, texts):
+        if text is None:
+            assert r["all"] is None and r["some"] is None
+            continue
+        want = [w for w in re.split(r"[\W_]+", text.lower()) if w and not re.fullmatch("[0-9]+", w)]
+        assert r["all"] == want
+        assert r["some"] == [w for w in want if w in words]
+    from ledger_spark.operators.text import bag_of_words
+
+    bags = bag_of_words(df.where("t IS NOT NULL"), ["a", "1a", "12"], "t").select("id", "bow").collect()
+    assert {r.id: r.bow.toArray().tolist() for r in bags if r.bow.numNonzeros()} == {0: [0, 1, 0], 6: [1, 1, 0]}
+    assert "_tok" not in bag_of_words(df, ["a"], "t").columns
