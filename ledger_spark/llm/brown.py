@@ -135,9 +135,45 @@ class Lexicon:
         return np.concatenate([seeds, after + self.open[1 + self.seeds:]])
 
 
+def packed(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Numbers of texts (of text i, those between ``ends`` i and i + 1) as bytes, seven bits
+    in each, the lowest first, and a top bit where more follow. Words of low number are
+    frequent: most numbers take one byte, where an int takes four in a shuffle."""
+    size = 1 + sum((numbers >= 1 << bits).astype(np.int64) for bits in (7, 14, 21, 28))
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(at[-1], np.uint8)
+    for i in range(int(size.max(initial=0))):
+        has = np.flatnonzero(size > i)
+        out[at[has] + i] = numbers[has] >> 7 * i & 127 | (size[has] > i + 1) << 7
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at[ends].astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, how many are of each text) of :func:`packed` texts."""
+    data, ends = _bytes(texts)
+    last = data < 128
+    stops = np.flatnonzero(last) + 1
+    starts = np.concatenate([[0], stops[:-1]])[:len(stops)]
+    size, low = stops - starts, data & 127
+    numbers = low[starts].astype(np.int64)
+    for i in range(1, int(size.max(initial=0))):
+        has = np.flatnonzero(size > i)
+        numbers[has] |= low[starts[has] + i].astype(np.int64) << 7 * i
+    return numbers, np.diff(np.concatenate([[0], np.cumsum(last)])[ends])
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all values, ends: value i lies between the i-th and the next) of a binary column without nulls."""
+    column = column.cast(pa.binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[ends[0]:ends[-1]], ends - ends[0]
+
+
 def coded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs(text, ...)`` with a number ``row``, the numbers ``ids`` of the text's words,
-    and ``rest``, those words, in order, that the head lacks."""
+    """``docs(text, ...)`` with a number ``row``, the :func:`packed` numbers ``ids`` of the
+    text's words, and ``rest``, those words, in order, that the head lacks."""
     shared = docs.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.first))
     kept = [f for f in docs.schema.fields if f.name != "text"]
 
@@ -152,15 +188,14 @@ def coded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 ends.append(ends[-1] + len(words))
                 rest += [words[i] for i in np.flatnonzero(ids[-1] >= first).tolist()]
                 rest_ends.append(len(rest))
-            flat = pa.array(np.concatenate(ids).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[1:], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
+                [*part.columns[1:], packed(np.concatenate(ids), np.array(ends)),
                  pa.ListArray.from_arrays(pa.array(rest_ends, pa.int32()), pa.array(rest, pa.binary()).cast(pa.string()))],
                 [*(f.name for f in kept), "row", "ids", "rest"])
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept)
     return written(docs.select("text", *(f.name for f in kept), F.monotonically_increasing_id().alias("row"))
-                   .mapInArrow(run, kinds + "row long, ids array<int>, rest array<string>"), "brown-coded")
+                   .mapInArrow(run, kinds + "row long, ids binary, rest array<string>"), "brown-coded")
 
 
 def _sizes(lists: pa.Array) -> np.ndarray:
@@ -218,8 +253,7 @@ def transition_table(rows: DataFrame, classes: np.ndarray, first: int, k: int) -
 def _words(part: pa.RecordBatch, classes: np.ndarray, first: int):
     """(numbers, sizes of texts, classes, places of words that are known but not in the
     head, their counts) of a batch with ``ids`` and, once placed, ``slots``, ``cls`` and ``counts``."""
-    lists = part.column(part.schema.get_field_index("ids"))
-    ids, sizes = lists.flatten().to_numpy(zero_copy_only=False), _sizes(lists)
+    ids, sizes = unpacked(part.column(part.schema.get_field_index("ids")))
     cls = classes[ids]
     if "slots" not in part.schema.names:
         return ids, sizes, cls, np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -234,16 +268,16 @@ def _words(part: pa.RecordBatch, classes: np.ndarray, first: int):
 
 
 def contexts(rows: DataFrame, lexicon: Lexicon, classes: np.ndarray, k: int) -> DataFrame:
-    """(word, id, open, near) of the words beyond the seeds in ``rows(ids, rest)``: ``near``
-    holds numbers c + 2kn for n times class c before the word (c below k) or after it (k
-    more). ``id`` is the word's number in the head, or -1. A word has several rows."""
+    """(word, id, near) of the words beyond the seeds in ``rows(ids, rest)``: ``near`` holds
+    numbers c + 2kn for n times class c before the word (c below k) or after it (k more),
+    four bytes each. ``id`` is the word's number. A word has several rows."""
     shared = rows.sparkSession.sparkContext.broadcast((lexicon, classes))
     width = 2 * k
 
-    def out(words, ids, opens, near, ends) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [words, pa.array(ids, pa.int32()), pa.array(opens, pa.int32()),
-             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(near, pa.int32()))], ["word", "id", "open", "near"])
+    def out(words, ids, near, ends) -> pa.RecordBatch:
+        near = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((4 * ends).astype(np.int32)),
+                                                               pa.py_buffer(near.astype(np.int32))])
+        return pa.RecordBatch.from_arrays([words, pa.array(ids, pa.int32()), near], ["word", "id", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, cls = shared.value
@@ -258,8 +292,8 @@ def contexts(rows: DataFrame, lexicon: Lexicon, classes: np.ndarray, k: int) ->
             counts.add(np.concatenate([(own[head] - start) * width + before[head], (own[head] - start) * width + k + after[head]]))
             rest = np.flatnonzero(own >= lex.first)
             near = np.stack([before[rest] + width, after[rest] + k + width], axis=1).ravel()
-            yield out(part.column(part.schema.get_field_index("rest")).flatten(), np.full(len(rest), -1),
-                      own[rest] - lex.first, near, 2 * np.arange(len(rest) + 1))
+            yield out(part.column(part.schema.get_field_index("rest")).flatten(), own[rest], near,
+                      2 * np.arange(len(rest) + 1))
         table = counts.close().reshape(-1, width)
         at = 0
         while at < len(table):
@@ -271,10 +305,10 @@ def contexts(rows: DataFrame, lexicon: Lexicon, classes: np.ndarray, k: int) ->
             table[at:at + 4096] -= block
             have, sizes = np.unique(word, return_counts=True)
             ids = start + at + have
-            yield out(pa.array([lex.words[i - 1] for i in ids], pa.binary()).cast(pa.string()), ids, lex.open[ids],
+            yield out(pa.array([lex.words[i - 1] for i in ids], pa.binary()).cast(pa.string()), ids,
                       block[word, c] * width + c, np.concatenate([[0], np.cumsum(sizes)]))
 
-    return rows.select("ids", "rest").mapInArrow(run, "word string, id int, open int, near array<int>")
+    return rows.select("ids", "rest").mapInArrow(run, "word string, id int, near binary")
 
 
 def gains(table: np.ndarray) -> np.ndarray:
@@ -291,25 +325,27 @@ def assigned(rows: DataFrame, lexicon: Lexicon, classes: np.ndarray, table: np.n
     """(word, id, n, open, cls) of every word beyond the seeds in ``rows(ids, rest)``: its
     number in the head (or -1), count, spelling and class of greatest gain."""
     k = len(table)
-    width, gain = 2 * k, gains(table)
+    width, gain, first, spelling = 2 * k, gains(table), lexicon.first, lexicon.open
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(words, ids, opens, counts) -> pa.RecordBatch:
+        def out(words, ids, counts) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [words, ids, pa.array(counts[:, :k].sum(axis=1).astype(np.int64)), opens,
+                [words, pa.array(np.where(ids < first, ids, -1), pa.int32()),
+                 pa.array(counts[:, :k].sum(axis=1).astype(np.int64)), pa.array(spelling[ids], pa.int32()),
                  pa.array(1 + np.argmax(counts @ gain, axis=1), pa.int32())], ["word", "id", "n", "open", "cls"])
 
         last = None  # the last word of a batch may go on in the next one
         for part in slices(batches, 8192):
             words = part.column(0)
             new = np.flatnonzero(np.append(True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)))
-            group = np.repeat(np.searchsorted(new, np.arange(len(words)), "right") - 1, _sizes(part.column(3)))
-            near = part.column(3).flatten().to_numpy(zero_copy_only=False)
+            near, ends = _bytes(part.column(2))
+            group = np.repeat(np.searchsorted(new, np.arange(len(words)), "right") - 1, np.diff(ends) // 4)
+            near = np.frombuffer(near.tobytes(), np.int32)
             counts = np.bincount(group * width + near % width, near // width, len(new) * width).reshape(-1, width)
-            firsts = [part.column(i).take(pa.array(new)) for i in range(3)]
+            firsts = words.take(pa.array(new)), part.column(1).to_numpy()[new]
             if last is not None:
                 if last[0][0].as_py() == firsts[0][0].as_py():
-                    counts[0] += last[3][0]
+                    counts[0] += last[2][0]
                 else:
                     yield out(*last)
             yield out(*(x[:-1] for x in firsts), counts[:-1])
@@ -330,8 +366,9 @@ def placed(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     in ``rest``, the class and the count of each word that the vocabulary holds."""
     rest = rows.select("row", F.posexplode("rest").alias("slot", "word"))
     beyond = vocab.filter("id < 0").select("word", "cls", F.col("n").alias("count"))
-    # three lists of numbers take less than half the room of one of structs
-    known = rest.join(beyond, "word").groupBy("row").agg(
+    # shuffled before anything is gathered: a task holds few words of a row, and lists of few
+    # numbers are wider than the numbers; three lists take less than half the room of one of structs
+    known = rest.join(beyond, "word").select("row", "slot", "cls", "count").repartition("row").groupBy("row").agg(
         *[F.collect_list(one).alias(name) for one, name in zip(("slot", "cls", "count"), PLACED)])
     return written(rows.drop("rest").join(known, "row", "left").drop("row"), "brown-rows")
 

@@ -172,3 +172,20 @@ def test_score_is_the_sum_of_its_steps(spark):
                 total += math.log10(count[w]) + model.share[c, brown.open_class(w)]
             at = c
         assert got[i] == pytest.approx(total, abs=1e-9)
+
+
+def test_numbers_of_texts_are_shuffled_as_bytes(spark):
+    """Frequent words take one byte, and a word beyond the head eight for its neighbours."""
+    numbers = np.array([0, 1, 127, 128, 16383, 16384, 2097151, 2097152, 2**28 - 1, 2**28, 2**31 - 1, 5])
+    texts = brown.packed(numbers, np.array([0, 0, 3, 3, 11, 12, 12]))
+    assert [len(x.as_py()) for x in texts] == [0, 3, 0, 2 + 2 + 3 + 3 + 4 + 4 + 5 + 5, 1, 0]
+    for at in range(len(texts) + 1):
+        got, sizes = brown.unpacked(texts.slice(at))
+        assert sizes.tolist() == [0, 3, 0, 8, 1, 0][at:] and got.tolist() == numbers[len(numbers) - sum(sizes):].tolist()
+    assert [x.tolist() for x in brown.unpacked(brown.packed(numbers[:0], np.array([0, 0])))] == [[], [0]]
+    docs = spark.createDataFrame([("aa bb aa cc aa dd",), (None,)], "text string")
+    lexicon = brown.Lexicon([(b"aa", 3), (b"bb", 1)], 1, 2)
+    rows = brown.coded(docs, lexicon)
+    assert sorted((bytes(r.ids), r.rest) for r in rows.collect()) == [(b"", []), (b"\x01\x02\x01\x03\x01\x03", ["cc", "dd"])]
+    near = brown.contexts(rows, lexicon, np.arange(3 + brown.OPEN), 3 + brown.OPEN).collect()
+    assert {r.word: (r.id, len(r.near)) for r in near} == {"bb": (2, 8), "cc": (3, 8), "dd": (3, 8)}
