@@ -18,8 +18,8 @@ read; all others are joined by a shuffle, in which no key holds more than one in
 
 Pre-tokens are what the tokenizer's own normaliser and pre-tokenizer give. Where
 the tokenizer drops white space (``Cutter`` asks it), texts are first cut at ASCII
-white space and each distinct word of a batch is cut once; words of Latin letters
-and printable ASCII need no call if the tokenizer is seen to lower-case them and to
+white space and each distinct word is cut once while it is remembered, with the sum of
+what the workers know of it; words of Latin letters and printable ASCII need no call if the tokenizer is seen to lower-case them and to
 cut them into contractions, letters, digits and rest. Strings of special tokens are one token each, as the library's
 default has it.
 
@@ -83,6 +83,9 @@ class Cutter:
         probes = ["Abc", "x1y22", "don't", "IT'S", "a_b-C", "''s", "'St", "we'll!", "((9))", "~'re'd", *map(chr, range(33, 127)),
                   *(f"b{c}d" for c in letters), *(f"1{c}'{c}s" for c in letters)]
         self.knows_simple = self.by_word and all(self._own(w) == list(self._simple(w)) for w in probes)
+        # of ASCII letters, alone or before one other such character, if no special string is of that form
+        self.knows_letters = (self.knows_simple and {*range(65, 91), *range(97, 123)} <= self.shown.keys()
+                              and not any(re.fullmatch("[A-Za-z]*[!-~]?", s) for s in strings))
         self.words: dict[bytes, tuple[int, tuple[str, ...]]] = {}
 
     def _own(self, text: str) -> list[str]:
@@ -106,17 +109,26 @@ class Cutter:
         """As :meth:`cut`, for a word without ASCII white space; remembered."""
         found = self.words.get(word)
         if found is None:
-            text = word.decode("utf-8")
-            if self.knows_simple and self.simple.fullmatch(text) and not (self.special and self.special.search(text)):
-                found = 0, self._simple(text)
-            else:
-                n, parts = self.cut(text)
-                found = n, tuple(parts)
+            found = self.cut_word(word)
             if len(self.words) >= HELD:
                 self.words.clear()
             self.words[word] = found
         return found
 
+    def cut_word(self, word: bytes) -> tuple[int, tuple[str, ...]]:
+        """As :meth:`word`, not remembered."""
+        if self.knows_letters:
+            if word.isalpha():
+                return 0, (word.lower().decode("ascii"),)
+            if word[:-1].isalpha() and 32 < word[-1] < 127:
+                low = word.lower().decode("ascii")
+                return 0, (low[:-1], low[-1])
+        text = word.decode("utf-8")
+        if self.knows_simple and self.simple.fullmatch(text) and not (self.special and self.special.search(text)):
+            return 0, self._simple(text)
+        n, parts = self.cut(text)
+        return n, tuple(parts)
+
     def frequencies(self, text: bytes) -> tuple[int, dict[str, int]]:
         """(special tokens, pre-token -> occurrences) of a UTF-8 text."""
         if not self.by_word:
@@ -134,6 +146,39 @@ class Cutter:
         return len(self.tokenizer.model.tokenize(pre_token))
 
 
+class Sure(dict):
+    """The tokens of words, by word, but for those of pre-tokens that ``of`` (pre-token ->
+    pieces) lacks; ``rest`` has these pre-tokens, by word."""
+
+    def __init__(self, own: Cutter, of: dict[str, int]):
+        super().__init__()
+        self.own, self.of, self.rest = own, of, {}
+
+    def __missing__(self, word: bytes) -> int:
+        n, parts = self.own.cut_word(word)
+        rest = [p for p in parts if p not in self.of]
+        if rest:
+            self.rest[word] = rest
+        self[word] = n = n + sum(self.of[p] for p in parts if p in self.of)
+        return n
+
+    def text(self, text: bytes) -> tuple[int, dict[str, int]]:
+        """(tokens known, other pre-tokens -> occurrences) of a UTF-8 text."""
+        if not self.own.by_word:
+            n, parts = self.own.frequencies(text)
+            return (n + sum(self.of[p] * times for p, times in parts.items() if p in self.of),
+                    {p: times for p, times in parts.items() if p not in self.of})
+        if len(self) >= HELD:
+            self.clear()
+            self.rest.clear()
+        words = text.split()
+        n, rest = sum(map(self.__getitem__, words)), {}
+        for word in filter(self.rest.__contains__, words):
+            for p in self.rest[word]:
+                rest[p] = rest.get(p, 0) + 1
+        return n, rest
+
+
 @cache
 def cutter(path: str | None) -> Cutter:
     """One per worker; ``None`` is the public tokenizer where this worker has it."""
@@ -205,18 +250,13 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     shared = spark.sparkContext.broadcast(dict(zip(top.column("piece").to_pylist(), top.column("pieces").to_pylist())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, of = cutter(path), shared.value
+        sure = Sure(cutter(path), shared.value)
         for part in slices(batches):
             sizes, sums, rare, times, ends = [], [], [], [], [0]
             for t in _utf8(part.column(2)):
-                n, parts = own.frequencies(t) if t else (0, {})
-                for p, times_p in parts.items():
-                    pieces = of.get(p)
-                    if pieces is None:
-                        rare.append(p)
-                        times.append(times_p)
-                    else:
-                        n += pieces * times_p
+                n, others = sure.text(t) if t else (0, {})
+                rare += others.keys()
+                times += others.values()
                 sizes.append(len(t) if t else 0)
                 sums.append(n)
                 ends.append(len(rare))

@@ -83,3 +83,21 @@ def test_pieces_are_counted_once_per_distinct_pre_token(spark):
     docs = spark.createDataFrame([(i, "one two two three") for i in range(100)], "doc_id long, text string")
     vocab = tokencount.vocabulary(docs)
     assert {(r.piece, r.n) for r in vocab.collect()} == {("one", 100), ("two", 200), ("three", 100)}
+
+
+def test_a_known_word_is_looked_up_and_not_cut_again(spark, monkeypatch):
+    """Letters, alone or before one mark, need no search; a word is cut once however many texts hold it."""
+    own = tokencount.Cutter(tokencount.tokenizer_path())
+    words = ["Hello", "x", "WORLD,", "a1", "it'", "Zq%", "T>"]
+    want = {w: (0, tuple(own._own(w))) for w in words}
+    calls = []
+    monkeypatch.setattr(own, "cut", lambda text: calls.append(text) or (0, [text]))
+    monkeypatch.setattr(own, "plain", None)
+    monkeypatch.setattr(own, "simple", None)
+    assert {w: own.word(w.encode()) for w in words} == want
+    cuts = []
+    cut = own.cut_word
+    monkeypatch.setattr(own, "cut_word", lambda word: cuts.append(word) or cut(word))
+    sure = tokencount.Sure(own, {"hello": 1, ",": 1, "world": 2})
+    assert [sure.text(b"Hello WORLD, rare rare, hello") for _ in range(3)] == [(6, {"rare": 2})] * 3
+    assert len(cuts) == 5 and calls == []
